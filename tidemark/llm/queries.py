@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, languages, mixing, pii, quality, token_counts, token_ids, toxicity
+from . import decontamination, jaccard_join, languages, mixing, pii, quality, token_counts, token_ids, toxicity
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_digests(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,7 +49,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op2_language_id, op3_pii, op5_token_counts, op6_token_ids, op8_quality_rules, op9_toxicity, op10_source_mix,
+        op1_decontamination, op2_language_id, op3_pii, op4_jaccard_join, op5_token_counts, op6_token_ids, op8_quality_rules, op9_toxicity, op10_source_mix,
     )
 }
 
