@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, languages, mixing, pii, quality, token_counts, token_ids, toxicity
+from . import decontamination, jaccard_join, languages, mixing, pii, quality, repeats, token_counts, token_ids, toxicity
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_id_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op2_language_id, op3_pii, op4_jaccard_join, op5_token_counts, op6_token_ids, op8_quality_rules, op9_toxicity, op10_source_mix,
+        op1_decontamination, op2_language_id, op3_pii, op4_jaccard_join, op5_token_counts, op6_token_ids, op7_repeated_text, op8_quality_rules, op9_toxicity, op10_source_mix,
     )
 }
 
