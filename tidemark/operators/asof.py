@@ -34,7 +34,7 @@ def relative_strength(candles: DataFrame, bench: DataFrame, lookback: int = 20)
     The benchmark has a row per date, so it is small: it is ranked once and joined by as-of on a
     constant key with the last known return.
     """
-    stock = candles.withColumn("stock_ret", F.when(F.lag("close", lookback).over(by_bar) > 0, (F.col("close") - F.lag("close", lookback).over(by_bar)) / F.lag("close", lookback).over(by_bar) * 100))
+    stock = candles.withColumn("stock_ret", F.when(F.lag("close", lookback).over(by_bar()) > 0, (F.col("close") - F.lag("close", lookback).over(by_bar())) / F.lag("close", lookback).over(by_bar()) * 100))
     known = with_return(bench, lookback, name="bench_ret").select("d", "bench_ret")
     dates = candles.select("d").distinct().withColumn("k", F.lit(1))
     per_date = asof(dates, known.withColumn("k", F.lit(1)), ["k"], "d", ["bench_ret"]).drop("k")

@@ -1,84 +1,112 @@
-"""Recursive indicators as one fold over each symbol's bars, and windowed ones on its result."""
+"""Recursive indicators, a symbol at a time, and windowed ones on their result."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.scalars import round2
-
 EMAS = (7, 10, 20, 21, 50, 200)
 ATR_PERIOD = 14
 RSIS = (2, 14)
 CANDLE = ("d", "bar", "open", "high", "low", "close", "volume")
 
-by_bar = W.partitionBy("symbol_id").orderBy("bar")
+
+def by_bar() -> WindowSpec:
+    return W.partitionBy("symbol_id").orderBy("bar")
+
+
+def ema(values: list[float], period: int) -> list[float | None]:
+    """Exponential average, begun with the mean of the first `period` values."""
+    k, total, last, out = 2.0 / (period + 1), 0.0, None, []
+    for n, v in enumerate(values, 1):
+        if n <= period:
+            total += v
+            last = total / period if n == period else None
+        else:
+            last = v * k + last * (1 - k)
+        out.append(last)
+    return out
+
+
+def wilder(values: list[float], period: int) -> list[float | None]:
+    """Mean of the first `period` values, then smoothed; None until then."""
+    total, last, out = 0.0, None, []
+    for n, v in enumerate(values, 1):
+        if n <= period:
+            total += v
+            last = total / period if n == period else None
+        else:
+            last = (last * (period - 1) + v) / period
+        out.append(last)
+    return out
+
+
+def relative_strength_index(gain: float, loss: float) -> float:
+    if loss == 0:
+        return 50.0 if gain == 0 else 100.0
+    return 100 - 100 / (1 + gain / loss)
 
 
-def _ema(a: Column, n: Column, total: Column, close: Column, p: int) -> Column:
-    """Exponential average, begun with the mean of the first p."""
-    k = 2.0 / (p + 1)
-    return F.when(n > p, close * F.lit(k) + a[f"ema{p}"] * F.lit(1 - k)).when(n == p, total / F.lit(float(p)))
+def cents(v: float) -> float:
+    """Half away from zero, as all prices here are positive."""
+    return math.floor(v * 100 + 0.5) / 100
 
 
-def _wilder(old: Column, n: Column, value: Column, p: int) -> Column:
-    """Sum of the first p values (from the second bar on), their mean after p, then smoothed."""
-    first = F.lit(p + 1)
-    return F.when(n == 1, F.lit(0.0)).when(n < first, old + value).when(n == first, (old + value) / F.lit(float(p))).otherwise((old * F.lit(float(p - 1)) + value) / F.lit(float(p)))
+VALUES = tuple(f"ema{p}" for p in EMAS) + ("true_range", "atr14") + tuple(f"rsi{p}" for p in RSIS)
 
 
-def _rsi(n: Column, gain: Column, loss: Column, p: int) -> Column:
-    both = F.when(loss == 0, F.when(gain == 0, F.lit(50.0)).otherwise(F.lit(100.0))).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + gain / F.when(loss != 0, loss)))
-    return F.when(n > p, both)
+def recursive(bars: pa.Table) -> pa.Table:
+    """The bars of one symbol with their recursive values."""
+    bars = bars.sort_by("bar")
+    high, low, close = (bars.column(c).to_pylist() for c in ("high", "low", "close"))
+    columns = {f"ema{p}": ema(close, p) for p in EMAS}
+    spans = [max(h - x, abs(h - c), abs(c - x)) for h, x, c in zip(high[1:], low[1:], close)]
+    columns["true_range"] = [None, *spans]
+    columns["atr14"] = [None, *[None if v is None else cents(v) for v in wilder(spans, ATR_PERIOD)]]
+    changes = [b - a for a, b in zip(close, close[1:])]
+    for p in RSIS:
+        gains, losses = wilder([max(c, 0.0) for c in changes], p), wilder([max(-c, 0.0) for c in changes], p)
+        columns[f"rsi{p}"] = [None, *[None if g is None else relative_strength_index(g, x) for g, x in zip(gains, losses)]]
+    for name in VALUES:
+        bars = bars.append_column(name, pa.array(columns[name], pa.float64()))
+    return bars
 
 
 def indicators(candles: DataFrame) -> DataFrame:
     """candles with ema7 .. ema200, true_range, atr14 (to cents), rsi2 and rsi14; null until seeded.
 
-    One shuffle by symbol; a bar's values need it and the bars before it only.  A symbol's bars
-    meet in one row: meant for daily bars, some thousands for each symbol.
+    One shuffle by symbol; a bar's values need it and the bars before it only.  The recursion has
+    no form as a window; a fold over arrays copies its result at each bar, and took six times as
+    long as this loop over the bars of a symbol, which are all a task holds at a time.
     """
-    bars = candles.groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("bar", *[c for c in CANDLE if c != "bar"]))).alias("bars"))
-    values = [f"ema{p}" for p in EMAS] + ["true_range", "atr14"] + [f"rsi{p}" for p in RSIS]
-    kind = "struct<" + ", ".join(["bar:int", "d:date", "open:double", "high:double", "low:double", "close:double", "volume:bigint", *[f"{v}:double" for v in values]]) + ">"
-    null = F.lit(None).cast("double")
-    state = {"n": F.lit(0), "previous": null, "total": F.lit(0.0), **{f"ema{p}": null for p in EMAS}, "atr": F.lit(0.0)}
-    state |= {f"{s}{p}": F.lit(0.0) for p in RSIS for s in ("gain", "loss")} | {"out": F.array().cast(f"array<{kind}>")}
-
-    def step(a: Column, b: Column) -> Column:
-        n, total, close = a["n"] + 1, a["total"] + b["close"], b["close"]
-        change = close - a["previous"]
-        gain, loss = F.when(change >= 0, change).otherwise(F.lit(0.0)), F.when(change < 0, -change).otherwise(F.lit(0.0))
-        span = F.when(n > 1, F.greatest(b["high"] - b["low"], F.abs(b["high"] - a["previous"]), F.abs(a["previous"] - b["low"])))
-        new = {"n": n, "previous": close, "total": total, **{f"ema{p}": _ema(a, n, total, close, p) for p in EMAS}, "atr": _wilder(a["atr"], n, span, ATR_PERIOD)}
-        new |= {f"{s}{p}": _wilder(a[f"{s}{p}"], n, v, p) for p in RSIS for s, v in (("gain", gain), ("loss", loss))}
-        shown = [new[f"ema{p}"] for p in EMAS] + [span, F.when(n > ATR_PERIOD, round2(new["atr"]))] + [_rsi(n, new[f"gain{p}"], new[f"loss{p}"], p) for p in RSIS]
-        row = F.struct(b["bar"].alias("bar"), *[b[c].alias(c) for c in CANDLE if c != "bar"], *[v.alias(k) for v, k in zip(shown, values)])
-        return F.struct(*[v.alias(k) for k, v in new.items()], F.concat(a["out"], F.array(row)).alias("out"))
-
-    folded = F.aggregate("bars", F.struct(*[v.alias(k) for k, v in state.items()]), step, lambda a: a["out"])
-    return bars.select("symbol_id", F.inline(folded)).select("symbol_id", *CANDLE, *values)
+    rows = candles.select("symbol_id", *CANDLE)
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", " + ", ".join(f"{v} double" for v in VALUES)
+    return rows.groupBy("symbol_id").applyInArrow(recursive, schema)
 
 
 def volume_stats(rows: DataFrame, window: int = 20) -> DataFrame:
     """With avg_volume of the bars before, at most window, and volume_ratio to it."""
-    average = F.coalesce(F.avg("volume").over(by_bar.rowsBetween(-window, -1)), F.lit(0.0))
+    average = F.coalesce(F.avg("volume").over(by_bar().rowsBetween(-window, -1)), F.lit(0.0))
     return rows.withColumn("avg_volume", average).withColumn("volume_ratio", F.when(F.col("avg_volume") > 0, F.col("volume") / F.col("avg_volume")).otherwise(F.lit(0.0)))
 
 
 def crossings(rows: DataFrame, max_age: int = 2) -> DataFrame:
     """With cross (ema7 rises above ema21 at this bar) and cross_age of the last one, if it holds and isn't older than max_age."""
-    e7, e21 = F.lag("ema7").over(by_bar), F.lag("ema21").over(by_bar)
+    e7, e21 = F.lag("ema7").over(by_bar()), F.lag("ema21").over(by_bar())
     cross = F.coalesce((F.col("bar") >= 22) & (F.col("ema7") > F.col("ema21")) & (e7 <= e21), F.lit(False))
     rows = rows.withColumn("cross", cross)
-    last = F.last(F.when(F.col("cross"), F.col("bar")), ignorenulls=True).over(by_bar.rowsBetween(-max_age, 0))
+    last = F.last(F.when(F.col("cross"), F.col("bar")), ignorenulls=True).over(by_bar().rowsBetween(-max_age, 0))
     return rows.withColumn("cross_bar", F.when(F.col("ema7") > F.col("ema21"), last)).withColumn("cross_age", F.col("bar") - F.col("cross_bar"))
 
 
 def extrema(rows: DataFrame, window: int = 2) -> DataFrame:
     """With is_low and is_high: strictly beyond all bars within window on both sides, known window bars later."""
-    before, after = by_bar.rowsBetween(-window, -1), by_bar.rowsBetween(1, window)
+    before, after = by_bar().rowsBetween(-window, -1), by_bar().rowsBetween(1, window)
     inside = (F.count("*").over(before) == window) & (F.count("*").over(after) == window)
     low = inside & (F.min("low").over(before) > F.col("low")) & (F.min("low").over(after) > F.col("low"))
     high = inside & (F.max("high").over(before) < F.col("high")) & (F.max("high").over(after) < F.col("high"))

@@ -50,7 +50,7 @@ def trailing(signals: DataFrame, candles: DataFrame, atr_multiplier: float = 1.5
 
 def next_recross(rows: DataFrame) -> DataFrame:
     """(symbol_id, bar, recross_bar, last_bar): the first later bar where ema7 is below ema21."""
-    later = by_bar.rowsBetween(1, W.unboundedFollowing)
+    later = by_bar().rowsBetween(1, W.unboundedFollowing)
     return rows.select("symbol_id", "bar", F.min(F.when(F.col("ema7") < F.col("ema21"), F.col("bar"))).over(later).alias("recross_bar"), F.max("bar").over(W.partitionBy("symbol_id")).alias("last_bar"))
 
 

@@ -58,17 +58,17 @@ class MeanRevOptions:
 def features(candles: DataFrame, max_age: int = 2) -> DataFrame:
     """Every column that the scans need, each known at its bar: one shuffle by symbol serves them all."""
     rows = crossings(volume_stats(indicators(candles)), max_age)
-    crossed = F.last(F.when(F.col("cross"), F.struct(F.col("prior_low").alias("prior_low"), "volume", "avg_volume")), ignorenulls=True).over(by_bar.rowsBetween(-max_age, 0))
+    crossed = F.last(F.when(F.col("cross"), F.struct(F.col("prior_low").alias("prior_low"), "volume", "avg_volume")), ignorenulls=True).over(by_bar().rowsBetween(-max_age, 0))
     rows = (
-        rows.withColumn("prior_low", F.lag("low").over(by_bar))
+        rows.withColumn("prior_low", F.lag("low").over(by_bar()))
         .withColumn("crossed", crossed)
         .withColumn("trend", trend_class(F.col("close"), F.col("ema50"), F.col("ema200")))
-        .withColumn("ema200_past", F.lag("ema200", 20).over(by_bar))
-        .withColumn("close10", F.lag("close", 10).over(by_bar))
-        .withColumn("surge_volume", F.avg("volume").over(by_bar.rowsBetween(-10, -1)))
-        .withColumn("next_open", F.lead("open").over(by_bar))
-        .withColumn("next_close", F.lead("close").over(by_bar))
-        .withColumn("next_d", F.lead("d").over(by_bar))
+        .withColumn("ema200_past", F.lag("ema200", 20).over(by_bar()))
+        .withColumn("close10", F.lag("close", 10).over(by_bar()))
+        .withColumn("surge_volume", F.avg("volume").over(by_bar().rowsBetween(-10, -1)))
+        .withColumn("next_open", F.lead("open").over(by_bar()))
+        .withColumn("next_close", F.lead("close").over(by_bar()))
+        .withColumn("next_d", F.lead("d").over(by_bar()))
     )
     return with_extremes(extrema(rows)).drop("is_low", "is_high", "confirm_bar")
 

@@ -184,14 +184,14 @@ def volume_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"select symbol_id, bar, {r4('(close - ema10) / ema10 * 100', 'ext_ema10')}, {r4('(close - ema50) / ema50 * 100', 'ext_ema50')}, {r4('(close - close10) / close10 * 100', 'move10')} from feat where bar >= 50", IND, FEAT))
 def extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ind(spark, sf_dir).withColumn("close10", F.lag("close", 10).over(I.by_bar)).filter("bar >= 50")
+    rows = _ind(spark, sf_dir).withColumn("close10", F.lag("close", 10).over(I.by_bar())).filter("bar >= 50")
     c = F.col("close")
     return rows.select("symbol_id", "bar", round4(S.pct_from(c, F.col("ema10"))).alias("ext_ema10"), round4(S.pct_from(c, F.col("ema50"))).alias("ext_ema50"), round4(S.pct_from(c, F.col("close10"))).alias("move10"))
 
 
 @query(sql("select symbol_id, bar, ema200 >= ema200_past rising from feat where bar >= 220", IND, FEAT))
 def ema200_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ind(spark, sf_dir).withColumn("past", F.lag("ema200", 20).over(I.by_bar)).filter("bar >= 220")
+    rows = _ind(spark, sf_dir).withColumn("past", F.lag("ema200", 20).over(I.by_bar())).filter("bar >= 220")
     return rows.select("symbol_id", "bar", (F.col("ema200") >= F.col("past")).alias("rising"))
 
 
@@ -213,7 +213,7 @@ def cross_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select symbol_id, bar, volume >= 1.5::double * a surge from (select *, avg(volume) over (partition by symbol_id order by bar rows between 10 preceding and 1 preceding) a from candles) where a is not null"))
 def volume_surge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.candles(spark, sf_dir).withColumn("a", F.avg("volume").over(I.by_bar.rowsBetween(-10, -1))).filter("a is not null")
+    rows = fx.candles(spark, sf_dir).withColumn("a", F.avg("volume").over(I.by_bar().rowsBetween(-10, -1))).filter("a is not null")
     return rows.select("symbol_id", "bar", (F.col("volume") >= F.lit(1.5) * F.col("a")).alias("surge"))
 
 
@@ -226,7 +226,7 @@ def local_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"select symbol_id, bar, {r4('coalesce(close / b - 1, 0)', 'leadership')} from (select *, lag(close, 50) over (partition by symbol_id order by bar) b from candles)"))
 def leadership_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.candles(spark, sf_dir).withColumn("b", F.lag("close", 50).over(I.by_bar))
+    rows = fx.candles(spark, sf_dir).withColumn("b", F.lag("close", 50).over(I.by_bar()))
     return rows.select("symbol_id", "bar", round4(F.coalesce(F.col("close") / F.col("b") - 1, F.lit(0.0))).alias("leadership"))
 
 

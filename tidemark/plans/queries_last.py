@@ -154,7 +154,7 @@ def reconstruct_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Positions as of a date
 
-ASOF = "1996-01-05"
+ASOF = "1999-03-14"
 POSITIONS = f"pos as (select symbol_id, max(entry_date) entry_date, arg_max(entry, entry_date) entry, arg_max(sl, entry_date) sl, arg_max(floor(10000 / entry)::bigint, entry_date) shares from trades where entry_date < date '{ASOF}' and exit_date >= date '{ASOF}' group by 1)"
 
 

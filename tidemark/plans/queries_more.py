@@ -364,7 +364,7 @@ def breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"select symbol_id, d, {r4('percent_rank() over (partition by d order by ret)', 'pct_rank')} from (select *, close / lag(close, 50) over (partition by symbol_id order by bar) - 1 ret from candles) where ret is not null"))
 def xsec_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.candles(spark, sf_dir).withColumn("ret", F.col("close") / F.lag("close", 50).over(I.by_bar) - 1).filter("ret is not null")
+    rows = fx.candles(spark, sf_dir).withColumn("ret", F.col("close") / F.lag("close", 50).over(I.by_bar()) - 1).filter("ret is not null")
     return rows.select("symbol_id", "d", round4(F.percent_rank().over(W.partitionBy("d").orderBy("ret"))).alias("pct_rank"))
 
 
