@@ -33,8 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
     open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     level = (F.lit(total_share) * F.sum("source_size").over(everything) - full) / open_weight
     levels = ranked.withColumn("level", level)
-    # the first source, by cap, that its level doesn't fill has the level of all that follow
-    open_level = F.min(F.when(F.col("level") < F.col("cap_per_weight"), F.struct("cap_per_weight", "level"))).over(everything)["level"]
+    # the first source, by cap, that its level doesn't fill has the level of all that follow; theirs are lower
+    open_level = F.max(F.when(F.col("level") < F.col("cap_per_weight"), F.col("level"))).over(everything)
     return levels.withColumn("open_level", open_level).select("source", "source_size", F.least(F.col("top"), F.coalesce(F.col("open_level") * F.col("weight"), F.col("top"))).alias("target"))
 
 
@@ -85,7 +85,7 @@ w as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last)
 r as (select *, 2.0::double * source_size top, 2.0::double * source_size / w per from w),
 l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(top) over (order by per, source nulls last rows between unbounded preceding and 1 preceding), 0))
              / (sum(w) over () - coalesce(sum(w) over (order by per, source nulls last rows between unbounded preceding and 1 preceding), 0)) lev from r),
-t as (select source, source_size, least(top, coalesce((select arg_min(lev, per) from l where lev < per) * w, top)) target from l),
+t as (select source, source_size, least(top, coalesce((select max(lev) from l where lev < per) * w, top)) target from l),
 c as (select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end rate,
              ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double u
       from d join t on d.source is not distinct from t.source),
