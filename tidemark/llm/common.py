@@ -15,6 +15,9 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Small sides are broadcast up to this many rows, checked at run time.
 BROADCAST_ROWS = 20_000
 
+#: Bits of the filter that keeps documents without marks out of a shuffle: 1 MB.
+FILTER_BITS = 1 << 23
+
 _own_dir: dict[str, str] = {}
 
 
@@ -45,6 +48,22 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def marked(rows: DataFrame, marks: DataFrame, key: str, yes: bool = True) -> DataFrame:
+    """Rows whose key passes a filter built from the keys of marks, or fails it.
+
+    All rows with a mark pass; so do some others, more the larger the tables are.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bitmaps = marks.select(key).distinct().select((slot + 1).alias("k")).groupBy(F.bitmap_bucket_number("k").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("_bits"))
+    bitmaps = F.broadcast(written(bitmaps, "filter"))  # FILTER_BITS at most
+    keyed = rows.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number(F.col("_slot") + 1))
+    inside = F.col("_slot") % 32768
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), (inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), inside % 8)) % 2 == 1, F.lit(False))
+    joined = keyed.join(bitmaps, "_bucket", "left")
+    return joined.filter(hit if yes else ~hit).select(*rows.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

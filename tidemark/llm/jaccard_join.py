@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import marked, written
 from .components import components
 
 #: A worker forgets the hashes of its words beyond this many.
@@ -301,7 +301,7 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
             right = class_ids(sets) == f["cls"].to_numpy() if len(f) else np.zeros(0, bool)
             yield f.drop(columns=["text"]).assign(shingles=[s.tobytes() for s in sets])[right]
 
-    texts = rows.join(wanted, "doc_id").select("cluster", "cls", "n", "copies", "blocks", "block", "text")
+    texts = marked(rows, wanted, "doc_id").join(wanted, "doc_id").select("cluster", "cls", "n", "copies", "blocks", "block", "text")
     sets = texts.mapInPandas(gather, "cluster long, cls long, n long, copies long, blocks int, block int, shingles binary")
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "n", "copies", "shingles")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import marked, written
 from .jaccard_join import mixed
 
 #: Bytes that an anchor's hash covers: a power of two.
@@ -97,8 +97,6 @@ class Chunk:
 
 #: Occurrences of a hash that one task compares; those of more frequent ones are dealt by window.
 GROUP = 4096
-#: Bits of the filter that keeps documents without marks out of a shuffle: 1 MB.
-FILTER_BITS = 1 << 23
 NULL_ID = -(2**63)
 
 
@@ -195,22 +193,6 @@ class SuffixIndex:
         self.levels.append((rank, table))
 
 
-def marked(rows: DataFrame, marks: DataFrame, yes: bool = True) -> DataFrame:
-    """Rows whose doc passes a filter built from the docs of marks, or fails it.
-
-    All rows with a mark pass; so do some others, more the larger the tables are.
-    """
-    slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    bitmaps = marks.select("doc").distinct().select((slot + 1).alias("k")).groupBy(F.bitmap_bucket_number("k").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("_bits"))
-    bitmaps = F.broadcast(written(bitmaps, "filter"))  # FILTER_BITS at most
-    keyed = rows.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number(F.col("_slot") + 1))
-    inside = F.col("_slot") % 32768
-    byte = F.conv(F.hex(F.substr(F.col("_bits"), (inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), inside % 8)) % 2 == 1, F.lit(False))
-    joined = keyed.join(bitmaps, "_bucket", "left")
-    return joined.filter(hit if yes else ~hit).select(*rows.columns)
-
-
 def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP) -> DataFrame:
     """(doc, start, size) of repeated windows in stretches whose anchor's hash has other stretches too.
 
@@ -219,7 +201,7 @@ def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP)
     """
     bits = width.bit_length()
     lists = opened.groupBy("h", "doc", "start", "cx").agg(F.max("n").alias("n")).groupBy("doc").agg(F.collect_list(F.struct("h", "start", "cx", "n")).alias("places"))
-    texts = marked(rows, opened).join(lists, "doc")
+    texts = marked(rows, opened, "doc").join(lists, "doc")
     kind = "key long, doc long, start long, data binary"
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +304,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, batches: int = 2, group: i
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    with_spans = marked(rows, repeats).join(spans, "doc", "left").select("doc", "text", "spans")
-    without = marked(rows, repeats, yes=False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    with_spans = marked(rows, repeats, "doc").join(spans, "doc", "left").select("doc", "text", "spans")
+    without = marked(rows, repeats, "doc", yes=False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     return with_spans.unionByName(without).mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
