@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard_join, languages, mixing, token_ids
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import documents, marked, written
+
+#: Words whose ids a worker of the last stage remembers: fewer than that operator's own, as the worker holds what earlier stages left.
+KNOWN_WORDS = 200_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,13 +27,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group that the join links, the one with the smallest doc_id.
 
     Groups are of five-word shingles and a similarity of 0.8 or more.  Documents without an id stay
-    if no document with one is linked to them; of rows that repeat the doc_id that stays, one stays.
+    if no document with one is linked to them; rows that repeat both doc_id and text are one.
     """
     groups = jaccard_join.join_documents(docs, n=5, percent=80)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    with_id = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    without = docs.filter(F.col("doc_id").isNull()).join(stay.filter(F.col("doc_id").isNull()), F.lit(True), "left_semi").dropDuplicates(["text"])
-    return with_id.unionByName(without).select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NO_ID))
+    linked = groups.filter("n_links > 0").groupBy(key.alias("_key")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
+    linked = written(linked, "linked")
+    rows = docs.withColumn("_key", key)
+    # most documents are linked to none, and don't move
+    judged = marked(rows, linked, "_key").join(linked, "_key", "left").filter(F.coalesce("_stays", F.lit(True))).dropDuplicates(["_key", "text"])
+    return judged.select(*docs.columns).unionByName(marked(rows, linked, "_key", yes=False).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each copy, from the token file as read back."""
-    return token_ids.token_id_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_ids.token_id_digests(docs, public_tokenizers.path("word_bpe_49k.json"), KNOWN_WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -24,7 +24,7 @@ from .common import marked, written
 from .components import components
 
 #: A worker forgets the hashes of its words beyond this many.
-MAX_KNOWN_WORDS = 600_000
+MAX_KNOWN_WORDS = 250_000
 #: Classes of a cluster that one task compares with each other, or with as many others.
 BLOCK = 512
 LEAF, FAN = 16, 4
@@ -135,6 +135,30 @@ def part_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndar
     return np.concatenate(numbers), np.concatenate(keys)
 
 
+#: Below this percentage equal parts would be too small to tell anything: bands of minhashes take their place.
+EXACT_PERCENT = 90
+BAND_ROWS, BAND_MISS = 5, 1e-10
+
+
+def band_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set's number, key of a band): two sets at the threshold share none with a chance of BAND_MISS, above it with less."""
+    count = int(np.ceil(np.log(BAND_MISS) / np.log1p(-((percent / 100) ** BAND_ROWS))))
+    random = np.random.default_rng(80)
+    turn = random.integers(0, 2**32, (count * BAND_ROWS, 1), np.uint32, endpoint=False)
+    times = random.integers(0, 2**32, (count * BAND_ROWS, 1), np.uint32, endpoint=False) | np.uint32(1)
+    weights = mixed(np.arange(BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
+    place = mixed(np.arange(count, dtype=np.uint64) + _B)
+    filled = [k for k, s in enumerate(sets) if len(s)]
+    keys = np.zeros((len(filled), count), np.uint64)
+    for row, k in enumerate(filled):
+        x = (sets[k] >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(turn), 2**32 - 1, np.uint32)
+        for i in range(0, len(x), 2048):
+            least = np.minimum(least, ((x[i : i + 2048] ^ turn) * times).min(1))
+        keys[row] = mixed((least.reshape(count, BAND_ROWS) * weights).sum(1, dtype=np.uint64) + place)
+    return np.repeat(np.array(filled, np.int64), count), keys.ravel().view(np.int64)
+
+
 @dataclass(frozen=True)
 class Tree:
     """Levels of nodes from the leaves up: sizes from lo to hi, OR of bitmaps, and the first member of each."""
@@ -245,6 +269,10 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     with each other; a null doc_id counts as larger than all others, and stays null; other columns
     are left out; an empty table gives no rows.  longest bounds the shingles of a text.
 
+    From EXACT_PERCENT on no pair is lost.  Below, parts would hold too few shingles, and bands of
+    minhashes gather the candidates; a pair is lost with a chance of BAND_MISS at most.  Either way
+    a link is decided on whole sets.
+
     Copies become one class before texts are compared, and equal parts combine within a batch
     before they are shuffled, so neither moves a hot group whole.  A cluster over `block` classes is
     compared block by block, each pair of blocks in a task of its own.
@@ -270,7 +298,8 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
                 sets = shingle_sets(batch.column(0).slice(i, 1000).to_pylist(), n)
                 ids = class_ids(sets) if sets else np.zeros(0, np.int64)
                 new = [k for k, c in enumerate(ids.tolist()) if len(sets[k]) and not (c in seen or seen.add(c))]
-                number, key = part_keys([sets[k] for k in new], bands)
+                some = [sets[k] for k in new]
+                number, key = part_keys(some, bands) if percent >= EXACT_PERCENT else band_keys(some, percent)
                 owner.append(ids[new][number] if new else np.zeros(0, np.int64))
                 keys.append(key)
             cls, key = np.concatenate([*owner, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.int64)])
