@@ -90,3 +90,18 @@ def test_no_row_at_a_time_python_in_scans(spark):
 
 def test_half_cents_round_away_from_zero():
     assert I.cents(1.005) == math.floor(100.49999999999999 + 0.5) / 100
+
+
+def test_frames_decode_and_bad_ones_say_so():
+    import struct
+
+    from tidemark.sources.ticks import frame_packets
+
+    packets = [struct.pack(">Ii", 7, -12345), struct.pack(">IiiiiiiI", 8, 100, 300, 50, 120, 110, 0, 99), bytes(184)]
+    data = struct.pack(">H", len(packets)) + b"".join(struct.pack(">H", len(p)) + p for p in packets)
+    got = list(frame_packets(data))
+    assert (got[0]["token"], got[0]["last_price"], got[0]["tradable"]) == (7, -123.45, True)
+    assert (got[1]["high"], got[1]["low"], got[1]["exchange_time"], got[1]["tradable"]) == (3.0, 0.5, 99, False)
+    assert len(got[2]["bids"]) == len(got[2]["asks"]) == 5
+    assert [p.get("error") for p in frame_packets(data[:-1])] == [None, None, "truncated"]
+    assert list(frame_packets(b"\0")) == [] and list(frame_packets(None)) == []

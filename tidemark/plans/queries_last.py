@@ -10,9 +10,11 @@ from ..functions.scalars import round4
 from ..operators import labels as L
 from ..operators import positions as P
 from ..operators import scans
+from ..operators.logs import streaks, upsert
 from ..sources import fixtures as fx
 from ..sources import readers as R
 from ..sources.shared import shared_path
+from ..sources.ticks import decode_frames, price_frames
 from ..streaming import jobs as J
 from .oracles import EXT, FEAT, IND, r4, sql, zones
 from .queries import BENCH, _feat, _ind, query, rounded
@@ -114,8 +116,6 @@ def live_candle_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     today = rows.agg(F.max("d").alias("d"))
     ticks = rows.groupBy("symbol_id").agg(F.max_by("close", "d").alias("last"), F.max_by("volume", "d").alias("volume"))
     live = ticks.join(F.broadcast(today)).select("symbol_id", "d", (F.round(F.col("last") * 101) / 100).alias("close"), F.floor(F.col("volume") / F.lit(0.5)).alias("volume"))
-    from ..operators.logs import upsert
-
     return upsert(rows, live, ["symbol_id", "d"])
 
 
@@ -247,3 +247,35 @@ def stream_stop_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_live_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.drain(J.tick_stream(spark, sf_dir), "append", "live-scan", J.live_scan(fx.candles(spark, sf_dir)))
+
+
+@query(f"with {TICK} select (seq // 8)::bigint frame, (row_number() over (partition by seq // 8 order by seq) - 1)::int packet, token, round(last_price * 100)::bigint / 100 last_price from tick")
+def tick_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = price_frames(fx.ticks(spark, sf_dir))
+    return decode_frames(frames).select("frame", "packet", "token", "last_price")
+
+
+@query(sql(f"select symbol_id, outcome, {r4('(exit * 0.998::double - entry * 1.002::double) / (entry * 1.002::double - sl)', 'r')} from (select p.*, case when low <= sl then 'loss' when ema7 < ema21 then 'recross' else 'hold' end outcome, case when low <= sl then sl when ema7 < ema21 then close end exit from pos p left join ind i on i.symbol_id = p.symbol_id and i.d = date '{ASOF}') where outcome <> 'hold'", *TRADES, POSITIONS))
+def eod_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions, rows = _positions(spark, sf_dir)
+    return rounded(P.shadow_trades(positions, rows, ASOF), "r")
+
+
+@query()
+def eod_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(as_of, symbols) of the snapshots that stay after one that comes too late is refused."""
+    rows, path = fx.candles(spark, sf_dir), shared_path(spark, "snapshots")
+    for asof in ("1996-01-05", "1996-01-08", "1996-01-06"):
+        state = rows.filter(F.col("d") <= F.lit(asof).cast("date")).groupBy("symbol_id").agg(F.max_by("close", "d").alias("close"))
+        try:
+            P.write_snapshot(state, path, asof)
+        except P.AlreadyProcessed:
+            continue
+    return spark.read.parquet(path).groupBy("as_of").agg(F.count("*").alias("symbols"))
+
+
+@query("with " + LOG.format("day") + ", ru as (select scanned_at, row_number() over (order by scanned_at) run from (select distinct scanned_at from slog)), j as (select *, run - row_number() over (partition by symbol order by run) island from slog join ru using (scanned_at)), k as (select *, row_number() over (partition by symbol, island order by run)::bigint streak from j) select scanned_at::date as day, symbol, streak, streak = 1 and run > 1 is_new from k")
+def stream_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = J.drain(J.tick_stream(spark, sf_dir), "append", "run-log", J.run_log)
+    runs = log.groupBy("scanned_at", "symbol").agg(F.sum("score").alias("score"))
+    return streaks(runs).select(F.col("scanned_at").cast("date").alias("day"), "symbol", "streak", "is_new")

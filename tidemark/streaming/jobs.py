@@ -66,3 +66,8 @@ def live_scan(history: DataFrame) -> Callable[[DataFrame], DataFrame]:
         return scans.breakout(rows).select("symbol_id", "d", "close", "reason", "score")
 
     return scan
+
+
+def run_log(batch: DataFrame) -> DataFrame:
+    """(scanned_at, symbol, score): a micro-batch's part of the daily runs; streaks are counted on the log, so a restart loses none."""
+    return batch.groupBy(F.date_trunc("day", "ts").alias("scanned_at"), F.col("token").alias("symbol")).agg(F.sum(F.round(F.col("last_price") * 100).cast("long")).alias("score"))
