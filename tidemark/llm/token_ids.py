@@ -7,12 +7,13 @@ table in the shared folder: control bytes in one column, data bytes in another.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -23,8 +24,10 @@ from .common import checked_broadcast, shuffle_partitions, written
 END_ID = 1
 #: Ids in a block, but for a longer document.
 BLOCK_IDS = 65_536
-#: A worker forgets the ids of its words beyond this many; the library then encodes them anew.
-MAX_KNOWN_WORDS = 600_000
+#: Beyond this many, about 0.2 MB a thousand, a worker forgets the words that came once; the library then encodes them anew.
+MAX_KNOWN_WORDS = 900_000
+#: Parts words in one call; a word that holds it is encoded alone.
+MARK = "\x02"
 BLOCK_SCHEMA = "part int, block int, doc_ids binary, lengths binary, n_ids long, control binary, data binary"
 
 #: For each control byte: the lengths of its four values, and their sum.
@@ -36,31 +39,72 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Encodes texts by their words, each of which the library encodes once.
 
-    Valid for tokenizers that drop white space and never merge across it.
+    Valid for tokenizers that drop white space, never merge across it or between a letter and
+    a stop or comma behind it, and map letters to lower case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > MAX_KNOWN_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
-
-
-def word_encoder(path: str) -> WordEncoder:
+        self.limit = known_words
+        self.tokenizer, self.known, self.reused = Tokenizer.from_file(path), {"": b""}, set()
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+    def learn(self, words: list[str]) -> None:
+        """One call for many words; a mark between them, a piece of its own, tells whose the tokens are."""
+        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(words), add_special_tokens=False).ids, self.kind)
+        ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+        raw, width, begin = ids.tobytes(), ids.itemsize, 0
+        for word, end in zip(words, ends, strict=True):
+            self.known[word] = raw[begin * width : end * width]
+            begin = end + 1
+
+    def learn_all(self, new: list[str]) -> None:
+        """A stop or comma behind a letter at the end of a word is a piece of its own, so that only the rest is encoded."""
+        stopped = [w for w in new if w[-1] in ".," and "a" <= w[-2:-1] <= "z"]
+        plain = set(new).difference(stopped).union(w[:-1] for w in stopped).union(w[-1] for w in stopped).difference(self.known)
+        odd = [w for w in plain if MARK in w]
+        for w in odd:
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        plain = list(plain.difference(odd))
+        for i in range(0, len(plain), 4096):
+            self.learn(plain[i : i + 4096])
+        for w in stopped:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id, one after the other; how many each has)."""
+        lower = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")  # A to Z only
+        split = pc.split_pattern(lower, " ")
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > self.limit:  # words that came once are most of them
+            self.known = {w: self.known[w] for w in self.reused} | {"": b""}
+            self.reused = set()
+        new = [w for w in words if w not in self.known]
+        self.reused.update(set(words).difference(new))
+        self.learn_all(new)
+        values = list(map(self.known.__getitem__, words))
+        width = np.dtype(self.kind).itemsize
+        flat, sizes = np.frombuffer(b"".join(values), self.kind), np.fromiter(map(len, values), np.int64, len(values)) // width
+        tokens = sizes[place]
+        ends = np.cumsum(tokens)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - tokens), tokens) + np.arange(int(tokens.sum()))]
+        last_word = np.cumsum(pc.list_value_length(split).to_numpy())
+        lengths = np.diff(np.append(0, ends)[np.append(0, last_word)]) + 1
+        result, own = np.full(len(ids) + len(texts), end_id, self.kind), np.ones(len(ids) + len(texts), bool)
+        own[np.cumsum(lengths) - 1] = False
+        result[own] = ids
+        return result, lengths
+
+
+def word_encoder(path: str, known_words: int = MAX_KNOWN_WORDS) -> WordEncoder:
+    """One per worker process, kept across its tasks."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, known_words)
+    _encoders[path].limit = known_words
     return _encoders[path]
 
 
@@ -90,79 +134,76 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): each text's ids and the end id, as little-endian uint32 in a binary."""
-    end = np.array([end_id], "<u4").tobytes()
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, known_words: int = MAX_KNOWN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, ids, id): each text's ids and the end id, in a binary as little-endian integers of the encoder's kind.
+
+    Rows with an id, and nothing else but n, hold how often a task has met it.
+    """
+    width = np.dtype(word_encoder(tokenizer).kind).itemsize
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("id", pa.int64())])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder, total = word_encoder(tokenizer, known_words), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                ids = [x + end for x in encoder([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for i in range(0, batch.num_rows, 3000):
+                part = batch.slice(i, 3000)
+                ids, lengths = encoder(part.column(1), end_id)
+                seen = np.bincount(ids, minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
+                offsets = (np.append(0, np.cumsum(lengths)) * width).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), packed, pa.nulls(len(lengths), pa.int64())], schema=schema)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(total[used]), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int64())], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(encode, "doc_id long, n long, ids binary, id long")
 
 
 def id_ranks(encoded: DataFrame) -> np.ndarray:
     """All ids that occur, the most frequent first, ties by id.  At most the vocabulary's size."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    counts = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = encoded.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = counts.column("id").to_numpy(), counts.column("n").to_numpy()
     return ids[np.lexsort((ids, -n))].astype(np.uint32)
 
 
-def write_blocks(encoded: DataFrame, by_rank: np.ndarray, block_ids: int = BLOCK_IDS) -> DataFrame:
+def write_blocks(encoded: DataFrame, by_rank: np.ndarray, kind: str, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Writes the blocks in ascending doc_id order, null first, and returns the table as read back."""
     spark = encoded.sparkSession
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     ranks = spark.sparkContext.broadcast(rank)  # at most the vocabulary
 
-    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, part, number = ranks.value, TaskContext.get().partitionId(), 0
-        doc_ids: list[int | None] = []
-        texts: list[np.ndarray] = []
-        held = 0
-
-        def block() -> pa.RecordBatch:
-            control, data = encode_values(rank[np.concatenate(texts)])
-            ids = np.array([np.iinfo(np.int64).min if d is None else d for d in doc_ids], "<i8")
-            lengths = np.array(list(map(len, texts)), "<i8")
-            values = [part, number, ids.tobytes(), lengths.tobytes(), int(lengths.sum()), control, data]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("n_ids", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, part, number, width = ranks.value, TaskContext.get().partitionId(), 0, np.dtype(kind).itemsize
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                doc_ids.append(doc_id)
-                texts.append(np.frombuffer(ids.as_py(), "<u4"))
-                held += len(texts[-1])
-                if held >= block_ids:
-                    yield block()
-                    number += 1
-                    doc_ids, texts, held = [], [], 0
-        if doc_ids:
-            yield block()
-
-    ordered = encoded.select("doc_id", "ids").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+            if not batch.num_rows:
+                continue
+            packed = batch.column(1)
+            ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // width
+            ids, lengths = np.frombuffer(packed.buffers()[2], kind)[ends[0] : ends[-1]], np.diff(ends)
+            ends = np.cumsum(lengths)
+            doc_ids = pc.fill_null(batch.column(0), np.iinfo(np.int64).min).to_numpy().astype("<i8")
+            begins = np.flatnonzero(np.diff((ends - lengths) // block_ids, prepend=-1))  # whole documents
+            for first, last in zip(begins, np.append(begins[1:], len(lengths))):
+                some = ids[ends[first] - lengths[first] : ends[last - 1]]
+                control, data = encode_values(rank[some])
+                row = [part, number, doc_ids[first:last].tobytes(), lengths[first:last].astype("<i8").tobytes(), len(some), control, data]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+                number += 1
+
+    ordered = encoded.filter("id is null").select("doc_id", "ids").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     return written(ordered.mapInArrow(blocks, BLOCK_SCHEMA), "token-blocks")
 
 
-def read_blocks(table: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of each document of a written table; start counts the ids of all before it."""
+def read_blocks(table: DataFrame, by_rank: np.ndarray, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of each document of a written table; start counts the ids of all before it.
+
+    With digest, ids_crc32 stands in place of ids, which are little-endian uint32.
+    """
     ids_of = table.sparkSession.sparkContext.broadcast(by_rank)
     # a row per block, then per part: as many as partitions wrote
     in_part = W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -180,29 +221,27 @@ def read_blocks(table: DataFrame, by_rank: np.ndarray) -> DataFrame:
                 doc_ids, lengths = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["lengths"], "<i8")
                 ends = np.cumsum(lengths)
                 each = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == np.iinfo(np.int64).min), pa.array(row["start"] + ends - lengths), pa.array(lengths), pa.array(each, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                values = pa.array(map(zlib.crc32, each), pa.int64()) if digest else pa.array(each, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == np.iinfo(np.int64).min), pa.array(row["start"] + ends - lengths), pa.array(lengths), values], names=["doc_id", "start", "n_tokens", last])
 
-    return located.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    last = "ids_crc32" if digest else "ids"
+    return located.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
-def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, np.ndarray]:
+def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, known_words: int = MAX_KNOWN_WORDS) -> tuple[DataFrame, np.ndarray]:
     """(table of blocks, ids by rank) of all rows of docs.
 
     Null and empty texts are the end id alone; repeated rows are written each, next to each other;
     a null doc_id comes first; other columns are left out; an empty table writes no blocks.  A text
     longer than a block has a block of its own.
     """
-    encoded = written(encode_documents(docs, tokenizer, end_id), "token-ids")
+    encoded = written(encode_documents(docs, tokenizer, end_id, known_words), "token-ids")
+    kind = word_encoder(tokenizer).kind
     by_rank = id_ranks(encoded)
-    return write_blocks(encoded, by_rank, block_ids), by_rank
+    return write_blocks(encoded, by_rank, kind, block_ids), by_rank
 
 
-def token_id_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_id_digests(docs: DataFrame, tokenizer: str, known_words: int = MAX_KNOWN_WORDS) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), from the blocks as read back."""
-    table, by_rank = write_token_ids(docs, tokenizer)
-
-    def digest(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(ids_crc32=[zlib.crc32(x) for x in f.pop("ids")])
-
-    return read_blocks(table, by_rank).mapInPandas(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    table, by_rank = write_token_ids(docs, tokenizer, known_words=known_words)
+    return read_blocks(table, by_rank, digest=True)
