@@ -19,10 +19,16 @@ def duck():
     return connection
 
 
+def plain(value):
+    if pd.isna(value):
+        return None
+    if hasattr(value, "year"):
+        return str(pd.Timestamp(value))
+    return value if isinstance(value, str) else bool(value) if str(value) in ("True", "False") else float(value)
+
+
 def ordered(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)]
-    rows = [tuple(None if v is None or v is pd.NaT or v != v else str(pd.Timestamp(v)) if hasattr(v, "year") else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype != bool else str(v) for v in row) for row in frame.itertuples(index=False)]
-    return sorted(rows, key=str)
+    return sorted((tuple(map(plain, row)) for row in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
