@@ -12,9 +12,7 @@ from ..functions import scalars as S
 from ..functions.scalars import round4
 from ..operators import asof as A
 from ..operators import indicators as I
-from ..operators import labels as L
 from ..operators import logs, scans
-from ..operators import statistics as T
 from ..operators import zones as Z
 from ..sources import fixtures as fx
 from .oracles import EXT, FEAT, IND, LATEST, r4, sql, zones

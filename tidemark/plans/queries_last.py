@@ -16,8 +16,8 @@ from ..sources import readers as R
 from ..sources.shared import shared_path
 from ..sources.ticks import decode_frames, price_frames
 from ..streaming import jobs as J
-from .oracles import EXT, FEAT, IND, r4, sql, zones
-from .queries import BENCH, _feat, _ind, query, rounded
+from .oracles import r4, sql
+from .queries import BENCH, _feat, query, rounded
 from .queries_more import BASE, CROSS_SIGNALS, EMAEXIT, LOG, REV_SIGNALS, TRADES, _held, _signals, _trades, swing_sql
 
 

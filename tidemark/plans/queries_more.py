@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scalars import round4
-from ..operators import asof as A
 from ..operators import indicators as I
 from ..operators import labels as L
 from ..operators import logs, scans
 from ..operators import statistics as T
 from ..sources import fixtures as fx
 from .oracles import EXT, FEAT, IND, r4, sql, zones
-from .queries import BENCH, BREC, _bench_ind, _feat, _ind, query, rounded
+from .queries import _feat, _ind, query, rounded
 
 # Scans
 
