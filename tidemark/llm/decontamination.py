@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 WORD = re.compile(r"[^\W_]+")
 
 #: Smith-Waterman scores on words.
@@ -209,7 +211,7 @@ def _add_leaks(spark: SparkSession, rows: DataFrame, items: Items, seed_index: n
             columns = [pa.array(new, kind) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return rows.mapInArrow(search, T.StructType(rows.schema.fields))
+    return rows.mapInArrow(released(search), T.StructType(rows.schema.fields))
 
 
 def leak_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

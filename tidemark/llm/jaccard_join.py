@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import marked, written
+from .common import marked, released, written
 from .components import components
 
 #: A worker forgets the hashes of its words beyond this many.
-MAX_KNOWN_WORDS = 250_000
+MAX_KNOWN_WORDS = 120_000
 #: Classes of a cluster that one task compares with each other, or with as many others.
 BLOCK = 512
 LEAF, FAN = 16, 4
@@ -72,6 +72,12 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return result
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def class_ids(sets: list[np.ndarray]) -> np.ndarray:
     """A 64-bit id of each set, from the sum of its members' hashes."""
     sums = np.array([mixed(s ^ _C).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -281,21 +287,21 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
 
     def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), n)
+        for part in sliced(batches, 1000):
+            sets = shingle_sets(part.column(1).to_pylist(), n)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(class_ids(sets) if len(sets) else sizes, mask=sizes == 0), pa.array(sizes)], names=["doc_id", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(class_ids(sets) if len(sets) else sizes, mask=sizes == 0), pa.array(sizes)], names=["doc_id", "cls", "n"])
 
-    members = written(rows.mapInArrow(classify, "doc_id long, cls long, n long"), "members")
+    members = written(rows.mapInArrow(released(classify), "doc_id long, cls long, n long"), "members")
     classes = written(members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, cls) of the parts; of equal keys in a batch the smallest class, and edges (cls, head) of the others to it."""
-        for batch in batches:
+        for batch in sliced(batches, 4000):
             owner, keys = [], []
             seen: set[int] = set()
-            for i in range(0, batch.num_rows, 1000):
-                sets = shingle_sets(batch.column(0).slice(i, 1000).to_pylist(), n)
+            for i in range(0, batch.num_rows, 500):
+                sets = shingle_sets(batch.column(0).slice(i, 500).to_pylist(), n)
                 ids = class_ids(sets) if sets else np.zeros(0, np.int64)
                 new = [k for k, c in enumerate(ids.tolist()) if len(sets[k]) and not (c in seen or seen.add(c))]
                 some = [sets[k] for k in new]
@@ -315,7 +321,7 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
                 names=["key", "cls", "head"],
             )
 
-    dealt = rows.select("text").mapInArrow(deal, "key long, cls long, head long")
+    dealt = rows.select("text").mapInArrow(released(deal), "key long, cls long, head long")
     smallest = F.first("cls").over(W.partitionBy("key").orderBy("cls").rowsBetween(W.unboundedPreceding, 0))
     edges = dealt.withColumn("first", smallest).select(F.explode(F.array(F.struct(F.col("cls").alias("a"), F.col("head").alias("b")), F.struct(F.col("cls").alias("a"), F.when(F.col("head").isNull(), F.col("first")).alias("b")))).alias("e")).select("e.*").filter("b is not null and a <> b")
     coarse = components(edges)

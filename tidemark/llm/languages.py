@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, hash_share
+from .common import fold, hash_share, released
 
 BUCKETS = 1 << 15
 LETTER = regex.compile(r"\p{L}")
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model, min_share: float = 0.0, text_col: st
                 columns = [*part.columns, pa.array(langs, pa.string()), pa.array(np.where(named, np.minimum(score, 1.0), 0.0)), pa.array(sets, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *new])
 
-    return kept.mapInArrow(predict, schema)
+    return kept.mapInArrow(released(predict), schema)
 
 
 def held_out(id_col: str = "doc_id"):

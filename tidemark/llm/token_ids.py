@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, shuffle_partitions, written
+from .common import checked_broadcast, released, shuffle_partitions, written
 
 END_ID = 1
 #: Ids in a block, but for a longer document.
@@ -143,10 +143,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, know
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("id", pa.int64())])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_at_once = max(500, known_words // 300)  # both bound the memory of a worker
         encoder, total = word_encoder(tokenizer, known_words), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 3000):
-                part = batch.slice(i, 3000)
+            for i in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(i, rows_at_once)
                 ids, lengths = encoder(part.column(1), end_id)
                 seen = np.bincount(ids, minlength=len(total))
                 seen[: len(total)] += total
@@ -158,7 +159,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, know
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(total[used]), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int64())], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n long, ids binary, id long")
+    return rows.mapInArrow(released(encode), "doc_id long, n long, ids binary, id long")
 
 
 def id_ranks(encoded: DataFrame) -> np.ndarray:
