@@ -196,6 +196,23 @@ def test_repeats_equal_all_windows(spark, texts, options):
     assert got == want
 
 
+def test_a_hash_is_dealt_alike_in_all_scans(spark):
+    """Many rows of a hash in the first scan, but few in the second, whose documents repeat the same strings."""
+    random.seed(12)
+    noise = lambda n: "".join(random.choice("abcdefghijklmnop") for _ in range(n))
+    passage = noise(220)
+    copied = noise(60) + passage + noise(60)
+    rows = [(k, copied) for k in range(8)] + [(8, noise(60) + passage)] + [(k, noise(300)) for k in range(9, 19)] + [(19, noise(70) + passage + noise(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs, group=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == {0: 0, 8: 220, 19: 220} | {k: len(copied) for k in range(1, 8)} | {k: 0 for k in range(9, 19)}
+
+
 def test_edited_copies_of_items_are_leaks(spark):
     random.seed(6)
     vocabulary = ["".join(random.choice("abcdefgh") for _ in range(random.randint(2, 7))) for _ in range(400)]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import marked, written
+from .common import checked_broadcast, marked, written
 from .jaccard_join import mixed
 
 #: Bytes that an anchor's hash covers: a power of two.
@@ -97,6 +97,8 @@ class Chunk:
 
 #: Occurrences of a hash that one task compares; those of more frequent ones are dealt by window.
 GROUP = 4096
+#: So many frequent hashes are broadcast at most.
+HOT_HASHES = 1_000_000
 NULL_ID = -(2**63)
 
 
@@ -196,11 +198,13 @@ class SuffixIndex:
 def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP) -> DataFrame:
     """(doc, start, size) of repeated windows in stretches whose anchor's hash has other stretches too.
 
-    The windows of few stretches meet in one task; those of a hash with more than `group` rows are
-    dealt by their own content.
+    The windows of few stretches meet in one task; those of a hash with more than `group` rows in any
+    scan are dealt by their own content, in all documents.
     """
     bits = width.bit_length()
-    lists = opened.groupBy("h", "doc", "start", "cx").agg(F.max("n").alias("n")).groupBy("doc").agg(F.collect_list(F.struct("h", "start", "cx", "n")).alias("places"))
+    hot = checked_broadcast(written(opened.filter(F.col("n") > group).select("h").distinct().withColumn("hot", F.lit(True)), "hot-hashes"), HOT_HASHES)
+    entries = opened.select("h", "doc", "start", "cx").distinct().join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    lists = entries.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "cx", "hot")).alias("places"))
     texts = marked(rows, opened, "doc").join(lists, "doc")
     kind = "key long, doc long, start long, data binary"
 
@@ -212,7 +216,7 @@ def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP)
                     raw, chunk = (text or "").encode(), None
                     for p in places:
                         size = (p["cx"] & (1 << bits) - 1) + width
-                        if p["n"] <= group:
+                        if not p["hot"]:
                             out.append((p["h"], doc, p["start"], raw[p["start"] : p["start"] + size]))
                         else:
                             chunk = chunk or Chunk([raw])
