@@ -124,6 +124,21 @@ def test_a_term_that_only_one_value_has_is_a_span(spark):
     assert all("term" not in got[100 + k] and "broad" not in got[100 + k] for k in range(40))
 
 
+def test_terms_far_from_rare_values_are_spans(spark):
+    random.seed(13)
+    word = lambda: "".join(random.choice("abcdefghijklm") for _ in range(6))
+    far = lambda: " ".join(word() for _ in range(40))
+    rows = [(k, f"call +1 (377) 555-0271 {far()} signed (Zeb), agent X77q {far()} 'Zeb'") for k in range(2)]  # a value in two texts
+    rows += [(10 + k, f"mail u{k}@rare.example.com {far()} \"Quillon\"") for k in range(3)]  # a domain of three values
+    rows += [(20, f"mail ann.lee@one.example.com {far()} Lee said")]  # an owner's name, in one text
+    rows += [(100 + k, f"signed agent said call mail {far()}") for k in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in pii.private_digests(spark.createDataFrame(rows + [(1000 + k, rows[-1][1]) for k in range(50)], "doc_id long, text string")).collect()}
+    for doc_id, terms in [(0, ["Zeb", "X77q"]), (1, ["Zeb", "X77q"]), (10, ["Quillon"]), (11, ["Quillon"]), (12, ["Quillon"]), (20, ["Lee"])]:
+        places = sorted(m.span() for t in terms for m in re.finditer(rf"\b{t}\b", rows[[i for i, _ in rows].index(doc_id)][1]))
+        assert [s for s in got[doc_id].split(",") if s.startswith(("term", "broad"))] == [f"term:{a}:{b}" for a, b in places]
+    assert not any(got[i] for i in got if i >= 100)
+
+
 def shingles(text, n):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()

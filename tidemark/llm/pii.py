@@ -1,6 +1,6 @@
 """Personal data, and the terms that give it away.
 
-Base spans come from patterns.  The words around them are then weighed over the corpus: the more a
+Base spans come from patterns.  The words of their texts are then weighed over the corpus: the more a
 term's documents are those of one protected value, the more of the value's information it
 discloses.  Terms that disclose too much become spans too, to be generalised or removed.
 """
@@ -24,8 +24,10 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
-#: A word of four letters or more, between white space, maybe with punctuation behind.
-TERM = r"(?<=\s)\p{L}{4,}+(?=[.,;:!?]*\s)"
+#: A run of three letters and digits or more, with a letter, whatever stands around it.
+TERM = r"(?<![\p{L}\p{N}])(?=\p{N}*+\p{L})[\p{L}\p{N}]{3,}+"
+#: A group of values tells of somebody if it is in at most one text of so many.
+GROUP_RARITY = 8
 
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 
@@ -68,62 +70,94 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.transform(F.flatten(F.array(*[F.when(may, spans).otherwise(none) for may, spans in guarded])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
 
 
-def context_terms(text: Column, spans: Column, reach: int) -> Column:
-    """(entity, term, start, end) for each term at most `reach` characters from a span."""
+def masked(text: Column, spans: Column) -> Column:
+    """text with blanks in place of its spans, which come by start."""
 
-    def side(s: Column, start: Column, end: Column) -> Column:
-        window = F.concat(F.when(start == 0, " ").otherwise(""), F.substr(text, start + 1, end - start), F.when(end >= F.length(text), " ").otherwise(""))
-        terms = located(window, TERM, 4, offset=start - (start == 0).cast("int"))
-        entity = F.xxhash64(s["kind"], F.when(s["kind"] >= 1, F.regexp_replace(s["value"], "[^0-9.]", "")).otherwise(F.lower(s["value"])))
-        return F.transform(terms, lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    def add(a: Column, s: Column) -> Column:
+        pieces = F.concat(a["pieces"], F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], a["at"]))))
+        return F.when(s["end"] > a["at"], F.struct(s["end"].alias("at"), pieces.alias("pieces"))).otherwise(a)
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+    return F.aggregate(spans, start, add, lambda a: F.concat(F.array_join(a["pieces"], ""), F.substr(text, a["at"] + 1, F.length(text))))
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def entities_of(spans: Column) -> Column:
+    """(entity, grouped, names): each protected value, and the groups it belongs to.
+
+    Groups are an e-mail's domain and owner, an address's network, a card's issuer and a phone's
+    number without its last four digits.  names are the words of an e-mail's owner.
+    """
 
-    def both(s: Column) -> Column:
-        return F.concat(side(s, F.greatest(F.lit(0), s["start"] - reach), s["start"]), side(s, s["end"], F.least(F.length(text), s["end"] + reach)))
+    def each(s: Column) -> Column:
+        lowered, digits = F.lower(s["value"]), F.regexp_replace(s["value"], "[^0-9.]", "")
+        names = F.when(s["kind"] == 0, F.array_sort(F.array_distinct(F.regexp_extract_all(F.substring_index(lowered, "@", 1), F.lit("[a-z]{3,}"), F.lit(0))))).otherwise(F.array().cast("array<string>"))
+        group = F.when(s["kind"] == 0, F.substring_index(lowered, "@", -1)).when(s["kind"] == 1, F.substring_index(digits, ".", 3)).when(s["kind"] == 2, F.substring(digits, 1, 6)).otherwise(F.regexp_replace(digits, ".{4}$", ""))
+        entity = lambda h, grouped: F.struct(h.alias("entity"), F.lit(grouped).alias("grouped"), names.alias("names"))
+        value = entity(F.xxhash64(s["kind"], F.when(s["kind"] >= 1, digits).otherwise(lowered)), False)
+        owner = entity(F.xxhash64(F.lit("owner"), F.array_join(names, " ")), True)
+        both = F.array(value, entity(F.xxhash64(F.lit("group"), s["kind"], group), True))
+        return F.when(F.size(names) > 0, F.concat(both, F.array(owner))).otherwise(both)
 
-    return F.flatten(F.transform(spans, both))
+    return F.array_distinct(F.flatten(F.transform(spans, each)))
 
 
-def find_private(docs: DataFrame, reach: int = 64, min_support: int = 3, broad_at: float = 0.7, remove_at: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_private(docs: DataFrame, min_support: int = 2, group_support: int = 3, broad_at: float = 0.7, remove_at: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, base, added): arrays of spans (start, kind, end, value) for each row of docs.
 
-    A term within `reach` characters of a protected value, in min_support distinct texts or more,
-    discloses PMI(term; value) / IC(value) of it, from counts of texts; from broad_at on it is to be
-    generalised, from remove_at on removed, wherever it is that near to the value.
+    A term discloses PMI(term; value) / IC(value) of a protected value, or of a group of values,
+    from counts of distinct texts; from broad_at on it is to be generalised, from remove_at on
+    removed, wherever it stands in the texts that hold the value or one of the group.  Both are in
+    min_support distinct texts or more, group_support for a group; a word of an e-mail's owner needs
+    one only.  Groups in more than one of GROUP_RARITY texts tell of nobody.
 
     Null and empty texts have no spans; copies of a text count once for the statistics and get the
     same spans; rows that repeat a doc_id keep their own spans; other columns are left out; an empty
-    table gives no rows.  Pairs of value and term are linear in the values found, and hot ones
-    combine before the shuffle.
+    table gives no rows.  Pairs are those of a text's values and terms, for values that can have
+    enough support, and hot ones combine before the shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans(F.col("text")))
-    nearby = F.when(F.size("base") > 0, context_terms(F.col("text"), F.col("base"), reach))
-    found = written(spans.select("doc_id", F.xxhash64("text").alias("text_key"), "base", nearby.alias("near")), "private")
-
-    near = found.filter(F.size("base") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
-    entities = found.filter(F.size("base") > 0)
-    entity = F.transform("base", lambda s: F.xxhash64(s["kind"], F.when(s["kind"] >= 1, F.regexp_replace(s["value"], "[^0-9.]", "")).otherwise(F.lower(s["value"]))))
-    per_entity = entities.select("text_key", F.explode(F.array_distinct(entity)).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
-    n = found.count()
+    held = F.when(F.size("base") > 0, masked(F.col("text"), F.col("base")))
+    found = written(spans.select("doc_id", F.xxhash64("text").alias("text_key"), "base", held.alias("held")), "private")
+    n = found.select("text_key").distinct().count()
+
+    texts = found.filter("held is not null").dropDuplicates(["text_key"])
+    texts = written(texts.select("text_key", "held", entities_of(F.col("base")).alias("entities"), terms_of(F.col("held")).alias("terms")), "private-texts")
+    of_texts = texts.select("text_key", "terms", F.explode("entities").alias("e")).select("text_key", "terms", "e.*")
+    counts = of_texts.select("text_key", "entity", "grouped").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"), F.first("grouped").alias("grouped"))
+    support = F.when(F.col("grouped"), group_support).otherwise(min_support)
+    per_entity = written(counts.filter(~F.col("grouped") | (F.col("n_entity") * GROUP_RARITY <= n)).withColumn("support", support), "private-entities")
+    enough = checked_broadcast(written(per_entity.filter("n_entity >= support").select("entity", F.lit(True).alias("enough")), "private-enough"))
+    own_names = F.when(F.col("grouped"), F.array().cast("array<string>")).otherwise(F.col("names"))
+    judged = of_texts.join(enough, "entity", "left").withColumn("names", own_names)
+    candidates = F.when(F.col("enough"), F.col("terms")).otherwise(F.array_intersect("names", "terms"))
+    near = judged.select("text_key", "entity", "names", F.explode(candidates).alias("term"))
+    pairs = near.select("text_key", "entity", "term", F.array_contains("names", F.col("term")).alias("named")).groupBy("entity", "term").agg(F.countDistinct("text_key").alias("n_both"), F.max("named").alias("named"))
     disclosed = lambda n_term: F.log2(F.col("n_both") * float(n) / (n_term * F.col("n_entity"))) / F.log2(float(n) / F.col("n_entity"))
-    # a term is in as many texts, at least, as it is in near protected values: most terms tell too little even so
-    per_near = near.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = pairs.join(per_entity, "entity").filter(F.col("n_entity") < n).join(per_near, "term")
-    pairs = written(pairs.filter(disclosed(F.col("n_near")) >= broad_at).drop("n_near"), "private-pairs")
+    # a term is in as many texts, at least, as it is in texts with protected values: most terms tell too little even so
+    per_near = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = pairs.filter(F.col("named") | (F.col("n_both") >= min(min_support, group_support))).join(per_entity, "entity").filter((F.col("n_entity") < n) & (F.col("named") | (F.col("n_both") >= F.col("support")))).join(per_near, "term")
+    pairs = written(pairs.filter(disclosed(F.col("n_near")) >= broad_at), "private-pairs")
 
     terms = written(pairs.select("term").distinct(), "private-terms")
-    own = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), F.lit(TERM), F.lit(0)))
-    in_texts = rows.select(F.xxhash64("text").alias("text_key"), F.explode(own).alias("term")).join(checked_broadcast(terms), "term")
+    in_texts = rows.select(F.xxhash64("text").alias("text_key"), F.explode(terms_of(F.col("text"))).alias("term")).join(checked_broadcast(terms), "term")
     per_term = in_texts.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    telling = pairs.join(per_term, "term").withColumn("disclosed", disclosed(F.col("n_term"))).filter(F.col("disclosed") >= broad_at)
+    n_term = F.greatest(F.coalesce("n_term", F.lit(0)), "n_near")
+    telling = pairs.join(per_term, "term", "left").withColumn("disclosed", disclosed(n_term)).filter(F.col("disclosed") >= broad_at)
     telling = written(telling.select("entity", "term", F.when(F.col("disclosed") >= remove_at, 4).otherwise(5).alias("kind")), "private-telling")
 
-    hits = near.join(checked_broadcast(telling), ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.min("kind").alias("kind"), F.first("term").alias("value"))
-    added = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("added"))
-    same = (F.col("f.text_key") == F.col("a.text_key")) & F.col("f.doc_id").eqNullSafe(F.col("a.doc_id"))
-    joined = found.alias("f").join(added.alias("a"), same, "left")
-    return joined.select("f.doc_id", "f.text_key", "f.base", F.coalesce("a.added", F.array().cast(added.schema["added"].dataType)).alias("added"))
+    told = near.select("text_key", "entity", "term").join(checked_broadcast(telling), ["entity", "term"]).groupBy("text_key", "term").agg(F.min("kind").alias("kind"))
+    told = told.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
+    kind_of = lambda v: F.try_element_at(F.col("told"), F.lower(v))
+    places = located(F.col("held"), TERM, 4, lambda v: F.map_contains_key("told", F.lower(v)))
+    added = F.transform(places, lambda s: F.struct(s["start"].alias("start"), kind_of(s["value"]).alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    added = written(texts.select("text_key", "held").join(told, "text_key").select("text_key", added.alias("added")), "private-added")
+    joined = found.join(checked_broadcast(added, 5_000), "text_key", "left")
+    return joined.select("doc_id", "text_key", "base", F.coalesce("added", F.array().cast(added.schema["added"].dataType)).alias("added"))
 
 
 def listed(spans: Column) -> Column:
