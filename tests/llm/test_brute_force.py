@@ -41,6 +41,18 @@ def test_quality_equals_its_sql(spark):
     same_as_sql(quality.quality(documents(spark, SF)), quality.SQL)
 
 
+def test_frequent_lines_leave_the_text(spark):
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(k, "a", f"Accept  all cookies\n{body(k)}\n\naccept all COOKIES") for k in range(25)]
+    rows += [(100 + k, "b", f"Accept all cookies\n{body(100 + k)}") for k in range(5)] + [(200, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in quality.remove_frequent_lines(docs).collect()}
+    assert all(got[k]["text"] == f"{body(k)}\n" and got[k]["line_words"] == 6 and got[k]["kept"] for k in range(25))
+    assert all(got[100 + k]["text"] == rows[25 + k][2] and got[100 + k]["line_words"] == 0 for k in range(5)) and got[200]["text"] is None
+    verdicts = {r["doc_id"]: (r["line_words"], r["kept"]) for r in quality.quality(docs).collect()}
+    assert verdicts == {k: (r["line_words"], r["kept"]) for k, r in got.items()}
+
+
 def test_mix_equals_its_sql(spark):
     same_as_sql(mixing.mix_plan(documents(spark, SF)), mixing.SQL)
 

@@ -58,6 +58,27 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def line_key(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.btrim(F.regexp_replace(line, WORD_GAP, " "))))
+
+
+def host_key(host_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("h"), F.col(host_col)), F.lit("-"))
+
+
+def frequent_lines(keyed: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(host, line), written: keys of frequent lines, from (host, lines) for each document."""
+    per_host = keyed.groupBy("host").agg(F.count("*").alias("docs"))
+    once = keyed.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("line"))
+    counts = once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    frequent = counts.join(per_host, "host").filter(F.col("n_docs") > F.col("docs") * max_share).select("host", "line")
+    return written(frequent, "frequent-lines")
+
+
+def worded_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+
+
 def frequent_line_words(docs: DataFrame, host_col: str, min_docs: int, max_share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_words): words, in each document, of lines that too many documents of its host have.
 
@@ -65,19 +86,34 @@ def frequent_line_words(docs: DataFrame, host_col: str, min_docs: int, max_share
     max_share of them.  Each document counts once, however often it repeats the line; rows count
     as documents.  Only documents with such lines are returned.
     """
-    host = F.coalesce(F.concat(F.lit("h"), F.col(host_col)), F.lit("-"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    per_host = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    keyed = rows.select("doc_id", "host", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
-    norm = F.transform("lines", lambda x: F.struct(F.xxhash64(F.lower(F.btrim(F.regexp_replace(x, WORD_GAP, " ")))).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), host_key(host_col).alias("host"), worded_lines(text).alias("lines"))
+    norm = F.transform("lines", lambda x: F.struct(line_key(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
     lines = keyed.select("doc_id", "host", F.explode(norm).alias("x")).select("doc_id", "host", "x.line", "x.n")
-    once = keyed.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(F.lower(F.btrim(F.regexp_replace(x, WORD_GAP, " "))))))).alias("line"))
-    counts = once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    frequent = counts.join(per_host, "host").filter(F.col("n_docs") > F.col("docs") * max_share).select("host", "line")
-    marked = lines.join(checked_broadcast(written(frequent, "frequent-lines")), ["host", "line"])
+    marked = lines.join(checked_broadcast(frequent_lines(keyed, min_docs, max_share)), ["host", "line"])
     return marked.groupBy("doc_id").agg(F.sum("n").cast("long").alias("line_words"))
 
 
+def remove_frequent_lines(docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_removed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the lines that are frequent in the host, and with line_words and kept.
+
+    line_words are the words that went; kept is quality's verdict, on the text as it was.  Lines
+    without a word stay, and a null text stays null.  Each row loses its own lines, also where rows
+    repeat a doc_id.
+    """
+    judged = statistics(docs.select("*", F.col(text_col).alias("_text")), "_text")
+    rows = judged.select(F.struct(*docs.columns).alias("row"), "n_words", "base_failed", host_key(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    frequent = frequent_lines(rows.select("host", worded_lines(F.col("_text")).alias("lines")), min_docs, max_share)
+    by_host = frequent.groupBy("host").agg(F.map_from_entries(F.collect_set(F.struct("line", F.lit(True)))).alias("frequent"))
+    gone = lambda x: x.rlike(WORD) & F.coalesce(F.map_contains_key("frequent", line_key(x)), F.lit(False))
+    lines = F.split("_text", "\n", -1)
+    cut = rows.join(checked_broadcast(written(by_host, "host-lines")), "host", "left").withColumn("_left", F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"))
+    line_words = F.coalesce(F.aggregate(F.filter(lines, gone), F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x, F.lit(WORD))), F.lit(0).cast("long"))
+    text = F.when(F.col(f"row.{text_col}").isNotNull(), F.col("_left")).alias(text_col)
+    cut = cut.withColumn("line_words", line_words).withColumn("kept", ~F.col("base_failed") & (F.col("line_words") <= F.col("n_words") * max_removed))
+    return cut.select(*[text if c == text_col else F.col(f"row.{c}") for c in docs.columns], "line_words", "kept")
+
+
 def quality(docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_removed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words, kept).
 
