@@ -34,6 +34,12 @@ def src_candles_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_candles_csv(spark, path)[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query(sql("select 'S' || symbol_id symbol, d::timestamp ts, open, high, low, close, volume from candles"))
+def src_candles_csv_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _csv(spark, fx.candles(spark, sf_dir).repartition("symbol_id"))
+    return R.read_candles_csv(spark, path)[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(sql("select 'S' || symbol_id symbol, count(*)::bigint n, sum(volume)::bigint volume, 0::bigint rejects from candles group by 1"))
 def src_candles_csv_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = R.read_candles_csv(spark, _csv(spark, fx.candles(spark, sf_dir).repartition("symbol_id")))
