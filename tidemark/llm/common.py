@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +52,22 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hub_join(rows: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows inner joined with small, which has one row for each key and a weight that grows with the key's rows.
+
+    Keys with more than 1 / BROADCAST_ROWS of all weight are broadcast, fewer than BROADCAST_ROWS of
+    them; the others meet in a shuffle, in which none of them is large.  small is read several
+    times: a written table, best.
+    """
+    n, total = small.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).collect()[0]
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key)
+    heavy = F.col(weight) * BROADCAST_ROWS > F.lit(total)
+    hubs = F.broadcast(small.filter(heavy))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(small.filter(~heavy), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
 def marked(rows: DataFrame, marks: DataFrame, key: str, yes: bool = True) -> DataFrame:
     """Rows whose key passes a filter built from the keys of marks, or fails it.
 
@@ -80,6 +98,24 @@ def released(mapper: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose column holds limit bytes at most, but for a longer value."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

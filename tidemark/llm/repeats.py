@@ -1,23 +1,26 @@
 """Removal of repeated byte strings by a logarithmic family of sparse suffix arrays.
 
 Every string of `width` bytes contains an anchor, the place where a hash of GRAM bytes is smallest,
-which depends on the string alone.  A batch's suffix array holds its anchors in the order of what
-starts there.  It is merge-scanned against the arrays of earlier batches; arrays of equal size merge.
+which depends on the string alone.  A batch's suffix array holds its anchors in the order of the
+bytes that start there, range-partitioned.  It is merge-scanned against the arrays of earlier
+batches: neighbours that share GRAM bytes or more may be in equal strings.  Arrays of equal rank
+merge in the same scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, marked, written
-from .jaccard_join import mixed
+from .common import hub_join, marked, mixed, shuffle_partitions, written
 
 #: Bytes that an anchor's hash covers: a power of two.
 GRAM = 32
@@ -49,7 +52,8 @@ class Chunk:
     def __init__(self, texts: list[bytes]):
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.codes = BYTE_CODES[np.frombuffer(b"".join(texts), np.uint8)]
+        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.codes = BYTE_CODES[self.raw]
         self.sums = np.zeros(len(self.codes) + 1, np.uint64)
         np.cumsum(self.codes * powers(BASE, len(self.codes))[: len(self.codes)], out=self.sums[1:])
 
@@ -95,19 +99,27 @@ class Chunk:
         return np.searchsorted(self.begins + self.sizes, windows[first], "right"), h[at[first]], windows[first], windows[last], at[first]
 
 
-#: Occurrences of a hash that one task compares; those of more frequent ones are dealt by window.
-GROUP = 4096
-#: So many frequent hashes are broadcast at most.
-HOT_HASHES = 1_000_000
+#: Stretches with the same GRAM bytes that one task compares; those of more frequent ones are dealt by window.
+GROUP = 512
+#: Equal parts of the doc_id range that enter the index one after the other.
+BATCHES = 4
 NULL_ID = -(2**63)
 
 
+def binaries(*blocks: np.ndarray) -> pa.Array:
+    """The rows of matrices of bytes, one matrix after the other."""
+    sizes = np.concatenate([np.full(len(b), b.shape[1], np.int32) for b in blocks])
+    offsets = np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(np.ascontiguousarray(b).tobytes() for b in blocks))])
+
+
 def suffixes(rows: DataFrame, width: int) -> DataFrame:
-    """(h, cx, doc, start) from (doc, text): an entry for each anchor, unsorted.
+    """(suffix, cx, doc, start) from (doc, text): an entry for each anchor, unsorted.
 
-    cx packs a hash of the stretch that the anchor's windows cover, the anchor's offset in it and
-    its length beyond width.  Entries with the h and cx of an earlier one of the batch are left out;
-    what they cover is a row of its own for each stretch, with -length as cx and a random h.
+    suffix is the first GRAM bytes of the anchor's suffix; cx packs a hash of the stretch that the
+    anchor's windows cover, the anchor's offset in it and its length beyond width.  Entries with the
+    suffix and cx of an earlier one of the batch are left out; what they cover is a row of its own
+    for each stretch, with -length as cx and eight bytes of a hash as suffix.
     """
     bits = width.bit_length()
 
@@ -125,19 +137,21 @@ def suffixes(rows: DataFrame, width: int) -> DataFrame:
                 number, h, a, b, at = chunk.anchors(width)
                 cx = chunk.stretch(a, b + width) >> np.uint64(2 * bits + 1)
                 cx = (cx.astype(np.int64) << bits | at - a) << bits | b - a
-                found.append((h.view(np.int64), cx, ids[first + number], a - chunk.begins[number], b - a + width))
+                found.append((h, cx, ids[first + number], a - chunk.begins[number], b - a + width, chunk.raw[at[:, None] + np.arange(GRAM)]))
                 first = last
-            h, cx, doc, start, size = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
+            if not found:
+                continue
+            h, cx, doc, start, size, suffix = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((start, doc, cx, h))
             h, cx, doc, start, size = h[order], cx[order], doc[order], start[order], size[order]
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (cx[1:] != cx[:-1])
             d, s, n = merged_stretches(doc[~fresh], start[~fresh], size[~fresh])
-            own = mixed(d.astype(np.uint64) * _M + s.astype(np.uint64)).view(np.int64)
-            columns = [np.concatenate([h[fresh], own]), np.concatenate([cx[fresh], -n]), np.concatenate([doc[fresh], d]), np.concatenate([start[fresh], s])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "cx", "doc", "start"])
+            own = mixed(d.astype(np.uint64) * _M + s.astype(np.uint64)).view(np.uint8).reshape(-1, 8)
+            columns = [binaries(suffix[order][fresh], own), *map(pa.array, (np.concatenate([cx[fresh], -n]), np.concatenate([doc[fresh], d]), np.concatenate([start[fresh], s])))]
+            yield pa.RecordBatch.from_arrays(columns, names=["suffix", "cx", "doc", "start"])
 
-    return rows.mapInArrow(entries, "h long, cx long, doc long, start long")
+    return rows.mapInArrow(entries, "suffix binary, cx long, doc long, start long")
 
 
 def merged_stretches(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,52 +172,104 @@ def merged_stretches(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tu
     return doc[at], start[at], reach[np.append(at[1:], len(doc)) - 1] - start[at]
 
 
+#: Level of a batch that is scanned.
+NEW = -1
+SCANNED = "suffix binary, cx long, doc long, start long, level int, role string, edge int"
+
+
+def neighbours(absorbed: frozenset[int]):
+    """Judges entries (suffix, cx, doc, start, level) in their order by their neighbours.
+
+    role is copy for entries of NEW whose whole stretch is earlier, open for first stretches with a
+    neighbour that shares their suffix, else sole.  Of sole ones only those of NEW and of the levels
+    that are absorbed are returned, and the first and last of a task, with its number as edge: their
+    other neighbour is in another task.
+    """
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tail, tail_open, tail_edge, begun = TaskContext.get().partitionId(), None, False, False, False
+
+        def judged(table: pa.RecordBatch, keep: np.ndarray, role: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+            rows = table.filter(pa.array(keep))
+            columns = [*rows.columns, pa.array(role[keep], pa.string()), pa.array(np.full(int(keep.sum()), part, np.int32), mask=~edge[keep])]
+            return pa.RecordBatch.from_arrays(columns, names=["suffix", "cx", "doc", "start", "level", "role", "edge"])
+
+        def wanted(level: np.ndarray, role: np.ndarray, edge: np.ndarray) -> np.ndarray:
+            return np.where(role == "copy", level == NEW, (role == "open") | edge | np.isin(level, [NEW, *absorbed]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.concat_batches([tail, batch]) if tail is not None else batch
+            n, suffix, cx, level = table.num_rows, table.column(0), table.column(1).to_numpy(), table.column(4).to_numpy()
+            same, opened, edge = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+            same[1:] = pc.equal(suffix.slice(1), suffix.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            again = same & (np.append(cx[:1] + 1, cx[:-1]) == cx)
+            head = np.flatnonzero(~again & (cx >= 0))
+            if tail is not None:
+                opened[0] = tail_open
+            opened[head] |= same[head]
+            opened[head[:-1]] |= same[head[1:]]
+            if len(head) and not begun:
+                begun, edge[head[0]] = True, True
+            elif tail is not None:
+                edge[0] = tail_edge
+            role = np.where(again | (cx < 0), "copy", np.where(opened, "open", "sole"))
+            keep = wanted(level, role, edge)
+            if len(head):  # what follows its last entry is in the next batch
+                keep[head[-1]] = False
+                tail, tail_open, tail_edge = table.slice(head[-1], 1), bool(opened[head[-1]]), bool(edge[head[-1]])
+            yield judged(table, keep, role, edge)
+        if tail is not None:
+            yield judged(tail, np.ones(1, bool), np.array(["open" if tail_open else "sole"]), np.ones(1, bool))
+
+    return scan
+
+
 class SuffixIndex:
-    """Levels of sorted suffix entries; batches come in ascending order of doc, and levels of equal rank merge."""
+    """Levels of suffix entries in suffix order; batches come in ascending order of doc, and levels of equal rank merge."""
 
     def __init__(self, width: int = 100):
-        self.width, self.levels = width, []  # (rank, table)
+        self.width, self.levels = width, {}  # by rank
 
-    def scan(self, rows: DataFrame, keep: bool = True) -> DataFrame:
-        """Merge-scans a batch (doc, text) against all levels, and adds it as a level if it is to be kept.
+    def scan(self, rows: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Merge-scans a batch (doc, text) against all levels, and adds it to them if it is to be kept.
 
-        Returns (h, cx, doc, start, role, n): role "copy" for stretches that are earlier in whole,
-        "open" for first stretches whose h has other stretches too, n rows of it; and what the index
-        keeps of the batch besides.
+        Returns the copies (doc, start, cx), stretches that are earlier in whole, and the open
+        entries (suffix, cx, doc, start), first stretches with a suffix that others have too.
         """
-        found = suffixes(rows, self.width).withColumn("new", F.lit(True))
-        for _, table in self.levels:
-            found = found.unionByName(table.withColumn("new", F.lit(False)))
-        order = W.partitionBy("h").orderBy("cx", "new", "doc", "start")
-        whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        again = F.coalesce(F.lag("cx").over(order) == F.col("cx"), F.lit(False))
-        several = F.min("cx").over(whole) != F.max("cx").over(whole)
-        role = F.when(again | (F.col("cx") < 0), "copy").when(F.col("several"), "open").otherwise("sole")
-        judged = found.withColumn("again", again).withColumn("several", several).withColumn("n", F.count("*").over(whole)).withColumn("role", role)
-        wanted = (F.col("role") == "open") | (F.col("new") & (F.lit(keep) | (F.col("role") == "copy")))
-        judged = written(judged.filter(wanted).select("h", "cx", "doc", "start", "role", "n", "new"), "suffix-scan")
+        found = suffixes(rows, self.width).withColumn("level", F.lit(NEW))
+        for rank, table in self.levels.items():
+            found = found.unionByName(table.withColumn("level", F.lit(rank)))
+        rank = 0
+        while keep and rank in self.levels:
+            rank += 1
+        absorbed = frozenset(range(rank)) if keep else frozenset()
+        order = ["suffix", "cx", "doc", "start"]
+        ordered = found.repartitionByRange(shuffle_partitions(rows.sparkSession), "suffix", "cx").sortWithinPartitions(*order)
+        judged = written(ordered.mapInArrow(neighbours(absorbed), SCANNED), "suffix-scan", "zstd")
+        # a suffix that ends a task's entries and begins another's: no more of them than tasks
+        shared = judged.filter("edge is not null").groupBy("suffix").agg(F.countDistinct("edge").alias("n")).filter("n > 1").select("suffix")
+        parted = judged.filter("edge is not null and role = 'sole'").join(F.broadcast(shared), "suffix")
+        opened = judged.filter("role = 'open'").select(*order).unionByName(parted.select(*order))
         if keep:
-            self._add(0, judged.filter("new and role <> 'copy'").select("h", "cx", "doc", "start"))
-        return judged.select("h", "cx", "doc", "start", "role", "n")
-
-    def _add(self, rank: int, table: DataFrame) -> None:
-        for k, (other, old) in enumerate(self.levels):
-            if other == rank:
-                del self.levels[k]
-                both = old.unionByName(table).repartition("h").sortWithinPartitions("h", "cx")
-                return self._add(rank + 1, written(both, "suffix-level"))
-        self.levels.append((rank, table))
+            for old in absorbed:
+                del self.levels[old]
+            self.levels[rank] = judged.filter(F.col("level").isin([NEW, *absorbed]) & (F.col("role") != "copy")).select(*order)
+        return judged.filter("role = 'copy'").select("doc", "start", "cx"), opened
 
 
 def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP) -> DataFrame:
-    """(doc, start, size) of repeated windows in stretches whose anchor's hash has other stretches too.
+    """(doc, start, size) of repeated windows in open stretches (suffix, cx, doc, start).
 
-    The windows of few stretches meet in one task; those of a hash with more than `group` rows in any
-    scan are dealt by their own content, in all documents.
+    The windows of few stretches meet in one task; those of a suffix that more than `group` stretches
+    have are dealt by their own content, in all documents.
     """
     bits = width.bit_length()
-    hot = checked_broadcast(written(opened.filter(F.col("n") > group).select("h").distinct().withColumn("hot", F.lit(True)), "hot-hashes"), HOT_HASHES)
-    entries = opened.select("h", "doc", "start", "cx").distinct().join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    entries = written(opened.select(F.xxhash64("suffix").alias("h"), "doc", "start", "cx").distinct(), "open-entries")
+    hot = written(entries.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > group), "hot-hashes")
+    # a filter's false hits are dealt by window as well, all rows of a hash alike
+    entries = marked(entries, hot, "h").withColumn("hot", F.lit(True)).unionByName(marked(entries, hot, "h", yes=False).withColumn("hot", F.lit(False)))
     lists = entries.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "cx", "hot")).alias("places"))
     texts = marked(rows, opened, "doc").join(lists, "doc")
     kind = "key long, doc long, start long, data binary"
@@ -239,10 +305,12 @@ def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP)
             at = chunk.begins[of] + within
             keys = mixed(chunk.stretch(at, at + width) + f["key"].to_numpy().view(np.uint64)[of] * _M)
             place = f["start"].to_numpy()[of] + within
-            again = np.ones(len(of), bool)
-            order = np.lexsort((place, f["doc"].to_numpy()[of], keys))
-            again[order[np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))[: len(order)]]] = False
-            d, s, size = merged_stretches(f["doc"].to_numpy()[of][again], place[again], np.full(int(again.sum()), width))
+            docs = f["doc"].to_numpy()[of]
+            order = np.lexsort((place, docs, keys))
+            keys, docs, place = keys[order], docs[order], place[order]
+            first = np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1])[: len(keys)], np.arange(len(keys)), 0))
+            again = (docs != docs[first]) | (place != place[first])
+            d, s, size = merged_stretches(docs[again], place[again], np.full(int(again.sum()), width))
             return pd.DataFrame({"doc": d, "start": s, "size": size}, dtype="int64")
 
         for f in frames:
@@ -257,28 +325,30 @@ def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP)
             yield done(held)
 
     few = pieces.filter("data is not null").repartition("key").sortWithinPartitions("key").mapInPandas(compare, "doc long, start long, size long")
-    many = pieces.filter("data is null").withColumn("before", F.lag("doc").over(W.partitionBy("key").orderBy("doc", "start")))
-    return few.unionByName(many.filter("before is not null").select("doc", "start", F.lit(width).cast("long").alias("size")))
+    many = pieces.filter("data is null").select("key", "doc", "start")
+    place = F.struct("doc", "start")
+    first = written(many.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-windows")
+    later = hub_join(many, first, "key", "n").filter(place > F.col("first"))
+    return few.unionByName(later.select("doc", "start", F.lit(width).cast("long").alias("size")))
 
 
-def repeated_stretches(rows: DataFrame, width: int = 100, batches: int = 2, group: int = GROUP) -> DataFrame:
+def repeated_stretches(rows: DataFrame, width: int = 100, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
     """(doc, start, size) of stretches of (doc, text) that strings of width bytes with an earlier start cover."""
     bounds = rows.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     limits = [None, *sorted(set(map(int, bounds))), None]
-    index, scans = SuffixIndex(width), []
+    index, copies, opened = SuffixIndex(width), [], []
     for k in range(len(limits) - 1):
         part = rows if limits[k] is None else rows.filter(F.col("doc") >= limits[k])
         part = part if limits[k + 1] is None else part.filter(F.col("doc") < limits[k + 1])
-        scans.append(index.scan(part, keep=k < len(limits) - 2))
-    found = scans[0]
-    for scan in scans[1:]:
-        found = found.unionByName(scan)
+        found = index.scan(part, keep=k < len(limits) - 2)
+        copies.append(found[0])
+        opened.append(found[1])
     extra = F.when(F.col("cx") < 0, -F.col("cx")).otherwise(F.pmod(F.col("cx"), F.lit(1 << width.bit_length())) + width)
-    copies = found.filter("role = 'copy'").select("doc", "start", extra.alias("size"))
-    return written(copies.unionByName(resolve(rows, found.filter("role = 'open'"), width, group)), "repeats")
+    whole = reduce(DataFrame.unionByName, copies).select("doc", "start", extra.alias("size"))
+    return written(whole.unionByName(resolve(rows, reduce(DataFrame.unionByName, opened), width, group)), "repeats")
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, batches: int = 2, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, batches: int = BATCHES, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs; kept is what is left of its bytes.
 
     A byte goes if a string of width bytes covers it that also starts earlier: in a smaller doc_id,
@@ -328,6 +398,6 @@ def joined(places: Iterable[dict], size: int) -> Iterator[tuple[int, int]]:
 
 
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs; the cases are remove_repeats's."""
     stripped = remove_repeats(docs, **options)
     return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
