@@ -8,6 +8,7 @@ table in the shared folder: control bytes in one column, data bytes in another.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,15 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, released, shuffle_partitions, written
+from .common import byte_slices, checked_broadcast, released, shuffle_partitions, written
+from .token_counts import byte_symbols
 
 END_ID = 1
 #: Ids in a block, but for a longer document.
 BLOCK_IDS = 65_536
-#: Beyond this many, about 0.2 MB a thousand, a worker forgets the words that came once; the library then encodes them anew.
+#: A worker holds about this many words, 0.2 MB a thousand, and forgets those that came longest ago; the library then encodes them anew.
 MAX_KNOWN_WORDS = 900_000
+#: Bytes of text that a worker encodes at a time for each word it may hold, but for a longer text.
+BYTES_PER_WORD = 20
 #: Parts words in one call; a word that holds it is encoded alone.
 MARK = "\x02"
+#: What the added tokens of a vocabulary, which have their own case, begin with.
+ADDED = "<|"
+#: Letters whose lower case is one code point, and composed.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 BLOCK_SCHEMA = "part int, block int, doc_ids binary, lengths binary, n_ids long, control binary, data binary"
 
 #: For each control byte: the lengths of its four values, and their sum.
@@ -40,7 +48,7 @@ class WordEncoder:
     """Encodes texts by their words, each of which the library encodes once.
 
     Valid for tokenizers that drop white space, never merge across it or between a letter and
-    a stop or comma behind it, and map letters to lower case.
+    a stop or comma behind it, map letters to lower case, and code words by their bytes.
     """
 
     def __init__(self, path: str, known_words: int):
@@ -48,7 +56,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.limit = known_words
-        self.tokenizer, self.known, self.reused = Tokenizer.from_file(path), {"": b""}, set()
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        self.model, self.symbols = self.tokenizer.model, {b: s for b, s in enumerate(byte_symbols()) if b != ord(s)}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
@@ -61,31 +70,53 @@ class WordEncoder:
             self.known[word] = raw[begin * width : end * width]
             begin = end + 1
 
+    def learn_letters(self, words: list[str]) -> None:
+        """Words of Latin letters alone are one piece each, which the model codes without the steps before it."""
+        code = self.model.tokenize
+        coded = [[t.id for t in code(w if w.isascii() else w.encode().decode("latin-1").translate(self.symbols))] for w in map(str.lower, words)]
+        width = np.dtype(self.kind).itemsize
+        ends = (np.cumsum([len(c) for c in coded]) * width).tolist()
+        raw, begin = np.array([i for c in coded for i in c], self.kind).tobytes(), 0
+        for word, end in zip(words, ends):
+            self.known[word] = raw[begin:end]
+            begin = end
+
     def learn_all(self, new: list[str]) -> None:
         """A stop or comma behind a letter at the end of a word is a piece of its own, so that only the rest is encoded."""
-        stopped = [w for w in new if w[-1] in ".," and "a" <= w[-2:-1] <= "z"]
+        stopped = [w for w in new if w[-1] in ".," and LETTERS.match(w, len(w) - 2)]
         plain = set(new).difference(stopped).union(w[:-1] for w in stopped).union(w[-1] for w in stopped).difference(self.known)
-        odd = [w for w in plain if MARK in w]
-        for w in odd:
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
-        plain = list(plain.difference(odd))
-        for i in range(0, len(plain), 4096):
-            self.learn(plain[i : i + 4096])
+        letters = [w for w in plain if LETTERS.fullmatch(w)]
+        other = list(plain.difference(letters))
+        for i in range(0, len(letters), 65_536):
+            self.learn_letters(letters[i : i + 65_536])
+        for w in other:
+            if MARK in w:
+                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        other = [w for w in other if MARK not in w]
+        for i in range(0, len(other), 4096):
+            self.learn(other[i : i + 4096])
         for w in stopped:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
+    def words_of(self, texts: pa.Array) -> pa.Array:
+        """Texts in lower case (A to Z), cut at blanks and line ends; one that may hold an added token keeps its case."""
+        texts = pc.fill_null(texts, "")
+        lower, marked = pc.ascii_lower(texts), pc.match_substring(texts, ADDED)
+        if pc.any(marked).as_py():
+            lower = pc.if_else(marked, texts, lower)
+        return pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, one after the other; how many each has)."""
-        lower = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")  # A to Z only
-        split = pc.split_pattern(lower, " ")
+        split = self.words_of(texts)
         coded = split.flatten().dictionary_encode()
         words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > self.limit:  # words that came once are most of them
-            self.known = {w: self.known[w] for w in self.reused} | {"": b""}
-            self.reused = set()
+        if len(self.known) > self.limit // 2:  # words that haven't come since the last time are forgotten
+            self.known, self.older = {"": b""}, self.known
         new = [w for w in words if w not in self.known]
-        self.reused.update(set(words).difference(new))
-        self.learn_all(new)
+        seen = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in seen)
+        self.learn_all(new if not seen else [w for w in new if w not in self.known])
         values = list(map(self.known.__getitem__, words))
         width = np.dtype(self.kind).itemsize
         flat, sizes = np.frombuffer(b"".join(values), self.kind), np.fromiter(map(len, values), np.int64, len(values)) // width
@@ -143,18 +174,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, know
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("id", pa.int64())])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_at_once = max(500, known_words // 300)  # both bound the memory of a worker
         encoder, total = word_encoder(tokenizer, known_words), np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(i, rows_at_once)
-                ids, lengths = encoder(part.column(1), end_id)
-                seen = np.bincount(ids, minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
-                offsets = (np.append(0, np.cumsum(lengths)) * width).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), packed, pa.nulls(len(lengths), pa.int64())], schema=schema)
+        for part in byte_slices(batches, 1, known_words * BYTES_PER_WORD):
+            ids, lengths = encoder(part.column(1), end_id)
+            if ids.nbytes >= 1 << 31:
+                raise ValueError(f"{ids.nbytes} bytes of ids don't fit a value")
+            seen = np.bincount(ids, minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            offsets = (np.append(0, np.cumsum(lengths)) * width).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), packed, pa.nulls(len(lengths), pa.int64())], schema=schema)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(total[used]), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int64())], schema=schema)
 
@@ -234,7 +264,8 @@ def write_token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block
 
     Null and empty texts are the end id alone; repeated rows are written each, next to each other;
     a null doc_id comes first; other columns are left out; an empty table writes no blocks.  A text
-    longer than a block has a block of its own.
+    longer than a block has a block of its own; one whose ids take 2 GB, which no value can hold, is
+    an error.  Strings of added tokens count as in the library: in their own case only.
     """
     encoded = written(encode_documents(docs, tokenizer, end_id, known_words), "token-ids")
     kind = word_encoder(tokenizer).kind
