@@ -2,9 +2,11 @@
 
 Documents of one shingle set are a class; classes are joined.  A pair above the threshold differs
 in few shingles, so if shingles are dealt into somewhat more parts than that, some part is equal in
-both: parts gather the classes that can link into clusters, without losing a pair.  Within a
-cluster, nodes of signature trees hold the OR of their members' token bitmaps and the range of
-their sizes; a dual traversal drops node pairs whose largest possible overlap is too small.
+both: classes without a way of equal parts between them can't link, and the highest nodes of the
+tree, clusters, keep them apart.  Below a cluster, nodes in order of size and signature hold the
+range of their members' sizes and the OR of their signatures, bitmaps whose bits count to 255; a dual
+traversal drops node pairs whose largest possible overlap is too small, before any set moves.  In a
+pair of leaves trees of token bitmaps, traversed in the same way, lead to the pairs of classes.
 """
 
 from __future__ import annotations
@@ -16,30 +18,29 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import marked, released, written
+from .common import marked, mixed, released, shuffle_partitions, written
 from .components import components
 
 #: A worker forgets the hashes of its words beyond this many.
 MAX_KNOWN_WORDS = 120_000
-#: Classes of a cluster that one task compares with each other, or with as many others.
+#: Classes and shingles of a leaf, but for a larger class: one task compares two leaves.
 BLOCK = 512
+LEAF_SHINGLES = 2_000_000
+#: Buckets of a signature.
+BUCKETS = 256
+#: Shingles of the largest set: a text can hold no more words.
+LONGEST = 1 << 30
 LEAF, FAN = 16, 4
 NO_ID = 2**63 - 1
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_KNOWN_WORDS:
@@ -84,6 +85,11 @@ def class_ids(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(sums + np.array([len(s) for s in sets], np.uint64) * _A).view(np.int64)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each bucket; 255 stands for as many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(24)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 @dataclass(frozen=True)
 class Bands:
     """Sizes in bands, such that sets above the threshold are of one band or neighbours; each band deals shingles into parts."""
@@ -141,7 +147,7 @@ def part_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndar
     return np.concatenate(numbers), np.concatenate(keys)
 
 
-#: Below this percentage equal parts would be too small to tell anything: bands of minhashes take their place.
+#: Below this percentage equal parts are small and tell little: bands of minhashes take their place, unless asked otherwise.
 EXACT_PERCENT = 90
 BAND_ROWS, BAND_MISS = 5, 1e-10
 
@@ -224,6 +230,79 @@ def traverse(a: Tree, b: Tree, same: bool, percent: int) -> tuple[np.ndarray, np
     return np.concatenate(left), np.concatenate(right)
 
 
+def may_meet(node: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the largest possible overlap of members of nodes i and j, by their signatures and sizes, can reach the threshold."""
+    lo, hi, counts = node
+    shared = [np.zeros(0, np.int64)]
+    for k in range(0, len(i), 4096):
+        least = np.minimum(counts[i[k : k + 4096]], counts[j[k : k + 4096]])
+        shared.append(np.where((least == 255).any(1), LONGEST, least.sum(1, dtype=np.int64)))
+    overlap = np.minimum(np.concatenate(shared), np.minimum(hi[i], hi[j]))
+    ranges = (hi[i] * 100 >= lo[j] * percent) & (hi[j] * 100 >= lo[i] * percent)
+    return ranges & (overlap * (100 + percent) >= (lo[i] + lo[j]) * percent)
+
+
+def leaf_pairs(lo: np.ndarray, hi: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves, each once and with itself, that may hold a link: by dual traversal of the nodes above them."""
+    levels = [(lo, hi, counts)]
+    while len(levels[-1][0]) > 1:
+        x, y, c = levels[-1]
+        first = np.arange(0, len(x), FAN)
+        levels.append((np.minimum.reduceat(x, first), np.maximum.reduceat(y, first), np.maximum.reduceat(c, first, axis=0)))
+    i = j = np.zeros(1, np.int64)
+    for level in range(len(levels) - 1, -1, -1):
+        keep = may_meet(levels[level], i, j, percent)
+        i, j = i[keep], j[keep]
+        if level:
+            n = len(levels[level - 1][0])
+            x, y = (v.ravel() for v in np.meshgrid(np.arange(FAN), np.arange(FAN)))
+            i, j = (i[:, None] * FAN + x).ravel(), (j[:, None] * FAN + y).ravel()
+            ok = (i <= j) & (j < n)
+            i, j = i[ok], j[ok]
+    return i, j
+
+
+def leaves(block: int):
+    """Cuts (cluster, n, signature, cls, doc_id, copies), in this order, into leaves, and sums each up.
+
+    Rows come back with the number of their leaf; a row with hi, the sum, ends each leaf: n is its
+    smallest size, and copies the count of its classes.
+    """
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 40, None
+        names = ["cluster", "n", "signature", "cls", "doc_id", "copies", "leaf", "hi"]
+
+        def ended(rows: pa.RecordBatch, leaf: int) -> pa.RecordBatch:
+            n, k = rows.column(1).to_numpy(), rows.num_rows
+            most = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(k, BUCKETS).max(0).tobytes()
+            columns = [[rows.column(0)[0].as_py()], [int(n.min())], [most], [None], [None], [k], [leaf], [int(n.max())]]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
+            node = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            columns = [*rows.columns[:2], pa.nulls(k, pa.binary()), *rows.columns[3:], pa.array(np.full(k, leaf)), pa.nulls(k, pa.int64())]
+            return pa.concat_batches([pa.RecordBatch.from_arrays(columns, names=names), node])
+
+        for batch in batches:
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            if not rows.num_rows:
+                continue
+            cluster, first, shingles = rows.column(0).to_numpy(), 0, np.cumsum(rows.column(1).to_numpy())
+            ends = np.append(np.flatnonzero(np.diff(cluster)) + 1, rows.num_rows)
+            for end in ends:
+                while first < end:
+                    full = int(np.searchsorted(shingles, (shingles[first - 1] if first else 0) + LEAF_SHINGLES, "right"))
+                    last = min(end, first + block, max(full, first + 1))
+                    if last == rows.num_rows:  # it may go on in the next batch
+                        break
+                    yield ended(rows.slice(first, last - first), number)
+                    number, first = number + 1, last
+            held = rows.slice(first) if first < rows.num_rows else None
+        if held is not None:
+            yield ended(held, number)
+
+    return cut
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A bit for each token that two sets or more hold: the AND of two rows counts their overlap."""
     tokens, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -237,7 +316,7 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def link_group(group: pd.DataFrame, same: bool, percent: int) -> pd.DataFrame:
-    """(cls, root, links): the links of each class within a block, or between two, and the smallest class they reach."""
+    """(cls, root, links): the links of each class within a leaf, or between two, and the smallest class they reach."""
     group = group.sort_values(["n", "cls"], kind="stable").reset_index(drop=True)
     sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
     sizes, bits = group["n"].to_numpy(np.int64), bitmaps(sets)
@@ -245,7 +324,7 @@ def link_group(group: pd.DataFrame, same: bool, percent: int) -> pd.DataFrame:
         tree = Tree.of(sizes, bits)
         left, right = traverse(tree, tree, True, percent)
     else:
-        one, two = (np.flatnonzero(group["block"] == b) for b in (group["lo"][0], group["hi"][0]))
+        one, two = (np.flatnonzero(group["leaf"] == b) for b in (group["lo"][0], group["hi"][0]))
         if not len(one) or not len(two):
             return pd.DataFrame({"cls": [], "root": [], "links": []}, dtype="int64")
         left, right = traverse(Tree.of(sizes[one], bits[one]), Tree.of(sizes[two], bits[two]), False, percent)
@@ -265,7 +344,7 @@ def link_group(group: pd.DataFrame, same: bool, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"cls": cls[linked], "root": root[linked], "links": links[linked].astype(np.int64)})
 
 
-def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK, longest: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK, exact: bool | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links), one row for each row of docs.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets.
@@ -273,27 +352,31 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
 
     Null and empty texts have no shingles and no links; copies of a text, and repeated rows, link
     with each other; a null doc_id counts as larger than all others, and stays null; other columns
-    are left out; an empty table gives no rows.  longest bounds the shingles of a text.
+    are left out; an empty table gives no rows.
 
-    From EXACT_PERCENT on no pair is lost.  Below, parts would hold too few shingles, and bands of
-    minhashes gather the candidates; a pair is lost with a chance of BAND_MISS at most.  Either way
-    a link is decided on whole sets.
+    With exact, which is the default from EXACT_PERCENT on, no pair is lost: what can link shares an
+    equal part.  Below, parts hold few shingles, so that a passage which many texts share makes one
+    cluster of them all; without exact, bands of minhashes gather the clusters, and a pair is lost
+    with a chance of BAND_MISS at most.  Either way a link is decided on whole sets.
 
     Copies become one class before texts are compared, and equal parts combine within a batch
-    before they are shuffled, so neither moves a hot group whole.  A cluster over `block` classes is
-    compared block by block, each pair of blocks in a task of its own.
+    before they are shuffled, so neither moves a hot group whole.  Sets are sent once for each
+    pair of leaves that the traversal leaves over: in a group of n different near copies all of
+    (n / block) ** 2 / 2.  A cluster's leaves, a row each, are traversed in one task.
     """
-    bands = Bands.of(percent, longest)
+    exact = percent >= EXACT_PERCENT if exact is None else exact
+    bands = Bands.of(percent, LONGEST)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
 
     def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 1000):
             sets = shingle_sets(part.column(1).to_pylist(), n)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(class_ids(sets) if len(sets) else sizes, mask=sizes == 0), pa.array(sizes)], names=["doc_id", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(class_ids(sets) if len(sets) else sizes, mask=sizes == 0), pa.array(sizes), pa.array(map(signature, sets), pa.binary())], names=["doc_id", "cls", "n", "signature"])
 
-    members = written(rows.mapInArrow(released(classify), "doc_id long, cls long, n long"), "members")
-    classes = written(members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
+    members = written(rows.mapInArrow(released(classify), "doc_id long, cls long, n long, signature binary"), "members")
+    one = F.min_by(F.struct("n", "signature"), "doc_id").alias("one")
+    classes = written(members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), one).select("cls", "doc_id", "copies", "one.*"), "classes")
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, cls) of the parts; of equal keys in a batch the smallest class, and edges (cls, head) of the others to it."""
@@ -305,7 +388,7 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
                 ids = class_ids(sets) if sets else np.zeros(0, np.int64)
                 new = [k for k, c in enumerate(ids.tolist()) if len(sets[k]) and not (c in seen or seen.add(c))]
                 some = [sets[k] for k in new]
-                number, key = part_keys(some, bands) if percent >= EXACT_PERCENT else band_keys(some, percent)
+                number, key = part_keys(some, bands) if exact else band_keys(some, percent)
                 owner.append(ids[new][number] if new else np.zeros(0, np.int64))
                 keys.append(key)
             cls, key = np.concatenate([*owner, np.zeros(0, np.int64)]), np.concatenate([*keys, np.zeros(0, np.int64)])
@@ -326,9 +409,23 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     edges = dealt.withColumn("first", smallest).select(F.explode(F.array(F.struct(F.col("cls").alias("a"), F.col("head").alias("b")), F.struct(F.col("cls").alias("a"), F.when(F.col("head").isNull(), F.col("first")).alias("b")))).alias("e")).select("e.*").filter("b is not null and a <> b")
     coarse = components(edges)
     clusters = coarse.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).union(coarse.select(F.col("root").alias("cls"), F.col("root").alias("cluster")).distinct())
-    in_cluster = written(clusters.join(classes, "cls"), "clusters")
-    sizes = in_cluster.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    wanted = in_cluster.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    order = ["cluster", "n", "signature", "cls"]
+    in_cluster = written(clusters.join(classes, "cls").select(*order, "doc_id", "copies"), "clusters")
+    ordered = in_cluster.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    tree = written(ordered.mapInArrow(leaves(block), "cluster long, n long, signature binary, cls long, doc_id long, copies long, leaf long, hi long"), "tree")
+
+    def traversed(nodes: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by([("n", "ascending"), ("leaf", "ascending")])
+        lo, hi, leaf = (nodes.column(c).to_numpy() for c in ("n", "hi", "leaf"))
+        counts = np.frombuffer(b"".join(nodes.column("signature").to_pylist()), np.uint8).reshape(len(lo), BUCKETS)
+        i, j = leaf_pairs(lo, hi, counts, percent)
+        some = (i != j) | (nodes.column("copies").to_numpy()[i] > 1)
+        return pa.table({"lo": np.minimum(leaf[i], leaf[j])[some], "hi": np.maximum(leaf[i], leaf[j])[some]})
+
+    pairs = tree.filter("hi is not null").select("cluster", "n", "hi", "leaf", "signature", "copies").groupBy("cluster").applyInArrow(traversed, "lo long, hi long")
+    pairs = written(pairs, "leaf-pairs")
+    ends = pairs.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("leaf"), F.struct("lo", "hi").alias("pair")).groupBy("leaf").agg(F.collect_list("pair").alias("pairs"))
+    wanted = written(tree.filter("hi is null").select("cls", "n", "copies", "doc_id", "leaf").join(ends, "leaf"), "tree-members")
 
     def gather(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -336,12 +433,12 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
             right = class_ids(sets) == f["cls"].to_numpy() if len(f) else np.zeros(0, bool)
             yield f.drop(columns=["text"]).assign(shingles=[s.tobytes() for s in sets])[right]
 
-    texts = marked(rows, wanted, "doc_id").join(wanted, "doc_id").select("cluster", "cls", "n", "copies", "blocks", "block", "text")
-    sets = texts.mapInPandas(gather, "cluster long, cls long, n long, copies long, blocks int, block int, shingles binary")
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "n", "copies", "shingles")
+    texts = marked(rows, wanted, "doc_id").join(wanted, "doc_id").select("cls", "n", "copies", "leaf", "pairs", "text")
+    sets = texts.mapInPandas(gather, "cls long, n long, copies long, leaf long, pairs array<struct<lo:long,hi:long>>, shingles binary")
+    paired = sets.withColumn("pair", F.explode("pairs")).select("pair.*", "leaf", "cls", "n", "copies", "shingles")
 
     def link(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = ["cluster", "lo", "hi"]
+        key = ["lo", "hi"]
         held: list[pd.DataFrame] = []
 
         def done() -> pd.DataFrame:
@@ -357,13 +454,13 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
         if held:
             yield done()
 
-    together = paired.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    together = paired.repartition("lo", "hi").sortWithinPartitions("lo", "hi")
     linked = written(together.mapInPandas(link, "cls long, root long, links long"), "links")
     final = components(linked.select(F.col("cls").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cls"), "root")
     links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     rooted = classes.join(final, "cls", "left").join(links, "cls", "left").select("cls", "doc_id", "copies", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     per_class = written(rooted.join(lowest, "root").select("cls", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "class-components")
-    joined = members.join(per_class, "cls", "left")
+    joined = members.select("doc_id", "cls", "n").join(per_class, "cls", "left")
     real = lambda c: F.when(c != NO_ID, c)
     return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
