@@ -20,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hub_join, marked, mixed, shuffle_partitions, written
+from .common import marked, mixed, shuffle_partitions, written
 
-#: Bytes that an anchor's hash covers: a power of two.
-GRAM = 32
+#: Bytes that an anchor's hash covers, and bytes of its suffix that are kept.
+GRAM = 24
 #: Bytes of text that are worked on at a time, but for a longer text.
 CHUNK = 1 << 20
 
@@ -63,12 +63,16 @@ class Chunk:
 
     def grams(self) -> np.ndarray:
         """A hash of the GRAM bytes at each place."""
-        h, step = self.codes, 1
-        while step < GRAM:
+        h, step, whole, done = self.codes, 1, None, 0
+        while step <= GRAM:
+            if GRAM & step:
+                part = h[done:]
+                whole = part if whole is None else whole[: len(part)] * _M + part * _N
+                done += step
             h = h[:-step] * _M + h[step:] * _N
             h ^= h >> np.uint64(29)
             step *= 2
-        return mixed(h)
+        return mixed(whole)
 
     def anchors(self, width: int) -> tuple[np.ndarray, ...]:
         """(text's number, hash, first window, last window, anchor) of each anchor; places are in the chunk.
@@ -102,7 +106,7 @@ class Chunk:
 #: Stretches with the same GRAM bytes that one task compares; those of more frequent ones are dealt by window.
 GROUP = 512
 #: Equal parts of the doc_id range that enter the index one after the other.
-BATCHES = 4
+BATCHES = 3
 NULL_ID = -(2**63)
 
 
@@ -181,9 +185,9 @@ def neighbours(absorbed: frozenset[int]):
     """Judges entries (suffix, cx, doc, start, level) in their order by their neighbours.
 
     role is copy for entries of NEW whose whole stretch is earlier, open for first stretches with a
-    neighbour that shares their suffix, else sole.  Of sole ones only those of NEW and of the levels
-    that are absorbed are returned, and the first and last of a task, with its number as edge: their
-    other neighbour is in another task.
+    neighbour that shares their suffix, else sole.  Sole ones are returned if their level is absorbed,
+    and the first and last of a task, with its number as edge: their other neighbour is in another
+    task.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +199,7 @@ def neighbours(absorbed: frozenset[int]):
             return pa.RecordBatch.from_arrays(columns, names=["suffix", "cx", "doc", "start", "level", "role", "edge"])
 
         def wanted(level: np.ndarray, role: np.ndarray, edge: np.ndarray) -> np.ndarray:
-            return np.where(role == "copy", level == NEW, (role == "open") | edge | np.isin(level, [NEW, *absorbed]))
+            return np.where(role == "copy", level == NEW, (role == "open") | edge | np.isin(level, list(absorbed)))
 
         for batch in batches:
             if not batch.num_rows:
@@ -238,13 +242,14 @@ class SuffixIndex:
         Returns the copies (doc, start, cx), stretches that are earlier in whole, and the open
         entries (suffix, cx, doc, start), first stretches with a suffix that others have too.
         """
-        found = suffixes(rows, self.width).withColumn("level", F.lit(NEW))
+        batch = written(suffixes(rows, self.width), "suffixes", "zstd")
+        found = batch.filter("cx >= 0").withColumn("level", F.lit(NEW))
         for rank, table in self.levels.items():
             found = found.unionByName(table.withColumn("level", F.lit(rank)))
         rank = 0
         while keep and rank in self.levels:
             rank += 1
-        absorbed = frozenset(range(rank)) if keep else frozenset()
+        absorbed = frozenset([NEW, *range(rank)]) if rank else frozenset()
         order = ["suffix", "cx", "doc", "start"]
         ordered = found.repartitionByRange(shuffle_partitions(rows.sparkSession), "suffix", "cx").sortWithinPartitions(*order)
         judged = written(ordered.mapInArrow(neighbours(absorbed), SCANNED), "suffix-scan", "zstd")
@@ -252,11 +257,14 @@ class SuffixIndex:
         shared = judged.filter("edge is not null").groupBy("suffix").agg(F.countDistinct("edge").alias("n")).filter("n > 1").select("suffix")
         parted = judged.filter("edge is not null and role = 'sole'").join(F.broadcast(shared), "suffix")
         opened = judged.filter("role = 'open'").select(*order).unionByName(parted.select(*order))
-        if keep:
-            for old in absorbed:
+        if rank:
+            for old in range(rank):
                 del self.levels[old]
-            self.levels[rank] = judged.filter(F.col("level").isin([NEW, *absorbed]) & (F.col("role") != "copy")).select(*order)
-        return judged.filter("role = 'copy'").select("doc", "start", "cx"), opened
+            self.levels[rank] = judged.filter(F.col("level").isin(*absorbed) & (F.col("role") != "copy")).select(*order)
+        elif keep:
+            self.levels[0] = batch.filter("cx >= 0")
+        copies = judged.filter("role = 'copy'").select("doc", "start", "cx")
+        return copies.unionByName(batch.filter("cx < 0").select("doc", "start", "cx")), opened
 
 
 def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP) -> DataFrame:
@@ -325,11 +333,23 @@ def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP)
             yield done(held)
 
     few = pieces.filter("data is not null").repartition("key").sortWithinPartitions("key").mapInPandas(compare, "doc long, start long, size long")
-    many = pieces.filter("data is null").select("key", "doc", "start")
-    place = F.struct("doc", "start")
-    first = written(many.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-windows")
-    later = hub_join(many, first, "key", "n").filter(place > F.col("first"))
-    return few.unionByName(later.select("doc", "start", F.lit(width).cast("long").alias("size")))
+    # of a window's places all but the first are repeats: the first ones of a document tell the others
+    first = pieces.filter("data is null").groupBy("key").agg(F.min(F.struct("doc", "start")).alias("first")).select("first.*")
+    firsts = first.groupBy("doc").agg(F.collect_list("start").alias("firsts"))
+    dealt = entries.filter("hot").groupBy("doc").agg(F.collect_list(F.struct("start", "cx")).alias("places")).join(firsts, "doc", "left")
+
+    def later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.zeros(0, np.int64),) * 2]
+            for doc, places, firsts in zip(*(c.to_pylist() for c in batch.columns)):
+                windows = np.concatenate([np.arange(p["start"], p["start"] + (p["cx"] & (1 << bits) - 1) + 1) for p in places])
+                again = np.setdiff1d(windows, np.array(firsts or [], np.int64))
+                found.append((np.full(len(again), doc), again))
+            doc, start = (np.concatenate(x) for x in zip(*found))
+            d, s, size = merged_stretches(doc, start, np.full(len(doc), width))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, s, size)], names=["doc", "start", "size"])
+
+    return few.unionByName(dealt.select("doc", "places", "firsts").mapInArrow(later, "doc long, start long, size long"))
 
 
 def repeated_stretches(rows: DataFrame, width: int = 100, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
@@ -357,7 +377,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, batches: int = BATCHES, gr
 
     Null and empty texts, and those shorter than width, lose nothing.  A null doc_id is smaller than
     all others.  Rows that repeat a doc_id are one document in each place: of equal strings at equal
-    starts none is earlier, and what goes from one row goes from the same places of the others.
+    starts none is earlier, and what goes from one row goes from the same places of the others; if
+    their texts differ, a place that is the first of one row's string may stay in the others too.
     Other columns are left out; an empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
