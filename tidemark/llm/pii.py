@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, written
+from .common import checked_broadcast, hub_join, marked, written
 from .quality import bind
 
 KINDS = ("email", "ip", "card", "phone", "term", "broad")
@@ -28,6 +28,10 @@ OCTETS = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.0*(25[0-5]|2[0-4][0
 TERM = r"(?<![\p{L}\p{N}])(?=\p{N}*+\p{L})[\p{L}\p{N}]{3,}+"
 #: A group of values tells of somebody if it is in at most one text of so many.
 GROUP_RARITY = 8
+#: Spans that are gathered at a time.
+BLOCK = 256
+#: Rows of numbers alone that are broadcast at most: about 32 bytes each.
+BROADCAST_NUMBERS = 500_000
 
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 
@@ -38,23 +42,37 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda a, v: a + v) % 10 == 0
 
 
-def located(text: Column, pattern: str, kind: int, valid=None, offset: Column | int = 0) -> Column:
-    """Spans of the pattern's matches: the lengths of the matches, and of what lies between, add up to places."""
+def located(text: Column, pattern: str, kind: int, valid=None) -> Column:
+    """Spans of the pattern's matches: the lengths of the matches, and of what lies between, add up to places.
+
+    Spans are gathered BLOCK at a time, so that a text's time grows with its matches, not with their square.
+    """
     empty = F.array().cast(f"array<{SPAN}>")
 
-    def step(found: Column):
+    def span_at(found: Column):
         def add(a: Column, i: Column) -> Column:
             start = a["at"] + F.length(F.get(found["gaps"], i))
             value = F.get(found["hits"], i)
             end = start + F.length(value)
-            span = F.array(F.struct((start + offset).cast("int").alias("start"), (end + offset).cast("int").alias("end"), F.lit(kind).alias("kind"), value.alias("value")))
+            span = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), value.alias("value")))
             kept = F.concat(a["spans"], span) if valid is None else F.when(valid(value), F.concat(a["spans"], span)).otherwise(a["spans"])
             return F.struct(end.alias("at"), kept.alias("spans"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found["hits"]) - 1), F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda a: a["spans"])
+        return add
+
+    def all_spans(found: Column) -> Column:
+        last = F.size(found["hits"]) - 1
+
+        def block(a: Column, b: Column) -> Column:
+            places = F.sequence(b * BLOCK, F.least(b * BLOCK + (BLOCK - 1), last))
+            some = F.aggregate(places, F.struct(a["at"].alias("at"), empty.alias("spans")), span_at(found))
+            return bind(some, lambda x: F.struct(x["at"].alias("at"), F.concat(a["blocks"], F.array(x["spans"])).alias("blocks")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("blocks"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), start, block, lambda a: F.flatten(a["blocks"]))
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
-    return bind(both, lambda found: F.when(F.size(found["hits"]) > 0, step(found)).otherwise(empty))
+    return bind(both, lambda found: F.when(F.size(found["hits"]) > 0, all_spans(found)).otherwise(empty))
 
 
 def base_spans(text: Column) -> Column:
@@ -81,26 +99,32 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda a: F.concat(F.array_join(a["pieces"], ""), F.substr(text, a["at"] + 1, F.length(text))))
 
 
+def term_key(term: Column) -> Column:
+    return F.xxhash64(F.lower(term))
+
+
 def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    """Keys of the distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), term_key))
 
 
 def entities_of(spans: Column) -> Column:
     """(entity, grouped, names): each protected value, and the groups it belongs to.
 
     Groups are an e-mail's domain and owner, an address's network, a card's issuer and a phone's
-    number without its last four digits.  names are the words of an e-mail's owner.
+    number without its last four digits.  names are the keys of the words of an e-mail's owner.
     """
+    none = F.array().cast("array<bigint>")
 
     def each(s: Column) -> Column:
         lowered, digits = F.lower(s["value"]), F.regexp_replace(s["value"], "[^0-9.]", "")
-        names = F.when(s["kind"] == 0, F.array_sort(F.array_distinct(F.regexp_extract_all(F.substring_index(lowered, "@", 1), F.lit("[a-z]{3,}"), F.lit(0))))).otherwise(F.array().cast("array<string>"))
+        words = F.when(s["kind"] == 0, F.array_sort(F.array_distinct(F.regexp_extract_all(F.substring_index(lowered, "@", 1), F.lit("[a-z]{3,}"), F.lit(0))))).otherwise(F.array().cast("array<string>"))
         group = F.when(s["kind"] == 0, F.substring_index(lowered, "@", -1)).when(s["kind"] == 1, F.substring_index(digits, ".", 3)).when(s["kind"] == 2, F.substring(digits, 1, 6)).otherwise(F.regexp_replace(digits, ".{4}$", ""))
-        entity = lambda h, grouped: F.struct(h.alias("entity"), F.lit(grouped).alias("grouped"), names.alias("names"))
-        value = entity(F.xxhash64(s["kind"], F.when(s["kind"] >= 1, digits).otherwise(lowered)), False)
-        owner = entity(F.xxhash64(F.lit("owner"), F.array_join(names, " ")), True)
-        both = F.array(value, entity(F.xxhash64(F.lit("group"), s["kind"], group), True))
-        return F.when(F.size(names) > 0, F.concat(both, F.array(owner))).otherwise(both)
+        entity = lambda h, grouped, names: F.struct(h.alias("entity"), F.lit(grouped).alias("grouped"), names.alias("names"))
+        value = entity(F.xxhash64(s["kind"], F.when(s["kind"] >= 1, digits).otherwise(lowered)), False, F.transform(words, term_key))
+        owner = entity(F.xxhash64(F.lit("owner"), F.array_join(words, " ")), True, none)
+        both = F.array(value, entity(F.xxhash64(F.lit("group"), s["kind"], group), True, none))
+        return F.when(F.size(words) > 0, F.concat(both, F.array(owner))).otherwise(both)
 
     return F.array_distinct(F.flatten(F.transform(spans, each)))
 
@@ -116,8 +140,9 @@ def find_private(docs: DataFrame, min_support: int = 2, group_support: int = 3,
 
     Null and empty texts have no spans; copies of a text count once for the statistics and get the
     same spans; rows that repeat a doc_id keep their own spans; other columns are left out; an empty
-    table gives no rows.  Pairs are those of a text's values and terms, for values that can have
-    enough support, and hot ones combine before the shuffle.
+    table gives no rows.  Values, terms and texts are told apart by 64-bit hashes.  Pairs are those of
+    a text's values and terms, for values that can have enough support, and hot ones combine before
+    the shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans(F.col("text")))
@@ -127,34 +152,36 @@ def find_private(docs: DataFrame, min_support: int = 2, group_support: int = 3,
 
     texts = found.filter("held is not null").dropDuplicates(["text_key"])
     texts = written(texts.select("text_key", "held", entities_of(F.col("base")).alias("entities"), terms_of(F.col("held")).alias("terms")), "private-texts")
-    of_texts = texts.select("text_key", "terms", F.explode("entities").alias("e")).select("text_key", "terms", "e.*")
-    counts = of_texts.select("text_key", "entity", "grouped").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"), F.first("grouped").alias("grouped"))
-    support = F.when(F.col("grouped"), group_support).otherwise(min_support)
-    per_entity = written(counts.filter(~F.col("grouped") | (F.col("n_entity") * GROUP_RARITY <= n)).withColumn("support", support), "private-entities")
-    enough = checked_broadcast(written(per_entity.filter("n_entity >= support").select("entity", F.lit(True).alias("enough")), "private-enough"))
-    own_names = F.when(F.col("grouped"), F.array().cast("array<string>")).otherwise(F.col("names"))
-    judged = of_texts.join(enough, "entity", "left").withColumn("names", own_names)
+    of_texts = texts.select("text_key", F.explode("entities").alias("e")).select("text_key", "e.*")
+    counts = of_texts.groupBy("entity").agg(F.count("*").alias("n_entity"), F.first("grouped").alias("known_group"))
+    support = F.when(F.col("known_group"), group_support).otherwise(min_support)
+    rare = ~F.col("known_group") | (F.col("n_entity") * GROUP_RARITY <= n)
+    per_entity = written(counts.filter(rare & (F.col("n_entity") < n)).select("entity", "n_entity", (F.col("n_entity") >= support).alias("enough"), support.alias("support")), "private-entities")
+    judged = hub_join(of_texts, per_entity, "entity", "n_entity").filter(F.col("enough") | (F.size("names") > 0))
+    of_text = judged.groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_entity", "enough", "support", "names")).alias("judged"))
+    near = texts.join(of_text, "text_key").select("text_key", "terms", F.explode("judged").alias("e")).select("text_key", "terms", "e.*")
     candidates = F.when(F.col("enough"), F.col("terms")).otherwise(F.array_intersect("names", "terms"))
-    near = judged.select("text_key", "entity", "names", F.explode(candidates).alias("term"))
-    pairs = near.select("text_key", "entity", "term", F.array_contains("names", F.col("term")).alias("named")).groupBy("entity", "term").agg(F.countDistinct("text_key").alias("n_both"), F.max("named").alias("named"))
+    near = near.select("text_key", "entity", "n_entity", "support", "names", F.explode(candidates).alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("support").alias("support"), F.max(F.array_contains("names", F.col("term"))).alias("named"))
+    pairs = written(pairs.filter(F.col("named") | (F.col("n_both") >= F.col("support"))), "private-pairs")
     disclosed = lambda n_term: F.log2(F.col("n_both") * float(n) / (n_term * F.col("n_entity"))) / F.log2(float(n) / F.col("n_entity"))
     # a term is in as many texts, at least, as it is in texts with protected values: most terms tell too little even so
-    per_near = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = pairs.filter(F.col("named") | (F.col("n_both") >= min(min_support, group_support))).join(per_entity, "entity").filter((F.col("n_entity") < n) & (F.col("named") | (F.col("n_both") >= F.col("support")))).join(per_near, "term")
-    pairs = written(pairs.filter(disclosed(F.col("n_near")) >= broad_at), "private-pairs")
+    per_near = written(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near")), "private-near")
+    pairs = written(hub_join(pairs, per_near, "term", "n_near").filter(disclosed(F.col("n_near")) >= broad_at), "private-pairs")
 
     terms = written(pairs.select("term").distinct(), "private-terms")
-    in_texts = rows.select(F.xxhash64("text").alias("text_key"), F.explode(terms_of(F.col("text"))).alias("term")).join(checked_broadcast(terms), "term")
+    in_texts = rows.select(F.xxhash64("text").alias("text_key"), F.explode(terms_of(F.col("text"))).alias("term"))
+    few = terms.limit(BROADCAST_NUMBERS + 1).count() <= BROADCAST_NUMBERS
+    in_texts = in_texts.join(F.broadcast(terms), "term") if few else marked(in_texts, terms, "term")
     per_term = in_texts.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     n_term = F.greatest(F.coalesce("n_term", F.lit(0)), "n_near")
     telling = pairs.join(per_term, "term", "left").withColumn("disclosed", disclosed(n_term)).filter(F.col("disclosed") >= broad_at)
     telling = written(telling.select("entity", "term", F.when(F.col("disclosed") >= remove_at, 4).otherwise(5).alias("kind")), "private-telling")
 
-    told = near.select("text_key", "entity", "term").join(checked_broadcast(telling), ["entity", "term"]).groupBy("text_key", "term").agg(F.min("kind").alias("kind"))
+    told = near.select("text_key", "entity", "term").join(checked_broadcast(telling, BROADCAST_NUMBERS), ["entity", "term"]).groupBy("text_key", "term").agg(F.min("kind").alias("kind"))
     told = told.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
-    kind_of = lambda v: F.try_element_at(F.col("told"), F.lower(v))
-    places = located(F.col("held"), TERM, 4, lambda v: F.map_contains_key("told", F.lower(v)))
-    added = F.transform(places, lambda s: F.struct(s["start"].alias("start"), kind_of(s["value"]).alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    places = located(F.col("held"), TERM, 4, lambda v: F.map_contains_key("told", term_key(v)))
+    added = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.try_element_at(F.col("told"), term_key(s["value"])).alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
     added = written(texts.select("text_key", "held").join(told, "text_key").select("text_key", added.alias("added")), "private-added")
     joined = found.join(checked_broadcast(added, 5_000), "text_key", "left")
     return joined.select("doc_id", "text_key", "base", F.coalesce("added", F.array().cast(added.schema["added"].dataType)).alias("added"))
