@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_GAP, checked_broadcast, word_count, written
+from .common import WORD, WORD_GAP, hub_join, marked, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -42,113 +42,121 @@ def bind(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def worded_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+
+
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, and the lines that hold a word in _lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     return (
         docs.withColumn("_words", words(F.col(text_col)))
+        .withColumn("_lines", worded_lines(text))
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("word_chars", F.length(F.regexp_replace(text, WORD_GAP, "")).cast("long"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
+        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", repeated_words(F.col("_words")).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
         .drop("_words")
     )
 
 
-def line_key(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.btrim(F.regexp_replace(line, WORD_GAP, " "))))
-
-
 def host_key(host_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("h"), F.col(host_col)), F.lit("-"))
 
 
-def frequent_lines(keyed: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, line), written: keys of frequent lines, from (host, lines) for each document."""
-    per_host = keyed.groupBy("host").agg(F.count("*").alias("docs"))
-    once = keyed.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("line"))
-    counts = once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    frequent = counts.join(per_host, "host").filter(F.col("n_docs") > F.col("docs") * max_share).select("host", "line")
-    return written(frequent, "frequent-lines")
+def line_key(host: Column, line: Column) -> Column:
+    """A 64-bit key of a line in its host: case and the width of white space don't count."""
+    return F.xxhash64(host, F.lower(F.btrim(F.regexp_replace(line, WORD_GAP, " "))))
 
 
-def worded_lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+def judged_rows(rows: DataFrame) -> DataFrame:
+    """Written: the statistics of (row, doc_id, host, text), and the key and words of each line that holds a word."""
+    lines = F.transform("_lines", lambda x: F.struct(line_key(F.col("host"), x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    return written(statistics(rows.withColumns({"host": host_key("host"), "row": F.monotonically_increasing_id()})).withColumn("lines", lines).drop("_lines", "text"), "quality")
 
 
-def frequent_line_words(docs: DataFrame, host_col: str, min_docs: int, max_share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_words): words, in each document, of lines that too many documents of its host have.
+def frequent_lines(table: DataFrame, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
+    """(line, n_docs), written: lines that too many documents of their host have."""
+    doc = F.coalesce("doc_id", F.lit(-(2**63))).alias("doc")
+    per_host = table.select("host", doc).distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    once = table.select("host", doc, F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
+    counts = written(once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs), "line-counts")
+    hosts = counts.groupBy("host").agg(F.count("*").alias("n")).join(per_host, "host")
+    frequent = hub_join(counts, written(hosts, "line-hosts"), "host", "n").filter((F.col("n_docs") > F.col("docs") * max_share) | (F.col("n_docs") > max_docs))
+    return written(frequent.select("line", "n_docs"), "frequent-lines")
 
-    A line is frequent if it is in more than min_docs documents of the host and in more than
-    max_share of them.  Each document counts once, however often it repeats the line; rows count
-    as documents.  Only documents with such lines are returned.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), host_key(host_col).alias("host"), worded_lines(text).alias("lines"))
-    norm = F.transform("lines", lambda x: F.struct(line_key(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    lines = keyed.select("doc_id", "host", F.explode(norm).alias("x")).select("doc_id", "host", "x.line", "x.n")
-    marked = lines.join(checked_broadcast(frequent_lines(keyed, min_docs, max_share)), ["host", "line"])
-    return marked.groupBy("doc_id").agg(F.sum("n").cast("long").alias("line_words"))
+
+def removed_lines(table: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(row, line_words, gone): words in the frequent lines of each row that has any, and the lines' keys."""
+    lines = table.select("row", F.explode("lines").alias("x")).select("row", "x.*")
+    return hub_join(lines, frequent, "line", "n_docs").groupBy("row").agg(F.sum("n").cast("long").alias("line_words"), F.collect_set("line").alias("gone"))
 
 
-def remove_frequent_lines(docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_removed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verdict(max_removed: float) -> Column:
+    return ~F.col("base_failed") & (F.col("line_words") <= F.col("n_words") * max_removed)
+
+
+def remove_frequent_lines(docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_docs: int = 1000, max_removed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines that are frequent in the host, and with line_words and kept.
 
     line_words are the words that went; kept is quality's verdict, on the text as it was.  Lines
     without a word stay, and a null text stays null.  Each row loses its own lines, also where rows
-    repeat a doc_id.
+    repeat a doc_id; columns named line_words and kept are replaced; an empty table gives no rows.
+    Only rows that lose a line move.
     """
-    judged = statistics(docs.select("*", F.col(text_col).alias("_text")), "_text")
-    rows = judged.select(F.struct(*docs.columns).alias("row"), "n_words", "base_failed", host_key(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    frequent = frequent_lines(rows.select("host", worded_lines(F.col("_text")).alias("lines")), min_docs, max_share)
-    by_host = frequent.groupBy("host").agg(F.map_from_entries(F.collect_set(F.struct("line", F.lit(True)))).alias("frequent"))
-    gone = lambda x: x.rlike(WORD) & F.coalesce(F.map_contains_key("frequent", line_key(x)), F.lit(False))
-    lines = F.split("_text", "\n", -1)
-    cut = rows.join(checked_broadcast(written(by_host, "host-lines")), "host", "left").withColumn("_left", F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"))
-    line_words = F.coalesce(F.aggregate(F.filter(lines, gone), F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x, F.lit(WORD))), F.lit(0).cast("long"))
-    text = F.when(F.col(f"row.{text_col}").isNotNull(), F.col("_left")).alias(text_col)
-    cut = cut.withColumn("line_words", line_words).withColumn("kept", ~F.col("base_failed") & (F.col("line_words") <= F.col("n_words") * max_removed))
-    return cut.select(*[text if c == text_col else F.col(f"row.{c}") for c in docs.columns], "line_words", "kept")
-
-
-def quality(docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_removed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    own = [c for c in docs.columns if c not in ("line_words", "kept")]
+    rows = docs.select(F.struct(*own).alias("whole"), F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    table = judged_rows(rows)
+    removed = written(removed_lines(table, frequent_lines(table, min_docs, max_share, max_docs)), "removed-lines")
+    text = F.col("whole")[text_col]
+    gone = lambda x: x.rlike(WORD) & F.array_contains("gone", line_key(F.col("host"), x))
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~gone(x)), "\n")
+    cut = marked(table, removed, "row").join(removed, "row", "left")
+    every = cut.unionByName(marked(table, removed, "row", yes=False), allowMissingColumns=True).withColumn("line_words", F.coalesce("line_words", F.lit(0).cast("long")))
+    new = F.when(F.col("gone").isNotNull(), left).otherwise(text).alias(text_col)
+    return every.select(*[new if c == text_col else F.col("whole")[c].alias(c) for c in own], "line_words", verdict(max_removed).alias("kept"))
+
+
+def quality(docs: DataFrame, host_col: str = "source", min_docs: int = 20, max_share: float = 0.05, max_docs: int = 1000, max_removed: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words, kept).
 
-    kept: false if base_failed, or if lines frequent in the host hold over max_removed of the words.
-    Null texts are empty and fail; documents without a host are a host of their own; rows that
-    repeat a doc_id count as documents each, and share their line_words; other columns are left
-    out; an empty table gives no rows.
+    A line is frequent if more than min_docs documents of its host have it, and more than max_share
+    of them or more than max_docs.  kept: false if base_failed, or if frequent lines hold over
+    max_removed of the words.  A document counts once, however often it repeats the line and in
+    however many rows; rows without an id are one document.
+
+    Null texts are empty and fail; documents without a host are a host of their own; each row has
+    its own line_words; other columns are left out; an empty table gives no rows.  Texts are read
+    and split once; what is counted are 64-bit keys of lines, and hot lines combine before the
+    shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    removed = frequent_line_words(rows, "host", min_docs, max_share)
-    removed = removed.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    base = statistics(rows).drop("text", "host").withColumn("_key", F.coalesce("doc_id", F.lit(-(2**63))))
-    joined = base.join(removed.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
-    line_words = F.coalesce("line_words", F.lit(0)).cast("long")
-    return joined.withColumn("line_words", line_words).withColumn("kept", ~F.col("base_failed") & (F.col("line_words") <= F.col("n_words") * max_removed))
+    table = judged_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text")))
+    removed = removed_lines(table, frequent_lines(table, min_docs, max_share, max_docs)).drop("gone")
+    joined = table.drop("lines", "host").join(removed, "row", "left").drop("row")
+    return joined.withColumn("line_words", F.coalesce("line_words", F.lit(0)).cast("long")).withColumn("kept", verdict(max_removed))
 
 
 #: DuckDB SQL for the op8 query.
 SQL = r"""
-with d as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
-ln as (select doc_id, source, unnest(string_split(t, chr(10))) line from d),
-lw as (select doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))::bigint n,
+with d as (select row_number() over () rid, doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+ln as (select rid, doc_id, source, unnest(string_split(t, chr(10))) line from d),
+lw as (select rid, doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))::bigint n,
               lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) k from ln where regexp_matches(line, '[^\x20\x09-\x0D]')),
-dl as (select doc_id, (count(*) - count(distinct line))::bigint n_dup_lines from lw group by 1),
-fr as (select source, k from (select source, k, count(distinct doc_id) c from lw group by 1, 2) x
-       where c > 20 and c > 0.05::double * (select count(*) from documents b where b.source is not distinct from x.source)),
-rm as (select doc_id, sum(n)::bigint line_words from lw join fr on lw.k = fr.k and lw.source is not distinct from fr.source group by 1),
-wi as (select doc_id, unnest(range(1, len(w) - 1)) i, w from d),
-sh as (select doc_id, i, (w[i], w[i + 1], w[i + 2]) s from wi),
-rp as (select doc_id, i from sh qualify count(*) over (partition by doc_id, s) > 1),
-cv as (select doc_id, count(distinct p)::bigint n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) p from rp) group by 1),
+dl as (select rid, (count(*) - count(distinct line))::bigint n_dup_lines from lw group by 1),
+ho as (select source, count(distinct coalesce(doc_id, -9223372036854775808)) n_docs from d group by 1),
+co as (select source, k, count(distinct coalesce(doc_id, -9223372036854775808)) c from lw group by 1, 2 having c > 20),
+fr as (select co.* from co join ho on co.source is not distinct from ho.source where c > 0.05::double * n_docs or c > 1000),
+rm as (select rid, sum(n)::bigint line_words from lw join fr on lw.k = fr.k and lw.source is not distinct from fr.source group by 1),
+wi as (select rid, unnest(range(1, len(w) - 1)) i, w from d),
+sh as (select rid, i, (w[i], w[i + 1], w[i + 2]) s from wi),
+rp as (select rid, i from sh qualify count(*) over (partition by rid, s) > 1),
+cv as (select rid, count(distinct p)::bigint n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) p from rp) group by 1),
 b as (select doc_id, len(w)::bigint n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, coalesce(n_dup_lines, 0) n_dup_lines,
              coalesce(n_repeat_words, 0) n_repeat_words, coalesce(line_words, 0) line_words
-      from d left join dl using (doc_id) left join cv using (doc_id) left join rm using (doc_id)),
+      from d left join dl using (rid) left join cv using (rid) left join rm using (rid)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from b)
 select *, not base_failed and line_words <= n_words * 0.5::double kept from f
 """
