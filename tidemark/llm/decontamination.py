@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released
+from .common import byte_slices, mixed, released
 
 WORD = re.compile(r"[^\W_]+")
 
+#: Bytes of text that a worker has as strings at a time, but for a longer text.
+SLICE = 1 << 23
+
 #: Smith-Waterman scores on words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -38,19 +41,8 @@ class Items:
     #: Sorted codes of distinct n-grams, and for each the (item, place) pairs that have it.
     grams: np.ndarray
     places: tuple[tuple[tuple[int, int], ...], ...]
-    n: int
-
-    def codes(self, numbers: np.ndarray) -> np.ndarray:
-        """A code for each n-gram, -1 if a word of it is in no item."""
-        base, n = len(self.vocabulary) + 1, self.n
-        if len(numbers) < n:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(len(numbers) - n + 1, np.int64), np.ones(len(numbers) - n + 1, bool)
-        for k in range(n):
-            w = numbers[k : len(numbers) - n + 1 + k]
-            code = code * base + w
-            known &= w > 0
-        return np.where(known, code, -1)
+    #: Words in the n-grams: n, and fewer for items that are shorter.
+    widths: tuple[int, ...]
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The words of a text by number; 0 for those that no item has."""
@@ -59,28 +51,40 @@ class Items:
 
     def found(self, numbers: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, index in grams) of each n-gram of the text that is in the sorted grams."""
-        codes = self.codes(numbers)
-        at = np.flatnonzero(codes >= 0)
+        each = [gram_codes(numbers, n) for n in self.widths]
+        at, codes = (np.concatenate(x) for x in zip(*each)) if each else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         if not len(at) or not len(grams):
             return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(grams, codes[at]), len(grams) - 1)
-        hit = grams[k] == codes[at]
+        k = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+        hit = grams[k] == codes
         return at[hit], k[hit]
 
 
+def gram_codes(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, 64-bit code) of each n-gram of known words; equal codes of others only add alignments."""
+    known, size = numbers > 0, max(0, len(numbers) - n + 1)
+    whole = np.ones(size, bool)
+    for k in range(n):
+        whole &= known[k : k + size]
+    at = np.flatnonzero(whole)
+    code = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        code = mixed(code + numbers[at + k].astype(np.uint64))
+    return at, code
+
+
 def build_items(rows: list[tuple[int | None, str | None]], n: int = 3) -> Items:
     texts = [words(t) for _, t in rows]
     vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t}))}
-    while n > 1 and (len(vocabulary) + 1) ** n >= 2**63:
-        n -= 1
     numbered = tuple(np.array([vocabulary[w] for w in t], np.int64) for t in texts)
-    bare = Items(tuple(i for i, _ in rows), vocabulary, numbered, np.zeros(0, np.int64), (), n)
     places = defaultdict(list)
     for item, t in enumerate(numbered):
-        for at, code in enumerate(bare.codes(t)):
-            places[int(code)].append((item, at))
+        if len(t):
+            for at, code in zip(*(x.tolist() for x in gram_codes(t, min(n, len(t))))):
+                places[code].append((item, at))
     grams = sorted(places)
-    return Items(bare.ids, vocabulary, numbered, np.array(grams, np.int64), tuple(tuple(places[g]) for g in grams), n)
+    widths = tuple(sorted({min(n, len(t)) for t in numbered if len(t)}))
+    return Items(tuple(i for i, _ in rows), vocabulary, numbered, np.array(grams, np.uint64), tuple(tuple(places[g]) for g in grams), widths)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -124,7 +128,7 @@ def leaks_in(numbers: np.ndarray, items: Items, seeds: np.ndarray, seed_index: n
     for place, gram in zip(at.tolist(), seed_index[k].tolist() if len(k) else []):
         for item, in_item in items.places[gram]:
             size = len(items.texts[item])
-            slack = size // 2 + items.n
+            slack = size // 2 + items.widths[-1]
             windows[item].append((max(0, place - in_item - slack), min(len(numbers), place - in_item + size + slack)))
     found = []
     for item, spans in windows.items():
@@ -152,7 +156,7 @@ def seeds_of(rows: DataFrame, items: Items, share: float) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, total = shared.value, None
         total = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
+        for batch in byte_slices(batches, 0, SLICE):
             for text in batch.column(0).to_pylist():
                 total[np.unique(items.found(items.numbers(text), items.grams)[1])] += 1
         used = np.flatnonzero(total)
@@ -179,10 +183,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, n:
     item's n-grams, four at least, by the texts of docs that hold them; so an item that leaked often
     keeps its seeds.  The score is that of the best local alignment, 2 for a match and -1 for any
     edit, over that of the whole item; from min_score on the item has leaked.  The benchmark is
-    joined in blocks of about block_items, each broadcast; docs never move.
+    joined in blocks of about block_items, each broadcast; docs never move, and are read twice for
+    each block.
 
-    Null and empty texts hold nothing; items with fewer than n words have no n-gram and are never
-    found; repeated items are found each; repeated rows each have their leaks; a column named leaks
+    Null and empty texts hold nothing; an item of fewer than n words is its own seed, whole; one
+    without words is never found; repeated items are found each; repeated rows each have their leaks; a column named leaks
     is replaced; an empty benchmark or table finds nothing.  Texts are searched whole.
     """
     spark = docs.sparkSession
@@ -203,7 +208,7 @@ def _add_leaks(spark: SparkSession, rows: DataFrame, items: Items, seed_index: n
         items, index, seeds = shared.value
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
         names = ("item_id", "score", "first_word", "last_word")
-        for batch in batches:
+        for batch in byte_slices(batches, text_col, SLICE):
             new = []
             for text, old in zip(batch.column(text_col).to_pylist(), batch.column("leaks").to_pylist()):
                 new.append(old + [dict(zip(names, x)) for x in leaks_in(items.numbers(text), items, seeds, index, min_score)])
@@ -215,6 +220,9 @@ def _add_leaks(spark: SparkSession, rows: DataFrame, items: Items, seed_index: n
 
 
 def leak_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word): a row for each item that a document holds."""
+    """(doc_id, item_id, score, first_word, last_word): a row for each item that a document holds.
+
+    A null doc_id stays null; the other cases are find_leaks's.
+    """
     found = find_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, **options)
     return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
