@@ -16,11 +16,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
 #: The pre-tokenizer pattern of byte-level vocabularies.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A worker forgets its piece counts beyond this many; they are then counted anew.
 MAX_KNOWN_PIECES = 1_000_000
+#: Bytes of text that a worker has as strings at a time, but for a longer text.
+SLICE = 1 << 24
 
 _counters: dict[str, TextCounter] = {}
 
@@ -108,7 +112,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = text_counter(tokenizer)
-        for batch in batches:
+        for batch in byte_slices(batches, 1, SLICE):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = [counter(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
