@@ -274,7 +274,7 @@ def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP)
     have are dealt by their own content, in all documents.
     """
     bits = width.bit_length()
-    entries = written(opened.select(F.xxhash64("suffix").alias("h"), "doc", "start", "cx").distinct(), "open-entries")
+    entries = written(opened.select(F.xxhash64("suffix").alias("h"), "doc", "start", "cx").distinct(), "open-entries", "zstd")
     hot = written(entries.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > group), "hot-hashes")
     # a filter's false hits are dealt by window as well, all rows of a hash alike
     entries = marked(entries, hot, "h").withColumn("hot", F.lit(True)).unionByName(marked(entries, hot, "h", yes=False).withColumn("hot", F.lit(False)))
@@ -299,7 +299,7 @@ def resolve(rows: DataFrame, opened: DataFrame, width: int, group: int = GROUP)
                             out.extend((k, doc, s, None) for k, s in zip(chunk.stretch(a, a + width).view(np.int64).tolist(), a.tolist()))
                 yield pa.RecordBatch.from_pylist([dict(zip(("key", "doc", "start", "data"), x)) for x in out], pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("data", pa.binary())]))
 
-    pieces = written(texts.select("doc", "text", "places").mapInArrow(cut, kind), "stretches")
+    pieces = written(texts.select("doc", "text", "places").mapInArrow(cut, kind), "stretches", "zstd")
 
     def compare(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
