@@ -41,6 +41,18 @@ def test_quality_equals_its_sql(spark):
     same_as_sql(quality.quality(documents(spark, SF)), quality.SQL)
 
 
+def test_quality_of_repeated_rows_equals_its_sql(spark):
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(k, "a", f"Menu  home\n{body(k)}\nmenu HOME") for k in range(19)] + [(0, "a", "menu home\nmenu home")] * 9  # 19 documents only
+    rows += [(100 + k, "b", f"share this\n{body(k)}") for k in range(25)] + [(k, "c", f"{body(k)}\nread on") for k in (200, 200, 201)] + [(None, None, "share this")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    duck = duckdb.connect()
+    duck.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    ours, theirs = quality.quality(docs).toPandas(), duck.sql(quality.SQL).df()
+    listed = lambda f: sorted(map(str, f[sorted(f.columns)].astype({"doc_id": "Int64"}).itertuples(index=False, name=None)))
+    assert listed(ours) == listed(theirs) and ours["line_words"].sum() == 50
+
+
 def test_frequent_lines_leave_the_text(spark):
     body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(k, "a", f"Accept  all cookies\n{body(k)}\n\naccept all COOKIES") for k in range(25)]
@@ -74,7 +86,7 @@ def test_targets_share_the_excess(spark):
     assert got == pytest.approx(want)
 
 
-ODD = ["a<|endoftext|>b  c\n\n d\t\te  ", "it's I'll    x　y", "a" * 2000, "😀é́ ñ ١٢٣ ½ ΟΔΟΣ İ K", "x ́y \n", " \n \n", "<|endoftext|>", "I'. it's. don't, x.. y., z,. a. b", "\x02 a\x02", ""]
+ODD = ["a<|endoftext|>b  c\n\n d\t\te  ", "it's I'll    x　y", "a" * 2000, "😀é́ ñ ١٢٣ ½ ΟΔΟΣ İ K", "x ́y \n", " \n \n", "<|endoftext|>", "I'. it's. don't, x.. y., z,. a. b", "\x02 a\x02", "", "<|ENDOFTEXT|> The <|endoftext|>É. <|StartOfText|>x", "ÀB. ÇŸ, ßẞ"]
 
 
 def test_counts_equal_the_library(texts):
@@ -156,8 +168,8 @@ def shingles(text, n):
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
 
 
-@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 512), (3, 90, 8), (5, 80, 512)])
-def test_join_equals_all_pairs(spark, texts, n, percent, block):
+@pytest.mark.parametrize(("n", "percent", "options"), [(3, 90, {}), (3, 90, {"block": 2}), (5, 80, {}), (5, 80, {"exact": True, "block": 8})])
+def test_join_equals_all_pairs(spark, texts, n, percent, options):
     random.seed(5)
     rows, new = list(texts), 10**6
     for _, text in random.sample(texts, 30):
@@ -191,11 +203,22 @@ def test_join_equals_all_pairs(spark, texts, n, percent, block):
     for k, (doc_id, _) in enumerate(rows):
         smallest[find(k)] = min(smallest[find(k)], doc_id)
     want = sorted((doc_id, len(sets[k]), smallest[find(k)], links[k]) for k, (doc_id, _) in enumerate(rows))
-    got = jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), n=n, percent=percent, block=block)
+    got = jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), n=n, percent=percent, **options)
     assert sorted(map(tuple, got.collect())) == want
 
 
-@pytest.mark.parametrize("options", [{}, {"batches": 5, "group": 3}, {"batches": 1, "group": 1}])
+def test_leaf_pairs_lose_no_link():
+    random.seed(21)
+    base = [frozenset(random.sample(range(4000), random.randint(20, 90))) for _ in range(12)]
+    sets = [np.array(sorted(b - set(random.sample(sorted(b), 2)) | set(random.sample(range(4000), 2))), np.uint64) << np.uint64(24) for b in base for _ in range(6)]
+    sets.sort(key=len)
+    sizes, counts = np.array([len(s) for s in sets]), np.frombuffer(b"".join(map(jaccard_join.signature, sets)), np.uint8).reshape(len(sets), -1)
+    found = set(zip(*(x.tolist() for x in jaccard_join.leaf_pairs(sizes, sizes, counts, 80))))
+    links = {(i, j) for i in range(len(sets)) for j in range(i, len(sets)) if len(np.intersect1d(sets[i], sets[j])) * 100 >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert links <= found and len(links) > len(sets) and len(found) < 2 * len(links)
+
+
+@pytest.mark.parametrize("options", [{}, {"batches": 7, "group": 3}, {"batches": 1, "group": 1}])
 def test_repeats_equal_all_windows(spark, texts, options):
     random.seed(2)
     rows, new, sources = texts[:80], 10**6, [t for _, t in texts if len(t) > 400]
