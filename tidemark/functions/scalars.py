@@ -66,11 +66,17 @@ def position_notional(equity: Column, cash: Column, entry: Column, stop: Column,
     return F.least(equity / F.lit(float(max_positions)), cash)
 
 
-def market_open(ts: Column, zone: str = "Asia/Kolkata") -> Column:
-    """Monday to Friday from 09:15 to 15:30, both included, by the clock of the zone."""
+# Days without a session besides Saturdays and Sundays.
+HOLIDAYS = (
+    "2026-01-26", "2026-02-26", "2026-03-04", "2026-04-03", "2026-04-14", "2026-05-01", "2026-10-02", "2026-10-20", "2026-11-09", "2026-11-10", "2026-11-25", "2026-12-25",
+)
+
+
+def market_open(ts: Column, zone: str = "Asia/Kolkata", holidays: tuple[str, ...] = HOLIDAYS) -> Column:
+    """Monday to Friday from 09:15 to 15:30, both included, by the clock of the zone; never on holidays there."""
     local = F.from_utc_timestamp(ts, zone)
     minute = F.hour(local) * 60 + F.minute(local) + F.second(local) / F.lit(60.0)
-    return (F.weekday(local) < 5) & (minute >= 9 * 60 + 15) & (minute <= 15 * 60 + 30)
+    return (F.weekday(local) < 5) & ~F.date_format(local, "yyyy-MM-dd").isin(*holidays) & (minute >= 9 * 60 + 15) & (minute <= 15 * 60 + 30)
 
 
 def session_fraction(ts: Column, zone: str = "Asia/Kolkata") -> Column:

@@ -60,33 +60,35 @@ def cents(v: float) -> float:
 VALUES = tuple(f"ema{p}" for p in EMAS) + ("true_range", "atr14") + tuple(f"rsi{p}" for p in RSIS)
 
 
-def recursive(bars: pa.Table) -> pa.Table:
-    """The bars of one symbol with their recursive values."""
+def recursive(bars: pa.Table, values: tuple[str, ...] = VALUES) -> pa.Table:
+    """The bars of one symbol with those of their recursive values that are asked for."""
     bars = bars.sort_by("bar")
     high, low, close = (bars.column(c).to_pylist() for c in ("high", "low", "close"))
-    columns = {f"ema{p}": ema(close, p) for p in EMAS}
+    columns = {f"ema{p}": ema(close, p) for p in EMAS if f"ema{p}" in values}
     spans = [max(h - x, abs(h - c), abs(c - x)) for h, x, c in zip(high[1:], low[1:], close)]
     columns["true_range"] = [None, *spans]
-    columns["atr14"] = [None, *[None if v is None else cents(v) for v in wilder(spans, ATR_PERIOD)]]
+    if "atr14" in values:
+        columns["atr14"] = [None, *[None if v is None else cents(v) for v in wilder(spans, ATR_PERIOD)]]
     changes = [b - a for a, b in zip(close, close[1:])]
-    for p in RSIS:
+    for p in (p for p in RSIS if f"rsi{p}" in values):
         gains, losses = wilder([max(c, 0.0) for c in changes], p), wilder([max(-c, 0.0) for c in changes], p)
         columns[f"rsi{p}"] = [None, *[None if g is None else relative_strength_index(g, x) for g, x in zip(gains, losses)]]
-    for name in VALUES:
+    for name in values:
         bars = bars.append_column(name, pa.array(columns[name], pa.float64()))
     return bars
 
 
-def indicators(candles: DataFrame) -> DataFrame:
-    """candles with ema7 .. ema200, true_range, atr14 (to cents), rsi2 and rsi14; null until seeded.
+def indicators(candles: DataFrame, *values: str) -> DataFrame:
+    """candles with values, which may be ema7 .. ema200, true_range, atr14 (to cents), rsi2 and rsi14, or all; null until seeded.
 
     One shuffle by symbol; a bar's values need it and the bars before it only.  The recursion has
     no form as a window; a fold over arrays copies its result at each bar, and took six times as
     long as this loop over the bars of a symbol, which are all a task holds at a time.
     """
     rows = candles.select("symbol_id", *CANDLE)
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", " + ", ".join(f"{v} double" for v in VALUES)
-    return rows.groupBy("symbol_id").applyInArrow(recursive, schema)
+    asked = values or VALUES
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", " + ", ".join(f"{v} double" for v in asked)
+    return rows.groupBy("symbol_id").applyInArrow(lambda bars: recursive(bars, asked), schema)
 
 
 def volume_stats(rows: DataFrame, window: int = 20) -> DataFrame:

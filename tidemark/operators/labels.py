@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,11 +81,16 @@ def ema_exit(signals: DataFrame, rows: DataFrame, slip: float = 0.002, max_hold:
 
 def non_overlapping(trades: DataFrame) -> DataFrame:
     """Trades of a symbol, in order, without those that begin before the last kept one has ended."""
-    fields = [c for c in trades.columns if c != "symbol_id"]
-    lists = trades.groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("signal_bar", *[c for c in fields if c != "signal_bar"]))).alias("all"))
-    kind = lists.schema["all"].dataType.simpleString()
-    kept = F.aggregate("all", F.struct(F.lit(-1).alias("until"), F.array().cast(kind).alias("out")), lambda a, t: F.when(t["signal_bar"] > a["until"], F.struct(t["exit_bar"].alias("until"), F.concat(a["out"], F.array(t)).alias("out"))).otherwise(a), lambda a: a["out"])
-    return lists.select("symbol_id", F.inline(kept)).select(*trades.columns)
+
+    def kept(rows: pa.Table) -> pa.Table:
+        rows, until, chosen = rows.sort_by("signal_bar"), -1, []
+        for k, (begin, end) in enumerate(zip(rows.column("signal_bar").to_pylist(), rows.column("exit_bar").to_pylist())):
+            if begin > until:
+                chosen.append(k)
+                until = end
+        return rows.take(chosen)
+
+    return trades.groupBy("symbol_id").applyInArrow(kept, trades.schema)
 
 
 def micro(r: Column | str) -> Column:
@@ -101,12 +107,18 @@ def loss_streak(trades: DataFrame) -> Column:
 def max_loss_streak(trades: DataFrame) -> DataFrame:
     """(max_loss_streak) of all trades in order of (exit_date, symbol_id, signal_bar).
 
-    Islands between resets: their order needs one sort of the trades, which are few.
+    Runs between resets are counted within each date; only a date's first and last run go on in its
+    neighbours, so that one sort is of dates, a row each.
     """
-    order = W.orderBy("exit_date", "symbol_id", "signal_bar")
+    order = W.partitionBy("exit_date").orderBy("symbol_id", "signal_bar")
     steps = trades.withColumn("step", loss_streak(trades)).filter("step is not null").withColumn("island", F.sum(1 - F.col("step")).over(order))
-    runs = steps.groupBy("island").agg(F.sum("step").alias("run"))
-    return runs.agg(F.coalesce(F.max("run"), F.lit(0)).alias("max_loss_streak"))
+    runs = steps.groupBy("exit_date", "island").agg(F.sum("step").alias("run"))
+    dates = runs.groupBy("exit_date").agg(F.max("island").alias("resets"), F.max(F.when(F.col("island") == 0, F.col("run"))).alias("first"), F.max_by("run", "island").alias("last"), F.max("run").alias("longest"))
+    dates = dates.withColumn("stretch", F.sum((F.col("resets") > 0).cast("int")).over(W.orderBy("exit_date")))
+    ends = F.when(F.col("resets") > 0, F.array(F.struct((F.col("stretch") - 1).alias("stretch"), F.coalesce("first", F.lit(0)).alias("run")), F.struct("stretch", F.col("last").alias("run")))).otherwise(F.array(F.struct("stretch", F.col("last").alias("run"))))
+    joined = dates.select(F.explode(ends).alias("x")).groupBy("x.stretch").agg(F.sum("x.run").alias("run"))
+    longest = joined.select("run").unionByName(dates.select(F.col("longest").alias("run")))
+    return longest.agg(F.coalesce(F.max("run"), F.lit(0)).alias("max_loss_streak"))
 
 
 def summary(trades: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
-"""A daily batch on open positions, and replays of trades with one purse."""
+"""A daily batch on open positions, and what a purse buys."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -43,29 +42,24 @@ def queue(candidates: DataFrame, held: DataFrame, slots: int, gate_open: bool =
     return ranked.withColumn("rank", rank).withColumn("shadow", F.lit(not gate_open))
 
 
-def fill(pending: DataFrame, bars: DataFrame, cash: float, stake: float = STAKE) -> DataFrame:
-    """(symbol_id, shares, entry, stopped): pending filled at the day's open in symbol order while cash lasts.
+def fill(pending: DataFrame, cash: float, stake: float = STAKE) -> DataFrame:
+    """pending with shares and stopped: filled at the open of their date, in symbol order, while the date's cash lasts.
 
-    Cash passes from fill to fill, so the few pending rows are one ordered fold; a symbol without a
-    bar is dropped.
+    pending has entry_date, symbol_id, sl and the open and low of the date.  What is asked for adds
+    up, by a running sum within each date; a symbol that gets no share is dropped.
     """
-    rows = pending.join(bars.select("symbol_id", "open", "low"), "symbol_id").groupBy().agg(F.array_sort(F.collect_list(F.struct("symbol_id", "open", "low", "sl"))).alias("all"))
-    kind = "array<struct<symbol_id:bigint,shares:bigint,entry:double,stopped:boolean>>"
-
-    def step(a, p):
-        shares = F.floor(F.least(F.lit(stake), a["cash"]) / p["open"])
-        filled = F.struct(p["symbol_id"].alias("symbol_id"), shares.alias("shares"), p["open"].alias("entry"), (p["low"] <= p["sl"]).alias("stopped"))
-        return F.when(shares > 0, F.struct((a["cash"] - shares * p["open"]).alias("cash"), F.concat(a["out"], F.array(filled)).alias("out"))).otherwise(a)
-
-    return rows.select(F.inline(F.aggregate("all", F.struct(F.lit(cash).alias("cash"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])))
+    shares = F.floor(F.lit(stake) / F.col("open"))
+    rows = pending.withColumn("shares", shares).filter("shares > 0").withColumn("cents", F.round(F.col("shares") * F.col("open") * 100).cast("long"))
+    spent = F.sum("cents").over(W.partitionBy("entry_date").orderBy("symbol_id", "signal_bar").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("spent", spent).filter(F.col("spent") <= F.lit(cash) * 100).withColumn("stopped", F.col("low") <= F.col("sl")).drop("cents", "spent")
 
 
 def capital_journey(trades: DataFrame, start: float = 100_000.0) -> DataFrame:
-    """(trades, skipped, final): trades in order of entry, each with as many whole shares as the capital buys.
+    """(symbol_id, trades, skipped, final): a symbol's trades in order of entry, each with as many whole shares as its capital buys.
 
-    The capital passes from trade to trade: one ordered fold over a single line of trades.
+    The capital passes from trade to trade: an ordered fold over the trades of one symbol.
     """
-    rows = trades.groupBy().agg(F.array_sort(F.collect_list(F.struct("entry_date", "symbol_id", "entry", "exit_price"))).alias("all"))
+    rows = trades.groupBy("symbol_id").agg(F.array_sort(F.collect_list(F.struct("entry_date", "entry", "exit_price"))).alias("all"))
 
     def step(a, t):
         shares = F.floor(a["capital"] / t["entry"])
@@ -73,39 +67,7 @@ def capital_journey(trades: DataFrame, start: float = 100_000.0) -> DataFrame:
         return F.struct((a["capital"] + shares * (t["exit_price"] - t["entry"])).alias("capital"), (a["n"] + taken.cast("long")).alias("n"), (a["skipped"] + (~taken).cast("long")).alias("skipped"))
 
     end = F.aggregate("all", F.struct(F.lit(start).alias("capital"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("skipped")), step)
-    return rows.select(end.alias("x")).select(F.col("x.n").alias("trades"), F.col("x.skipped").alias("skipped"), F.col("x.capital").alias("final"))
-
-
-def sweep(trades: DataFrame, configs: DataFrame, start: float = 1_000_000.0) -> DataFrame:
-    """(config_id, trades, final_equity, max_drawdown_pct) of replays with shared capital, one for each config.
-
-    configs: (config_id, slots, risk_pct).  Labels are computed beforehand; a replay is a task.
-    On a date exits come before entries and only earlier exits free cash; best scores first.
-    """
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        slots, risk = int(pdf["slots"].iat[0]), float(pdf["risk_pct"].iat[0]) / 100
-        cash, peak, worst, n, held = start, start, 0.0, 0, []
-        for day, group in pdf.sort_values(["entry_date", "score", "symbol_id"], ascending=[True, False, True]).groupby("entry_date"):
-            for p in [p for p in held if p[0] < day]:
-                cash += p[1]
-                held.remove(p)
-            equity = cash + sum(p[2] for p in held)
-            peak, worst = max(peak, equity), min(worst, equity / max(peak, equity) - 1)
-            for t in group.itertuples():
-                if len(held) >= slots or any(p[3] == t.symbol_id for p in held):
-                    continue
-                stake = min(equity * risk / ((t.entry - t.sl) / t.entry), equity / slots, cash)
-                if stake <= 0:
-                    continue
-                cash -= stake
-                held.append((t.exit_date, stake * t.exit_price / t.entry, stake, t.symbol_id))
-                n += 1
-        final = cash + sum(p[1] for p in held)
-        return pd.DataFrame({"config_id": [pdf["config_id"].iat[0]], "trades": [n], "final_equity": [round(final, 2)], "max_drawdown_pct": [round(worst * 100, 4)]})
-
-    each = trades.select("symbol_id", "entry_date", "exit_date", "entry", "sl", "exit_price", "score").crossJoin(F.broadcast(configs))
-    return each.groupBy("config_id").applyInPandas(replay, "config_id int, trades long, final_equity double, max_drawdown_pct double")
+    return rows.select("symbol_id", end.alias("x")).select("symbol_id", F.col("x.n").alias("trades"), F.col("x.skipped").alias("skipped"), F.col("x.capital").alias("final"))
 
 
 def shadow_trades(positions: DataFrame, rows: DataFrame, asof: str, slip: float = 0.002) -> DataFrame:

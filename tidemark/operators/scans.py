@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import close_strength, pct_from, round2, rr_grade, trend_class
-from .indicators import by_bar, crossings, extrema, indicators, volume_stats
-from .zones import nearest_above, nearest_below, with_extremes, zones_asof
+from ..sources.shared import written
+from .indicators import by_bar, crossings, extrema, indicators, latest, volume_stats
+from .zones import extremes_of, nearest_above, nearest_below, with_extremes, zones_asof
 
 
 @dataclass(frozen=True)
@@ -55,11 +56,11 @@ class MeanRevOptions:
     stop_atr: float = 2.5
 
 
-def features(candles: DataFrame, max_age: int = 2) -> DataFrame:
-    """Every column that the scans need, each known at its bar: one shuffle by symbol serves them all."""
+def bar_features(candles: DataFrame, max_age: int = 2) -> DataFrame:
+    """Every column that the scans need but zones, each known at its bar: one shuffle by symbol serves them all."""
     rows = crossings(volume_stats(indicators(candles)), max_age)
     crossed = F.last(F.when(F.col("cross"), F.struct(F.col("prior_low").alias("prior_low"), "volume", "avg_volume")), ignorenulls=True).over(by_bar().rowsBetween(-max_age, 0))
-    rows = (
+    return (
         rows.withColumn("prior_low", F.lag("low").over(by_bar()))
         .withColumn("crossed", crossed)
         .withColumn("trend", trend_class(F.col("close"), F.col("ema50"), F.col("ema200")))
@@ -70,7 +71,13 @@ def features(candles: DataFrame, max_age: int = 2) -> DataFrame:
         .withColumn("next_close", F.lead("close").over(by_bar()))
         .withColumn("next_d", F.lead("d").over(by_bar()))
     )
-    return with_extremes(extrema(rows)).drop("is_low", "is_high", "confirm_bar")
+
+
+def features(candles: DataFrame, max_age: int = 2, last_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(bar_features, of the last bars only if so asked; extremes of each symbol), each computed once, from tables."""
+    bars = written(candles, "candles")
+    rows = bar_features(bars, max_age)
+    return written(latest(rows) if last_only else rows, "features"), extremes_of(extrema(bars))
 
 
 def first_reason(checks: list[tuple[str, Column]]) -> Column:
@@ -78,11 +85,16 @@ def first_reason(checks: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(failed, name) for name, failed in checks])
 
 
+def computed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with value, computed once: a filter on what is made of it isn't pushed below, where it would compute it again."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def over(value: Column, limit: float | None) -> Column:
     return F.lit(False) if limit is None else value > F.lit(limit)
 
 
-def swing(rows: DataFrame, o: SwingOptions = SwingOptions()) -> DataFrame:
+def swing(rows: DataFrame, extremes: DataFrame, o: SwingOptions = SwingOptions()) -> DataFrame:
     """Pullbacks to support in an up-trend: rows of features with reason (null for a signal), the setup and score."""
     price = F.col("close")
     early = first_reason([
@@ -94,8 +106,9 @@ def swing(rows: DataFrame, o: SwingOptions = SwingOptions()) -> DataFrame:
     ])
     rows = rows.withColumn("early", early)
     # zones are dear: only where the cheap checks pass
-    rows = rows.withColumn("support", F.when(F.col("early").isNull(), nearest_below(zones_asof("lows", F.col("bar")), price)))
-    rows = rows.withColumn("resistance", F.when(F.col("support").isNotNull(), nearest_above(zones_asof("highs", F.col("bar")), price, o.min_resistance_touches)))
+    rows = with_extremes(rows, extremes, F.col("early").isNull())
+    rows = computed(rows, "support", F.when(F.col("early").isNull(), nearest_below(zones_asof("lows", F.col("bar")), price)))
+    rows = computed(rows, "resistance", F.when(F.col("support").isNotNull(), nearest_above(zones_asof("highs", F.col("bar")), price, o.min_resistance_touches)))
     buffer = F.when(F.col("atr14") > 0, F.lit(o.atr_multiplier) * F.col("atr14"))
     rows = (
         rows.withColumn("entry", round2(price))
@@ -143,13 +156,13 @@ def swing_score() -> Column:
     return trend + rr + touches + volume_score() + candle
 
 
-def breakout(rows: DataFrame, o: SwingOptions = SwingOptions()) -> DataFrame:
+def breakout(rows: DataFrame, extremes: DataFrame, o: SwingOptions = SwingOptions()) -> DataFrame:
     """Prices just below resistance in a constructive trend: rows with reason, distance_pct and score."""
     price = F.col("close")
     constructive = (F.col("trend") == "bullish") | F.coalesce((price > F.col("ema50")) & (F.col("ema50") >= F.col("ema200")), F.lit(False))
-    rows = rows.withColumn("constructive", constructive)
-    rows = rows.withColumn("support", F.when(F.col("constructive"), nearest_below(zones_asof("lows", F.col("bar")), price)))
-    rows = rows.withColumn("resistance", F.when(F.col("support").isNotNull(), nearest_above(zones_asof("highs", F.col("bar")), price, o.min_resistance_touches)))
+    rows = with_extremes(rows.withColumn("constructive", constructive), extremes, F.col("constructive"))
+    rows = computed(rows, "support", F.when(F.col("constructive"), nearest_below(zones_asof("lows", F.col("bar")), price)))
+    rows = computed(rows, "resistance", F.when(F.col("support").isNotNull(), nearest_above(zones_asof("highs", F.col("bar")), price, o.min_resistance_touches)))
     rows = rows.withColumn("distance_pct", F.when(price > 0, (F.col("resistance.low") - price) / price * 100))
     extended = over(pct_from(price, F.col("ema10")), o.max_ema10_pct) | over(pct_from(price, F.col("ema50")), o.max_ema50_pct) | over(pct_from(price, F.col("close10")), o.max_move10_pct)
     reason = first_reason([
@@ -167,7 +180,7 @@ def breakout(rows: DataFrame, o: SwingOptions = SwingOptions()) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("breakout_price", F.col("resistance.high")).withColumn("score", F.when(F.col("reason").isNull(), score)).drop("constructive")
 
 
-def crossover(rows: DataFrame, o: CrossOptions = CrossOptions()) -> DataFrame:
+def crossover(rows: DataFrame, extremes: DataFrame, o: CrossOptions = CrossOptions()) -> DataFrame:
     """Fresh crossings of ema7 over ema21: rows with reason, entry, sl, target, rr and score."""
     price = F.col("close")
     strength = F.coalesce(close_strength(F.col("high"), F.col("low"), price) < o.min_close_strength, F.lit(False)) if o.min_close_strength else F.lit(False)
@@ -179,8 +192,9 @@ def crossover(rows: DataFrame, o: CrossOptions = CrossOptions()) -> DataFrame:
     ])
     sl = F.least(F.col("crossed.prior_low"), price * F.lit(1 - o.min_risk_pct / 100)) if o.min_risk_pct else F.col("crossed.prior_low")
     rows = rows.withColumn("early", early).withColumn("entry", price).withColumn("sl", sl)
+    rows = with_extremes(rows, extremes, F.col("early").isNull())
     goal = nearest_above(zones_asof("highs", F.col("bar")), price, 1, price * F.lit(1 + o.min_target_pct / 100))
-    rows = rows.withColumn("target", F.when(F.col("early").isNull() & (price > F.col("sl")), goal["mid"]))
+    rows = computed(rows, "target", F.when(F.col("early").isNull() & (price > F.col("sl")), goal["mid"]))
     rows = rows.withColumn("rr", F.when(price > F.col("sl"), (F.col("target") - price) / (price - F.col("sl"))))
     surge = F.coalesce(F.col("volume") < F.col("surge_volume") * o.min_surge, F.lit(False)) if o.min_surge else F.lit(False)
     reason = F.coalesce("early", first_reason([
@@ -215,8 +229,8 @@ def meanrev(rows: DataFrame, o: MeanRevOptions = MeanRevOptions()) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("score", F.when(F.col("reason").isNull(), F.lit(50.0) + depth * F.lit(50.0)))
 
 
-#: Strategies by name, each from features to judged rows.
-STRATEGIES = {"swing": swing, "crossover": crossover, "meanrev": meanrev}
+#: Strategies by name, each from features and extremes to judged rows.
+STRATEGIES = {"swing": swing, "crossover": crossover, "meanrev": lambda rows, extremes: meanrev(rows)}
 
 
 def backscan(judged: DataFrame) -> DataFrame:

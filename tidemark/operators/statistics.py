@@ -12,9 +12,9 @@ from .labels import micro
 trade_order = ["exit_date", "symbol_id", "signal_bar"]
 
 
-def day_candidates(signals: DataFrame, n: int = 5) -> DataFrame:
-    """Signals ranked within their entry date by score, then symbol; rank beyond n is rejected."""
-    rank = F.row_number().over(W.partitionBy("entry_date").orderBy(F.desc("score"), "symbol_id"))
+def day_candidates(signals: DataFrame, n: int = 5, by: str = "score") -> DataFrame:
+    """Signals ranked within their entry date by score or another column, then symbol; rank beyond n is rejected."""
+    rank = F.row_number().over(W.partitionBy("entry_date").orderBy(F.desc(by), "symbol_id"))
     return signals.withColumn("rank", rank).withColumn("accepted", F.col("rank") <= n)
 
 
@@ -29,17 +29,25 @@ def portfolio_stats(trades: DataFrame) -> DataFrame:
     )
 
 
-def health(trades: DataFrame, window: int = 20, minimum: float = 0.0) -> DataFrame:
-    """(exit_date, healthy): after the trades closed by each date, whether the mean R of the last `window` is at least minimum.
+def health(trades: DataFrame, window: int = 20, minimum: float = 0.0, factor: bool = False) -> DataFrame:
+    """(exit_date, closed, healthy): after the trades closed by each date, whether the mean R of the last `window` is at least minimum.
 
-    Open until as many have closed.  The trades of all symbols are one sequence, one row each; only
-    their R is sorted.
+    With factor it is their profit factor that counts; without a loss, any gain is healthy.  Open
+    until as many have closed.  Trades are ranked within their date; what is sorted as one sequence
+    are dates, each with its last trades.
     """
-    order = W.orderBy(*trade_order)
-    rows = trades.select(*trade_order, micro("actual_rr").alias("r"))
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("recent", F.sum("r").over(order.rowsBetween(-window + 1, 0)))
-    last = rows.groupBy("exit_date").agg(F.max(F.struct("n", "recent")).alias("x"))
-    return last.select("exit_date", F.col("x.n").cast("long").alias("closed"), ((F.col("x.n") < window) | (F.col("x.recent") / F.lit(1e6) / F.lit(float(window)) >= minimum)).alias("healthy"))
+    last_first = W.partitionBy("exit_date").orderBy(F.desc("symbol_id"), F.desc("signal_bar"))
+    rows = trades.select(*trade_order, micro("actual_rr").alias("r")).withColumn("k", F.row_number().over(last_first))
+    kept = F.when(F.col("k") <= window, F.struct((-F.col("k")).alias("k"), "r"))
+    dates = rows.groupBy("exit_date").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["r"]).alias("last"))
+    by_date = W.orderBy("exit_date")
+    recent = F.flatten(F.collect_list("last").over(by_date.rowsBetween(-window + 1, 0)))  # each date has a trade
+    dates = dates.withColumn("closed", F.sum("n").over(by_date)).withColumn("recent", recent)
+    dates = dates.withColumn("recent", F.slice("recent", -F.least(F.lit(window), F.size("recent")), window))
+    total = lambda test: F.aggregate(F.filter("recent", test), F.lit(0).cast("long"), lambda a, r: a + r)
+    gained, lost = total(lambda r: r > 0), total(lambda r: r < 0)
+    healthy = F.when(lost < 0, gained / -lost >= minimum).otherwise(gained > 0) if factor else (gained + lost) / F.lit(1e6) / F.lit(float(window)) >= minimum
+    return dates.select("exit_date", "closed", ((F.col("closed") < window) | healthy).alias("healthy"))
 
 
 def gated(signals: DataFrame, gate: DataFrame) -> DataFrame:
@@ -66,11 +74,21 @@ def concurrency(trades: DataFrame) -> DataFrame:
     return steps.select("d", F.sum("step").over(W.orderBy("d")).cast("long").alias("open"))
 
 
-def equity_curve(trades: DataFrame, start: float = 1_000_000.0, stake: float = 10_000.0) -> DataFrame:
-    """(d, equity): realised equity in micro units of R times stake, a row per exit date."""
-    days = trades.groupBy(F.col("exit_date").alias("d")).agg(F.sum(micro("actual_rr")).alias("r"), F.count("*").alias("exits"))
-    running = F.sum("r").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, 0))
-    return days.select("d", "exits", (F.lit(start) + running / F.lit(1e6) * F.lit(stake)).alias("equity"))
+def equity_curve(trades: DataFrame, candles: DataFrame, start: float = 1_000_000.0, stake: float = 10_000.0) -> DataFrame:
+    """(d, open, exits, equity), a row for each date on which a trade is held or ends: cash plus whole shares at the date's close.
+
+    Trades meet their bars in an equi-join on (symbol, bar); sums are of cents, and only dates are sorted.
+    """
+    shares = F.floor(F.lit(stake) / F.col("entry"))
+    cents = lambda price: F.round(shares * (price - F.col("entry")) * 100).cast("long")
+    held = trades.select("symbol_id", "entry", F.explode(F.sequence("entry_bar", "exit_bar")).alias("bar"), "exit_bar").filter("bar < exit_bar")
+    marked = held.join(candles.select("symbol_id", "bar", "d", "close"), ["symbol_id", "bar"])
+    none = F.lit(0).cast("long")
+    closed = trades.select(F.col("exit_date").alias("d"), cents(F.col("exit_price")).alias("realised"), none.alias("marked"), F.lit(1).alias("exits"), F.lit(0).alias("open"))
+    both = closed.unionByName(marked.select("d", none.alias("realised"), cents(F.col("close")).alias("marked"), F.lit(0).alias("exits"), F.lit(1).alias("open")))
+    days = both.groupBy("d").agg(*[F.sum(c).cast("long").alias(c) for c in ("realised", "marked", "exits", "open")])
+    running = F.sum("realised").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, 0))
+    return days.select("d", "open", "exits", (F.lit(start) + (running + F.col("marked")) / F.lit(100.0)).alias("equity"))
 
 
 def drawdown(curve: DataFrame, start: float = 1_000_000.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ZONE = "struct<low:double,high:double,mid:double,touches:int>"
@@ -24,14 +25,27 @@ def cluster(prices: Column, pct: float = 0.02) -> Column:
     return F.aggregate(prices, start, step, lambda a: F.when(a["touches"] > 0, F.concat(a["out"], zone(a))).otherwise(a["out"]))
 
 
-def with_extremes(rows: DataFrame) -> DataFrame:
-    """rows with the symbol's local lows and highs, (price, confirm_bar) each, ascending by price."""
+def extremes_of(rows: DataFrame) -> DataFrame:
+    """(symbol_id, lows, highs): a symbol's local lows and highs, (price, confirm_bar) each, ascending by price."""
 
     def known(flag: str, price: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col(flag), F.struct(F.col(price).alias("price"), "confirm_bar")))).alias(f"{price}s")
 
-    found = rows.groupBy("symbol_id").agg(known("is_low", "low"), known("is_high", "high"))
-    return rows.join(found, "symbol_id")
+    return rows.groupBy("symbol_id").agg(known("is_low", "low"), known("is_high", "high"))
+
+
+def with_extremes(rows: DataFrame, extremes: DataFrame, wanted: Column) -> DataFrame:
+    """rows with the extremes of their symbol where they are wanted, null elsewhere: others don't carry them."""
+    chosen = rows.filter(wanted).join(extremes, "symbol_id", "left")
+    return chosen.unionByName(rows.filter(~wanted), allowMissingColumns=True)
+
+
+def latest_with_extremes(rows: DataFrame, last_bars: int | None = None) -> DataFrame:
+    """The last bar of each symbol with the symbol's extremes, of its last bars only if so asked; rows have is_low and is_high."""
+    ended = rows.withColumn("_last", F.max("bar").over(W.partitionBy("symbol_id")))
+    kept = ended.filter(F.col("bar") > F.col("_last") - last_bars) if last_bars else ended
+    known = lambda flag, price: F.array_sort(F.collect_list(F.when(F.col(flag), F.struct(F.col(price).alias("price"), "confirm_bar")))).alias(f"{price}s")
+    return kept.groupBy("symbol_id").agg(F.max("bar").alias("bar"), F.max_by("close", "bar").alias("close"), known("is_low", "low"), known("is_high", "high"))
 
 
 def zones_asof(extremes: str, bar: Column) -> Column:

@@ -97,7 +97,7 @@ def close_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select trend, count(*)::bigint n from feat group by 1", IND, FEAT))
 def trend_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.indicators(fx.candles(spark, sf_dir))
+    rows = I.indicators(fx.candles(spark, sf_dir), "ema50", "ema200")
     return rows.withColumn("trend", S.trend_class(F.col("close"), F.col("ema50"), F.col("ema200"))).groupBy("trend").agg(F.count("*").alias("n"))
 
 
@@ -142,37 +142,47 @@ def period_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Indicators
 
 
-def _ind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.indicators(fx.candles(spark, sf_dir))
+def _ind(spark: SparkSession, sf_dir: str, *values: str) -> DataFrame:
+    return I.indicators(fx.candles(spark, sf_dir), *values)
 
 
-def _feat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.features(fx.candles(spark, sf_dir))
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.bar_features(fx.candles(spark, sf_dir))
+
+
+def _feat(spark: SparkSession, sf_dir: str, last_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    return scans.features(fx.candles(spark, sf_dir), last_only=last_only)
+
+
+def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of fresh crossings, with the extremes of their symbol."""
+    rows, extremes = _feat(spark, sf_dir)
+    return rows.filter("cross and bar >= 50").join(extremes, "symbol_id")
 
 
 @query(sql(f"select symbol_id, bar, {r4('ema7')}, {r4('ema21')}, {r4('ema50')}, {r4('ema200')} from ind", IND))
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ind(spark, sf_dir).select("symbol_id", "bar", "ema7", "ema21", "ema50", "ema200"), "ema7", "ema21", "ema50", "ema200")
+    return rounded(_ind(spark, sf_dir, "ema7", "ema21", "ema50", "ema200").select("symbol_id", "bar", "ema7", "ema21", "ema50", "ema200"), "ema7", "ema21", "ema50", "ema200")
 
 
 @query(sql(f"select symbol_id, bar, {r4('ema10')}, {r4('ema50')}, {r4('ema200')} from ind join ({LATEST}) using (symbol_id, bar)", IND))
 def ema_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.latest(_ind(spark, sf_dir)).select("symbol_id", "bar", "ema10", "ema50", "ema200"), "ema10", "ema50", "ema200")
+    return rounded(I.latest(_ind(spark, sf_dir, "ema10", "ema50", "ema200")).select("symbol_id", "bar", "ema10", "ema50", "ema200"), "ema10", "ema50", "ema200")
 
 
 @query(sql(f"select symbol_id, bar, {r4('true_range')} from (select *, case when bar > 1 then greatest(high - low, abs(high - lag(close) over w), abs(lag(close) over w - low)) end true_range from candles window w as (partition by symbol_id order by bar))"))
 def true_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ind(spark, sf_dir).select("symbol_id", "bar", "true_range"), "true_range")
+    return rounded(_ind(spark, sf_dir, "true_range").select("symbol_id", "bar", "true_range"), "true_range")
 
 
 @query(sql("select symbol_id, bar, atr14 from ind", IND))
 def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ind(spark, sf_dir).select("symbol_id", "bar", "atr14")
+    return _ind(spark, sf_dir, "atr14").select("symbol_id", "bar", "atr14")
 
 
 @query(sql(f"select symbol_id, bar, {r4('rsi2')}, {r4('rsi14')} from ind", IND))
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ind(spark, sf_dir).select("symbol_id", "bar", "rsi2", "rsi14"), "rsi2", "rsi14")
+    return rounded(_ind(spark, sf_dir, "rsi2", "rsi14").select("symbol_id", "bar", "rsi2", "rsi14"), "rsi2", "rsi14")
 
 
 @query(sql(f"select symbol_id, bar, {r4('avg_volume')}, {r4('case when avg_volume > 0 then volume / avg_volume else 0 end', 'volume_ratio')} from (select *, coalesce(avg(volume) over (partition by symbol_id order by bar rows between 20 preceding and 1 preceding), 0) avg_volume from candles)"))
@@ -182,14 +192,14 @@ def volume_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"select symbol_id, bar, {r4('(close - ema10) / ema10 * 100', 'ext_ema10')}, {r4('(close - ema50) / ema50 * 100', 'ext_ema50')}, {r4('(close - close10) / close10 * 100', 'move10')} from feat where bar >= 50", IND, FEAT))
 def extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ind(spark, sf_dir).withColumn("close10", F.lag("close", 10).over(I.by_bar())).filter("bar >= 50")
+    rows = _ind(spark, sf_dir, "ema10", "ema50").withColumn("close10", F.lag("close", 10).over(I.by_bar())).filter("bar >= 50")
     c = F.col("close")
     return rows.select("symbol_id", "bar", round4(S.pct_from(c, F.col("ema10"))).alias("ext_ema10"), round4(S.pct_from(c, F.col("ema50"))).alias("ext_ema50"), round4(S.pct_from(c, F.col("close10"))).alias("move10"))
 
 
 @query(sql("select symbol_id, bar, ema200 >= ema200_past rising from feat where bar >= 220", IND, FEAT))
 def ema200_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ind(spark, sf_dir).withColumn("past", F.lag("ema200", 20).over(I.by_bar())).filter("bar >= 220")
+    rows = _ind(spark, sf_dir, "ema200").withColumn("past", F.lag("ema200", 20).over(I.by_bar())).filter("bar >= 220")
     return rows.select("symbol_id", "bar", (F.col("ema200") >= F.col("past")).alias("rising"))
 
 
@@ -200,12 +210,12 @@ def ret_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select symbol_id, bar, cross_bar, bar - cross_bar cross_age from feat where cross_bar is not null", IND, FEAT))
 def ema_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.crossings(_ind(spark, sf_dir)).filter("cross_bar is not null").select("symbol_id", "bar", "cross_bar", "cross_age")
+    return I.crossings(_ind(spark, sf_dir, "ema7", "ema21")).filter("cross_bar is not null").select("symbol_id", "bar", "cross_bar", "cross_age")
 
 
-@query(sql(f"select f.symbol_id, f.bar, {r4('c.volume / c.avg_volume', 'cross_volume_ratio')} from feat f join feat c on c.symbol_id = f.symbol_id and c.bar = f.cross_bar where c.avg_volume > 0", IND, FEAT))
+@query(sql(f"select symbol_id, bar, {r4('v / a', 'cross_volume_ratio')} from (select *, arg_max(volume, bar) filter (is_cross) over w v, arg_max(avg_volume, bar) filter (is_cross) over w a from feat window w as (partition by symbol_id order by bar rows between 2 preceding and current row)) where cross_bar is not null and a > 0", IND, FEAT))
 def cross_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _feat(spark, sf_dir).filter("cross_bar is not null and crossed.avg_volume > 0")
+    rows = _bars(spark, sf_dir).filter("cross_bar is not null and crossed.avg_volume > 0")
     return rows.select("symbol_id", "bar", round4(F.col("crossed.volume") / F.col("crossed.avg_volume")).alias("cross_volume_ratio"))
 
 
@@ -242,7 +252,7 @@ BREC = "brec as (select *, close total, null::double e50, null::double e200 from
 def _bench_ind(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = fx.bench_index(fx.candles(spark, sf_dir))
     rows = bench.select(F.lit(0).alias("symbol_id"), "d", F.row_number().over(W.orderBy("d")).alias("bar"), *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], F.lit(0).cast("long").alias("volume"))
-    return I.indicators(rows)
+    return I.indicators(rows, "ema50", "ema200")
 
 
 @query(sql("select d, coalesce(close > e200, true) price_open, case when e200 is null then true else e50 > e200 end ema_open from brec", BENCH, BREC))
@@ -255,7 +265,7 @@ def regime_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _at_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.latest(Z.with_extremes(I.extrema(fx.candles(spark, sf_dir))))
+    rows = Z.latest_with_extremes(I.extrema(fx.candles(spark, sf_dir)))
     both = [rows.select("symbol_id", "bar", "close", F.lit(k).alias("kind"), F.inline(Z.zones_asof(f"{k}s", F.col("bar")))) for k in ("low", "high")]
     return both[0].unionByName(both[1])
 
@@ -274,7 +284,7 @@ def zones_filter_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select c.symbol_id, (select max(mid) from zones z where z.symbol_id = c.symbol_id and kind = 'low' and z.high < c.close) support_mid, (select min(mid) from zones z where z.symbol_id = c.symbol_id and kind = 'high' and touches >= 2 and z.low > c.close) resistance_mid, (select min(mid) from zones z where z.symbol_id = c.symbol_id and kind = 'high' and z.low > c.close and mid >= c.close * '1.04'::double) target_mid from candles c join (" + LATEST + ") using (symbol_id, bar)", EXT, zones(LATEST)))
 def nearest_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.latest(Z.with_extremes(I.extrema(fx.candles(spark, sf_dir))))
+    rows = Z.latest_with_extremes(I.extrema(fx.candles(spark, sf_dir)))
     lows, highs, price = Z.zones_asof("lows", F.col("bar")), Z.zones_asof("highs", F.col("bar")), F.col("close")
     return rows.select("symbol_id", Z.nearest_below(lows, price)["mid"].alias("support_mid"), Z.nearest_above(highs, price)["mid"].alias("resistance_mid"), Z.nearest_above(highs, price, 1, price * F.lit(1.04))["mid"].alias("target_mid"))
 
@@ -284,21 +294,32 @@ CROSSED = "select symbol_id, bar from feat where is_cross and bar >= 50"
 
 @query(sql("select symbol_id, bar, min(mid) target_mid from zones z join feat f using (symbol_id, bar) where kind = 'high' and z.low > f.close and mid >= f.close * '1.04'::double group by 1, 2", IND, FEAT, EXT, zones(CROSSED)))
 def target_at_least(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _feat(spark, sf_dir).filter("cross and bar >= 50")
+    rows = _crossed(spark, sf_dir)
     target = Z.nearest_above(Z.zones_asof("highs", F.col("bar")), F.col("close"), 1, F.col("close") * F.lit(1.04))["mid"]
     return rows.select("symbol_id", "bar", target.alias("target_mid")).filter("target_mid is not null")
 
 
-@query(sql("select symbol_id, side, rank, low, high, mid, touches from (select z.*, case when mid > c.close then 'above' else 'below' end side, row_number() over (partition by z.symbol_id, mid > c.close order by abs(mid - c.close), mid)::int rank from zones z join candles c using (symbol_id, bar)) where rank <= 5", EXT, zones(LATEST)))
+@query(sql("select symbol_id, side, rank, low, high, mid, touches from (select z.*, case when mid > c.close then 'above' else 'below' end side, row_number() over (partition by z.symbol_id, mid > c.close order by abs(mid - c.close), mid, kind, z.low, z.high, touches)::int rank from zones z join candles c using (symbol_id, bar)) where rank <= 5", EXT, zones(LATEST)))
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _at_latest(spark, sf_dir).withColumn("side", F.when(F.col("mid") > F.col("close"), "above").otherwise("below"))
-    rank = F.row_number().over(W.partitionBy("symbol_id", "side").orderBy(F.abs(F.col("mid") - F.col("close")), "mid"))
+    rank = F.row_number().over(W.partitionBy("symbol_id", "side").orderBy(F.abs(F.col("mid") - F.col("close")), "mid", "kind", "low", "high", "touches"))
     return rows.withColumn("rank", rank).filter("rank <= 5").select("symbol_id", "side", "rank", "low", "high", "mid", "touches")
 
 
+RECENT = "rcand as (select symbol_id, bar from candles join (select symbol_id, max(bar) lb from candles group by 1) using (symbol_id) where bar > lb - 120), ext as materialized (select e.* from ext0 e join rcand r on r.symbol_id = e.symbol_id and r.bar = e.confirm_bar - 2)"
+
+
+@query(sql("select symbol_id, kind, low, high, mid, touches from zones", EXT.replace("ext as materialized", "ext0 as materialized"), RECENT, zones(LATEST)))
+def levels_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones at the last bar, of the extremes of the last 120 bars."""
+    rows = Z.latest_with_extremes(I.extrema(fx.candles(spark, sf_dir)), 120)
+    both = [rows.select("symbol_id", F.lit(k).alias("kind"), F.inline(Z.zones_asof(f"{k}s", F.col("bar")))) for k in ("low", "high")]
+    return both[0].unionByName(both[1])
+
+
 @query(sql("select symbol_id, bar, kind, count(*)::bigint n, sum(touches)::bigint touches, min(low) lowest, max(high) highest from zones group by all", IND, FEAT, EXT, zones(CROSSED)))
 def zones_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _feat(spark, sf_dir).filter("cross and bar >= 50")
+    rows = _crossed(spark, sf_dir)
     both = [rows.select("symbol_id", "bar", F.lit(k).alias("kind"), F.inline(Z.zones_asof(f"{k}s", F.col("bar")))) for k in ("low", "high")]
     return both[0].unionByName(both[1]).groupBy("symbol_id", "bar", "kind").agg(F.count("*").alias("n"), F.sum("touches").alias("touches"), F.min("low").alias("lowest"), F.max("high").alias("highest"))
 
@@ -325,10 +346,10 @@ def sector_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "stock_ret", "bench_ret", "outperformance")
 
 
-@query(sql("select symbol_id, d, min(n.d2) next_d from (select distinct symbol_id, (d - interval 1 day)::date d from candles where bar % 7 = 0) s join (select symbol_id sid, d d2 from candles) n on sid = symbol_id and d2 > d group by 1, 2"))
+@query(sql("select symbol_id, d, min(n.d2) next_d from (select distinct symbol_id, (d - interval 1 day)::date d from candles) s asof join (select symbol_id sid, d d2 from candles) n on sid = symbol_id and d2 > d group by 1, 2"))
 def next_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.candles(spark, sf_dir)
-    asked = rows.filter("bar % 7 = 0").select("symbol_id", F.date_sub("d", 1).alias("d"), F.lit(1).alias("asked")).distinct()
+    asked = rows.select("symbol_id", F.date_sub("d", 1).alias("d"), F.lit(1).alias("asked")).distinct()
     both = asked.unionByName(rows.select("symbol_id", "d", F.lit(0).alias("asked")))
     later = F.min(F.when(F.col("asked") == 0, F.col("d"))).over(W.partitionBy("symbol_id").orderBy(F.datediff("d", F.lit("1970-01-01").cast("date"))).rangeBetween(1, W.unboundedFollowing))
     return both.withColumn("next_d", later).filter("asked = 1 and next_d is not null").select("symbol_id", "d", "next_d")

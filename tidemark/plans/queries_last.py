@@ -28,14 +28,8 @@ def _csv(spark: SparkSession, rows: DataFrame) -> str:
     return path
 
 
-@query(sql("select 'S' || symbol_id symbol, d::timestamp ts, open, high, low, close, volume from candles where symbol_id <= 3"))
-def src_candles_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _csv(spark, fx.candles(spark, sf_dir).filter("symbol_id <= 3"))
-    return R.read_candles_csv(spark, path)[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
 @query(sql("select 'S' || symbol_id symbol, d::timestamp ts, open, high, low, close, volume from candles"))
-def src_candles_csv_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_candles_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _csv(spark, fx.candles(spark, sf_dir).repartition("symbol_id"))
     return R.read_candles_csv(spark, path)[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -105,7 +99,7 @@ def sink_trades_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""select symbol_id, bar, '[' || concat_ws(', ', printf('Trend %s', trend), printf('R/R %.2f', rr), case when sup.touches = 1 then 'Support touched 1 time' else printf('Support touched %d times', sup.touches) end,
   case when volume_ratio >= 1.5 then printf('Volume %.2fx rolling average', volume_ratio) end) || ']' reasons from sw where reason is null""", *BASE, swing_sql(False)))
 def reasons_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.swing(_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
+    rows = scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
     n = F.col("support.touches")
     lines = F.array(F.format_string("Trend %s", "trend"), F.format_string("R/R %.2f", "rr"), F.when(n == 1, "Support touched 1 time").otherwise(F.format_string("Support touched %d times", n)), F.when(F.col("volume_ratio") >= 1.5, F.format_string("Volume %.2fx rolling average", "volume_ratio")))
     return rows.select("symbol_id", "bar", F.concat(F.lit("["), F.array_join(F.filter(lines, lambda x: x.isNotNull()), ", "), F.lit("]")).alias("reasons"))
@@ -153,7 +147,7 @@ def excess_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select symbol_id, bar, case when reason is null then sl else close - 2 * atr14 end stop, reason is null fired from sw where is_cross and bar >= 210", *BASE, swing_sql(False)).replace("case when reason is null then sl else close - 2 * atr14 end stop", "round((case when reason is null then sl else close - 2 * atr14 end) * 10000) / 10000 stop"))
 def reconstruct_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.swing(_feat(spark, sf_dir), scans.LENIENT).filter("cross and bar >= 210")
+    rows = scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("cross and bar >= 210")
     fired = F.col("reason").isNull()
     return rows.select("symbol_id", "bar", round4(F.when(fired, F.col("sl")).otherwise(F.col("close") - 2 * F.col("atr14"))).alias("stop"), fired.alias("fired"))
 
@@ -204,27 +198,21 @@ def trade_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("trades"), F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") < 0).alias("losses"), (F.sum(F.round(F.col("pnl") * 100).cast("long")) / 100).alias("pnl"))
 
 
-@query()
+@query(sql("select symbol_id, signal_bar, entry_date, shares, entry, stopped from (select *, sum(round(shares * entry * 100)::bigint) over (partition by entry_date order by symbol_id, signal_bar) spent from (select s.symbol_id, s.signal_bar, s.entry_date, floor(10000 / c.open)::bigint shares, c.open entry, c.low <= s.sl stopped from sig s join candles c on c.symbol_id = s.symbol_id and c.bar = s.entry_bar) where shares > 0) where spent <= 50000 * 100", *REV_SIGNALS))
 def eod_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals, rows = _signals(spark, sf_dir, "meanrev")
-    pending = signals.groupBy("symbol_id").agg(F.max(F.struct("entry_date", "sl")).alias("x")).select("symbol_id", "x.*")
-    bars = rows.join(pending.select("symbol_id", F.col("entry_date").alias("d")), ["symbol_id", "d"])
-    return P.fill(pending, bars, 50_000.0)
+    pending = signals.select("symbol_id", "signal_bar", "entry_date", "sl", F.col("entry_bar").alias("bar")).join(rows.select("symbol_id", "bar", "open", "low"), ["symbol_id", "bar"])
+    return P.fill(pending, 50_000.0).select("symbol_id", "signal_bar", "entry_date", "shares", F.col("open").alias("entry"), "stopped")
 
 
-JOURNEY = """o as (select row_number() over (order by entry_date, symbol_id, entry, exit_price) k, entry, exit_price from trades),
-j as (select 0::bigint k, 100000::double capital, 0::bigint n, 0::bigint skipped union all select o.k, j.capital + floor(j.capital / o.entry) * (o.exit_price - o.entry), j.n + (floor(j.capital / o.entry) > 0)::int, j.skipped + (floor(j.capital / o.entry) <= 0)::int from j join o on o.k = j.k + 1)"""
+JOURNEY = """o as (select symbol_id, row_number() over (partition by symbol_id order by entry_date, entry, exit_price) k, entry, exit_price from trades),
+j as (select distinct symbol_id, 0::bigint k, 100000::double capital, 0::bigint n, 0::bigint skipped from trades
+  union all select j.symbol_id, o.k, j.capital + floor(j.capital / o.entry) * (o.exit_price - o.entry), j.n + (floor(j.capital / o.entry) > 0)::int, j.skipped + (floor(j.capital / o.entry) <= 0)::int from j join o on o.symbol_id = j.symbol_id and o.k = j.k + 1)"""
 
 
-@query(sql("select n trades, skipped, round(capital * 100) / 100 final from j order by k desc limit 1", *TRADES, JOURNEY))
+@query(sql("select symbol_id, arg_max(n, k) trades, arg_max(skipped, k) skipped, round(arg_max(capital, k) * 100) / 100 final from j group by 1", *TRADES, JOURNEY))
 def capital_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.capital_journey(_trades(spark, sf_dir)).select("trades", "skipped", S.round2(F.col("final")).alias("final"))
-
-
-@query()
-def portfolio_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(12).select(F.col("id").cast("int").alias("config_id"), (F.col("id") % 4 * 2 + 3).cast("int").alias("slots"), (F.floor(F.col("id") / 4) * 0.5 + 0.5).alias("risk_pct"))
-    return P.sweep(_trades(spark, sf_dir), grid)
+    return P.capital_journey(_trades(spark, sf_dir)).withColumn("final", S.round2(F.col("final")))
 
 
 # Streams
@@ -267,7 +255,10 @@ def eod_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.shadow_trades(positions, rows, ASOF), "r")
 
 
-@query()
+GUARD = " union all ".join(f"select date '{d}' as_of, count(distinct symbol_id)::bigint symbols from candles where d <= date '{d}' having count(*) > 0" for d in ("1996-01-05", "1996-01-08"))
+
+
+@query(sql(GUARD))
 def eod_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(as_of, symbols) of the snapshots that stay after one that comes too late is refused."""
     rows, path = fx.candles(spark, sf_dir), shared_path(spark, "snapshots")

@@ -14,7 +14,7 @@ from ..operators import logs, scans
 from ..operators import statistics as T
 from ..sources import fixtures as fx
 from .oracles import EXT, FEAT, IND, r4, sql, zones
-from .queries import _feat, _ind, query, rounded
+from .queries import _bars, _feat, _ind, query, rounded
 
 # Scans
 
@@ -51,28 +51,28 @@ LAST = "bar = last_bar"
 
 @query(sql(f"select symbol_id, close, trend, reason, {r4('score')} from sw", *BASE, swing_sql(True, LAST)))
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scans.swing(I.latest(_feat(spark, sf_dir))).select("symbol_id", "close", "trend", "reason", "score"), "score")
+    return rounded(scans.swing(*_feat(spark, sf_dir, True)).select("symbol_id", "close", "trend", "reason", "score"), "score")
 
 
 @query(sql(f"select symbol_id, entry, sl, target, rr, reason, {r4('score')} from sw", *BASE, swing_sql(False, LAST)))
 def scan_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.swing(I.latest(_feat(spark, sf_dir)), scans.LENIENT).select("symbol_id", "entry", "sl", "target", "rr", "reason", "score")
+    found = scans.swing(*_feat(spark, sf_dir, True), scans.LENIENT).select("symbol_id", "entry", "sl", "target", "rr", "reason", "score")
     return rounded(found, "score").orderBy(F.desc_nulls_last("score"), "symbol_id")
 
 
 @query(sql("select reason, count(*)::bigint n from sw group by 1", *BASE, swing_sql(True)))
 def swing_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.swing(_feat(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
+    return scans.swing(*_feat(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(sql("select symbol_id, bar, entry, sl, target, risk, reward, rr from sw where reason is null", *BASE, swing_sql(False)))
 def setup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.swing(_feat(spark, sf_dir), scans.LENIENT).filter("reason is null").select("symbol_id", "bar", "entry", "sl", "target", "risk", "reward", "rr")
+    return scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("reason is null").select("symbol_id", "bar", "entry", "sl", "target", "risk", "reward", "rr")
 
 
 @query(sql("select symbol_id, bar, short_sl, round(sup.mid * 100) / 100 short_target, round((round((entry - round(sup.mid * 100) / 100) * 100) / 100) / (round((short_sl - entry) * 100) / 100) * 100) / 100 short_rr from sw where reason is null", *BASE, swing_sql(False)))
 def setup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.swing(_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
+    rows = scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
     target = S.round2(F.col("support.mid"))
     rr = S.round2(S.round2(F.col("entry") - target) / S.round2(F.col("short_sl") - F.col("entry")))
     return rows.select("symbol_id", "bar", "short_sl", target.alias("short_target"), rr.alias("short_rr"))
@@ -80,7 +80,7 @@ def setup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"select symbol_id, bar, {r4('score')}, case when rr >= 3 then 'excellent' when rr >= 2 then 'good' when rr >= 1.5 then 'fair' else 'poor' end quality from sw where reason is null", *BASE, swing_sql(False)))
 def score_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.swing(_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
+    rows = scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
     return rounded(rows.select("symbol_id", "bar", "score", "quality"), "score")
 
 
@@ -96,7 +96,7 @@ bo as (select *, case when not good then 'not_constructive' when sup is null the
 
 @query(sql(f"select symbol_id, reason, case when sup is not null then round(distance_pct * 10000) / 10000 end distance_pct, case when reason is null then round(sc * 10000) / 10000 end score from bo", *BASE, BREAKOUT))
 def scan_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.breakout(I.latest(_feat(spark, sf_dir))).select("symbol_id", "reason", "distance_pct", "score")
+    found = scans.breakout(*_feat(spark, sf_dir, True)).select("symbol_id", "reason", "distance_pct", "score")
     return rounded(found, "distance_pct", "score").orderBy(F.desc_nulls_last("score"), "distance_pct", "symbol_id")
 
 
@@ -115,7 +115,7 @@ cr as materialized (select *, case when bar < 50 then 'few_candles' when ema7 <=
 
 @query(sql(f"select symbol_id, reason, cross_age, {r4('case when cross_age is not null then sl end', 'sl')}, target, {r4('rr')}, case when reason is null then sc end score from cr", *BASE, cross_sql(LAST)))
 def scan_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.crossover(I.latest(_feat(spark, sf_dir))).select("symbol_id", "reason", "cross_age", F.when(F.col("crossed").isNotNull() & F.col("cross_age").isNotNull(), F.col("sl")).alias("sl"), "target", "rr", "score")
+    found = scans.crossover(*_feat(spark, sf_dir, True)).select("symbol_id", "reason", "cross_age", F.when(F.col("crossed").isNotNull() & F.col("cross_age").isNotNull(), F.col("sl")).alias("sl"), "target", "rr", "score")
     return rounded(found, "sl", "rr").orderBy(F.desc_nulls_last("score"), "cross_age", "symbol_id")
 
 
@@ -125,26 +125,26 @@ MEANREV = """mr as materialized (select *, close - 2.5::double * atr14 sl, case
 
 @query(sql(f"select symbol_id, reason, {r4('sl')}, {r4('case when reason is null then sc end', 'score')} from mr where {LAST}", IND, FEAT, MEANREV))
 def scan_meanrev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.meanrev(I.latest(_feat(spark, sf_dir))).select("symbol_id", "reason", "sl", "score")
+    found = scans.meanrev(I.latest(_bars(spark, sf_dir))).select("symbol_id", "reason", "sl", "score")
     return rounded(found, "sl", "score").orderBy(F.desc_nulls_last("score"), "symbol_id")
 
 
 @query(sql("select 'meanrev' strategy, coalesce(reason, 'signal') reason, count(*)::bigint n from mr group by 2 union all select 'crossover', coalesce(reason, 'signal'), count(*)::bigint from cr group by 2", *BASE, MEANREV, cross_sql()))
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _feat(spark, sf_dir)
-    parts = [f(rows).select(F.lit(name).alias("strategy"), F.coalesce("reason", F.lit("signal")).alias("reason")) for name, f in (("meanrev", scans.meanrev), ("crossover", scans.crossover))]
+    rows, extremes = _feat(spark, sf_dir)
+    parts = [scans.STRATEGIES[name](rows, extremes).select(F.lit(name).alias("strategy"), F.coalesce("reason", F.lit("signal")).alias("reason")) for name in ("meanrev", "crossover")]
     return parts[0].unionByName(parts[1]).groupBy("strategy", "reason").agg(F.count("*").alias("n"))
 
 
 @query(sql(f"select symbol_id, bar, {r4('sc', 'score')}, sc >= 85 alert from mr where reason is null order by sc desc, symbol_id, bar limit 20", IND, FEAT, MEANREV))
 def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.meanrev(_feat(spark, sf_dir)).filter("reason is null").orderBy(F.desc("score"), "symbol_id", "bar").limit(20)
+    found = scans.meanrev(_bars(spark, sf_dir)).filter("reason is null").orderBy(F.desc("score"), "symbol_id", "bar").limit(20)
     return found.select("symbol_id", "bar", round4(F.col("score")).alias("score"), (F.col("score") >= 85).alias("alert"))
 
 
 @query(sql("select symbol_id, bar, '[' || concat_ws(', ', printf('RSI2 oversold at %.1f within EMA200 up-trend', rsi2), printf('Reversion target EMA10 %.2f', ema10), case when volume_ratio > 1 then printf('Volume %.2fx rolling average', volume_ratio) end) || ']' reasons from mr where reason is null", IND, FEAT, MEANREV))
 def reasons_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.meanrev(_feat(spark, sf_dir)).filter("reason is null")
+    rows = scans.meanrev(_bars(spark, sf_dir)).filter("reason is null")
     lines = F.array(F.format_string("RSI2 oversold at %.1f within EMA200 up-trend", "rsi2"), F.format_string("Reversion target EMA10 %.2f", "ema10"), F.when(F.col("volume_ratio") > 1, F.format_string("Volume %.2fx rolling average", "volume_ratio")))
     return rows.select("symbol_id", "bar", F.concat(F.lit("["), F.array_join(F.filter(lines, lambda x: x.isNotNull()), ", "), F.lit("]")).alias("reasons"))
 
@@ -168,8 +168,8 @@ def _show(signals: DataFrame) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str, strategy: str = "crossover") -> tuple[DataFrame, DataFrame]:
-    rows = _feat(spark, sf_dir)
-    return scans.backscan(scans.STRATEGIES[strategy](rows)), rows
+    rows, extremes = _feat(spark, sf_dir)
+    return scans.backscan(scans.STRATEGIES[strategy](rows, extremes)), rows
 
 
 @query(sql(SHOWN, *CROSS_SIGNALS))
@@ -179,12 +179,12 @@ def backscan_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(SHOWN, *REV_SIGNALS))
 def backscan_meanrev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(_signals(spark, sf_dir, "meanrev")[0])
+    return _show(scans.backscan(scans.meanrev(_bars(spark, sf_dir))))
 
 
 @query(sql(SHOWN, *BASE, swing_sql(False), signals_sql("sw", "target", "score")))
 def backscan_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(scans.backscan(scans.swing(_feat(spark, sf_dir), scans.LENIENT)))
+    return _show(scans.backscan(scans.swing(*_feat(spark, sf_dir), scans.LENIENT)))
 
 
 BARRIER = """held as (select s.*, c.bar, c.d bar_date, c.low bar_low, c.high bar_high, c.close bar_close from sig s join candles c on c.symbol_id = s.symbol_id and c.bar between s.entry_bar and s.entry_bar + 19),
@@ -286,6 +286,15 @@ def day_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.day_candidates(_signals(spark, sf_dir, "meanrev")[0], 3).filter("accepted").select("symbol_id", "signal_bar", "entry_date", "rank")
 
 
+@query(sql("select symbol_id, signal_bar, entry_date, rank from (select s.*, row_number() over (partition by entry_date order by coalesce(c.close / b.close - 1, 0) desc, s.symbol_id)::int rank from sig s join candles c on c.symbol_id = s.symbol_id and c.bar = s.signal_bar left join candles b on b.symbol_id = s.symbol_id and b.bar = s.signal_bar - 50) where rank <= 3", *REV_SIGNALS))
+def day_candidates_leadership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each day by the return of their symbol over 50 bars."""
+    signals, rows = _signals(spark, sf_dir, "meanrev")
+    leading = rows.select("symbol_id", F.col("bar").alias("signal_bar"), F.coalesce(F.col("close") / F.lag("close", 50).over(I.by_bar()) - 1, F.lit(0.0)).alias("leadership"))
+    ranked = T.day_candidates(signals.join(leading, ["symbol_id", "signal_bar"]), 3, "leadership")
+    return ranked.filter("accepted").select("symbol_id", "signal_bar", "entry_date", "rank")
+
+
 @query(sql("select accepted, count(*)::bigint trades, round(sum(mr)::bigint / 1e6 / count(*) * 10000) / 10000 avg_r, round(count_if(mr > 0) / count(*)::double * 100 * 10000) / 10000 win_rate from (select *, rank <= 3 accepted from rk) group by 1", *TRADES, RANKED.format("m")))
 def opportunity_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.split_stats(T.day_candidates(_trades(spark, sf_dir), 3), "accepted")
@@ -305,6 +314,15 @@ def health_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.health(_trades(spark, sf_dir))
 
 
+FACTOR = """fg0 as (select exit_date, row_number() over o n, sum(greatest(mr, 0)) over w gained, sum(least(mr, 0)) over w lost from m
+  window o as (order by exit_date, symbol_id, signal_bar), w as (order by exit_date, symbol_id, signal_bar rows between 29 preceding and current row))"""
+
+
+@query(sql("select exit_date, max(n)::bigint closed, max(n) < 30 or case when arg_max(lost, n) < 0 then arg_max(gained, n) / -arg_max(lost, n)::double >= 1.2::double else arg_max(gained, n) > 0 end healthy from fg0 group by 1", *TRADES, FACTOR))
+def health_gate_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.health(_trades(spark, sf_dir), 30, 1.2, factor=True)
+
+
 @query(sql("select n, mr / 1e6 r from (select row_number() over (order by exit_date desc, symbol_id desc, signal_bar desc)::int n, mr from m) where n <= 20", *TRADES))
 def health_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = _trades(spark, sf_dir).orderBy(F.desc("exit_date"), F.desc("symbol_id"), F.desc("signal_bar")).limit(20)
@@ -318,17 +336,25 @@ def gate_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.split_stats(T.gated(trades, T.health(trades)), "gate_open")
 
 
-CURVE = "eq as (select exit_date d, count(*)::bigint exits, 1e6::double + (sum(sum(mr)) over (order by exit_date))::bigint / 1e6 * 10000 equity from m group by 1), dd as (select *, greatest(max(equity) over (order by d), 1e6::double) peak from eq)"
+CURVE = """cv as (select exit_date d, round(floor(10000 / entry) * (exit_price - entry) * 100)::bigint realised, 0::bigint marked, 1 exits, 0 held from trades
+  union all select c.d, 0, round(floor(10000 / t.entry) * (c.close - t.entry) * 100)::bigint, 0, 1 from trades t join candles c on c.symbol_id = t.symbol_id and c.bar between t.entry_bar and t.exit_bar - 1),
+eq as (select d, sum(held)::bigint open, sum(exits)::bigint exits, 1e6::double + ((sum(sum(realised)) over (order by d))::bigint + sum(marked)::bigint) / 100::double equity from cv group by 1),
+dd as (select *, greatest(max(equity) over (order by d), 1e6::double) peak from eq)"""
+
+
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals, rows = _signals(spark, sf_dir, "meanrev")
+    return T.equity_curve(L.barrier(signals, rows), rows)
 
 
-@query(sql(f"select d, exits, {r4('equity')} from eq", *TRADES, CURVE))
+@query(sql(f"select d, open, exits, {r4('equity')} from eq", *TRADES, CURVE))
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.equity_curve(_trades(spark, sf_dir)), "equity")
+    return rounded(_curve(spark, sf_dir), "equity")
 
 
 @query(sql(f"select d, {r4('peak')}, {r4('(equity - peak) / peak * 100', 'drawdown_pct')} from dd", *TRADES, CURVE))
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.drawdown(T.equity_curve(_trades(spark, sf_dir))).select("d", "peak", "drawdown_pct"), "peak", "drawdown_pct")
+    return rounded(T.drawdown(_curve(spark, sf_dir)).select("d", "peak", "drawdown_pct"), "peak", "drawdown_pct")
 
 
 @query(sql("select d, (sum(s) over (order by d))::bigint open from (select d, sum(s) s from (select entry_date d, 1 s from m union all select (exit_date + interval 1 day)::date, -1 from m) group by 1)", *TRADES))
@@ -349,7 +375,7 @@ def by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select year(d)::int \"year\", count(*)::bigint windows, round(count_if(gain >= 5) / count(*)::double * 10000) / 10000 odds5, round(count_if(gain >= 0) / count(*)::double * 10000) / 10000 odds0 from (select d, (lead(equity, 10) over (order by d) / equity - 1) * 100 gain from eq) where gain is not null group by 1", *TRADES, CURVE))
 def rolling_window_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = T.equity_curve(_trades(spark, sf_dir))
+    curve = _curve(spark, sf_dir)
     gain = (F.lead("equity", 10).over(W.orderBy("d")) / F.col("equity") - 1) * 100
     rows = curve.withColumn("gain", gain).filter("gain is not null").groupBy(F.year("d").alias("year"))
     return rows.agg(F.count("*").alias("windows"), round4(F.count_if(F.col("gain") >= 5) / F.count("*")).alias("odds5"), round4(F.count_if(F.col("gain") >= 0) / F.count("*")).alias("odds0"))
@@ -357,7 +383,7 @@ def rolling_window_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select d, count(*)::bigint symbols, round(count_if(ema20 > ema50) / count(*)::double * 10000) / 10000 breadth from ind where ema50 is not null group by 1", IND))
 def breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ind(spark, sf_dir).filter("ema50 is not null").groupBy("d")
+    rows = _ind(spark, sf_dir, "ema20", "ema50").filter("ema50 is not null").groupBy("d")
     return rows.agg(F.count("*").alias("symbols"), round4(F.count_if(F.col("ema20") > F.col("ema50")) / F.count("*")).alias("breadth"))
 
 
@@ -379,13 +405,11 @@ def eval_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(sum(mn)::bigint / 1e6 / count(*) * 10000) / 10000 avg_net, max(mn) / 1e6 best, min(mn) / 1e6 worst, list_sort(list(mn))[count(*)::int // 2 + 1] / 1e6 median_net from (select *, round(net_pct * 1000000)::bigint mn from em)""", *CROSS_SIGNALS, EMAEXIT))
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _held(spark, sf_dir).select("status", L.micro("net_pct").alias("n"))
-    order = W.orderBy("n")
-    ranked = rows.withColumn("k", F.row_number().over(order)).withColumn("all", F.count("*").over(W.partitionBy(F.lit(0))))
     of = lambda s: F.count_if(F.col("status") == s)
-    return ranked.agg(
+    return rows.agg(
         F.count("*").alias("trades"), F.count_if(F.col("n") > 0).alias("wins"), of("stop").alias("stopped"), of("recross").alias("recross"), of("open").alias("still_open"),
         round4(F.sum("n") / F.lit(1e6) / F.count("*")).alias("avg_net"), (F.max("n") / F.lit(1e6)).alias("best"), (F.min("n") / F.lit(1e6)).alias("worst"),
-        (F.max(F.when(F.col("k") == F.floor(F.col("all") / 2) + 1, F.col("n"))) / F.lit(1e6)).alias("median_net"),
+        (F.expr("percentile_disc(0.5) within group (order by n desc)") / F.lit(1e6)).alias("median_net"),
     )
 
 

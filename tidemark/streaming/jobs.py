@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import indicators as I
 from ..operators import scans
 from ..sources.shared import shared_path
 
@@ -62,8 +61,7 @@ def live_scan(history: DataFrame) -> Callable[[DataFrame], DataFrame]:
         live = latest_ticks(batch).select(F.col("token").alias("symbol_id"), (F.col("last_price") % 7 - 3).alias("move"), "qty")
         price = F.round(F.col("close") * (100 + F.col("move"))) / 100
         bar = newest.join(live, "symbol_id").select("symbol_id", F.date_add("d", 1).alias("d"), (F.col("bar") + 1).alias("bar"), F.col("close").alias("open"), F.greatest("close", price).alias("high"), F.least("close", price).alias("low"), price.alias("close"), (F.col("qty") * 1000).alias("volume"))
-        rows = I.latest(scans.features(history.unionByName(bar)))
-        return scans.breakout(rows).select("symbol_id", "d", "close", "reason", "score")
+        return scans.breakout(*scans.features(history.unionByName(bar), last_only=True)).select("symbol_id", "d", "close", "reason", "score")
 
     return scan
 
