@@ -173,6 +173,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def predicted_languages(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, languages), learned from the rows that aren't held out."""
+    """(doc_id, held_out, lang_pred, score, languages), a row for each row of docs, learned from the rows that aren't held out.
+
+    A null doc_id counts as the empty text in the split; rows without a lang teach nothing; the
+    other cases are identify's.
+    """
     model = train(docs.filter(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")

@@ -194,7 +194,7 @@ def listed(spans: Column) -> Column:
 
 
 def private_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), a row for each row of docs; the cases are find_private's."""
     found = find_private(docs)
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
