@@ -3,9 +3,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as S
 from tidemark.operators import indicators as I
 from tidemark.operators import labels as L
 from tidemark.operators import logs, scans
+from tidemark.operators import statistics as T
 from tidemark.operators import zones as Z
 from tidemark.sources import fixtures as fx
 
@@ -23,12 +25,36 @@ def test_ema_starts_with_the_mean_of_the_first():
     assert I.ema([10.0, 20.0, 30.0], 4) == [None, None, None]
 
 
-def test_rsi_of_the_worked_example(spark):
-    closes = [44.34, 44.09, 44.15, 43.61, 44.33, 44.83, 45.10, 45.42, 45.84, 46.08, 45.89, 46.03, 45.61, 46.28, 46.28, 46.00, 46.03, 46.41, 46.22, 45.64]
-    rows = I.indicators(bars(spark, closes)).orderBy("bar").collect()
+def test_rsi_equals_a_plain_loop(spark):
+    closes = [50 + 7 * math.sin(k / 2.3) + 3 * math.cos(k * 1.7) for k in range(40)]
+    rows = I.indicators(bars(spark, closes), "rsi14").orderBy("bar").collect()
+    ups = [max(b - a, 0.0) for a, b in zip(closes, closes[1:])]
+    downs = [max(a - b, 0.0) for a, b in zip(closes, closes[1:])]
+    up, down = sum(ups[:14]) / 14, sum(downs[:14]) / 14
     assert rows[13]["rsi14"] is None
-    assert rows[14]["rsi14"] == pytest.approx(70.46, abs=0.5)
-    assert rows[15]["rsi14"] == pytest.approx(66.25, abs=0.6)
+    for k in range(14, 40):
+        if k > 14:
+            up, down = (up * 13 + ups[k - 1]) / 14, (down * 13 + downs[k - 1]) / 14
+        assert rows[k]["rsi14"] == pytest.approx(100 * up / (up + down))
+
+
+def test_health_of_the_last_trades_across_dates(spark):
+    days = [0, 0, 0, 1, 2, 2, 2, 2, 5, 6, 6]
+    r = [1.0, -2.0, 0.5, -1.0, 2.0, -0.5, -0.5, 1.5, -3.0, 0.25, 1.0]
+    rows = [(1, k, d, x) for k, (d, x) in enumerate(zip(days, r))]
+    trades = spark.createDataFrame(rows, "symbol_id long, signal_bar int, exit_date int, actual_rr double")
+    for factor, minimum in ((False, 0.0), (True, 1.2)):
+        got = {x["exit_date"]: (x["closed"], x["healthy"]) for x in T.health(trades, 4, minimum, factor).collect()}
+        for day in set(days):
+            past = [x for d, x in zip(days, r) if d <= day]
+            last, lost = past[-4:], -sum(x for x in past[-4:] if x < 0)
+            good = sum(last) / 4 >= minimum if not factor else (sum(x for x in last if x > 0) / lost >= minimum if lost else sum(last) > 0)
+            assert got[day] == (len(past), len(past) < 4 or good)
+
+
+def test_holidays_have_no_session(spark):
+    times = spark.createDataFrame([("2026-01-23 06:00:00",), ("2026-01-26 06:00:00",), ("2026-01-27 06:00:00",)], "ts string")
+    assert [x[0] for x in times.select(S.market_open(F.col("ts").cast("timestamp"))).collect()] == [True, False, True]
 
 
 def test_flat_prices_have_a_neutral_rsi_and_the_range_as_atr(spark):
@@ -38,8 +64,8 @@ def test_flat_prices_have_a_neutral_rsi_and_the_range_as_atr(spark):
 
 def test_as_of_values_need_no_later_bar(spark):
     candles = fx.candles(spark, SF).filter("symbol_id = 3")
-    whole = scans.crossover(scans.features(candles)).filter("bar between 100 and 150").select("bar", "reason", "target", "score")
-    short = scans.crossover(scans.features(candles.filter("bar <= 150"))).filter("bar between 100 and 150").select("bar", "reason", "target", "score")
+    whole = scans.crossover(*scans.features(candles)).filter("bar between 100 and 150").select("bar", "reason", "target", "score")
+    short = scans.crossover(*scans.features(candles.filter("bar <= 150"))).filter("bar between 100 and 150").select("bar", "reason", "target", "score")
     assert whole.orderBy("bar").collect() == short.orderBy("bar").collect()
 
 
@@ -84,7 +110,7 @@ def test_upsert_takes_the_new_row(spark):
 
 
 def test_no_row_at_a_time_python_in_scans(spark):
-    plan = scans.breakout(scans.features(fx.candles(spark, SF)))._jdf.queryExecution().executedPlan().toString()
+    plan = scans.breakout(*scans.features(fx.candles(spark, SF)))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
 
 
