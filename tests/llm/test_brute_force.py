@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -163,6 +164,101 @@ def test_terms_far_from_rare_values_are_spans(spark):
     assert not any(got[i] for i in got if i >= 100)
 
 
+def added_spans(texts):
+    """Term spans of each text by plain counting over distinct texts."""
+    parts, counts, where = {}, defaultdict(int), defaultdict(set)
+    words_in = lambda t: [m for m in regex.finditer(pii.TERM, t)]
+    for text in set(texts):
+        spans = base_spans(text)
+        masked = list(text)
+        for a, _, b in spans:
+            masked[a:b] = " " * (b - a)
+        masked, entities = "".join(masked), {}
+        for a, kind, b in spans:
+            value = text[a:b].lower() if kind == 0 else re.sub("[^0-9.]", "", text[a:b])
+            names = sorted(set(re.findall("[a-z]{3,}", value.split("@")[0]))) if kind == 0 else []
+            group = value.split("@")[-1] if kind == 0 else ".".join(value.split(".")[:3]) if kind == 1 else value[:6] if kind == 2 else value[:-4]
+            entities |= {("value", kind, value): set(names), ("group", kind, group): set()} | ({("owner", *names): set()} if names else {})
+        parts[text] = (masked, entities, {m[0].lower() for m in words_in(masked)})
+        for term in {m[0].lower() for m in words_in(text)}:
+            counts[term] += 1
+        for e in entities:
+            where[e].add(text)
+    n, told = len(parts), defaultdict(dict)
+    for e, held in where.items():
+        grouped, own = e[0] != "value", set().union(*(parts[t][1][e] for t in held))
+        if len(held) == n or (grouped and len(held) * pii.GROUP_RARITY > n):
+            continue
+        support = 3 if grouped else 2
+        for term in set().union(*(parts[t][2] for t in held)):
+            both = [t for t in held if term in parts[t][2]]
+            if (len(both) < support or len(held) < support) and term not in own:
+                continue
+            near = sum(term in x[2] for x in parts.values() if x[1])
+            share = np.log2(len(both) * n / (max(counts[term], near) * len(held))) / np.log2(n / len(held))
+            if share >= 0.7:
+                for t in both:
+                    told[t][term] = min(told[t].get(term, 5), 4 if share >= 0.9 else 5)
+    return {t: [f"{pii.KINDS[told[t][m[0].lower()]]}:{m.start()}:{m.end()}" for m in words_in(parts[t][0]) if m[0].lower() in told[t]] for t in parts}
+
+
+def test_added_spans_equal_plain_counts(spark):
+    random.seed(31)
+    vocabulary = ["".join(random.choice("abcdefghij") for _ in range(random.randint(3, 6))) for _ in range(120)]
+    values = [f"{random.choice(vocabulary)}.{random.choice(vocabulary)}@{random.choice('pqrs')}{random.randint(1, 3)}.example.com" for _ in range(12)] + [f"10.{k % 3}.7.{k}" for k in range(6)] + [f"+1 377 555 0{k}71" for k in range(4)]
+    texts = []
+    for _ in range(150):
+        held = random.choices(values, k=random.choice([0, 0, 1, 2]))
+        told = [f"Sign{chr(97 + values.index(v))}" for v in held if random.random() < 0.8] + random.choices(["Signa", "signb", "signq"], k=random.random() < 0.03)
+        texts.append(" ".join(random.choices(vocabulary, k=random.randint(4, 25)) + held + told + random.choices(vocabulary, k=5)))
+    texts += random.choices(texts, k=30)
+    got = {r["doc_id"]: r["spans"] for r in pii.private_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = added_spans(texts)
+    assert sum(map(len, want.values())) > 20
+    for k, text in enumerate(texts):
+        assert [x for x in got[k].split(",") if x.startswith(("term", "broad"))] == want[text]
+
+
+def test_mixtures_equal_plain_em():
+    random.seed(32)
+    rng = np.random.default_rng(32)
+    likelihood = rng.dirichlet(np.full(languages.BUCKETS, 0.05), 3).T.astype(np.float32) + np.float32(1e-6)
+    model = languages.Model(("aa", "bb", "cc"), likelihood)
+    texts = ["".join(random.choice("abcdefgh ") for _ in range(random.choice([8, 40, 300]))) + "a" for _ in range(25)]
+
+    def shares(buckets, chosen):
+        share = {k: 1 / 3 for k in chosen}
+        for _ in range(10):
+            new = dict.fromkeys(chosen, 0.0)
+            for b in buckets:
+                total = sum(likelihood[b, k] * share[k] for k in chosen)
+                for k in chosen:
+                    new[k] += likelihood[b, k] * share[k] / total
+            share = {k: v / len(buckets) for k, v in new.items()}
+        return share
+
+    fit = lambda buckets, share: sum(np.log(sum(likelihood[b, k] * v for k, v in share.items())) for b in buckets)
+    got = languages.infer(texts, model)
+    for text, result in zip(texts, got):
+        buckets = languages.trigrams([text])[1].tolist()
+        order = sorted(range(3), key=lambda k: -shares(buckets, range(3))[k])
+        sets = [{order[0]: 1.0}, shares(buckets, order[:2]), shares(buckets, order)]
+        best = max(sets, key=lambda s: fit(buckets, s) - (len(s) - 1) / 2 * np.log(len(buckets)))
+        assert result == pytest.approx([best.get(k, 0.0) for k in range(3)], abs=2e-3)
+
+
+def test_scores_equal_all_pairs_of_terms():
+    rng = np.random.default_rng(33)
+    place = np.full(1 << toxicity.BITS, 6, np.int32)
+    place[:6] = np.arange(6)
+    w, v = np.append(rng.normal(size=6), 0), np.vstack([rng.normal(size=(6, 4)), np.zeros(4)])
+    machine = toxicity.Machine(0.3, place, w, v)
+    rows = [np.array(x, np.int64) for x in ([], [2], [0, 1, 5], [1, 2, 3, 4, 9])]
+    for row, score in zip(rows, machine.logits(rows)):
+        at = [place[b] for b in row]
+        assert score == pytest.approx(0.3 + sum(w[a] for a in at) + sum(v[a] @ v[b] for k, a in enumerate(at) for b in at[:k]))
+
+
 def shingles(text, n):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
