@@ -18,7 +18,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told, learned from those with a lang: a text without a letter goes."""
+    """Documents in a language that can be told, learned from those with a lang: a text without a letter goes.
+
+    So do null and empty texts.  Each row is judged alone, null ids and repeated rows as well; an
+    empty table, or one without a lang, keeps none.
+    """
     found = languages.identify(docs, languages.train(docs))
     return found.filter(F.col("lang_pred") != languages.UNKNOWN).select(*docs.columns)
 
@@ -40,18 +44,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, as all rows do if the benchmark is empty; each row is
+    judged alone, repeated rows as well.
+    """
     found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(F.size("leaks") == 0).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
+    """Each document as often as the mix of the sources takes it.
+
+    Null and empty texts are taken no times; rows without a source are a source of their own; rows
+    that repeat a doc_id, or have none, are mixed alike.
+    """
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each copy, from the token file as read back."""
+    """(doc_id, start, n_tokens, ids_crc32) of each copy, from the token file as read back.
+
+    Null and empty texts are the end id alone; a null doc_id comes first; an empty table has no rows.
+    """
     return token_ids.token_id_digests(docs, public_tokenizers.path("word_bpe_49k.json"), KNOWN_WORDS)
 
 
