@@ -10,6 +10,7 @@ from tidemark.operators import logs, scans
 from tidemark.operators import statistics as T
 from tidemark.operators import zones as Z
 from tidemark.sources import fixtures as fx
+from tidemark.sources.readers import read_candles_csv
 
 SF = "/root/testdata/sf0.001"
 
@@ -131,3 +132,12 @@ def test_frames_decode_and_bad_ones_say_so():
     assert len(got[2]["bids"]) == len(got[2]["asks"]) == 5
     assert [p.get("error") for p in frame_packets(data[:-1])] == [None, None, "truncated"]
     assert list(frame_packets(b"\0")) == [] and list(frame_packets(None)) == []
+
+
+def test_candle_files_are_named_after_their_symbol(spark, tmp_path):
+    (tmp_path / "tcs.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,\"1,200\"\n2024-01-03,1,2,x,1.5,7\n")
+    (tmp_path / "m&m.ns.csv").write_text("date,open,high,low,close,volume\n1/4/2024,3,4,2,3.5,9\n")
+    good, bad = read_candles_csv(spark, str(tmp_path))
+    assert sorted((r.symbol, str(r.ts), r.volume) for r in good.collect()) == [("M&M.NS", "2024-01-04 00:00:00", 9), ("TCS", "2024-01-02 00:00:00", 1200)]
+    (reject,) = bad.collect()
+    assert reject.symbol == "TCS" and reject.file.endswith("/tcs.csv") and '"x"' in reject.line

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -16,14 +16,15 @@ from ..sources import readers as R
 from ..sources.shared import shared_path
 from ..sources.ticks import decode_frames, price_frames
 from ..streaming import jobs as J
-from .oracles import r4, sql
+from .oracles import R4, r4, sql
 from .queries import BENCH, _feat, query, rounded
-from .queries_more import BASE, CROSS_SIGNALS, EMAEXIT, LOG, REV_SIGNALS, TRADES, _held, _signals, _trades, swing_sql
+from .queries_more import BASE, BREAKOUT, CROSS_SIGNALS, EMAEXIT, LOG, REV_SIGNALS, TRADES, _held, _signals, _trades, swing_sql
 
 
-def _csv(spark: SparkSession, rows: DataFrame) -> str:
+def _csv(spark: SparkSession, rows: DataFrame, volume: Column | None = None) -> str:
+    """Candle files of rows, a folder for each symbol; volume replaces the text of theirs."""
     path = shared_path(spark, "csv")
-    text = rows.select(F.lit(0).alias("_"), F.date_format("d", "M/d/yyyy H:mm:ss").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.format_number("volume", 0).alias("Volume"), F.concat(F.lit("s"), "symbol_id").alias("symbol"))
+    text = rows.select(F.lit(0).alias("_"), F.date_format("d", "M/d/yyyy H:mm:ss").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), (F.format_number("volume", 0) if volume is None else volume).alias("Volume"), F.concat(F.lit("s"), "symbol_id").alias("symbol"))
     text.write.partitionBy("symbol").option("header", True).csv(path)
     return path
 
@@ -34,11 +35,14 @@ def src_candles_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_candles_csv(spark, path)[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query(sql("select 'S' || symbol_id symbol, count(*)::bigint n, sum(volume)::bigint volume, 0::bigint rejects from candles group by 1"))
+@query(sql("select 'S' || symbol_id symbol, count_if(close >= open)::bigint n, sum(case when close >= open then volume end)::bigint volume, count_if(close < open)::bigint rejects from candles group by 1"))
 def src_candles_csv_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = R.read_candles_csv(spark, _csv(spark, fx.candles(spark, sf_dir).repartition("symbol_id")))
-    rejects = bad.groupBy("symbol").agg(F.count("*").alias("rejects"))
-    return good.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")).join(rejects, "symbol", "left").fillna(0, ["rejects"])
+    """What each symbol's files give if the volume of every falling day is no number: those rows are rejects, others stay."""
+    rows = fx.candles(spark, sf_dir).repartition("symbol_id")
+    good, bad = R.read_candles_csv(spark, _csv(spark, rows, F.when(F.col("close") < F.col("open"), "n/a").otherwise(F.format_number("volume", 0))))
+    rejects = bad.filter("file like '%.csv'").groupBy("symbol").agg(F.count("*").alias("rejects"))
+    totals = good.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    return totals.join(rejects, "symbol", "full").fillna(0, ["n", "rejects"])
 
 
 @query(sql("select symbol_id symbol, (bar - 1)::int i, d::timestamp ts, open, close, volume from candles"))
@@ -238,9 +242,22 @@ def stream_stop_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("token", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", "last_price")
 
 
-@query()
+LIVE = f"""{TICK},
+quote as (select token, ts, seq, ts + interval 330 minute as t, close c, round(close * (100 + (last_price % 7 - 3))) / 100 price, qty from tick join (select symbol_id token, arg_max(close, d) as close from hist group by 1) using (token)),
+session as (select *, hour(t) * 60 + minute(t) + second(t) / 60::double as minute_of_day from quote where isodow(t) <= 5 and strftime(t, '%Y-%m-%d') not in ({", ".join(f"'{d}'" for d in S.HOLIDAYS)})),
+lastq as (select token symbol_id, arg_max(x, (ts, seq)) x from (select token, ts, seq, session as x from session where minute_of_day between 555 and 930) group by 1),
+live as materialized (select symbol_id, x.t::date d, b + (x.t::date > last_d)::int bar, case when x.qty >= 10 then x.c else x.price end as open, greatest(x.c, x.price) high, least(x.c, x.price) low, x.price as close,
+  floor(x.qty * 1000 / (greatest(x.minute_of_day - 555, 30) / 375::double))::bigint volume, x.qty >= 10 opened from lastq join (select symbol_id, max(bar) b, max(d) last_d from hist group by 1) using (symbol_id) where x.t::date >= last_d),
+candles as materialized (select * from hist h where not exists (select 1 from live where live.symbol_id = h.symbol_id and live.d = h.d) union all select * exclude (opened) from live),
+day_index as (select (sum(round(close * 100)::bigint)::bigint - sum(round(open * 100)::bigint)::bigint) / sum(round(open * 100)::bigint)::bigint::double * 100 p from live where opened)"""
+LIVE_ROWS = f"select bo.symbol_id, bo.d, bo.close, bo.volume, reason, case when sup is not null then {R4.format('distance_pct')} end distance_pct, case when reason is null then {R4.format('sc')} end score, case when opened then {R4.format('((bo.close - bo.open) / bo.open * 100 - p)')} end rs from bo join live using (symbol_id, d), day_index"
+
+
+@query(sql(LIVE_ROWS, LIVE, *BASE, BREAKOUT).replace("candles as materialized", "hist as materialized", 1))
 def stream_live_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.drain(J.tick_stream(spark, sf_dir), "append", "live-scan", J.live_scan(fx.candles(spark, sf_dir)))
+    history = fx.candles(spark, sf_dir)
+    found = J.drain(fx.quotes(J.tick_stream(spark, sf_dir), history), "append", "live-scan", J.live_scan(history)).drop("batch")
+    return rounded(found, "distance_pct", "score", "rs")
 
 
 @query(f"with {TICK} select (seq // 8)::bigint frame, (row_number() over (partition by seq // 8 order by seq) - 1)::int packet, token, round(last_price * 100)::bigint / 100 last_price from tick")

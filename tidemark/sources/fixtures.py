@@ -63,6 +63,17 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quotes(ticks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(token, ts, seq, last_price, open, high, low, volume): ticks as moves of up to 4 % from their symbol's last close, some without an open."""
+    last = rows.groupBy(F.col("symbol_id").alias("token")).agg(F.max_by("close", "d").alias("close"))
+    price = F.round(F.col("close") * (100 + (F.col("last_price") % 7 - 3))) / 100
+    moved = ticks.join(last, "token").withColumn("price", price)
+    return moved.select(
+        "token", "ts", "seq", F.col("price").alias("last_price"), F.when(F.col("qty") >= 10, F.col("close")).alias("open"), F.greatest("close", "price").alias("high"),
+        F.least("close", "price").alias("low"), (F.col("qty") * 1000).alias("volume"),
+    )
+
+
 def scan_log(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
     """(scanned_at, symbol, score): a run for each hour or day, a row for each user seen in it."""
     return (

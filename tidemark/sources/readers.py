@@ -17,19 +17,22 @@ def parsed_time(text: Column) -> Column:
 
 
 def read_candles_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(candles, rejects) of a directory with a folder symbol=NAME for each symbol, or files in it.
+    """(candles, rejects (symbol, file, line)) of a directory: the symbol is that of a folder symbol=NAME, else the file's name.
 
     Headers are matched by name, whatever their case and order; other columns are ignored; volumes
-    may have thousands commas.  A row with a bad cell is a reject and stops no other.
+    may have thousands commas.  A row with a bad cell is a reject, with its cells, and stops no other:
+    files are split between tasks, so a row has no number.
     """
     raw = spark.read.option("header", True).option("basePath", path).csv(path, inferSchema=False)
     names = {c.lower().strip(): c for c in raw.columns}
     cell = {c: F.col(f"`{names[c]}`") for c in COLUMNS}
-    symbol = F.upper(F.trim(F.regexp_extract(F.input_file_name(), r"symbol=([^/]+)/", 1)))
+    file = F.try_url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    base = F.regexp_extract(file, r"(?i)([^/]+?)(\.csv)?(\.gz)?$", 1)
+    symbol = F.upper(F.trim(F.coalesce(F.nullif(F.regexp_extract(file, r"symbol=([^/]+)/", 1), F.lit("")), base)))
     number = {c: F.trim(cell[c]).try_cast("double") for c in ("open", "high", "low", "close")}
-    rows = raw.select(symbol.alias("symbol"), parsed_time(cell["date"]).alias("ts"), *[v.alias(c) for c, v in number.items()], F.regexp_replace(F.trim(cell["volume"]), ",", "").try_cast("bigint").alias("volume"), F.to_json(F.struct(*cell.values())).alias("line"))
+    rows = raw.select(symbol.alias("symbol"), file.alias("file"), parsed_time(cell["date"]).alias("ts"), *[v.alias(c) for c, v in number.items()], F.regexp_replace(F.trim(cell["volume"]), ",", "").try_cast("bigint").alias("volume"), F.to_json(F.struct(*cell.values())).alias("line"))
     bad = F.greatest(*[F.col(c).isNull() for c in ("ts", "open", "high", "low", "close", "volume")])
-    return rows.filter(~bad).drop("line"), rows.filter(bad).select("symbol", "line")
+    return rows.filter(~bad).drop("file", "line"), rows.filter(bad).select("symbol", "file", "line")
 
 
 def parse_candles_json(payloads: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import market_open, session_fraction
 from ..operators import scans
-from ..sources.shared import shared_path
+from ..operators.logs import upsert
+from ..sources.shared import shared_path, written
 
 EVENTS = "events.parquet"
 
@@ -53,15 +55,37 @@ def stop_alerts(ticks: DataFrame, positions: DataFrame) -> DataFrame:
     return ticks.join(stops, "token").filter("last_price <= sl").select("token", "ts", "seq", "last_price", "sl")
 
 
+def live_bars(quotes: DataFrame, history: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """Today's bar of each symbol from its last quote within a session: (symbol_id, d, bar, open, high, low, close, volume, opened).
+
+    quotes are (token, ts, seq, last_price, open, high, low, volume) of the day so far; a missing open
+    is the last price, and opened tells the two apart; the volume is projected to the session's end.
+    The bar of a date that history has is replaced, a later one comes after it, an older one is left out.
+    """
+    last = quotes.filter(market_open(F.col("ts"), zone)).groupBy("token").agg(F.max(F.struct("ts", "seq", "last_price", "open", "high", "low", "volume")).alias("q"))
+    live = last.select(F.col("token").alias("symbol_id"), F.to_date(F.from_utc_timestamp("q.ts", zone)).alias("d"), "q.*")
+    newest = history.groupBy("symbol_id").agg(F.max(F.struct("d", "bar")).alias("h")).select("symbol_id", F.col("h.d").alias("last_d"), F.col("h.bar").alias("last_bar"))
+    price = F.col("last_price")
+    return newest.join(live, "symbol_id").filter("d >= last_d").select(
+        "symbol_id", "d", (F.col("last_bar") + (F.col("d") > F.col("last_d")).cast("int")).alias("bar"), F.coalesce("open", price).alias("open"), F.greatest("high", price).alias("high"),
+        F.least("low", price).alias("low"), price.alias("close"), F.floor(F.col("volume") / session_fraction(F.col("ts"), zone)).alias("volume"), F.col("open").isNotNull().alias("opened"),
+    )
+
+
 def live_scan(history: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """For a micro-batch: its ticks as each symbol's newest bar on top of history, scanned for breakouts."""
+    """For a micro-batch of quotes: live_bars on top of history, scanned for breakouts, with the strength against all live symbols.
+
+    A batch without a quote in a session has no rows.  Strength is null where the day's open is unknown.
+    """
 
     def scan(batch: DataFrame) -> DataFrame:
-        newest = history.groupBy("symbol_id").agg(F.max(F.struct("bar", "d", "close")).alias("h")).select("symbol_id", "h.*")
-        live = latest_ticks(batch).select(F.col("token").alias("symbol_id"), (F.col("last_price") % 7 - 3).alias("move"), "qty")
-        price = F.round(F.col("close") * (100 + F.col("move"))) / 100
-        bar = newest.join(live, "symbol_id").select("symbol_id", F.date_add("d", 1).alias("d"), (F.col("bar") + 1).alias("bar"), F.col("close").alias("open"), F.greatest("close", price).alias("high"), F.least("close", price).alias("low"), price.alias("close"), (F.col("qty") * 1000).alias("volume"))
-        return scans.breakout(*scans.features(history.unionByName(bar), last_only=True)).select("symbol_id", "d", "close", "reason", "score")
+        bars = written(live_bars(batch, history), "live-bars")
+        merged = upsert(history, bars.drop("opened"), ["symbol_id", "d"])
+        found = scans.breakout(*scans.features(merged, last_only=True)).select("symbol_id", "d", "close", "volume", "reason", "distance_pct", "score")
+        cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+        index = bars.filter("opened").agg(((cents("close") - cents("open")) / cents("open") * 100).alias("index_pct"))
+        strength = bars.filter("opened").join(F.broadcast(index)).select("symbol_id", ((F.col("close") - F.col("open")) / F.col("open") * 100 - F.col("index_pct")).alias("rs"))
+        return found.join(bars.select("symbol_id", "d"), ["symbol_id", "d"], "left_semi").join(strength, "symbol_id", "left")
 
     return scan
 
