@@ -15,7 +15,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
+    app = spark.sparkContext.applicationId
+    if not base and app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="tidemark-")
+    base = base or _own[app]
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
