@@ -22,6 +22,8 @@ from .common import fold, hash_share, released
 BUCKETS = 1 << 15
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+#: What identify adds.
+RESULTS = ("lang_pred", "score", "languages", "gain")
 
 # Letters a to z, bytes of other letters, and all else as a gap.
 CODES = np.zeros(256, np.uint32)
@@ -101,21 +103,28 @@ def log_likelihood(of: np.ndarray, likelihood: np.ndarray, weight: np.ndarray, s
 
 
 def infer(texts: list[str], model: Model, rounds: int = 10, penalty: float = 1.0) -> np.ndarray:
-    """(texts, languages): proportions over the chosen set of languages; all 0 where a text has no letter.
+    """The proportions of fitted."""
+    return fitted(texts, model, rounds, penalty)[0]
+
+
+def fitted(texts: list[str], model: Model, rounds: int = 10, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, languages): proportions over the chosen set of languages; and each text's gain; all 0 where a text has no letter.
 
     Sets are the first k languages by their proportion among all; each language costs
-    penalty / 2 * log(trigrams).
+    penalty / 2 * log(trigrams).  The gain is the penalised log-likelihood of the set over that of
+    no language, in which all buckets are equally likely, a trigram.
     """
-    result = np.zeros((len(texts), len(model.languages)), np.float32)
+    result, gain = np.zeros((len(texts), len(model.languages)), np.float32), np.zeros(len(texts))
     real = [i for i, t in enumerate(texts) if LETTER.search(t)]
     if not real or not model.languages:
-        return result
+        return result, gain
     of, buckets = trigrams([texts[i] for i in real])
     pairs, weight = np.unique(of * np.int64(BUCKETS) + buckets, return_counts=True)
     of, likelihood, weight = pairs // BUCKETS, model.likelihood[pairs % BUCKETS], weight.astype(np.float32)
     n = len(real)
     share = proportions(of, likelihood, weight, n, rounds)
-    cost = penalty / 2 * np.log(np.add.reduceat(weight, np.searchsorted(of, np.arange(n))))
+    total = np.add.reduceat(weight, np.searchsorted(of, np.arange(n)))
+    cost = penalty / 2 * np.log(total)
     order = np.argsort(-share, axis=1, kind="stable")
     chosen = np.zeros_like(share)
     np.put_along_axis(chosen, order[:, :1], 1, 1)
@@ -134,36 +143,36 @@ def infer(texts: list[str], model: Model, rounds: int = 10, penalty: float = 1.0
         value = log_likelihood(sub_of, sub_likelihood, weight[mine], sub_share) - (k - 1) * cost[open_docs]
         better = value > best[open_docs]
         chosen[open_docs[better]], best[open_docs[better]] = sub_share[better] * member[better], value[better]
-    result[real] = chosen
-    return result
+    result[real], gain[real] = chosen, best / total + np.log(BUCKETS)
+    return result, gain
 
 
 def identify(docs: DataFrame, model: Model, min_share: float = 0.0, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred (the language of the largest share, UNKNOWN if none), score (that share) and languages (the chosen set).
+    """docs with lang_pred (the language of the largest share, UNKNOWN if none), score (that share), languages (the chosen set) and gain.
 
-    Null texts and texts without a letter are UNKNOWN with score 0, and so are those whose largest
-    share is below min_share; of equal shares the first language in code-point order counts.  Rows
-    are judged alone, whole, whatever their ids; columns of those three names are replaced; an empty
-    table gives no rows, and an empty model UNKNOWN only.
+    A gain below 0 says that no set of languages explains the text better than none does (fitted).
+    Null texts and texts without a letter are UNKNOWN with score and gain 0; those whose largest
+    share is below min_share are UNKNOWN with score 0; of equal shares the first language in
+    code-point order counts.  Rows are judged alone, whole, whatever their ids; columns of those four
+    names (RESULTS) are replaced; an empty table gives no rows, and an empty model UNKNOWN only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
-    new = ("lang_pred", "score", "languages")
-    kept = docs.drop(*new)
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType()))])
+    kept = docs.drop(*RESULTS)
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("gain", T.DoubleType())])
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 250):
                 part = batch.slice(i, 250)
-                shares = infer([t or "" for t in part.column(text_col).to_pylist()], model)
+                shares, gain = fitted([t or "" for t in part.column(text_col).to_pylist()], model)
                 top = shares.argmax(1) if model.languages else np.zeros(len(shares), int)
                 score = shares.max(1, initial=0.0).astype(np.float64)
                 named = (score > 0) & (score >= min_share)
                 langs = [model.languages[k] if ok else UNKNOWN for k, ok in zip(top, named)]
                 sets = [[model.languages[k] for k in np.flatnonzero(s > 0)] for s in shares]
-                columns = [*part.columns, pa.array(langs, pa.string()), pa.array(np.where(named, np.minimum(score, 1.0), 0.0)), pa.array(sets, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *new])
+                columns = [*part.columns, pa.array(langs, pa.string()), pa.array(np.where(named, np.minimum(score, 1.0), 0.0)), pa.array(sets, pa.list_(pa.string())), pa.array(gain, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *RESULTS])
 
     return kept.mapInArrow(released(predict), schema)
 
@@ -173,7 +182,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def predicted_languages(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, languages), a row for each row of docs, learned from the rows that aren't held out.
+    """(doc_id, held_out, lang_pred, score, languages, gain), a row for each row of docs, learned from the rows that aren't held out.
 
     A null doc_id counts as the empty text in the split; rows without a lang teach nothing; the
     other cases are identify's.
