@@ -6,7 +6,7 @@ taken floor(rate) times plus once more if its hash falls below the fraction of t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from .common import BROADCAST_ROWS, hash_share, word_count, written
 
 #: Weights of the sources in code-point order, null last, again and again.
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Tasks that the rows of one source are dealt to where sources are too many to broadcast.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -38,6 +40,28 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
     return levels.withColumn("open_level", open_level).select("source", "source_size", F.least(F.col("top"), F.coalesce(F.col("open_level") * F.col("weight"), F.col("top"))).alias("target"))
 
 
+def with_sources(rows: DataFrame, targets: DataFrame, source_col: str) -> DataFrame:
+    """rows with the columns of targets for their source, null too, in place of source_col; of columns named alike, only targets has any.
+
+    Beyond BROADCAST_ROWS sources both sides are shuffled, with each source dealt to SALTS tasks.
+    """
+    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("-"))
+    own = [F.col(c) for c in rows.columns if c != source_col]
+    keyed = rows.select(*own, key.alias("_mix_key"))
+    known = targets.withColumn("_mix_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))).drop("source")
+    if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(known), "_mix_key", "left").drop("_mix_key")
+    salted = keyed.withColumn("_mix_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    spread = known.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, ["_mix_key", "_mix_salt"], "left").drop("_mix_key", "_mix_salt")
+
+
+def copies_of(doc_id: Column, source_size: Column, target: Column, seed: str) -> Column:
+    """floor(rate), and one more if the hash of the id falls below the fraction of the rate."""
+    rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
+    return F.floor(rate) + (hash_share(doc_id, seed) < rate - F.floor(rate)).cast("long")
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, cap: float = 2.0, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken), one row for each row of docs.
 
@@ -48,16 +72,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share:
     """
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, cap), "targets")
-    if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = rows.alias("d").join(F.broadcast(targets.alias("t")), F.col("d.source").eqNullSafe(F.col("t.source")), "left")
-    else:  # many sources: shuffle, with the large ones salted
-        salts = 64
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        spread = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
-        joined = salted.alias("d").join(spread.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.salt") == F.col("t.salt")), "left")
-    rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (hash_share(F.col("d.doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.select("d.doc_id", "d.size", "t.source_size", "t.target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    joined = with_sources(rows.withColumnRenamed("source", "_mix_source"), targets, "_mix_source")
+    return joined.select("doc_id", "size", "source_size", "target", copies_of(F.col("doc_id"), F.col("source_size"), F.col("target"), seed).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, cap: float = 2.0, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -67,11 +83,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     """
     rows = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     targets = written(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, cap), "targets")
-    rates = targets.select(F.col("source").alias("_mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_mix_rate"))
-    if rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        rates = F.broadcast(rates)
-    joined = docs.join(rates, docs[source_col].eqNullSafe(F.col("_mix_source")), "left")
-    copies = F.floor("_mix_rate") + (hash_share(docs[id_col], seed) < F.col("_mix_rate") - F.floor("_mix_rate")).cast("long")
+    plain = targets.select("source", F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"))
+    joined = with_sources(docs.withColumn("_mix_source", F.col(source_col)), plain, "_mix_source")
+    copies = copies_of(F.col(id_col), F.col("_mix_size"), F.col("_mix_target"), seed)
     wanted = joined.withColumn("_mix_copies", F.when(word_count(F.col(text_col)) > 0, copies).otherwise(F.lit(0)).cast("int")).filter("_mix_copies > 0")
     return wanted.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
