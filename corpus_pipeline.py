@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, jaccard_join, languages, mixing, token_ids
@@ -17,14 +17,23 @@ KNOWN_WORDS = 200_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def kept_rows(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], results: tuple[str, ...], condition: Column) -> DataFrame:
+    """The rows of docs whose results meet the condition; docs may have own columns of those names, which come out as they were."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c in results}
+    found = operator(docs.withColumnsRenamed(aside)).filter(condition)
+    return found.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told, learned from those with a lang: a text without a letter goes.
+    """Documents in a mixture of languages that can be told, learned from those with a lang.
 
-    So do null and empty texts.  Each row is judged alone, null ids and repeated rows as well; an
-    empty table, or one without a lang, keeps none.
+    A text without a letter goes, null and empty ones too, and one that no set of the learned
+    languages explains better than none does (a gain of 0 or less, see languages.fitted): noise,
+    or a language or script that wasn't learned.  Each row is judged alone, null ids and repeated
+    rows as well; an empty table, or one without a lang, keeps none.
     """
-    found = languages.identify(docs, languages.train(docs))
-    return found.filter(F.col("lang_pred") != languages.UNKNOWN).select(*docs.columns)
+    model = languages.train(docs)
+    return kept_rows(docs, lambda d: languages.identify(d, model), languages.RESULTS, (F.col("lang_pred") != languages.UNKNOWN) & (F.col("gain") > 0))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +58,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts hold none and stay, as all rows do if the benchmark is empty; each row is
     judged alone, repeated rows as well.
     """
-    found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return kept_rows(docs, lambda d: decontamination.find_leaks(d, benchmark), ("leaks",), F.size("leaks") == 0)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
