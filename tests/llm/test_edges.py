@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for every operator."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,66 @@ def test_sanitised_text_has_no_span_left(spark):
     docs = spark.createDataFrame([(1, "write to joe@x.example.com or +1 (377) 555-0271 now"), (2, None), (3, "nothing")], "doc_id long, text string")
     texts = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert texts == {1: "write to [EMAIL] or [PHONE] now", 2: None, 3: "nothing"}
+
+
+@pytest.fixture(scope="module")
+def items_dir(spark, tmp_path_factory):
+    """A folder with a benchmark of one item."""
+    folder = str(tmp_path_factory.mktemp("items"))
+    spark.createDataFrame([(1, "which river runs through the old town of Avenport")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+CLASHES = ("score", "gain", "leaks", "lang_pred", "size", "copies", "target", "source_size", "component_id", "n_links", "ids", "start", "key", "row")
+
+
+@pytest.mark.parametrize(("stage", "kept"), [
+    ("language", [1, 4, 5, 5, None]), ("near_duplicates", [1, 2, 3, 4, 6, None]), ("decontaminate", [1, 2, 3, 4, 5, 5, 6, None]), ("mix", [1, 4, 5, 5, None]), ("tokens", [1, 2, 3, 4, 5, 5, 6, None]),
+])
+def test_stages_of_the_pipeline(spark, items_dir, stage, kept):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    function = dict(corpus_pipeline.STAGES)[stage]
+    got = function(spark, docs, items_dir)
+    rows = got.collect()
+    if stage == "mix":  # how many copies there are is for other tests; which documents can have any is not
+        assert {r["doc_id"] for r in rows} <= set(kept)
+    else:
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((i is None, i or 0) for i in kept)
+    if stage != "tokens":
+        assert got.columns == docs.columns and all(r[c] == f"own {c}" for r in rows for c in CLASHES)
+        texts = {(i, t) for i, t, *_ in ROWS}
+        assert {(r["doc_id"], r["text"]) for r in rows} <= texts
+    assert function(spark, spark.createDataFrame([], docs.schema), items_dir).collect() == []
+
+
+def test_noise_is_in_no_language(spark, items_dir):
+    """The set of languages has to explain a text better than evenly spread trigrams do."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = [(10**6, "".join(chr(0x4E00 + k * 37 % 5000) for k in range(400)), None), (10**6 + 1, "qzxj " * 3 + "".join(chr(97 + k * k * 7 % 26) + chr(0x3B1 + k % 24) for k in range(300)), None)]
+    got = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(noise, docs.schema)), items_dir)
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_equal_shares_are_the_first_language(spark):
+    even = np.full((languages.BUCKETS, 2), 1 / languages.BUCKETS, np.float32)
+    docs = spark.createDataFrame([(1, "any text at all")], "doc_id long, text string")
+    row = languages.identify(docs, languages.Model(("aa", "bb"), even)).collect()[0]
+    assert row["lang_pred"] == "aa" and row["languages"] == ["aa"] and abs(row["gain"]) < 1e-3
+
+
+def test_equally_frequent_ids_are_ranked_by_id(spark):
+    encoded = spark.createDataFrame([(9, 4), (3, 4), (7, 5), (1, 1), (1, 3)], "id long, n long")
+    assert token_ids.id_ranks(encoded).tolist() == [7, 1, 3, 9]
+
+
+def test_many_sources_are_mixed_as_few_are(spark, monkeypatch):
+    """Beyond the bound of a broadcast the sources are salted: same plan, same copies."""
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumn("size", F.lit("own"))
+    few = sorted(mixing.mix_plan(docs).collect(), key=str), sorted(mixing.mix(docs).collect(), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert (sorted(mixing.mix_plan(docs).collect(), key=str), sorted(mixing.mix(docs).collect(), key=str)) == few
+    assert all(r["size"] == "own" for r in few[1])
