@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import close_strength, pct_from, round2, rr_grade, trend_class
 from ..sources.shared import written
-from .indicators import by_bar, crossings, extrema, indicators, latest, volume_stats
+from .indicators import CANDLE, VALUES, by_bar, crossings, extrema, indicators, latest, volume_stats
 from .zones import extremes_of, nearest_above, nearest_below, with_extremes, zones_asof
 
 
@@ -56,9 +56,30 @@ class MeanRevOptions:
     stop_atr: float = 2.5
 
 
-def bar_features(candles: DataFrame, max_age: int = 2) -> DataFrame:
-    """Every column that the scans need but zones, each known at its bar: one shuffle by symbol serves them all."""
-    rows = crossings(volume_stats(indicators(candles)), max_age)
+#: What each strategy reads of bar_features beside the candle.
+NEEDED = {
+    "swing": ("trend", "ema10", "ema50", "ema200", "ema200_past", "close10", "atr14", "avg_volume", "volume_ratio"),
+    "breakout": ("trend", "ema10", "ema50", "ema200", "close10", "avg_volume", "volume_ratio"),
+    "crossover": ("ema7", "ema21", "cross_age", "crossed", "surge_volume", "atr14"),
+    "meanrev": ("ema10", "ema200", "rsi2", "atr14"),
+}
+#: What entries at the next bar read.
+ENTRY = ("next_open", "next_close", "next_d")
+#: Recursive values that derived columns are made of.
+MADE_OF = {"trend": ("ema50", "ema200"), "ema200_past": ("ema200",), "cross_age": ("ema7", "ema21"), "crossed": ("ema7", "ema21")}
+
+
+def bar_features(candles: DataFrame, max_age: int = 2, strategy: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Every column that the scans need but zones, or what one of them needs and more, each known at its bar: one shuffle by symbol serves them all."""
+    needed = (*NEEDED[strategy], *more) if strategy else ()
+    asked = [v for v in VALUES if v in {x for c in needed for x in MADE_OF.get(c, (c,))}] or list(VALUES)
+    known = indicators(candles, *asked).withColumns({v: F.lit(None).cast("double") for v in VALUES if v not in asked})
+    rows = derived(known, max_age)
+    return rows.select("symbol_id", *CANDLE, *needed, *ENTRY) if strategy else rows
+
+
+def derived(known: DataFrame, max_age: int) -> DataFrame:
+    rows = crossings(volume_stats(known), max_age)
     crossed = F.last(F.when(F.col("cross"), F.struct(F.col("prior_low").alias("prior_low"), "volume", "avg_volume")), ignorenulls=True).over(by_bar().rowsBetween(-max_age, 0))
     return (
         rows.withColumn("prior_low", F.lag("low").over(by_bar()))
@@ -73,11 +94,15 @@ def bar_features(candles: DataFrame, max_age: int = 2) -> DataFrame:
     )
 
 
-def features(candles: DataFrame, max_age: int = 2, last_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(bar_features, of the last bars only if so asked; extremes of each symbol), each computed once, from tables."""
-    bars = written(candles, "candles")
-    rows = bar_features(bars, max_age)
-    return written(latest(rows) if last_only else rows, "features"), extremes_of(extrema(bars))
+def features(candles: DataFrame, max_age: int = 2, last_only: bool = False, strategy: str | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """(bar_features, of the last bars only if so asked; extremes of each symbol), each computed once, from tables.
+
+    With a strategy only what that reads, and more, is computed and written; mean reversion reads no extremes.
+    """
+    zones = strategy != "meanrev"
+    bars = written(candles, "candles") if zones else candles
+    rows = bar_features(bars, max_age, strategy, more)
+    return written(latest(rows) if last_only else rows, "features"), extremes_of(extrema(bars)) if zones else None
 
 
 def first_reason(checks: list[tuple[str, Column]]) -> Column:

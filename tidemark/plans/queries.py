@@ -146,12 +146,12 @@ def _ind(spark: SparkSession, sf_dir: str, *values: str) -> DataFrame:
     return I.indicators(fx.candles(spark, sf_dir), *values)
 
 
-def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.bar_features(fx.candles(spark, sf_dir))
+def _bars(spark: SparkSession, sf_dir: str, strategy: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    return scans.bar_features(fx.candles(spark, sf_dir), strategy=strategy, more=more)
 
 
-def _feat(spark: SparkSession, sf_dir: str, last_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    return scans.features(fx.candles(spark, sf_dir), last_only=last_only)
+def _feat(spark: SparkSession, sf_dir: str, last_only: bool = False, strategy: str | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    return scans.features(fx.candles(spark, sf_dir), last_only=last_only, strategy=strategy, more=more)
 
 
 def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ POSITIONS = f"pos as (select symbol_id, max(entry_date) entry_date, arg_max(entr
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    signals, rows = _signals(spark, sf_dir, "meanrev")
+    signals, rows = _signals(spark, sf_dir, "meanrev", ("ema7", "ema21"))
     return P.open_positions(L.barrier(signals, rows), ASOF), rows
 
 

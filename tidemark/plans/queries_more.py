@@ -51,28 +51,28 @@ LAST = "bar = last_bar"
 
 @query(sql(f"select symbol_id, close, trend, reason, {r4('score')} from sw", *BASE, swing_sql(True, LAST)))
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scans.swing(*_feat(spark, sf_dir, True)).select("symbol_id", "close", "trend", "reason", "score"), "score")
+    return rounded(scans.swing(*_feat(spark, sf_dir, True, "swing")).select("symbol_id", "close", "trend", "reason", "score"), "score")
 
 
 @query(sql(f"select symbol_id, entry, sl, target, rr, reason, {r4('score')} from sw", *BASE, swing_sql(False, LAST)))
 def scan_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.swing(*_feat(spark, sf_dir, True), scans.LENIENT).select("symbol_id", "entry", "sl", "target", "rr", "reason", "score")
+    found = scans.swing(*_feat(spark, sf_dir, True, "swing"), scans.LENIENT).select("symbol_id", "entry", "sl", "target", "rr", "reason", "score")
     return rounded(found, "score").orderBy(F.desc_nulls_last("score"), "symbol_id")
 
 
 @query(sql("select reason, count(*)::bigint n from sw group by 1", *BASE, swing_sql(True)))
 def swing_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.swing(*_feat(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
+    return scans.swing(*_feat(spark, sf_dir, strategy="swing")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(sql("select symbol_id, bar, entry, sl, target, risk, reward, rr from sw where reason is null", *BASE, swing_sql(False)))
 def setup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("reason is null").select("symbol_id", "bar", "entry", "sl", "target", "risk", "reward", "rr")
+    return scans.swing(*_feat(spark, sf_dir, strategy="swing"), scans.LENIENT).filter("reason is null").select("symbol_id", "bar", "entry", "sl", "target", "risk", "reward", "rr")
 
 
 @query(sql("select symbol_id, bar, short_sl, round(sup.mid * 100) / 100 short_target, round((round((entry - round(sup.mid * 100) / 100) * 100) / 100) / (round((short_sl - entry) * 100) / 100) * 100) / 100 short_rr from sw where reason is null", *BASE, swing_sql(False)))
 def setup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
+    rows = scans.swing(*_feat(spark, sf_dir, strategy="swing"), scans.LENIENT).filter("reason is null")
     target = S.round2(F.col("support.mid"))
     rr = S.round2(S.round2(F.col("entry") - target) / S.round2(F.col("short_sl") - F.col("entry")))
     return rows.select("symbol_id", "bar", "short_sl", target.alias("short_target"), rr.alias("short_rr"))
@@ -80,7 +80,7 @@ def setup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"select symbol_id, bar, {r4('score')}, case when rr >= 3 then 'excellent' when rr >= 2 then 'good' when rr >= 1.5 then 'fair' else 'poor' end quality from sw where reason is null", *BASE, swing_sql(False)))
 def score_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
+    rows = scans.swing(*_feat(spark, sf_dir, strategy="swing"), scans.LENIENT).filter("reason is null")
     return rounded(rows.select("symbol_id", "bar", "score", "quality"), "score")
 
 
@@ -96,7 +96,7 @@ bo as (select *, case when not good then 'not_constructive' when sup is null the
 
 @query(sql(f"select symbol_id, reason, case when sup is not null then round(distance_pct * 10000) / 10000 end distance_pct, case when reason is null then round(sc * 10000) / 10000 end score from bo", *BASE, BREAKOUT))
 def scan_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.breakout(*_feat(spark, sf_dir, True)).select("symbol_id", "reason", "distance_pct", "score")
+    found = scans.breakout(*_feat(spark, sf_dir, True, "breakout")).select("symbol_id", "reason", "distance_pct", "score")
     return rounded(found, "distance_pct", "score").orderBy(F.desc_nulls_last("score"), "distance_pct", "symbol_id")
 
 
@@ -115,7 +115,7 @@ cr as materialized (select *, case when bar < 50 then 'few_candles' when ema7 <=
 
 @query(sql(f"select symbol_id, reason, cross_age, {r4('case when cross_age is not null then sl end', 'sl')}, target, {r4('rr')}, case when reason is null then sc end score from cr", *BASE, cross_sql(LAST)))
 def scan_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.crossover(*_feat(spark, sf_dir, True)).select("symbol_id", "reason", "cross_age", F.when(F.col("crossed").isNotNull() & F.col("cross_age").isNotNull(), F.col("sl")).alias("sl"), "target", "rr", "score")
+    found = scans.crossover(*_feat(spark, sf_dir, True, "crossover")).select("symbol_id", "reason", "cross_age", F.when(F.col("crossed").isNotNull() & F.col("cross_age").isNotNull(), F.col("sl")).alias("sl"), "target", "rr", "score")
     return rounded(found, "sl", "rr").orderBy(F.desc_nulls_last("score"), "cross_age", "symbol_id")
 
 
@@ -125,7 +125,7 @@ MEANREV = """mr as materialized (select *, close - 2.5::double * atr14 sl, case
 
 @query(sql(f"select symbol_id, reason, {r4('sl')}, {r4('case when reason is null then sc end', 'score')} from mr where {LAST}", IND, FEAT, MEANREV))
 def scan_meanrev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.meanrev(I.latest(_bars(spark, sf_dir))).select("symbol_id", "reason", "sl", "score")
+    found = scans.meanrev(I.latest(_bars(spark, sf_dir, "meanrev"))).select("symbol_id", "reason", "sl", "score")
     return rounded(found, "sl", "score").orderBy(F.desc_nulls_last("score"), "symbol_id")
 
 
@@ -138,13 +138,13 @@ def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"select symbol_id, bar, {r4('sc', 'score')}, sc >= 85 alert from mr where reason is null order by sc desc, symbol_id, bar limit 20", IND, FEAT, MEANREV))
 def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scans.meanrev(_bars(spark, sf_dir)).filter("reason is null").orderBy(F.desc("score"), "symbol_id", "bar").limit(20)
+    found = scans.meanrev(_bars(spark, sf_dir, "meanrev")).filter("reason is null").orderBy(F.desc("score"), "symbol_id", "bar").limit(20)
     return found.select("symbol_id", "bar", round4(F.col("score")).alias("score"), (F.col("score") >= 85).alias("alert"))
 
 
 @query(sql("select symbol_id, bar, '[' || concat_ws(', ', printf('RSI2 oversold at %.1f within EMA200 up-trend', rsi2), printf('Reversion target EMA10 %.2f', ema10), case when volume_ratio > 1 then printf('Volume %.2fx rolling average', volume_ratio) end) || ']' reasons from mr where reason is null", IND, FEAT, MEANREV))
 def reasons_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.meanrev(_bars(spark, sf_dir)).filter("reason is null")
+    rows = scans.meanrev(_bars(spark, sf_dir, "meanrev", ("volume_ratio",))).filter("reason is null")
     lines = F.array(F.format_string("RSI2 oversold at %.1f within EMA200 up-trend", "rsi2"), F.format_string("Reversion target EMA10 %.2f", "ema10"), F.when(F.col("volume_ratio") > 1, F.format_string("Volume %.2fx rolling average", "volume_ratio")))
     return rows.select("symbol_id", "bar", F.concat(F.lit("["), F.array_join(F.filter(lines, lambda x: x.isNotNull()), ", "), F.lit("]")).alias("reasons"))
 
@@ -167,8 +167,8 @@ def _show(signals: DataFrame) -> DataFrame:
     return rounded(signals.select("symbol_id", "signal_bar", "entry_date", "entry", "sl", "target", "score"), "sl", "target", "score")
 
 
-def _signals(spark: SparkSession, sf_dir: str, strategy: str = "crossover") -> tuple[DataFrame, DataFrame]:
-    rows, extremes = _feat(spark, sf_dir)
+def _signals(spark: SparkSession, sf_dir: str, strategy: str = "crossover", more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    rows, extremes = _feat(spark, sf_dir, strategy=strategy, more=more)
     return scans.backscan(scans.STRATEGIES[strategy](rows, extremes)), rows
 
 
@@ -179,12 +179,12 @@ def backscan_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(SHOWN, *REV_SIGNALS))
 def backscan_meanrev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(scans.backscan(scans.meanrev(_bars(spark, sf_dir))))
+    return _show(scans.backscan(scans.meanrev(_bars(spark, sf_dir, "meanrev"))))
 
 
 @query(sql(SHOWN, *BASE, swing_sql(False), signals_sql("sw", "target", "score")))
 def backscan_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(scans.backscan(scans.swing(*_feat(spark, sf_dir), scans.LENIENT)))
+    return _show(scans.backscan(scans.swing(*_feat(spark, sf_dir, strategy="swing"), scans.LENIENT)))
 
 
 BARRIER = """held as (select s.*, c.bar, c.d bar_date, c.low bar_low, c.high bar_high, c.close bar_close from sig s join candles c on c.symbol_id = s.symbol_id and c.bar between s.entry_bar and s.entry_bar + 19),

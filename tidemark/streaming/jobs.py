@@ -81,7 +81,7 @@ def live_scan(history: DataFrame) -> Callable[[DataFrame], DataFrame]:
     def scan(batch: DataFrame) -> DataFrame:
         bars = written(live_bars(batch, history), "live-bars")
         merged = upsert(history, bars.drop("opened"), ["symbol_id", "d"])
-        found = scans.breakout(*scans.features(merged, last_only=True)).select("symbol_id", "d", "close", "volume", "reason", "distance_pct", "score")
+        found = scans.breakout(*scans.features(merged, last_only=True, strategy="breakout")).select("symbol_id", "d", "close", "volume", "reason", "distance_pct", "score")
         cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
         index = bars.filter("opened").agg(((cents("close") - cents("open")) / cents("open") * 100).alias("index_pct"))
         strength = bars.filter("opened").join(F.broadcast(index)).select("symbol_id", ((F.col("close") - F.col("open")) / F.col("open") * 100 - F.col("index_pct")).alias("rs"))
