@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, languages, mixing, pii, quality, repeats, token_counts, token_ids, toxicity
+from . import decontamination, jaccard_join, languages, licenses, mixing, periodic_runs, pii, quality, repeats, search, token_counts, token_ids, toxicity
 from .common import documents
 
 
@@ -61,10 +61,26 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document names or quotes."""
+    return licenses.license_rows(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, with the planted repeats."""
+    return periodic_runs.run_digests(documents(spark, sf_dir))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item, over all documents."""
+    return search.search_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_language_id, op3_pii, op4_jaccard_join, op5_token_counts, op6_token_ids, op7_repeated_text, op8_quality_rules, op9_toxicity, op10_source_mix,
+        op11_licenses, op12_periodic_runs, op13_search,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_quality_rules": quality.SQL, "op10_source_mix": mixing.SQL}
+ORACLES: dict[str, str] = {"op8_quality_rules": quality.SQL, "op10_source_mix": mixing.SQL, "op13_search": search.SQL}
