@@ -142,3 +142,50 @@ def test_many_sources_are_mixed_as_few_are(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
     assert (sorted(mixing.mix_plan(docs).collect(), key=str), sorted(mixing.mix(docs).collect(), key=str)) == few
     assert all(r["size"] == "own" for r in few[1])
+
+
+def plain_survivors(rows, n=5, percent=80):
+    """The distinct rows (doc_id, text) that one of each group stays of, by comparing all rows."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for w in words]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return [rows[r] for r in sorted(set(root))]
+
+
+@pytest.mark.parametrize("exact", [None, True])
+def test_near_duplicates_judge_each_row(spark, exact):
+    import corpus_pipeline
+
+    x, y, z, w = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyzw")
+    rows = [(1, x), (None, x), (None, y), (5, x), (5, z), (None, w + " one"), (None, w + " two"), (7, ""), (7, ""), (8, None), (8, None), (None, None), (None, None), (7, " "), (9, "A b"), (9, "a B"), (9, "a b c")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "", exact=exact).collect()
+    listed = lambda some: sorted(map(repr, some))
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    # which of two texts of one id stays is told by their hash
+    alike = lambda r: (r[0], {w + " two": w + " one", "a B": "A b"}.get(r[1], r[1]))
+    assert listed(map(alike, kept)) == listed(map(alike, plain_survivors(rows)))
+
+
+def test_near_duplicates_of_many_odd_rows(spark):
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    bases = [[f"{c}{k}" for k in range(rnd.choice([3, 20, 60]))] for c in "abcdef"]
+    rows = []
+    for _ in range(150):
+        words = list(rnd.choice(bases))
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            words[rnd.randrange(len(words))] = rnd.choice(["new", "other"])
+        rows.append((rnd.choice([None, *range(40)]), " ".join(words) if rnd.random() > 0.1 else ""))
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "", exact=True).collect()
+    want = plain_survivors(rows)
+    assert len(got) == len(want) and sorted(repr(r["doc_id"]) for r in got) == sorted(repr(i) for i, _ in want)
+    assert {(r["doc_id"], r["text"]) for r in got} <= set(rows)

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,7 +118,7 @@ def part_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndar
     fewer than `weak` shingles say little; a set with no more than `spare` of them leaves them out,
     others keep them, so that two linked sets always share a part that both keep.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
     of = np.repeat(np.arange(len(sets)), sizes)
     place, content = mixed(flat ^ _B) >> np.uint64(32), mixed(flat + _A)
@@ -364,17 +364,47 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     pair of leaves that the traversal leaves over: in a group of n different near copies all of
     (n / block) ** 2 / 2.  A cluster's leaves, a row each, are traversed in one task.
     """
+    members, per_class = _joined_classes(docs, n, percent, block, exact, id_col, text_col)
+    joined = members.select("doc_id", "cls", "n").join(per_class, "cls", "left")
+    real = lambda c: F.when(c != NO_ID, c)
+    return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """What tells a row from others in verdicts: its id, NO_ID if null, and the hash of its text, 42 if null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(text_col)
+
+
+def verdicts(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK, exact: bool | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, stays): by row_key, whether a row is the one of its group that stays.
+
+    A group is what links reach, row by row: rows of one doc_id with different texts may be in
+    different groups.  The one with the smallest doc_id stays, null last, and of those with the
+    smallest text_key; rows that repeat both are one.  Rows that are linked with nothing and
+    repeated by none aren't listed: they stay.  The other cases are join_documents's.
+    """
+    members, per_class = _joined_classes(docs, n, percent, block, exact, id_col, text_col)
+    distinct = members.groupBy("doc_id", "text_key", "cls").agg(F.count("*").alias("copies"))
+    linked = written(distinct.join(per_class.filter("n_links > 0").select("cls", "root"), "cls", "left").filter("root is not null or copies > 1").select("doc_id", "text_key", "root"), "linked")
+    first = linked.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    judged = linked.select("doc_id", "text_key", F.col("root").isNull().alias("stays")).unionByName(first.withColumn("stays", F.lit(True)))
+    return judged.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"))
+
+
+def _joined_classes(docs: DataFrame, n: int, percent: int, block: int, exact: bool | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, cls, n, signature) of each row, cls null without words, and (cls, root, component_id, n_links) of each class; written tables."""
     exact = percent >= EXACT_PERCENT if exact is None else exact
     bands = Bands.of(percent, LONGEST)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    doc_id, text_key = row_key(id_col, text_col)
+    rows = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), text_key.alias("text_key"))
 
     def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 1000):
             sets = shingle_sets(part.column(1).to_pylist(), n)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(class_ids(sets) if len(sets) else sizes, mask=sizes == 0), pa.array(sizes), pa.array(map(signature, sets), pa.binary())], names=["doc_id", "cls", "n", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(class_ids(sets) if len(sets) else sizes, mask=sizes == 0), pa.array(sizes), pa.array(map(signature, sets), pa.binary())], names=["doc_id", "text_key", "cls", "n", "signature"])
 
-    members = written(rows.mapInArrow(released(classify), "doc_id long, cls long, n long, signature binary"), "members")
+    members = written(rows.mapInArrow(released(classify), "doc_id long, text_key long, cls long, n long, signature binary"), "members")
     one = F.min_by(F.struct("n", "signature"), "doc_id").alias("one")
     classes = written(members.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), one).select("cls", "doc_id", "copies", "one.*"), "classes")
 
@@ -433,7 +463,7 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
             right = class_ids(sets) == f["cls"].to_numpy() if len(f) else np.zeros(0, bool)
             yield f.drop(columns=["text"]).assign(shingles=[s.tobytes() for s in sets])[right]
 
-    texts = marked(rows, wanted, "doc_id").join(wanted, "doc_id").select("cls", "n", "copies", "leaf", "pairs", "text")
+    texts = marked(rows.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id").select("cls", "n", "copies", "leaf", "pairs", "text")
     sets = texts.mapInPandas(gather, "cls long, n long, copies long, leaf long, pairs array<struct<lo:long,hi:long>>, shingles binary")
     paired = sets.withColumn("pair", F.explode("pairs")).select("pair.*", "leaf", "cls", "n", "copies", "shingles")
 
@@ -460,7 +490,5 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     rooted = classes.join(final, "cls", "left").join(links, "cls", "left").select("cls", "doc_id", "copies", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    per_class = written(rooted.join(lowest, "root").select("cls", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "class-components")
-    joined = members.select("doc_id", "cls", "n").join(per_class, "cls", "left")
-    real = lambda c: F.when(c != NO_ID, c)
-    return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    per_class = written(rooted.join(lowest, "root").select("cls", "root", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "class-components")
+    return members, per_class
