@@ -36,20 +36,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept_rows(docs, lambda d: languages.identify(d, model), languages.RESULTS, (F.col("lang_pred") != languages.UNKNOWN) & (F.col("gain") > 0))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the join links, the one with the smallest doc_id.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, exact: bool | None = None) -> DataFrame:
+    """One document of each group that the join links, the one with the smallest doc_id, null last.
 
-    Groups are of five-word shingles and a similarity of 0.8 or more.  Documents without an id stay
-    if no document with one is linked to them; rows that repeat both doc_id and text are one.
+    Groups are of five-word shingles and a similarity of 0.8 or more.  Each row is judged by its
+    own text, so a row that is linked with nothing stays, whatever other rows of its doc_id, null
+    too, are linked with; rows that repeat both doc_id and text are one, without words as well.  exact
+    finds the groups without minhashes, which lose a pair at the threshold with a chance of 1e-10.
     """
-    groups = jaccard_join.join_documents(docs, n=5, percent=80)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NO_ID))
-    linked = groups.filter("n_links > 0").groupBy(key.alias("_key")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
-    linked = written(linked, "linked")
-    rows = docs.withColumn("_key", key)
-    # most documents are linked to none, and don't move
-    judged = marked(rows, linked, "_key").join(linked, "_key", "left").filter(F.coalesce("_stays", F.lit(True))).dropDuplicates(["_key", "text"])
-    return judged.select(*docs.columns).unionByName(marked(rows, linked, "_key", yes=False).select(*docs.columns))
+    verdicts = written(jaccard_join.verdicts(docs, n=5, percent=80, exact=exact).withColumn("_row", F.xxhash64("doc_id", "text_key")).select("_row", F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("stays").alias("_stays")), "verdicts")
+    doc_id, text_key = jaccard_join.row_key()
+    rows = docs.withColumns({"_id": doc_id, "_text": text_key, "_row": F.xxhash64(doc_id, text_key)})
+    # most rows have no verdict, and don't move; of those that do, copies of a row combine before they move
+    judged = marked(rows, verdicts, "_row").dropDuplicates(["_id", "_text"]).join(verdicts.drop("_row"), ["_id", "_text"], "left").filter(F.coalesce("_stays", F.lit(True)))
+    return judged.select(*docs.columns).unionByName(marked(rows, verdicts, "_row", yes=False).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
