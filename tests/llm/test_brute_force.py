@@ -377,6 +377,50 @@ def test_edited_copies_of_items_are_leaks(spark):
     assert blocks == found
 
 
+def plain_score(item, text):
+    """Of the best local alignment: 2 for a match, -1 for any edit."""
+    above, best = [0] * (len(text) + 1), 0
+    for w in item:
+        here = [0]
+        for j, x in enumerate(text):
+            here.append(max(0, above[j] + (2 if x == w else -1), above[j + 1] - 1, here[j] - 1))
+        best, above = max(best, *here), here
+    return best
+
+
+def edited(words, kind, step, first):
+    out = []
+    for k, w in enumerate(words):
+        hit = k % step == first % step
+        if kind == "insert" and hit:
+            out.append("zz%d" % k)
+        out += [] if hit and kind == "delete" else ["yy%d" % k] if hit and kind == "replace" else [w]
+    return out
+
+
+def test_every_alignment_at_the_threshold_is_found(spark):
+    """All items against all texts, at edits of every word to every eighth."""
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(150)]
+    words = lambda n: rnd.choices(vocabulary, range(1, 151), k=n)
+    items = [(k, words(n)) for k, n in enumerate([1, 3, 4, 5, 8, 13, 20, 30, 30, 37])]
+    rows = [(k, words(60)) for k in range(20)]
+    for k, item in items[1:]:
+        for kind in ("replace", "insert", "delete"):
+            for step in range(1, 9):
+                rows.append((len(rows), words(rnd.randint(0, 15)) + edited(item, kind, step, rnd.randrange(step)) + words(rnd.randint(0, 15))))
+    rows.append((len(rows), edited(edited(items[9][1], "insert", 2, 1), "replace", 9, 2)))
+    want = {(i, k): plain_score(item, text) / (2 * len(item)) for i, text in rows for k, item in items}
+    want = {key: score for key, score in want.items() if score >= 0.5}
+    docs, tests = (spark.createDataFrame([(i, " ".join(t)) for i, t in some], f"{name} long, text string") for some, name in ((rows, "doc_id"), (items, "item_id")))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.leak_rows(docs, tests).collect()}
+    assert got == want and len(want) > 150
+    few = {(r["doc_id"], r["item_id"]) for r in decontamination.leak_rows(docs, tests, seed_share=0.0, block_items=4).collect()}
+    assert few == set(want)
+    high = {(r["doc_id"], r["item_id"]) for r in decontamination.leak_rows(docs, tests, min_score=0.8).collect()}
+    assert high == {key for key, score in want.items() if score >= 0.8}
+
+
 def test_alignment_equals_the_plain_matrix():
     random.seed(7)
     for _ in range(60):
