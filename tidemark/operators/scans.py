@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import close_strength, pct_from, round2, rr_grade, trend_class
 from ..sources.shared import written
 from .indicators import CANDLE, VALUES, by_bar, crossings, extrema, indicators, latest, volume_stats
-from .zones import extremes_of, nearest_above, nearest_below, with_extremes, zones_asof
+from .state import initial_state, live_features
+from .zones import extremes_of, with_nearest
 
 
 @dataclass(frozen=True)
@@ -99,6 +100,9 @@ def features(candles: DataFrame, max_age: int = 2, last_only: bool = False, stra
 
     With a strategy only what that reads, and more, is computed and written; mean reversion reads no extremes.
     """
+    if last_only and strategy in ("swing", "breakout"):  # all that these read is in the state of a symbol: one pass, without windows
+        last = written(live_features(initial_state(candles).withColumn("opened", F.lit(True))), "features")
+        return last.select("symbol_id", *CANDLE, *NEEDED[strategy], *more), last.select("symbol_id", "lows", "highs")
     zones = strategy != "meanrev"
     bars = written(candles, "candles") if zones else candles
     rows = bar_features(bars, max_age, strategy, more)
@@ -110,11 +114,6 @@ def first_reason(checks: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(failed, name) for name, failed in checks])
 
 
-def computed(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """rows with value, computed once: a filter on what is made of it isn't pushed below, where it would compute it again."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def over(value: Column, limit: float | None) -> Column:
     return F.lit(False) if limit is None else value > F.lit(limit)
 
@@ -131,9 +130,8 @@ def swing(rows: DataFrame, extremes: DataFrame, o: SwingOptions = SwingOptions()
     ])
     rows = rows.withColumn("early", early)
     # zones are dear: only where the cheap checks pass
-    rows = with_extremes(rows, extremes, F.col("early").isNull())
-    rows = computed(rows, "support", F.when(F.col("early").isNull(), nearest_below(zones_asof("lows", F.col("bar")), price)))
-    rows = computed(rows, "resistance", F.when(F.col("support").isNotNull(), nearest_above(zones_asof("highs", F.col("bar")), price, o.min_resistance_touches)))
+    rows = with_nearest(rows, extremes, F.col("early").isNull(), o.min_resistance_touches)
+    rows = rows.withColumn("resistance", F.when(F.col("support").isNotNull(), F.col("resistance")))
     buffer = F.when(F.col("atr14") > 0, F.lit(o.atr_multiplier) * F.col("atr14"))
     rows = (
         rows.withColumn("entry", round2(price))
@@ -185,9 +183,8 @@ def breakout(rows: DataFrame, extremes: DataFrame, o: SwingOptions = SwingOption
     """Prices just below resistance in a constructive trend: rows with reason, distance_pct and score."""
     price = F.col("close")
     constructive = (F.col("trend") == "bullish") | F.coalesce((price > F.col("ema50")) & (F.col("ema50") >= F.col("ema200")), F.lit(False))
-    rows = with_extremes(rows.withColumn("constructive", constructive), extremes, F.col("constructive"))
-    rows = computed(rows, "support", F.when(F.col("constructive"), nearest_below(zones_asof("lows", F.col("bar")), price)))
-    rows = computed(rows, "resistance", F.when(F.col("support").isNotNull(), nearest_above(zones_asof("highs", F.col("bar")), price, o.min_resistance_touches)))
+    rows = with_nearest(rows.withColumn("constructive", constructive), extremes, F.col("constructive"), o.min_resistance_touches)
+    rows = rows.withColumn("resistance", F.when(F.col("support").isNotNull(), F.col("resistance")))
     rows = rows.withColumn("distance_pct", F.when(price > 0, (F.col("resistance.low") - price) / price * 100))
     extended = over(pct_from(price, F.col("ema10")), o.max_ema10_pct) | over(pct_from(price, F.col("ema50")), o.max_ema50_pct) | over(pct_from(price, F.col("close10")), o.max_move10_pct)
     reason = first_reason([
@@ -217,9 +214,8 @@ def crossover(rows: DataFrame, extremes: DataFrame, o: CrossOptions = CrossOptio
     ])
     sl = F.least(F.col("crossed.prior_low"), price * F.lit(1 - o.min_risk_pct / 100)) if o.min_risk_pct else F.col("crossed.prior_low")
     rows = rows.withColumn("early", early).withColumn("entry", price).withColumn("sl", sl)
-    rows = with_extremes(rows, extremes, F.col("early").isNull())
-    goal = nearest_above(zones_asof("highs", F.col("bar")), price, 1, price * F.lit(1 + o.min_target_pct / 100))
-    rows = computed(rows, "target", F.when(F.col("early").isNull() & (price > F.col("sl")), goal["mid"]))
+    rows = with_nearest(rows, extremes, F.col("early").isNull(), 1, o.min_target_pct)
+    rows = rows.withColumn("target", F.when(price > F.col("sl"), F.col("resistance.mid"))).drop("support", "resistance")
     rows = rows.withColumn("rr", F.when(price > F.col("sl"), (F.col("target") - price) / (price - F.col("sl"))))
     surge = F.coalesce(F.col("volume") < F.col("surge_volume") * o.min_surge, F.lit(False)) if o.min_surge else F.lit(False)
     reason = F.coalesce("early", first_reason([

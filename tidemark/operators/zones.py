@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ZONE = "struct<low:double,high:double,mid:double,touches:int>"
 
@@ -34,9 +38,88 @@ def extremes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol_id").agg(known("is_low", "low"), known("is_high", "high"))
 
 
-def with_extremes(rows: DataFrame, extremes: DataFrame, wanted: Column) -> DataFrame:
-    """rows with the extremes of their symbol where they are wanted, null elsewhere: others don't carry them."""
-    chosen = rows.filter(wanted).join(extremes, "symbol_id", "left")
+class Levels:
+    """The zones of a growing set of prices, as cluster makes them of all, in order."""
+
+    def __init__(self, pct: float = 0.02):
+        self.pct = pct
+        self.zones: list[list[float]] = []  # the prices of each, ascending
+        self.lows: list[float] = []
+        self.highs: list[float] = []
+
+    def near(self, zone: list[float], price: float) -> bool:
+        mid = (zone[0] + zone[-1]) / 2
+        return mid > 0 and (price - mid) / mid <= self.pct
+
+    def add(self, price: float) -> None:
+        """Zones before the price's stay; from there on prices are dealt anew, until a zone begins where one did."""
+        first = max(0, bisect_right(self.lows, price) - 1)
+        new: list[list[float]] = []
+        at, waiting = first, True
+        while at < len(self.zones) or waiting:
+            prices = list(self.zones[at]) if at < len(self.zones) else []
+            if waiting:
+                insort(prices, price)
+                waiting = False
+            elif not self.near(new[-1], prices[0]):
+                break
+            at += 1
+            for p in prices:
+                if new and self.near(new[-1], p):
+                    new[-1].append(p)
+                else:
+                    new.append([p])
+        self.zones[first:at], self.lows[first:at], self.highs[first:at] = new, [z[0] for z in new], [z[-1] for z in new]
+
+    def _zone(self, k: int) -> dict[str, float]:
+        low, high = self.lows[k], self.highs[k]
+        return {"mid": (low + high) / 2, "low": low, "high": high, "touches": len(self.zones[k])}
+
+    def below(self, price: float) -> dict[str, float] | None:
+        """The highest zone whose high is below price."""
+        k = bisect_left(self.highs, price) - 1
+        return self._zone(k) if k >= 0 else None
+
+    def above(self, price: float, min_touches: int, min_mid: float | None) -> dict[str, float] | None:
+        """The lowest zone whose low is above price, of min_touches prices, and from min_mid on."""
+        for k in range(bisect_right(self.lows, price), len(self.lows)):
+            if len(self.zones[k]) >= min_touches and (min_mid is None or (self.lows[k] + self.highs[k]) / 2 >= min_mid):
+                return self._zone(k)
+        return None
+
+
+NEAREST = "struct<mid:double,low:double,high:double,touches:int>"
+
+
+def with_nearest(rows: DataFrame, extremes: DataFrame, wanted: Column, min_touches: int = 2, min_mid_pct: float | None = None) -> DataFrame:
+    """rows with support and resistance, where they are wanted: the nearest zones below and above the close, as known at the bar.
+
+    extremes are those of extremes_of.  Resistance has min_touches prices and a middle at least
+    min_mid_pct above the close.  A symbol's extremes come into its zones in order of the bar that
+    confirms them, and change but the zones that they touch, so a pass over a symbol's bars is
+    all that its history costs; bars for which no zone is wanted don't take part.
+    """
+    kind = pa.struct([("mid", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("touches", pa.int32())])
+
+    def walk(bars: pa.Table, known: pa.Table) -> pa.Table:
+        bars = bars.sort_by("bar")
+        sides = []
+        for name in ("lows", "highs"):
+            found = known.column(name)[0].as_py() if known.num_rows else None
+            sides.append((Levels(), sorted((x["confirm_bar"], x["price"]) for x in found or ())))
+        supports, resistances, at = [], [], [0, 0]
+        for bar, price in zip(bars.column("bar").to_pylist(), bars.column("close").to_pylist()):
+            for side, (levels, due) in enumerate(sides):
+                while at[side] < len(due) and due[at[side]][0] <= bar:
+                    levels.add(due[at[side]][1])
+                    at[side] += 1
+            supports.append(sides[0][0].below(price))
+            resistances.append(sides[1][0].above(price, min_touches, None if min_mid_pct is None else price * (1 + min_mid_pct / 100)))
+        return bars.append_column("support", pa.array(supports, kind)).append_column("resistance", pa.array(resistances, kind))
+
+    rows = rows.drop("support", "resistance")
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"support {NEAREST}, resistance {NEAREST}").fields])
+    chosen = rows.filter(wanted).groupBy("symbol_id").cogroup(extremes.select("symbol_id", "lows", "highs").groupBy("symbol_id")).applyInArrow(walk, schema)
     return chosen.unionByName(rows.filter(~wanted), allowMissingColumns=True)
 
 

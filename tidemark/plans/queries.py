@@ -15,6 +15,8 @@ from ..operators import indicators as I
 from ..operators import logs, scans
 from ..operators import zones as Z
 from ..sources import fixtures as fx
+from ..sources.shared import shared_path
+from ..sources.store import CandleStore
 from .oracles import EXT, FEAT, IND, LATEST, r4, sql, zones
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,10 +43,15 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 OLD_NEW = "old as (select * from candles where d < date '1997-01-01'), new as (select * replace (round(close * 100 + 1) / 100 as close) from candles where d >= date '1996-01-01')"
 
 
+def _store(spark: SparkSession, rows: DataFrame, name: str) -> CandleStore:
+    store = CandleStore(shared_path(spark, name), buckets=2)
+    store.create(rows)
+    return store
+
+
 @query(sql("select symbol_id, d, bar, open, high, low, close, volume from candles where symbol_id = 7 and d between date '1995-01-01' and date '1996-12-31' order by d limit 100"))
 def candles_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.candles(spark, sf_dir).filter((F.col("symbol_id") == 7) & F.col("d").between(F.lit("1995-01-01").cast("date"), F.lit("1996-12-31").cast("date")))
-    return rows.orderBy("d").limit(100)
+    return _store(spark, fx.candles(spark, sf_dir), "candle-range").range(spark, 7, "1995-01-01", "1996-12-31", 100)
 
 
 @query(sql("select symbol_id, max(d) d, arg_max(close, d) \"close\", arg_max(volume, d) volume from candles group by 1"))
@@ -54,14 +61,18 @@ def candles_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select symbol_id, d, close from old union all select symbol_id, d, close from new n where not exists (select 1 from old o where o.symbol_id = n.symbol_id and o.d = n.d)", OLD_NEW))
 def candles_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = fx.batches(fx.candles(spark, sf_dir).select("symbol_id", "d", "close"))
-    return logs.insert_ignore(old, new, ["symbol_id", "d"])
+    old, new = fx.batches(fx.candles(spark, sf_dir))
+    store = _store(spark, old, "candle-insert")
+    store.insert_ignore(new)
+    return store.read(spark).select("symbol_id", "d", "close")
 
 
 @query(sql("select symbol_id, d, close from new union all select symbol_id, d, close from old o where not exists (select 1 from new n where o.symbol_id = n.symbol_id and o.d = n.d)", OLD_NEW))
 def candles_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = fx.batches(fx.candles(spark, sf_dir).select("symbol_id", "d", "close"))
-    return logs.upsert(old, new, ["symbol_id", "d"])
+    old, new = fx.batches(fx.candles(spark, sf_dir))
+    store = _store(spark, old, "candle-upsert")
+    store.upsert(new)
+    return store.read(spark).select("symbol_id", "d", "close")
 
 
 @query(sql("select symbol_id, d, close from candles where symbol_id in (select s_suppkey from supplier where s_nationkey = 3)"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.scalars import round4
 from ..operators import labels as L
 from ..operators import positions as P
 from ..operators import scans
-from ..operators.logs import streaks, upsert
+from ..operators.logs import upsert
 from ..sources import fixtures as fx
 from ..sources import readers as R
 from ..sources.shared import shared_path
@@ -18,7 +20,7 @@ from ..sources.ticks import decode_frames, price_frames
 from ..streaming import jobs as J
 from .oracles import R4, r4, sql
 from .queries import BENCH, _feat, query, rounded
-from .queries_more import BASE, BREAKOUT, CROSS_SIGNALS, EMAEXIT, LOG, REV_SIGNALS, TRADES, _held, _signals, _trades, swing_sql
+from .queries_more import BASE, BREAKOUT, CROSS_SIGNALS, EMAEXIT, LAST, LOG, REV_SIGNALS, TRADES, _held, _signals, _trades, swing_sql
 
 
 def _csv(spark: SparkSession, rows: DataFrame, volume: Column | None = None) -> str:
@@ -226,8 +228,8 @@ TICK = "tick as (select user_id::bigint token, ts, value last_price, (props->>'$
 
 @query(f"with {TICK} select token, max(ts)::timestamp ts, arg_max(last_price, (ts, seq)) last_price, arg_max(qty, (ts, seq)) qty from tick group by 1")
 def stream_latest_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = J.drain(J.latest_ticks(J.tick_stream(spark, sf_dir)), "complete", "latest-ticks")
-    return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch").select("token", F.col("ts").cast("timestamp_ntz").alias("ts"), "last_price", "qty")
+    out = J.newest(J.drain(J.latest_ticks(J.tick_stream(spark, sf_dir)), "update", "latest-ticks"), "token")
+    return out.select("token", F.col("ts").cast("timestamp_ntz").alias("ts"), "last_price", "qty")
 
 
 @query(f"with {TICK} select token, ts::date d, arg_min(last_price, (ts, seq)) as open, max(last_price) high, min(last_price) low, arg_max(last_price, (ts, seq)) as close, sum(qty)::bigint volume from tick group by 1, 2 having ts::date + interval 1 day <= (select max(ts) - interval 10 minute from tick)")
@@ -250,13 +252,19 @@ live as materialized (select symbol_id, x.t::date d, b + (x.t::date > last_d)::i
   floor(x.qty * 1000 / (greatest(x.minute_of_day - 555, 30) / 375::double))::bigint volume, x.qty >= 10 opened from lastq join (select symbol_id, max(bar) b, max(d) last_d from hist group by 1) using (symbol_id) where x.t::date >= last_d),
 candles as materialized (select * from hist h where not exists (select 1 from live where live.symbol_id = h.symbol_id and live.d = h.d) union all select * exclude (opened) from live),
 day_index as (select (sum(round(close * 100)::bigint)::bigint - sum(round(open * 100)::bigint)::bigint) / sum(round(open * 100)::bigint)::bigint::double * 100 p from live where opened)"""
-LIVE_ROWS = f"select bo.symbol_id, bo.d, bo.close, bo.volume, reason, case when sup is not null then {R4.format('distance_pct')} end distance_pct, case when reason is null then {R4.format('sc')} end score, case when opened then {R4.format('((bo.close - bo.open) / bo.open * 100 - p)')} end rs from bo join live using (symbol_id, d), day_index"
+LIVE_ROWS = " union all ".join(
+    f"select '{mode}' as mode, x.symbol_id, x.d, x.close, x.volume, reason, {distance} distance_pct, case when reason is null then {R4.format(score)} end score, case when opened then {R4.format('((x.close - x.open) / x.open * 100 - p)')} end rs, case when reason is null then 1::bigint end streak, case when reason is null then false end is_new from {table} x join live using (symbol_id, d), day_index"
+    for mode, table, distance, score in (("breakout", "bo", f"case when sup is not null then {R4.format('distance_pct')} end", "sc"), ("swing", "sw", "null::double", "x.score"))
+)
+#: swing_sql names its tables as BREAKOUT does.
+LIVE_SWING = re.sub(r"\b(cand|zp|zr|zones)\b", r"sw_\1", swing_sql(False, LAST))
 
 
-@query(sql(LIVE_ROWS, LIVE, *BASE, BREAKOUT).replace("candles as materialized", "hist as materialized", 1))
+@query(sql(LIVE_ROWS, LIVE, *BASE, BREAKOUT, LIVE_SWING).replace("candles as materialized", "hist as materialized", 1))
 def stream_live_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = fx.candles(spark, sf_dir)
-    found = J.drain(fx.quotes(J.tick_stream(spark, sf_dir), history), "append", "live-scan", J.live_scan(history)).drop("batch")
+    scan = J.LiveScan.begin(history, shared_path(spark, "live-state"), swing=scans.LENIENT)
+    found = J.drain(fx.quotes(J.tick_stream(spark, sf_dir), history), "append", "live-scan", scan).drop("batch", "scanned_at")
     return rounded(found, "distance_pct", "score", "rs")
 
 
@@ -288,8 +296,10 @@ def eod_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("as_of").agg(F.count("*").alias("symbols"))
 
 
-@query("with " + LOG.format("day") + ", ru as (select scanned_at, row_number() over (order by scanned_at) run from (select distinct scanned_at from slog)), j as (select *, run - row_number() over (partition by symbol order by run) island from slog join ru using (scanned_at)), k as (select *, row_number() over (partition by symbol, island order by run)::bigint streak from j) select scanned_at::date as day, symbol, streak, streak = 1 and run > 1 is_new from k")
+CLOSED_DAYS = f"closed as (select * from slog where scanned_at + interval 1 day <= (select max(ts) - interval 10 minute from events))"
+
+
+@query("with " + LOG.format("day") + f", {CLOSED_DAYS}, j as (select *, scanned_at::date - date '1970-01-01' - row_number() over (partition by symbol order by scanned_at) island from closed) select scanned_at::date as day, symbol, score, row_number() over (partition by symbol, island order by scanned_at)::bigint streak from j")
 def stream_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = J.drain(J.tick_stream(spark, sf_dir), "append", "run-log", J.run_log)
-    runs = log.groupBy("scanned_at", "symbol").agg(F.sum("score").alias("score"))
-    return streaks(runs).select(F.col("scanned_at").cast("date").alias("day"), "symbol", "streak", "is_new")
+    with J.with_rocksdb(spark):
+        return J.drain(J.daily_streaks(J.tick_stream(spark, sf_dir)), "append", "streaks").select("day", "symbol", "score", "streak")

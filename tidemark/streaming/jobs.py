@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import market_open, session_fraction
 from ..operators import scans
-from ..operators.logs import upsert
+from ..operators.state import SCHEMA, initial_state, live_features, with_live_bars
 from ..sources.shared import shared_path, written
 
 EVENTS = "events.parquet"
+STATE = f"{SCHEMA}, changed boolean, opened boolean"
+RUN = "mode string, symbol_id bigint, streak bigint"
 
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,19 +29,31 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("user_id").cast("long").alias("token"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("last_price"), F.get_json_object("props", "$.k").cast("long").alias("qty"), F.col("event_id").cast("long").alias("seq"))
 
 
-def drain(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Runs a stream over all that is there; its batches are written, a folder for each, so a repeated one replaces itself."""
+def drain(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame, int], DataFrame] = lambda df, number: df, path: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there; its batches are written, a folder for each, so a repeated one replaces itself.
+
+    With a path, an earlier call's, the stream goes on from where that ended.
+    """
     spark = stream.sparkSession
-    path = shared_path(spark, name)
+    path = path or shared_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        each(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        each(batch, number).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
 
 
+def newest(batches: DataFrame, key: str) -> DataFrame:
+    """The row of each key from the last batch that has one: what a stream in update mode has come to.
+
+    A batch holds changed keys only, and one that is repeated has replaced itself.
+    """
+    values = [c for c in batches.columns if c not in (key, "batch")]
+    return batches.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(key, "x.*")
+
+
 def latest_ticks(ticks: DataFrame) -> DataFrame:
     """The last tick of each token by exchange time, then sequence."""
     last = ticks.groupBy("token").agg(F.max(F.struct("ts", "seq", "last_price", "qty")).alias("t"))
@@ -55,41 +73,149 @@ def stop_alerts(ticks: DataFrame, positions: DataFrame) -> DataFrame:
     return ticks.join(stops, "token").filter("last_price <= sl").select("token", "ts", "seq", "last_price", "sl")
 
 
-def live_bars(quotes: DataFrame, history: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
-    """Today's bar of each symbol from its last quote within a session: (symbol_id, d, bar, open, high, low, close, volume, opened).
+def live_bars(quotes: DataFrame, newest: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """Today's bar of each symbol from its last quote within a session: (symbol_id, d, ts, open, high, low, close, volume, opened).
 
     quotes are (token, ts, seq, last_price, open, high, low, volume) of the day so far; a missing open
     is the last price, and opened tells the two apart; the volume is projected to the session's end.
-    The bar of a date that history has is replaced, a later one comes after it, an older one is left out.
+    newest has the last date, last_d, of each symbol; bars of older dates are left out, as are
+    unknown symbols.
     """
     last = quotes.filter(market_open(F.col("ts"), zone)).groupBy("token").agg(F.max(F.struct("ts", "seq", "last_price", "open", "high", "low", "volume")).alias("q"))
     live = last.select(F.col("token").alias("symbol_id"), F.to_date(F.from_utc_timestamp("q.ts", zone)).alias("d"), "q.*")
-    newest = history.groupBy("symbol_id").agg(F.max(F.struct("d", "bar")).alias("h")).select("symbol_id", F.col("h.d").alias("last_d"), F.col("h.bar").alias("last_bar"))
     price = F.col("last_price")
     return newest.join(live, "symbol_id").filter("d >= last_d").select(
-        "symbol_id", "d", (F.col("last_bar") + (F.col("d") > F.col("last_d")).cast("int")).alias("bar"), F.coalesce("open", price).alias("open"), F.greatest("high", price).alias("high"),
-        F.least("low", price).alias("low"), price.alias("close"), F.floor(F.col("volume") / session_fraction(F.col("ts"), zone)).alias("volume"), F.col("open").isNotNull().alias("opened"),
+        "symbol_id", "d", "ts", F.coalesce("open", price).alias("open"), F.greatest("high", price).alias("high"), F.least("low", price).alias("low"), price.alias("close"),
+        F.floor(F.col("volume") / session_fraction(F.col("ts"), zone)).alias("volume"), F.col("open").isNotNull().alias("opened"),
     )
 
 
-def live_scan(history: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """For a micro-batch of quotes: live_bars on top of history, scanned for breakouts, with the strength against all live symbols.
+MODES = ("breakout", "swing")
 
-    A batch without a quote in a session has no rows.  Strength is null where the day's open is unknown.
-    """
-
-    def scan(batch: DataFrame) -> DataFrame:
-        bars = written(live_bars(batch, history), "live-bars")
-        merged = upsert(history, bars.drop("opened"), ["symbol_id", "d"])
-        found = scans.breakout(*scans.features(merged, last_only=True, strategy="breakout")).select("symbol_id", "d", "close", "volume", "reason", "distance_pct", "score")
-        cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
-        index = bars.filter("opened").agg(((cents("close") - cents("open")) / cents("open") * 100).alias("index_pct"))
-        strength = bars.filter("opened").join(F.broadcast(index)).select("symbol_id", ((F.col("close") - F.col("open")) / F.col("open") * 100 - F.col("index_pct")).alias("rs"))
-        return found.join(bars.select("symbol_id", "d"), ["symbol_id", "d"], "left_semi").join(strength, "symbol_id", "left")
 
-    return scan
+def scan_live(features: DataFrame, modes: tuple[str, ...] = MODES, swing: scans.SwingOptions = scans.SwingOptions()) -> DataFrame:
+    """(mode, symbol_id, d, close, volume, reason, distance_pct, score, rs) of each live bar, by each mode.
 
+    rs is the bar's change from its open less that of all live symbols; null where the open is unknown.
+    """
+    rows, extremes = features.drop("lows", "highs"), features.select("symbol_id", "lows", "highs")
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    index = features.filter("opened").agg(((cents("close") - cents("open")) / cents("open") * 100).alias("index_pct"))
+    none = F.lit(None).cast("double").alias("distance_pct")
+    judged = {
+        "breakout": lambda: scans.breakout(rows, extremes).select(*rows.columns, "reason", "distance_pct", "score"),
+        "swing": lambda: scans.swing(rows, extremes, swing).select(*rows.columns, "reason", none, "score"),
+    }
+    found = [judged[m]().withColumn("mode", F.lit(m)) for m in modes]
+    both = found[0]
+    for other in found[1:]:
+        both = both.unionByName(other)
+    rs = F.when(F.col("opened"), (F.col("close") - F.col("open")) / F.col("open") * 100 - F.col("index_pct"))
+    return both.join(F.broadcast(index)).select("mode", "symbol_id", "d", "close", "volume", "reason", "distance_pct", "score", rs.alias("rs"))
+
+
+@dataclass(frozen=True)
+class LiveScan:
+    """Scans of micro-batches of quotes, on a state that each batch advances; called with a batch and its number.
+
+    folder holds a table of the state after each batch, and one of the signals of each batch that
+    had a quote in a session, a run; the state before the first batch is written by begin.  A
+    batch reads the state of the one before it and writes its own, so one that is repeated after a
+    failure gives the same again.  Rows are those of scan_live with streak, the runs in a row
+    that have a signal of the mode and symbol, and is_new, which no signal of the first run is.
+    """
 
-def run_log(batch: DataFrame) -> DataFrame:
-    """(scanned_at, symbol, score): a micro-batch's part of the daily runs; streaks are counted on the log, so a restart loses none."""
-    return batch.groupBy(F.date_trunc("day", "ts").alias("scanned_at"), F.col("token").alias("symbol")).agg(F.sum(F.round(F.col("last_price") * 100).cast("long")).alias("score"))
+    folder: str
+    modes: tuple[str, ...] = MODES
+    swing: scans.SwingOptions = scans.SwingOptions()
+
+    @staticmethod
+    def begin(history: DataFrame, folder: str, **options) -> LiveScan:
+        initial_state(history).withColumns({"changed": F.lit(False), "opened": F.lit(False)}).write.mode("overwrite").parquet(f"{folder}/state/batch=-1")
+        history.sparkSession.createDataFrame([], RUN).write.mode("overwrite").parquet(f"{folder}/runs/batch=-1")
+        return LiveScan(folder, **options)
+
+    def __call__(self, quotes: DataFrame, number: int) -> DataFrame:
+        spark = quotes.sparkSession
+        before = spark.read.schema(STATE).parquet(f"{self.folder}/state/batch={number - 1}")
+        bars = written(live_bars(quotes, before.select("symbol_id", F.col("live.d").alias("last_d"))), "live-bars")
+        with_live_bars(before.drop("changed", "opened"), bars).write.mode("overwrite").parquet(f"{self.folder}/state/batch={number}")
+        state = spark.read.schema(STATE).parquet(f"{self.folder}/state/batch={number}")
+        features = written(live_features(state.filter("changed")), "live-features")
+        previous = spark.read.schema(RUN).parquet(f"{self.folder}/runs/batch={number - 1}")
+        found = scan_live(features, self.modes, self.swing).join(previous.select("mode", "symbol_id", F.col("streak").alias("_streak")), ["mode", "symbol_id"], "left")
+        first = previous.filter("symbol_id is null").agg(F.max("streak").alias("_runs"))  # a row of no symbol counts the runs
+        signal = F.col("reason").isNull()
+        rows = found.join(F.broadcast(first)).withColumn("streak", F.when(signal, F.coalesce("_streak", F.lit(0)) + 1)).withColumn("is_new", F.when(signal, F.col("_streak").isNull() & F.col("_runs").isNotNull())).drop("_streak", "_runs")
+        rows = written(rows, "live-found")
+        runs = rows.filter("streak is not null").select("mode", "symbol_id", "streak")
+        count = previous.filter("symbol_id is null").agg((F.coalesce(F.max("streak"), F.lit(0)) + 1).alias("streak")).select(F.lit("").alias("mode"), F.lit(None).cast("long").alias("symbol_id"), "streak")
+        had_run = bool(bars.take(1))
+        (runs.unionByName(count) if had_run else previous).write.mode("overwrite").parquet(f"{self.folder}/runs/batch={number}")
+        return rows.join(bars.select("symbol_id", F.col("ts").alias("scanned_at")), "symbol_id")
+
+
+class _Streaks(StatefulProcessor):
+    """A symbol's scores by day until the day ends, and its last day with its streak."""
+
+    def __init__(self, step_days: int):
+        self.step = step_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day int", "score long")
+        self.last = handle.getValueState("last", "day int, streak long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            for day, score in frame.groupby("day")["score"].sum().items():
+                end = (int(day) + 1) * DAY_MS
+                if end <= now:
+                    continue  # its run is over
+                if not self.days.containsKey((int(day),)):
+                    self.handle.registerTimer(end)
+                    self.days.updateValue((int(day),), (int(score),))
+                else:
+                    self.days.updateValue((int(day),), (self.days.getValue((int(day),))[0] + int(score),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
+        last = self.last.get() if self.last.exists() else None
+        streak = last[1] + 1 if last and last[0] == day - self.step else 1
+        self.last.update((day, streak))
+        score = self.days.getValue((day,))[0]
+        self.days.removeKey((day,))
+        yield pd.DataFrame({"symbol": [key[0]], "day": [day], "score": [score], "streak": [streak]})
+
+    def close(self) -> None:
+        pass
+
+
+DAY_MS = 86_400_000
+
+
+def daily_streaks(ticks: DataFrame, step_days: int = 1, delay: str = "10 minutes") -> DataFrame:
+    """(symbol, day, score, streak) of each symbol and day that the watermark has passed; a run a day, every step_days.
+
+    The state is keyed by symbol: the scores of days that are open, a timer for the end of each, and
+    the last day with its streak.  A restart goes on from the checkpoint; neither it nor a batch reads
+    the log again.  A day on which nothing was seen is a run too, and ends all streaks.  Needs the
+    RocksDB state store (see with_rocksdb); ticks later than the watermark are left out.
+    """
+    seen = ticks.withWatermark("ts", delay).select(F.col("token").alias("symbol"), "ts", F.unix_date(F.col("ts").cast("date")).alias("day"), F.round(F.col("last_price") * 100).cast("long").alias("score"))
+    out = seen.groupBy("symbol").transformWithStateInPandas(_Streaks(step_days), "symbol long, day int, score long, streak long", "append", "eventTime")
+    return out.withColumn("day", F.date_from_unix_date("day"))
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
