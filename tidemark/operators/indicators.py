@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
@@ -46,49 +48,95 @@ def wilder(values: list[float], period: int) -> list[float | None]:
     return out
 
 
-def relative_strength_index(gain: float, loss: float) -> float:
-    if loss == 0:
-        return 50.0 if gain == 0 else 100.0
-    return 100 - 100 / (1 + gain / loss)
-
-
-def cents(v: float) -> float:
+def cents(v: np.ndarray) -> np.ndarray:
     """Half away from zero, as all prices here are positive."""
-    return math.floor(v * 100 + 0.5) / 100
+    return np.floor(v * 100 + 0.5) / 100
 
 
 VALUES = tuple(f"ema{p}" for p in EMAS) + ("true_range", "atr14") + tuple(f"rsi{p}" for p in RSIS)
 
 
+class Matrix:
+    """The bars of some symbols as columns, the longest first, so that at each bar the symbols that have one are the first."""
+
+    def __init__(self, symbol: np.ndarray):
+        """symbol of each row; rows are in order of symbol, then bar."""
+        first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]])) if len(symbol) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(symbol)))
+        order = np.argsort(-sizes, kind="stable")
+        column = np.empty(len(first), np.int64)
+        column[order] = np.arange(len(first))
+        self.at = np.arange(len(symbol)) - np.repeat(first, sizes), np.repeat(column, sizes)
+        self.shape = int(sizes.max(initial=0)), len(first)
+        #: Symbols that have a bar, by bar.
+        self.alive = np.searchsorted(np.sort(-sizes), -np.arange(self.shape[0]), "left")
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.full(self.shape, np.nan)
+        out[self.at] = values
+        return out
+
+    def rows(self, matrix: np.ndarray) -> np.ndarray:
+        return matrix[self.at]
+
+    def smoothed(self, values: np.ndarray, period: int, step: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0) -> np.ndarray:
+        """The mean of the first `period` values from bar `skip` on, then step(value, last) bar by bar; NaN until then."""
+        out, total = np.full(self.shape, np.nan), np.zeros(self.shape[1])
+        for t in range(skip, self.shape[0]):
+            n = self.alive[t]
+            if t - skip < period:
+                total[:n] += values[t, :n]
+                if t - skip == period - 1:
+                    out[t, :n] = total[:n] / period
+            else:
+                out[t, :n] = step(values[t, :n], out[t - 1, :n])
+        return out
+
+
 def recursive(bars: pa.Table, values: tuple[str, ...] = VALUES) -> pa.Table:
-    """The bars of one symbol with those of their recursive values that are asked for."""
-    bars = bars.sort_by("bar")
-    high, low, close = (bars.column(c).to_pylist() for c in ("high", "low", "close"))
-    columns = {f"ema{p}": ema(close, p) for p in EMAS if f"ema{p}" in values}
-    spans = [max(h - x, abs(h - c), abs(c - x)) for h, x, c in zip(high[1:], low[1:], close)]
-    columns["true_range"] = [None, *spans]
+    """The bars of some symbols with those of their recursive values that are asked for: a step a bar for all symbols at once."""
+    bars = bars.sort_by([("symbol_id", "ascending"), ("bar", "ascending")])
+    matrix = Matrix(bars.column("symbol_id").to_numpy())
+    high, low, close = (matrix.of(pc.fill_null(bars.column(c), np.nan).to_numpy()) for c in ("high", "low", "close"))
+    before = np.vstack([np.full((1, matrix.shape[1]), np.nan), close[:-1]]) if len(close) else close
+    columns = {}
+    for p in (p for p in EMAS if f"ema{p}" in values):
+        k = 2.0 / (p + 1)
+        columns[f"ema{p}"] = matrix.smoothed(close, p, lambda v, last, k=k: v * k + last * (1 - k))
+    wilder_step = lambda p: lambda v, last: (last * (p - 1) + v) / p
+    spans = np.maximum(np.maximum(high - low, np.abs(high - before)), np.abs(before - low))
+    columns["true_range"] = spans
     if "atr14" in values:
-        columns["atr14"] = [None, *[None if v is None else cents(v) for v in wilder(spans, ATR_PERIOD)]]
-    changes = [b - a for a, b in zip(close, close[1:])]
+        columns["atr14"] = cents(matrix.smoothed(spans, ATR_PERIOD, wilder_step(ATR_PERIOD), 1))
+    change = close - before
     for p in (p for p in RSIS if f"rsi{p}" in values):
-        gains, losses = wilder([max(c, 0.0) for c in changes], p), wilder([max(-c, 0.0) for c in changes], p)
-        columns[f"rsi{p}"] = [None, *[None if g is None else relative_strength_index(g, x) for g, x in zip(gains, losses)]]
+        gain, loss = (matrix.smoothed(np.maximum(c, 0.0), p, wilder_step(p), 1) for c in (change, -change))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            strength = 100 - 100 / (1 + gain / loss)
+        columns[f"rsi{p}"] = np.where(np.isnan(loss), np.nan, np.where(loss == 0, np.where(gain == 0, 50.0, 100.0), strength))
     for name in values:
-        bars = bars.append_column(name, pa.array(columns[name], pa.float64()))
+        bars = bars.append_column(name, pa.array(matrix.rows(columns[name]), from_pandas=True))
     return bars
 
 
+#: Symbols are dealt into so many matrices for each shuffle partition.
+MATRICES = 4
+
+
 def indicators(candles: DataFrame, *values: str) -> DataFrame:
     """candles with values, which may be ema7 .. ema200, true_range, atr14 (to cents), rsi2 and rsi14, or all; null until seeded.
 
-    One shuffle by symbol; a bar's values need it and the bars before it only.  The recursion has
-    no form as a window; a fold over arrays copies its result at each bar, and took six times as
-    long as this loop over the bars of a symbol, which are all a task holds at a time.
+    One shuffle, by the number of the matrix that a symbol is dealt to; a bar's values need it and
+    the bars before it only.  The recursion has no form as a window; here a step computes a bar of
+    all symbols of a matrix, which a task holds whole: with the shuffle partitions grow the matrices.
     """
     rows = candles.select("symbol_id", *CANDLE)
     asked = values or VALUES
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", " + ", ".join(f"{v} double" for v in asked)
-    return rows.groupBy("symbol_id").applyInArrow(lambda bars: recursive(bars, asked), schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * MATRICES
+    dealt = rows.groupBy(F.pmod(F.xxhash64("symbol_id"), F.lit(parts)).alias("_matrix"))
+    columns = rows.columns
+    return dealt.applyInArrow(lambda bars: recursive(bars.select(columns), asked), schema)
 
 
 def volume_stats(rows: DataFrame, window: int = 20) -> DataFrame:

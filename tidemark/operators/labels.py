@@ -2,78 +2,166 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import buy_fill, net_pct, round4, sell_fill
-from .indicators import by_bar
 
-SIGNAL = ["symbol_id", "signal_bar"]
+EXIT = "string, exit_bar int, exit_date date, exit_price double"
 
 
-def bars_of(signals: DataFrame, candles: DataFrame, last: Column) -> DataFrame:
-    """A row for each signal and bar from its entry to last: an equi-join on (symbol, bar), as many rows as bars held."""
-    held = signals.withColumn("bar", F.explode(F.sequence("entry_bar", F.greatest(last, F.col("entry_bar")))))
-    return held.join(candles.select("symbol_id", "bar", F.col("d").alias("bar_date"), F.col("open").alias("bar_open"), F.col("high").alias("bar_high"), F.col("low").alias("bar_low"), F.col("close").alias("bar_close")), ["symbol_id", "bar"])
+def minima(values: np.ndarray) -> list[np.ndarray]:
+    """Least values of the stretches of 1, 2, 4, ... from each place on."""
+    levels, width = [values], 1
+    while 2 * width <= len(values):
+        levels.append(np.minimum(levels[-1][:-width], levels[-1][width:]))
+        width *= 2
+    return levels
 
 
-def _resolved(rows: DataFrame, stop_bar: Column, stop_exit: Column, stop_kind: Column, target_bar: Column) -> DataFrame:
-    """A row for each signal: the stop wins ties; without either the last bar's close."""
-    signal = ["symbol_id", "signal_bar", "signal_date", "entry_bar", "entry_date", "entry", "sl", "target", "atr", "score"]
-    stopped = F.min(F.when(stop_bar, F.struct("bar", stop_exit.alias("exit"), stop_kind.alias("kind"), "bar_date")))
-    won = F.min(F.when(target_bar, F.struct("bar", F.col("target").alias("exit"), F.lit("win").alias("kind"), "bar_date")))
-    last = F.max(F.struct("bar", F.col("bar_close").alias("exit"), F.lit("timeout").alias("kind"), "bar_date"))
-    ended = rows.groupBy(*signal).agg(stopped.alias("stopped"), won.alias("won"), last.alias("last"))
-    end = F.when(F.col("stopped").isNotNull() & (F.col("won").isNull() | (F.col("stopped.bar") <= F.col("won.bar"))), F.col("stopped")).otherwise(F.coalesce("won", "last"))
-    ended = ended.withColumn("end", end)
-    return ended.select(
-        *signal, F.col("end.kind").alias("outcome"), F.col("end.bar").alias("exit_bar"), F.col("end.bar_date").alias("exit_date"), F.col("end.exit").alias("exit_price"),
-        ((F.col("end.exit") - F.col("entry")) / (F.col("entry") - F.col("sl"))).alias("actual_rr"), (F.col("end.bar") - F.col("entry_bar") + 1).alias("hold_days"),
-    )
+def first_at_most(levels: list[np.ndarray], start: np.ndarray, end: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The first place from start to end whose value is at most limit, of each; places beyond all where there is none.
+
+    The stretches that are above the limit are left behind, the longest first: as many steps as
+    levels, however far the place is.
+    """
+    at = start.copy()
+    for k in range(len(levels) - 1, -1, -1):
+        fits = np.flatnonzero(at + (1 << k) - 1 <= end)
+        above = fits[levels[k][at[fits]] > limit[fits]]
+        at[above] += 1 << k
+    return np.where((at <= end) & (start <= end), at, len(levels[0]))
+
+
+class Bars:
+    """The bars of one symbol, in order."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows.sort_by("bar")
+        self.bar = self._numbers("bar", 0).astype(np.int64)
+        self.close = self._numbers("close", np.nan)
+        self.low, self.high = self._numbers("low", np.inf), self._numbers("high", -np.inf)
+
+    def _numbers(self, name: str, missing: float) -> np.ndarray:
+        return pc.fill_null(self.rows.column(name), missing).to_numpy().astype(float)
+
+    def held(self, signals: pa.Table, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first and last bar from each signal's entry to `last`; the first is beyond the last where there is none."""
+        entry = signals.column("entry_bar").to_numpy()
+        return np.searchsorted(self.bar, entry), np.searchsorted(self.bar, np.maximum(last, entry), "right") - 1
+
+
+def _of(signals: pa.Table, name: str, missing: float) -> np.ndarray:
+    return pc.fill_null(signals.column(name).cast(pa.float64()), missing).to_numpy()
 
 
-def barrier(signals: DataFrame, candles: DataFrame, max_hold: int = 20) -> DataFrame:
-    """First of stop, target and max_hold bars (counted from 1); outcome loss, win or timeout."""
-    rows = bars_of(signals, candles, F.col("entry_bar") + max_hold - 1)
-    return _resolved(rows, F.col("bar_low") <= F.col("sl"), F.col("sl"), F.lit("loss"), (F.col("target") > 0) & (F.col("bar_high") >= F.col("target")))
+def _exits(signals: DataFrame, candles: DataFrame, columns: tuple[str, ...], kind: str, resolve: Callable[[pa.Table, Bars], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """signals with kind and the exit, by symbol; resolve gives (which signals, kind, place of the exit, price).
+
+    One shuffle of signals and bars by symbol; no row is made for a bar that is held.
+    """
+
+    def label(some: pa.Table, rows: pa.Table) -> pa.Table:
+        bars = Bars(rows)
+        which, kinds, at, price = resolve(some, bars) if some.num_rows and rows.num_rows else (np.zeros(0, np.int64), np.zeros(0, str), np.zeros(0, np.int64), np.zeros(0))
+        out = some.take(pa.array(which))
+        for name, values in ((kind, pa.array(kinds.tolist(), pa.string())), ("exit_bar", pa.array(bars.bar[at], pa.int32())), ("exit_date", bars.rows.column("d").take(pa.array(at))), ("exit_price", pa.array(price, pa.float64()))):
+            out = out.append_column(name, values)
+        return out
+
+    schema = T.StructType([*signals.schema.fields, *T._parse_datatype_string(f"{kind} {EXIT}").fields])
+    rows = candles.select("symbol_id", F.col("bar").cast("int").alias("bar"), "d", *columns)
+    return signals.groupBy("symbol_id").cogroup(rows.groupBy("symbol_id")).applyInArrow(label, schema)
+
+
+def _rated(ended: DataFrame) -> DataFrame:
+    return ended.withColumn("actual_rr", (F.col("exit_price") - F.col("entry")) / (F.col("entry") - F.col("sl"))).withColumn("hold_days", F.col("exit_bar") - F.col("entry_bar") + 1)
 
 
-def trailing(signals: DataFrame, candles: DataFrame, atr_multiplier: float = 1.5, max_hold: int = 20) -> DataFrame:
-    """As barrier, with a stop that follows the highest high of earlier bars at a distance, once that is above the entry."""
-    before = W.partitionBy(*SIGNAL).orderBy("bar").rowsBetween(W.unboundedPreceding, -1)
-    rows = bars_of(signals, candles, F.col("entry_bar") + max_hold - 1).withColumn("peak", F.greatest("entry", F.max("bar_high").over(before)))
-    trail = F.when((F.col("peak") > F.col("entry")) & (F.col("atr") > 0), F.col("peak") - F.lit(atr_multiplier) * F.col("atr"))
-    rows = rows.withColumn("stop", F.greatest("sl", trail))
-    return _resolved(rows, F.col("bar_low") <= F.col("stop"), F.col("stop"), F.when(F.col("stop") > F.col("sl"), "trail_stop").otherwise("loss"), (F.col("target") > 0) & (F.col("bar_high") >= F.col("target")))
+def barrier(signals: DataFrame, candles: DataFrame, max_hold: int | None = 20) -> DataFrame:
+    """First of stop, target and max_hold bars (counted from 1; None: the last bar); outcome loss, win or timeout; the stop wins ties."""
 
+    def resolve(some: pa.Table, bars: Bars):
+        start, end = bars.held(some, some.column("entry_bar").to_numpy() + max_hold - 1 if max_hold else np.full(some.num_rows, bars.bar[-1]))
+        sl, target = _of(some, "sl", -np.inf), _of(some, "target", 0)
+        stop = first_at_most(minima(bars.low), start, end, sl)
+        win = first_at_most(minima(-bars.high), start, end, np.where(target > 0, -target, -np.inf))
+        stopped, won = (stop <= win) & (stop <= end), win <= end
+        at = np.where(stopped, stop, np.where(won, win, end))
+        which = np.flatnonzero(start <= end)
+        kinds = np.where(stopped, "loss", np.where(won, "win", "timeout"))
+        return which, kinds[which], at[which], np.where(stopped, sl, np.where(won, target, bars.close[at]))[which]
 
-def next_recross(rows: DataFrame) -> DataFrame:
-    """(symbol_id, bar, recross_bar, last_bar): the first later bar where ema7 is below ema21."""
-    later = by_bar().rowsBetween(1, W.unboundedFollowing)
-    return rows.select("symbol_id", "bar", F.min(F.when(F.col("ema7") < F.col("ema21"), F.col("bar"))).over(later).alias("recross_bar"), F.max("bar").over(W.partitionBy("symbol_id")).alias("last_bar"))
+    return _rated(_exits(signals, candles, ("low", "high", "close"), "outcome", resolve))
 
 
-def ema_exit(signals: DataFrame, rows: DataFrame, slip: float = 0.002, max_hold: int | None = None) -> DataFrame:
+def trailing(signals: DataFrame, candles: DataFrame, atr_multiplier: float = 1.5, max_hold: int | None = 20) -> DataFrame:
+    """As barrier, with a stop that follows the highest high of earlier bars at a distance, once that is above the entry.
+
+    The stop changes at each bar: a step a bar for all signals of a symbol that are still open.
+    """
+
+    def resolve(some: pa.Table, bars: Bars):
+        start, end = bars.held(some, some.column("entry_bar").to_numpy() + max_hold - 1 if max_hold else np.full(some.num_rows, bars.bar[-1]))
+        sl, target, entry, atr = _of(some, "sl", -np.inf), _of(some, "target", 0), _of(some, "entry", np.nan), _of(some, "atr", 0)
+        which = np.flatnonzero(start <= end)
+        kinds, at, price = np.full(len(start), "timeout", object), end.copy(), bars.close[np.maximum(end, 0)]
+        peak, open_, place = entry.copy(), which, start.copy()
+        while len(open_):
+            i = place[open_]
+            follows = (peak[open_] > entry[open_]) & (atr[open_] > 0)
+            stop = np.maximum(sl[open_], np.where(follows, peak[open_] - atr_multiplier * atr[open_], -np.inf))
+            stopped = bars.low[i] <= stop
+            won = ~stopped & (target[open_] > 0) & (bars.high[i] >= target[open_])
+            for hit, kind, exit_price in ((stopped, np.where(stop > sl[open_], "trail_stop", "loss"), stop), (won, np.full(len(i), "win", object), target[open_])):
+                kinds[open_[hit]], at[open_[hit]], price[open_[hit]] = kind[hit], i[hit], exit_price[hit]
+            peak[open_] = np.fmax(peak[open_], bars.high[i])
+            place[open_] += 1
+            open_ = open_[~stopped & ~won & (place[open_] <= end[open_])]
+        return which, kinds[which], at[which], price[which]
+
+    return _rated(_exits(signals, candles, ("low", "high", "close"), "outcome", resolve))
+
+
+def ema_exit(signals: DataFrame, rows: DataFrame, slip: float = 0.002, max_hold: int | None = None, target_exit: bool = False) -> DataFrame:
     """Stop first, from the entry bar on; else the close where ema7 falls below ema21 after it; else timeout or the last close.
 
-    status stop, recross, timeout or open; hold counted from 0; rr after slippage on both legs.
+    With target_exit the target, from the bar after the entry on, takes the place of the averages.
+    status stop, recross or target, timeout or open; hold counted from 0; rr after slippage on both
+    legs.  Signals whose entry bar rows lacks are left out.
     """
-    ends = next_recross(rows).withColumnRenamed("bar", "entry_bar")
-    bound = F.coalesce("recross_bar", "last_bar")
-    bound = F.least(bound, F.col("entry_bar") + max_hold) if max_hold else bound
-    held = bars_of(signals.join(ends, ["symbol_id", "entry_bar"]), rows, bound)
-    keys = [*signals.columns, "recross_bar", "last_bar"]
-    ended = held.groupBy(*keys).agg(F.min(F.when(F.col("bar_low") <= F.col("sl"), F.struct("bar", "bar_date"))).alias("stopped"), F.max(F.struct("bar", "bar_close", "bar_date")).alias("end"))
-    at_end = F.when(F.col("end.bar") == F.col("recross_bar"), "recross")
-    if max_hold:
-        at_end = at_end.when(F.col("end.bar") - F.col("entry_bar") >= max_hold, "timeout")
-    stopped = F.col("stopped").isNotNull()
-    out = ended.select(
-        *signals.columns, F.when(stopped, "stop").otherwise(at_end.otherwise("open")).alias("status"), F.when(stopped, F.col("stopped.bar")).otherwise(F.col("end.bar")).alias("exit_bar"),
-        F.when(stopped, F.col("stopped.bar_date")).otherwise(F.col("end.bar_date")).alias("exit_date"), F.when(stopped, F.col("sl")).otherwise(F.col("end.bar_close")).alias("exit_price"),
-    )
+
+    def resolve(some: pa.Table, bars: Bars):
+        entry_bar, n = some.column("entry_bar").to_numpy(), len(bars.bar)
+        start, end = bars.held(some, entry_bar + max_hold if max_hold else np.full(some.num_rows, bars.bar[-1]))
+        sl, target = _of(some, "sl", -np.inf), _of(some, "target", 0)
+        which = np.flatnonzero((start < n) & (bars.bar[np.minimum(start, n - 1)] == entry_bar))
+        if target_exit:
+            ends = first_at_most(minima(-bars.high), start + 1, end, np.where(target > 0, -target, -np.inf))
+        else:
+            fast, slow = (bars._numbers(c, np.nan) for c in ("ema7", "ema21"))
+            falls = np.where(fast < slow, np.arange(n), n)
+            later = np.append(np.minimum.accumulate(falls[::-1])[::-1], n)  # the first at or after a place
+            ends = later[np.minimum(start + 1, n)]
+        done = ends <= end
+        bound = np.where(done, ends, end)
+        stop = first_at_most(minima(bars.low), start, bound, sl)
+        stopped = stop <= bound
+        timed = np.full(len(start), False) if not max_hold else bars.bar[np.maximum(bound, 0)] - entry_bar >= max_hold
+        kinds = np.where(stopped, "stop", np.where(done, "target" if target_exit else "recross", np.where(timed, "timeout", "open")))
+        at = np.where(stopped, stop, bound)
+        price = np.where(stopped, sl, np.where(done & target_exit, target, bars.close[np.minimum(at, n - 1)]))
+        return which, kinds[which], at[which], price[which]
+
+    needed = ("low", "high", "close") + (() if target_exit else ("ema7", "ema21"))
+    out = _exits(signals, rows, needed, "status", resolve)
     bought = buy_fill(F.col("entry"), slip)
     rr = F.when(bought - F.col("sl") > 0, (sell_fill(F.col("exit_price"), slip) - bought) / (bought - F.col("sl"))).otherwise(F.lit(0.0))
     return out.withColumn("actual_rr", rr).withColumn("hold_days", F.col("exit_bar") - F.col("entry_bar")).withColumn("net_pct", net_pct(F.col("entry"), F.col("exit_price")))

@@ -441,3 +441,15 @@ def scan_results_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with " + LOG.format("day") + ", ru as (select scanned_at, row_number() over (order by scanned_at) run from (select distinct scanned_at from slog)), j as (select *, run - row_number() over (partition by symbol order by run) island from slog join ru using (scanned_at)), k as (select *, row_number() over (partition by symbol, island order by run)::bigint streak from j) select scanned_at::date as day, symbol, streak, streak = 1 and run > 1 is_new from k")
 def scan_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.streaks(fx.scan_log(spark, sf_dir, "day")).select(F.col("scanned_at").cast("date").alias("day"), "symbol", "streak", "is_new")
+
+
+TARGETED = """th as (select s.*, c.bar, c.low low_, c.high high_, c.close close_ from sig s join candles c on c.symbol_id = s.symbol_id and c.bar between s.entry_bar and s.entry_bar + 40),
+tx as (select symbol_id, signal_bar, min(case when low_ <= sl then bar end) sb, min(case when target > 0 and high_ >= target and bar > entry_bar then bar end) tb, max(bar) lb, arg_max(close_, bar) lc from th group by 1, 2),
+tm as (select s.*, case when sb is not null and sb <= coalesce(tb, sb) then 'stop' when tb is not null then 'target' when lb - entry_bar >= 40 then 'timeout' else 'open' end status, lb, lc, sb, tb from sig s join tx using (symbol_id, signal_bar)),
+tm2 as (select *, case status when 'stop' then sb when 'target' then tb else lb end exit_bar, case status when 'stop' then sl when 'target' then target else lc end exit_price from tm)"""
+
+
+@query(sql(f"select symbol_id, signal_bar, status, exit_bar, {r4('exit_price')}, exit_bar - entry_bar hold_days, {r4('case when entry * 1.002 - sl > 0 then (exit_price * 0.998 - entry * 1.002) / (entry * 1.002 - sl) else 0 end', 'actual_rr')} from tm2".replace("1.002", "'1.002'::double").replace("0.998", "'0.998'::double"), *CROSS_SIGNALS, TARGETED))
+def label_target_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals, rows = _signals(spark, sf_dir)
+    return rounded(L.ema_exit(signals, rows, max_hold=40, target_exit=True).select("symbol_id", "signal_bar", "status", "exit_bar", "exit_price", "actual_rr", "hold_days"), "exit_price", "actual_rr")
