@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from .groups import dealt
+
 EMAS = (7, 10, 20, 21, 50, 200)
 ATR_PERIOD = 14
 RSIS = (2, 14)
@@ -119,24 +121,17 @@ def recursive(bars: pa.Table, values: tuple[str, ...] = VALUES) -> pa.Table:
     return bars
 
 
-#: Symbols are dealt into so many matrices for each shuffle partition.
-MATRICES = 4
-
-
 def indicators(candles: DataFrame, *values: str) -> DataFrame:
     """candles with values, which may be ema7 .. ema200, true_range, atr14 (to cents), rsi2 and rsi14, or all; null until seeded.
 
-    One shuffle, by the number of the matrix that a symbol is dealt to; a bar's values need it and
-    the bars before it only.  The recursion has no form as a window; here a step computes a bar of
-    all symbols of a matrix, which a task holds whole: with the shuffle partitions grow the matrices.
+    One shuffle, by the group that a symbol is dealt to; a bar's values need it and the bars before
+    it only.  The recursion has no form as a window; here a step computes a bar of all symbols of a
+    group, whose bars a task holds as a matrix.
     """
     rows = candles.select("symbol_id", *CANDLE)
     asked = values or VALUES
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", " + ", ".join(f"{v} double" for v in asked)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * MATRICES
-    dealt = rows.groupBy(F.pmod(F.xxhash64("symbol_id"), F.lit(parts)).alias("_matrix"))
-    columns = rows.columns
-    return dealt.applyInArrow(lambda bars: recursive(bars.select(columns), asked), schema)
+    return dealt(rows).groupBy("_group").applyInArrow(lambda bars: recursive(bars.drop_columns("_group"), asked), schema)
 
 
 def volume_stats(rows: DataFrame, window: int = 20) -> DataFrame:

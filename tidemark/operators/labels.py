@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import buy_fill, net_pct, round4, sell_fill
+from .groups import per_symbol, per_symbol_of_both
 
 EXIT = "string, exit_bar int, exit_date date, exit_price double"
 
@@ -44,7 +45,7 @@ class Bars:
     """The bars of one symbol, in order."""
 
     def __init__(self, rows: pa.Table):
-        self.rows = rows.sort_by("bar")
+        self.rows = rows
         self.bar = self._numbers("bar", 0).astype(np.int64)
         self.close = self._numbers("close", np.nan)
         self.low, self.high = self._numbers("low", np.inf), self._numbers("high", -np.inf)
@@ -78,7 +79,7 @@ def _exits(signals: DataFrame, candles: DataFrame, columns: tuple[str, ...], kin
 
     schema = T.StructType([*signals.schema.fields, *T._parse_datatype_string(f"{kind} {EXIT}").fields])
     rows = candles.select("symbol_id", F.col("bar").cast("int").alias("bar"), "d", *columns)
-    return signals.groupBy("symbol_id").cogroup(rows.groupBy("symbol_id")).applyInArrow(label, schema)
+    return per_symbol_of_both(signals, rows, label, schema)
 
 
 def _rated(ended: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def non_overlapping(trades: DataFrame) -> DataFrame:
                 until = end
         return rows.take(chosen)
 
-    return trades.groupBy("symbol_id").applyInArrow(kept, trades.schema)
+    return per_symbol(trades, kept, trades.schema)
 
 
 def micro(r: Column | str) -> Column:

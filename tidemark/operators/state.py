@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trend_class
+from .groups import per_symbol
 from .indicators import ATR_PERIOD, CANDLE, EMAS, RSIS, ema, wilder
 
 #: Bars on both sides of a local extreme.
@@ -65,12 +66,12 @@ def initial_state(history: DataFrame) -> DataFrame:
     kind = history.sparkSession.createDataFrame([], SCHEMA).toArrow().schema
 
     def last(rows: pa.Table) -> pa.Table:
-        bars = {c: v for c, v in rows.sort_by("bar").to_pydict().items()}
+        bars = rows.to_pydict()
         live = {c: bars[c][-1] for c in BAR_FIELDS}
         state = closed_values({c: v[:-1] for c, v in bars.items()})
         return pa.Table.from_pylist([{"symbol_id": bars["symbol_id"][0]} | state | {"live": live}], schema=kind)
 
-    return history.select(F.col("symbol_id").cast("long").alias("symbol_id"), *CANDLE).groupBy("symbol_id").applyInArrow(last, SCHEMA)
+    return per_symbol(history.select(F.col("symbol_id").cast("long").alias("symbol_id"), *CANDLE), last, SCHEMA)
 
 
 def _kept(values: Column, new: Column, n: int) -> Column:

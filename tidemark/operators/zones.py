@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .groups import per_symbol_of_both
+
 ZONE = "struct<low:double,high:double,mid:double,touches:int>"
 
 
@@ -102,7 +104,6 @@ def with_nearest(rows: DataFrame, extremes: DataFrame, wanted: Column, min_touch
     kind = pa.struct([("mid", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("touches", pa.int32())])
 
     def walk(bars: pa.Table, known: pa.Table) -> pa.Table:
-        bars = bars.sort_by("bar")
         sides = []
         for name in ("lows", "highs"):
             found = known.column(name)[0].as_py() if known.num_rows else None
@@ -119,7 +120,7 @@ def with_nearest(rows: DataFrame, extremes: DataFrame, wanted: Column, min_touch
 
     rows = rows.drop("support", "resistance")
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"support {NEAREST}, resistance {NEAREST}").fields])
-    chosen = rows.filter(wanted).groupBy("symbol_id").cogroup(extremes.select("symbol_id", "lows", "highs").groupBy("symbol_id")).applyInArrow(walk, schema)
+    chosen = per_symbol_of_both(rows.filter(wanted), extremes.select("symbol_id", "lows", "highs"), walk, schema)
     return chosen.unionByName(rows.filter(~wanted), allowMissingColumns=True)
 
 
