@@ -140,4 +140,26 @@ def test_candle_files_are_named_after_their_symbol(spark, tmp_path):
     good, bad = read_candles_csv(spark, str(tmp_path))
     assert sorted((r.symbol, str(r.ts), r.volume) for r in good.collect()) == [("M&M.NS", "2024-01-04 00:00:00", 9), ("TCS", "2024-01-02 00:00:00", 1200)]
     (reject,) = bad.collect()
-    assert reject.symbol == "TCS" and reject.file.endswith("/tcs.csv") and '"x"' in reject.line
+    assert reject.symbol == "TCS" and reject.file.endswith("/tcs.csv") and (reject.line, reject.reason) == (3, "low") and ",x," in reject.text
+
+
+def test_candle_files_have_their_own_headers_and_lines(spark, tmp_path):
+    """A folder of files in other orders of columns, one of them over many splits, one without a column."""
+    (tmp_path / "a.csv").write_text("Date,Low,High,Open,Close,Volume\n2024-01-02,0.5,2,1,1.5,10\n")
+    (tmp_path / "b.csv").write_text("volume , note,DATE,close,open,high,low\n\n\"1,300\",\"x, y\",2024-01-02,1.5,1,2,0.5\n7,,2024-13-02,1.5,1,2,0.5\n")
+    (tmp_path / "c.csv").write_text("Date,Open,High,Low,Volume\n2024-01-02,1,2,0.5,10\n")
+    rows = [f"2024-01-02,{k}.25,{k + 1},{k},{k}.5,{'' if k % 700 == 699 else k}" for k in range(5000)]
+    (tmp_path / "d.csv").write_text("\n".join(["Date,Open,High,Low,Close,Volume", *rows]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "8192")
+        good, bad = read_candles_csv(spark, str(tmp_path))
+        found, rejects = good.collect(), bad.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.symbol, r.open, r.high, r.low, r.close, r.volume) for r in found if r.symbol != "D") == [("A", 1.0, 2.0, 0.5, 1.5, 10), ("B", 1.0, 2.0, 0.5, 1.5, 1300)]
+    assert sorted(r.volume for r in found if r.symbol == "D") == [k for k in range(5000) if k % 700 != 699]
+    assert all(r.low == r.volume and r.open == r.volume + 0.25 for r in found if r.symbol == "D")
+    assert sorted((r.symbol, r.line, r.reason) for r in rejects) == sorted([("B", 3, "ts"), ("C", 1, "missing close"), *(("D", k + 2, "volume") for k in range(699, 5000, 700))])

@@ -23,11 +23,21 @@ from .queries import BENCH, _feat, query, rounded
 from .queries_more import BASE, BREAKOUT, CROSS_SIGNALS, EMAEXIT, LAST, LOG, REV_SIGNALS, TRADES, _held, _signals, _trades, swing_sql
 
 
+#: Orders of columns that candle files come in.
+ORDERS = (("Date", "Open", "High", "Low", "Close", "Volume"), ("DATE", "low", "high", "open", "close", "volume", "note"), (" volume ", "Close", "Low", "High", "Open", "note", "date"))
+
+
 def _csv(spark: SparkSession, rows: DataFrame, volume: Column | None = None) -> str:
-    """Candle files of rows, a folder for each symbol; volume replaces the text of theirs."""
+    """Candle files of rows, a folder for each symbol, in three orders of columns; volume replaces the text of theirs."""
     path = shared_path(spark, "csv")
-    text = rows.select(F.lit(0).alias("_"), F.date_format("d", "M/d/yyyy H:mm:ss").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), (F.format_number("volume", 0) if volume is None else volume).alias("Volume"), F.concat(F.lit("s"), "symbol_id").alias("symbol"))
-    text.write.partitionBy("symbol").option("header", True).csv(path)
+    text = {
+        "date": F.date_format("d", "M/d/yyyy H:mm:ss"), **{c: F.col(c) for c in ("open", "high", "low", "close")},
+        "volume": F.format_number("volume", 0) if volume is None else volume, "note": F.lit("a, b"),
+    }
+    for k, order in enumerate(ORDERS):
+        some = rows.filter(F.col("symbol_id") % len(ORDERS) == k)
+        cells = some.select(*[text[c.strip().lower()].alias(c) for c in order], F.concat(F.lit("s"), "symbol_id").alias("symbol"))
+        cells.write.mode("append").partitionBy("symbol").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
@@ -37,12 +47,12 @@ def src_candles_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_candles_csv(spark, path)[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query(sql("select 'S' || symbol_id symbol, count_if(close >= open)::bigint n, sum(case when close >= open then volume end)::bigint volume, count_if(close < open)::bigint rejects from candles group by 1"))
+@query(sql("select 'S' || symbol_id symbol, count_if(close >= open)::bigint n, sum(case when close >= open then volume end)::bigint volume, count_if(close < open)::bigint rejects, sum(case when close < open then k end)::bigint lines from (select *, row_number() over (partition by symbol_id order by d) + 1 k from candles) group by 1"))
 def src_candles_csv_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each symbol's files give if the volume of every falling day is no number: those rows are rejects, others stay."""
-    rows = fx.candles(spark, sf_dir).repartition("symbol_id")
+    """What each symbol's files give if the volume of every falling day is no number: those rows are rejects, with their lines; others stay."""
+    rows = fx.candles(spark, sf_dir).repartition("symbol_id").sortWithinPartitions("symbol_id", "d")
     good, bad = R.read_candles_csv(spark, _csv(spark, rows, F.when(F.col("close") < F.col("open"), "n/a").otherwise(F.format_number("volume", 0))))
-    rejects = bad.filter("file like '%.csv'").groupBy("symbol").agg(F.count("*").alias("rejects"))
+    rejects = bad.filter("file like '%.csv'").groupBy("symbol").agg(F.count("*").alias("rejects"), F.sum("line").alias("lines"))
     totals = good.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
     return totals.join(rejects, "symbol", "full").fillna(0, ["n", "rejects"])
 

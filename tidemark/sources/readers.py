@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_symbol
+from .shared import written
 
 # The date layouts of candle files, tried in this order.
 DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "M/d/yyyy H:mm:ss", "M/d/yyyy")
@@ -16,23 +18,53 @@ def parsed_time(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(layout)) for layout in DATE_LAYOUTS])
 
 
+#: Splits of files up to which what is known of each is broadcast to their lines.
+BROADCAST_BLOCKS = 20_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, header, text) of the lines of text files, blank ones left out: line is the number in the file, from 1, and header its first line.
+
+    Files are split between tasks.  A line's number is its place in its split and the lines of the
+    file's splits before; the lines are written once, so that both counts see the same splits.
+    """
+    lines = spark.read.option("basePath", path).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").filter(F.trim("value") != "")
+    lines = written(lines.select(F.col("file_path").alias("file"), F.col("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text")), "lines")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min_by("text", "at").alias("header"))
+    by_file = W.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("n").over(by_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = written(blocks.select("file", "block", "first", before.alias("before"), F.first("header").over(by_file).alias("header")), "blocks")
+    few = blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    numbered = lines.join(F.broadcast(blocks) if few else blocks, ["file", "block"])
+    return numbered.select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "header", "text")
+
+
 def read_candles_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(candles, rejects (symbol, file, line)) of a directory: the symbol is that of a folder symbol=NAME, else the file's name.
+    """(candles, rejects (symbol, file, line, text, reason)) of a directory: the symbol is that of a folder symbol=NAME, else the file's name.
 
-    Headers are matched by name, whatever their case and order; other columns are ignored; volumes
-    may have thousands commas.  A row with a bad cell is a reject, with its cells, and stops no other:
-    files are split between tasks, so a row has no number.
+    Each file's columns are those of its own header, by name, whatever their case and order; others
+    are ignored; volumes may have thousands commas.  A row with a bad cell is a reject, with its
+    line (blank ones aren't counted) and the first bad column, and stops no other; a file whose
+    header lacks a column is one reject, its header.
     """
-    raw = spark.read.option("header", True).option("basePath", path).csv(path, inferSchema=False)
-    names = {c.lower().strip(): c for c in raw.columns}
-    cell = {c: F.col(f"`{names[c]}`") for c in COLUMNS}
-    file = F.try_url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    lines = numbered_lines(spark, path)
+    width = lines.agg(F.coalesce(F.max(F.size(F.split("header", ","))), F.lit(1))).collect()[0][0]
+    fields = [f"_c{k}" for k in range(width)]
+    cells = lambda c: F.from_csv(c, ", ".join(f"{f} string" for f in fields), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    listed = lambda c: F.array(*[F.col(f"{c}.{f}") for f in fields])
+    rows = lines.withColumn("h", cells("header")).withColumn("c", cells("text"))
+    rows = rows.withColumn("h", F.transform(listed("h"), lambda x: F.lower(F.trim(x)))).withColumn("c", listed("c"))
+    place = {c: F.array_position("h", c).cast("int") for c in COLUMNS}
+    file = F.try_url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
     base = F.regexp_extract(file, r"(?i)([^/]+?)(\.csv)?(\.gz)?$", 1)
     symbol = F.upper(F.trim(F.coalesce(F.nullif(F.regexp_extract(file, r"symbol=([^/]+)/", 1), F.lit("")), base)))
-    number = {c: F.trim(cell[c]).try_cast("double") for c in ("open", "high", "low", "close")}
-    rows = raw.select(symbol.alias("symbol"), file.alias("file"), parsed_time(cell["date"]).alias("ts"), *[v.alias(c) for c, v in number.items()], F.regexp_replace(F.trim(cell["volume"]), ",", "").try_cast("bigint").alias("volume"), F.to_json(F.struct(*cell.values())).alias("line"))
-    bad = F.greatest(*[F.col(c).isNull() for c in ("ts", "open", "high", "low", "close", "volume")])
-    return rows.filter(~bad).drop("file", "line"), rows.filter(bad).select("symbol", "file", "line")
+    cell = {c: F.when(place[c] > 0, F.trim(F.get("c", place[c] - 1))) for c in COLUMNS}
+    values = {"ts": parsed_time(cell["date"]), **{c: cell[c].try_cast("double") for c in ("open", "high", "low", "close")}, "volume": F.regexp_replace(cell["volume"], ",", "").try_cast("bigint")}
+    missing = F.coalesce(*[F.when(F.coalesce(place[c], F.lit(0)) == 0, F.concat(F.lit("missing "), F.lit(c))) for c in COLUMNS])
+    bad = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in values])
+    judged = rows.select(symbol.alias("symbol"), file.alias("file"), "line", "text", missing.alias("missing"), *[v.alias(c) for c, v in values.items()]).filter("line = 1 and missing is not null or line > 1 and missing is null")
+    judged = judged.withColumn("reason", F.coalesce("missing", bad))
+    return judged.filter("reason is null").select("symbol", *values), judged.filter("reason is not null").select("symbol", "file", "line", "text", "reason")
 
 
 def parse_candles_json(payloads: DataFrame) -> DataFrame:
