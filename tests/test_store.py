@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from tidemark.sources import snapshots
 from tidemark.sources.store import CandleStore
 
 SCHEMA = "symbol_id long, d date, bar int, open double, high double, low double, close double, volume long"
@@ -73,3 +74,53 @@ def test_purged_days_are_gone(spark, store):
     store.purge(spark, "2023-03-15")
     assert not any("month=202301" in f or "month=202302" in f for f in files(store.path))
     assert min(d for _, d in content(store, spark)) == dt.date(2023, 3, 15) and len(content(store, spark)) == 20 * (120 - 73)
+
+
+def test_one_of_two_writers_commits_a_date(spark, tmp_path, monkeypatch):
+    path, state = f"{tmp_path}/state", lambda x: spark.createDataFrame([(1, x)], "symbol_id long, close double")
+    kept = lambda: sorted((str(r["as_of"]), r["close"]) for r in spark.read.parquet(path).collect())
+    snapshots.write_snapshot(state(1.0), path, "2024-01-02")
+    for late in ("2024-01-02", "2024-01-01"):
+        with pytest.raises(snapshots.AlreadyProcessed):
+            snapshots.write_snapshot(state(2.0), path, late)
+    create = snapshots._Files.names
+
+    def overtaken(files, name):  # another writer commits after this one has looked
+        found = create(files, name)
+        if name == snapshots.COMMITS and not raced:
+            raced.append(1)
+        elif name == snapshots.COMMITS and len(raced) == 1:
+            raced.append(2)
+            snapshots.write_snapshot(state(3.0), path, "2024-01-03")
+        return found
+
+    raced = []
+    monkeypatch.setattr(snapshots._Files, "names", overtaken)
+    with pytest.raises(snapshots.AlreadyProcessed):
+        snapshots.write_snapshot(state(4.0), path, "2024-01-03")
+    monkeypatch.undo()
+    assert kept() == [("2024-01-02", 1.0), ("2024-01-03", 3.0)]
+    settle = snapshots._settle
+
+    def lost(files, last, commit):
+        if commit.endswith("2024-01-04"):
+            raise OSError("lost")
+        settle(files, last, commit)
+
+    monkeypatch.setattr(snapshots, "_settle", lost)
+    with pytest.raises(OSError):
+        snapshots.write_snapshot(state(5.0), path, "2024-01-04")
+    monkeypatch.undo()
+    snapshots.write_snapshot(state(6.0), path, "2024-01-05")  # finishes what the one before left
+    snapshots.write_snapshot(state(7.0), path, "2024-01-03", force=True)
+    assert kept() == [("2024-01-02", 1.0), ("2024-01-03", 7.0), ("2024-01-04", 5.0), ("2024-01-05", 6.0)]
+    assert snapshots.last_commit(spark, path)[1] == "2024-01-05"
+
+
+def test_purged_dates_of_a_log_are_gone(spark, tmp_path):
+    path, start = f"{tmp_path}/log", dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(hours=6 * k), k, (start + dt.timedelta(hours=6 * k)).date()) for k in range(40)]
+    spark.createDataFrame(rows, "scanned_at timestamp, symbol long, scan_date date").write.partitionBy("scan_date").parquet(path)
+    counts = snapshots.purge_log(spark, path, "2024-01-04 09:00:00").collect()[0]
+    assert tuple(counts) == (26, 14) and sorted(r["symbol"] for r in spark.read.parquet(path).collect()) == list(range(14, 40))
+    assert not any(f"scan_date=2024-01-0{k}" in f for f in files(path) for k in (1, 2, 3))

@@ -50,10 +50,3 @@ def latest_run(log: DataFrame) -> DataFrame:
     """Rows of the last run."""
     last = log.agg(F.max("scanned_at").alias("scanned_at"))
     return log.join(F.broadcast(last), "scanned_at")
-
-
-def purge(log: DataFrame, days: int = 30) -> DataFrame:
-    """(kept, purged): rows within so many days of the last run, and older ones."""
-    last = F.broadcast(log.agg(F.max("scanned_at").alias("last")))
-    old = F.col("scanned_at") < F.col("last") - F.make_dt_interval(F.lit(days))
-    return log.join(last).agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("purged"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,19 +74,3 @@ def shadow_trades(positions: DataFrame, rows: DataFrame, asof: str, slip: float
     ended = exits(positions, rows, asof).filter("outcome <> 'hold'")
     bought, sold = F.col("entry") * F.lit(1 + slip), F.col("exit") * F.lit(1 - slip)
     return ended.select("symbol_id", "outcome", ((sold - bought) / (bought - F.col("sl"))).alias("r"))
-
-
-class AlreadyProcessed(ValueError):
-    pass
-
-
-def write_snapshot(snapshot: DataFrame, path: str, asof: str, force: bool = False) -> None:
-    """Writes the state after a date as a partition; refuses a date that isn't after all that are there, unless forced."""
-    spark = snapshot.sparkSession
-    try:
-        done = [r["as_of"] for r in spark.read.parquet(path).select(F.col("as_of").cast("string").alias("as_of")).distinct().collect()]
-    except AnalysisException:  # no snapshot yet
-        done = []
-    if not force and done and asof <= max(done):
-        raise AlreadyProcessed(f"{asof} is not after {max(done)}")
-    snapshot.write.mode("overwrite").parquet(f"{path}/as_of={asof}")

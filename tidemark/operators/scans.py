@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import close_strength, pct_from, round2, rr_grade, trend_class
 from ..sources.shared import written
+from .asof import asof, with_return
 from .indicators import CANDLE, VALUES, by_bar, crossings, extrema, indicators, latest, volume_stats
 from .state import initial_state, live_features
 from .zones import extremes_of, with_nearest
@@ -32,6 +33,11 @@ class SwingOptions:
     max_move10_pct: float | None = 12.0
     min_avg_volume: int = 0
     max_breakout_pct: float = 3.0
+    #: Percent on the benchmark that a symbol gained at least, and its sector; None: not asked.
+    min_strength: float | None = None
+    min_sector_strength: float | None = None
+    #: Whether a mapped sector without data is a reject.
+    sector_strict: bool = False
 
 
 #: Checks on risk, extension and candle off, for data where the strict set rarely fires.
@@ -118,6 +124,33 @@ def over(value: Column, limit: float | None) -> Column:
     return F.lit(False) if limit is None else value > F.lit(limit)
 
 
+def with_strength(rows: DataFrame, bench: DataFrame, sectors: DataFrame, sector_returns: DataFrame, lookback: int = 20) -> DataFrame:
+    """rows with gained, a bar's return over lookback bars less the benchmark's as of its date, sector, and sector_gained, the sector's less the benchmark's.
+
+    bench is (d, close); sectors (symbol_id, sector), a symbol a row; sector_returns (sector, d,
+    sector_ret).  The last two are null where the symbol has no sector; a gain is null where either
+    return isn't known.
+    """
+    past = F.lag("close", lookback).over(by_bar())
+    market = with_return(bench, lookback, name="bench_ret").select(F.lit(1).alias("k"), "d", "bench_ret")
+    per_date = asof(rows.select("d").distinct().withColumn("k", F.lit(1)), market, ["k"], "d", ["bench_ret"]).drop("k")
+    mapped = rows.withColumn("_ret", F.when(past > 0, (F.col("close") - past) / past * 100)).join(sectors.select("symbol_id", "sector"), "symbol_id", "left").join(per_date, "d")
+    per_sector = asof(mapped.select("sector", "d").filter("sector is not null").distinct(), sector_returns, ["sector"], "d", ["sector_ret"])
+    known = mapped.join(per_sector, ["sector", "d"], "left")
+    return known.withColumn("gained", F.col("_ret") - F.col("bench_ret")).withColumn("sector_gained", F.col("sector_ret") - F.col("bench_ret")).drop("_ret", "bench_ret", "sector_ret")
+
+
+def _strength_checks(o: SwingOptions) -> list[tuple[str, Column]]:
+    """On columns of with_strength, which are read only where they are asked for."""
+    checks = []
+    if o.min_strength is not None:
+        checks += [("strength_missing", F.col("gained").isNull()), ("strength_low", F.col("gained") < o.min_strength)]
+    if o.min_sector_strength is not None:
+        missing = F.col("sector").isNotNull() & F.col("sector_gained").isNull()
+        checks += [("sector_missing", missing)] * o.sector_strict + [("sector_low", F.col("sector_gained") < o.min_sector_strength)]
+    return checks
+
+
 def swing(rows: DataFrame, extremes: DataFrame, o: SwingOptions = SwingOptions()) -> DataFrame:
     """Pullbacks to support in an up-trend: rows of features with reason (null for a signal), the setup and score."""
     price = F.col("close")
@@ -126,6 +159,7 @@ def swing(rows: DataFrame, extremes: DataFrame, o: SwingOptions = SwingOptions()
         ("not_bullish", F.col("trend") != "bullish"),
         ("ema_margin", F.lit(False) if o.ema_margin_pct is None else pct_from(price, F.col("ema200")) < o.ema_margin_pct),
         ("ema200_declining", (F.col("bar") >= 200 + o.slope_period) & (F.col("ema200") < F.col("ema200_past")) if o.slope_period else F.lit(False)),
+        *_strength_checks(o),
         ("bearish_candle", F.lit(False) if o.allow_bearish_candle else price < F.col("open")),
     ])
     rows = rows.withColumn("early", early)

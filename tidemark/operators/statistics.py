@@ -13,11 +13,19 @@ trade_order = ["exit_date", "symbol_id", "signal_bar"]
 
 
 def day_candidates(signals: DataFrame, n: int = 5, by: str = "score") -> DataFrame:
-    """Signals ranked within their entry date by score or another column, then symbol; rank beyond n is rejected."""
-    rank = F.row_number().over(W.partitionBy("entry_date").orderBy(F.desc(by), "symbol_id"))
+    """Signals ranked within their entry date by score, or by another column, then score; then by symbol; rank beyond n is rejected."""
+    rank = F.row_number().over(W.partitionBy("entry_date").orderBy(F.desc(by), F.desc("score"), "symbol_id"))
     return signals.withColumn("rank", rank).withColumn("accepted", F.col("rank") <= n)
 
 
+def window_gains(curve: DataFrame, days: int = 45) -> DataFrame:
+    """(d, gain) of each date: the percent that equity gains until the last date within so many calendar days; windows that go beyond the curve's end are left out."""
+    day = F.datediff("d", F.lit("1970-01-01").cast("date"))
+    ahead = W.orderBy("day").rangeBetween(0, days)  # a row a date
+    rows = curve.withColumn("day", day).withColumn("end", F.last("equity").over(ahead)).withColumn("last", F.max("day").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    return rows.filter(F.col("day") + days <= F.col("last")).select("d", ((F.col("end") / F.col("equity") - 1) * 100).alias("gain"))
+
+
 def portfolio_stats(trades: DataFrame) -> DataFrame:
     """One row; wins and losses by the sign of R, whatever the label."""
     r = micro("actual_rr")

@@ -16,6 +16,7 @@ from ..operators.logs import upsert
 from ..sources import fixtures as fx
 from ..sources import readers as R
 from ..sources.shared import shared_path
+from ..sources.snapshots import AlreadyProcessed, write_snapshot
 from ..sources.ticks import decode_frames, price_frames
 from ..streaming import jobs as J
 from .oracles import R4, r4, sql
@@ -300,8 +301,8 @@ def eod_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     for asof in ("1996-01-05", "1996-01-08", "1996-01-06"):
         state = rows.filter(F.col("d") <= F.lit(asof).cast("date")).groupBy("symbol_id").agg(F.max_by("close", "d").alias("close"))
         try:
-            P.write_snapshot(state, path, asof)
-        except P.AlreadyProcessed:
+            write_snapshot(state, path, asof)
+        except AlreadyProcessed:
             continue
     return spark.read.parquet(path).groupBy("as_of").agg(F.count("*").alias("symbols"))
 

@@ -8,28 +8,31 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.scalars import round4
+from ..operators import asof
 from ..operators import indicators as I
 from ..operators import labels as L
 from ..operators import logs, scans
 from ..operators import statistics as T
 from ..sources import fixtures as fx
+from ..sources.shared import shared_path
+from ..sources.snapshots import purge_log
 from .oracles import EXT, FEAT, IND, r4, sql, zones
-from .queries import _bars, _feat, _ind, query, rounded
+from .queries import BENCH, RET, SECTOR, _bars, _feat, _ind, query, rounded
 
 # Scans
 
 EXTENDED = "(close - ema10) / ema10 * 100 > 8 or (close - ema50) / ema50 * 100 > 15 or (close - sup.high) / sup.high * 100 > 5 or coalesce((close - close10) / close10 * 100 > 12, false)"
 
 
-def swing_sql(strict: bool, only: str = "true") -> str:
-    """sw: judged rows, from zones of the rows that pass the cheap checks."""
+def swing_sql(strict: bool, only: str = "true", source: str = "feat", checks: str = "") -> str:
+    """sw: judged rows, from zones of the rows that pass the cheap checks; checks come before that of the candle."""
     early = "case when bar < 200 then 'few_candles' when trend <> 'bullish' then 'not_bullish'"
     if strict:
-        early += " when (close - ema200) / ema200 * 100 < 1 then 'ema_margin' when bar >= 220 and ema200 < ema200_past then 'ema200_declining' when close < open then 'bearish_candle'"
+        early += " when (close - ema200) / ema200 * 100 < 1 then 'ema_margin' when bar >= 220 and ema200 < ema200_past then 'ema200_declining'" + checks + " when close < open then 'bearish_candle'"
     late = f"when rr < {'2' if strict else '1'} then 'rr_low'"
     if strict:
         late += f" when risk / entry * 100 > 8 then 'risk_high' when risk / entry * 100 < 1.5 then 'risk_low' when {EXTENDED} then 'extended'"
-    return f"""se as materialized (select *, {early} end early from feat where {only}),
+    return f"""se as materialized (select *, {early} end early from {source} where {only}),
 {zones("select symbol_id, bar from se where early is null")},
 zs as (select symbol_id, bar, arg_max(z, z.mid) sup from (select z.symbol_id, z.bar, z, f.close from zones z join feat f using (symbol_id, bar) where z.kind = 'low') where z.high < close group by 1, 2),
 zh as (select symbol_id, bar, arg_min(z, z.mid) res from (select z.symbol_id, z.bar, z, f.close from zones z join feat f using (symbol_id, bar) where z.kind = 'high') where z.low > close and z.touches >= 2 group by 1, 2),
@@ -60,6 +63,26 @@ def scan_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "score").orderBy(F.desc_nulls_last("score"), "symbol_id")
 
 
+#: Of each bar what it gained on the benchmark, and what its sector did; sector 3 is mapped to no index, and a third of the dates of sector 1 are missing.
+STRENGTH = """smap3 as (select * from smap where sector <> 3), xret3 as (select * from xret where sector <> 1 or d >= date '1997-06-01'),
+strong as (select s.symbol_id, s.bar, s.stock_ret - b.bench_ret gained from sret s asof left join bret b on s.d >= b.d),
+secs as (select c.symbol_id, c.bar, c.sector, x.stock_ret - b.bench_ret sector_gained from (select c.*, sector from candles c join smap3 using (symbol_id)) c asof left join xret3 x on x.sector = c.sector and c.d >= x.d asof left join bret b on c.d >= b.d),
+featx as materialized (select f.*, gained, sector, sector_gained from feat f join strong using (symbol_id, bar) left join secs using (symbol_id, bar))"""
+STRENGTH_CHECKS = " when gained is null then 'strength_missing' when gained < 0 then 'strength_low' when sector is not null and sector_gained is null then 'sector_missing' when sector_gained < 0.5 then 'sector_low'"
+
+
+@query(sql("select reason, count(*)::bigint n from sw group by 1", BENCH, RET, SECTOR, *BASE, STRENGTH, swing_sql(True, source="featx", checks=STRENGTH_CHECKS)))
+def swing_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """swing_filters with the strength against the benchmark and the sector's, missing data of a mapped sector rejected."""
+    candles = fx.candles(spark, sf_dir)
+    sectors = fx.sector_map(spark, sf_dir)
+    index = asof.with_return(fx.sector_index(candles, sectors), 20, "sector", name="sector_ret").filter("sector <> 1 or d >= date'1997-06-01'")
+    rows, extremes = scans.features(candles, strategy="swing")
+    rows = scans.with_strength(rows, fx.bench_index(candles), sectors.filter("sector <> 3"), index)
+    options = scans.SwingOptions(min_strength=0.0, min_sector_strength=0.5, sector_strict=True)
+    return scans.swing(rows, extremes, options).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query(sql("select reason, count(*)::bigint n from sw group by 1", *BASE, swing_sql(True)))
 def swing_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.swing(*_feat(spark, sf_dir, strategy="swing")).groupBy("reason").agg(F.count("*").alias("n"))
@@ -286,7 +309,7 @@ def day_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.day_candidates(_signals(spark, sf_dir, "meanrev")[0], 3).filter("accepted").select("symbol_id", "signal_bar", "entry_date", "rank")
 
 
-@query(sql("select symbol_id, signal_bar, entry_date, rank from (select s.*, row_number() over (partition by entry_date order by coalesce(c.close / b.close - 1, 0) desc, s.symbol_id)::int rank from sig s join candles c on c.symbol_id = s.symbol_id and c.bar = s.signal_bar left join candles b on b.symbol_id = s.symbol_id and b.bar = s.signal_bar - 50) where rank <= 3", *REV_SIGNALS))
+@query(sql("select symbol_id, signal_bar, entry_date, rank from (select s.*, row_number() over (partition by entry_date order by coalesce(c.close / b.close - 1, 0) desc, s.score desc, s.symbol_id)::int rank from sig s join candles c on c.symbol_id = s.symbol_id and c.bar = s.signal_bar left join candles b on b.symbol_id = s.symbol_id and b.bar = s.signal_bar - 50) where rank <= 3", *REV_SIGNALS))
 def day_candidates_leadership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each day by the return of their symbol over 50 bars."""
     signals, rows = _signals(spark, sf_dir, "meanrev")
@@ -373,12 +396,14 @@ def by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.split_stats(_trades(spark, sf_dir).withColumn("year", F.year("exit_date")), "year")
 
 
-@query(sql("select year(d)::int \"year\", count(*)::bigint windows, round(count_if(gain >= 5) / count(*)::double * 10000) / 10000 odds5, round(count_if(gain >= 0) / count(*)::double * 10000) / 10000 odds0 from (select d, (lead(equity, 10) over (order by d) / equity - 1) * 100 gain from eq) where gain is not null group by 1", *TRADES, CURVE))
+ODDS = (5, 3, 0)
+
+
+@query(sql("select year(d)::int \"year\", count(*)::bigint windows, " + ", ".join(f"round(count_if(gain >= {k}) / count(*)::double * 10000) / 10000 odds{k}" for k in ODDS) + f", {r4('median(gain)', 'median_gain')} from (select a.d, (arg_max(b.equity, b.d) / any_value(a.equity) - 1) * 100 gain from eq a join eq b on b.d between a.d and a.d + 45 where a.d + 45 <= (select max(d) from eq) group by a.d) group by 1", *TRADES, CURVE))
 def rolling_window_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = _curve(spark, sf_dir)
-    gain = (F.lead("equity", 10).over(W.orderBy("d")) / F.col("equity") - 1) * 100
-    rows = curve.withColumn("gain", gain).filter("gain is not null").groupBy(F.year("d").alias("year"))
-    return rows.agg(F.count("*").alias("windows"), round4(F.count_if(F.col("gain") >= 5) / F.count("*")).alias("odds5"), round4(F.count_if(F.col("gain") >= 0) / F.count("*")).alias("odds0"))
+    """By starting year, how often the equity gains so much in 45 days, and the median gain."""
+    rows = T.window_gains(_curve(spark, sf_dir), 45).groupBy(F.year("d").alias("year"))
+    return rows.agg(F.count("*").alias("windows"), *[round4(F.count_if(F.col("gain") >= k) / F.count("*")).alias(f"odds{k}") for k in ODDS], round4(F.median("gain")).alias("median_gain"))
 
 
 @query(sql("select d, count(*)::bigint symbols, round(count_if(ema20 > ema50) / count(*)::double * 10000) / 10000 breadth from ind where ema50 is not null group by 1", IND))
@@ -435,7 +460,12 @@ def latest_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with " + LOG.format("hour") + " select count_if(scanned_at >= l)::bigint kept, count_if(scanned_at < l)::bigint purged from slog, (select max(scanned_at) - interval 10 day l from slog)")
 def scan_results_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.purge(fx.scan_log(spark, sf_dir), 10)
+    """What stays of a log by date after ten days are kept, as read again, and what is gone."""
+    path = shared_path(spark, "scan-log")
+    fx.scan_log(spark, sf_dir).withColumn("scan_date", F.col("scanned_at").cast("date")).write.partitionBy("scan_date").parquet(path)
+    last = spark.read.parquet(path).agg(F.max("scanned_at") - F.make_dt_interval(F.lit(10))).collect()[0][0]
+    purged = purge_log(spark, path, last.isoformat(" ")).select("purged")
+    return spark.read.parquet(path).agg(F.count("*").alias("kept")).join(F.broadcast(purged))
 
 
 @query("with " + LOG.format("day") + ", ru as (select scanned_at, row_number() over (order by scanned_at) run from (select distinct scanned_at from slog)), j as (select *, run - row_number() over (partition by symbol order by run) island from slog join ru using (scanned_at)), k as (select *, row_number() over (partition by symbol, island order by run)::bigint streak from j) select scanned_at::date as day, symbol, streak, streak = 1 and run > 1 is_new from k")
