@@ -46,7 +46,8 @@ def first_appearance(log: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
     return log.withColumn("day", day).groupBy("symbol", "day").agg(F.min(F.struct("scanned_at", "score")).alias("x")).select("symbol", "day", "x.*")
 
 
-def latest_run(log: DataFrame) -> DataFrame:
-    """Rows of the last run."""
-    last = log.agg(F.max("scanned_at").alias("scanned_at"))
-    return log.join(F.broadcast(last), "scanned_at")
+def latest_run(log: DataFrame, day: str | None = None, zone: str = "Asia/Kolkata") -> DataFrame:
+    """Rows of the last run of a day of the zone, of the log's last day if none is given; none if the day had no run."""
+    rows = log if day is None else log.filter(F.from_utc_timestamp("scanned_at", zone).cast("date") == F.lit(day).cast("date"))
+    last = rows.agg(F.max("scanned_at").alias("scanned_at"))
+    return rows.join(F.broadcast(last), "scanned_at")

@@ -12,6 +12,8 @@ from itertools import pairwise
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import trend_class
 from .groups import per_symbol
@@ -63,7 +65,7 @@ def closed_values(bars: dict[str, list]) -> dict[str, object]:
 
 def initial_state(history: DataFrame) -> DataFrame:
     """The state of each symbol, whose last bar may still be open: one shuffle by symbol, once in the life of a scan."""
-    kind = history.sparkSession.createDataFrame([], SCHEMA).toArrow().schema
+    kind = to_arrow_schema(T._parse_datatype_string(SCHEMA))
 
     def last(rows: pa.Table) -> pa.Table:
         bars = rows.to_pydict()

@@ -74,6 +74,21 @@ def split_stats(trades: DataFrame, by: str) -> DataFrame:
     return trades.groupBy(by).agg(F.count("*").alias("trades"), round4(F.sum(r) / F.lit(1e6) / F.count("*")).alias("avg_r"), round4(F.count_if(r > 0) / F.count("*") * 100).alias("win_rate"))
 
 
+def gate_stats(trades: DataFrame, *gates: str) -> DataFrame:
+    """(gates, trades, avg_r, win_rate, profit_factor) of each combination of open and closed gates; without a loss the factor is null."""
+    r = micro("actual_rr")
+    gained, lost = (F.coalesce(F.sum(F.when(test, r)), F.lit(0)) for test in (r > 0, r < 0))
+    return trades.groupBy(*gates).agg(
+        F.count("*").alias("trades"), round4(F.sum(r) / F.lit(1e6) / F.count("*")).alias("avg_r"), round4(F.count_if(r > 0) / F.count("*") * 100).alias("win_rate"), round4(gained / F.nullif(-lost, F.lit(0))).alias("profit_factor")
+    )
+
+
+def in_regime(trades: DataFrame, regime: DataFrame) -> DataFrame:
+    """trades with regime_open of their entry date, from (d, regime_open), a row a date; closed on dates that it lacks."""
+    known = regime.select(F.col("d").alias("entry_date"), F.col("regime_open").alias("_open"))
+    return trades.join(known, "entry_date", "left").withColumn("regime_open", F.coalesce("_open", F.lit(False))).drop("_open")
+
+
 def concurrency(trades: DataFrame) -> DataFrame:
     """(d, open): trades open on each date at which that changes; a trade is open on its exit date still."""
     opened = trades.select(F.col("entry_date").alias("d"), F.lit(1).alias("step"))

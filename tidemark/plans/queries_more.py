@@ -17,7 +17,7 @@ from ..sources import fixtures as fx
 from ..sources.shared import shared_path
 from ..sources.snapshots import purge_log
 from .oracles import EXT, FEAT, IND, r4, sql, zones
-from .queries import BENCH, RET, SECTOR, _bars, _feat, _ind, query, rounded
+from .queries import BENCH, BREC, RET, SECTOR, _bars, _bench_ind, _feat, _ind, query, rounded
 
 # Scans
 
@@ -359,6 +359,14 @@ def gate_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.split_stats(T.gated(trades, T.health(trades)), "gate_open")
 
 
+@query(sql("select gate_open, coalesce(regime, false) regime_open, count(*)::bigint trades, round(sum(mr)::bigint / 1e6 / count(*) * 10000) / 10000 avg_r, round(count_if(mr > 0) / count(*)::double * 100 * 10000) / 10000 win_rate, round(sum(case when mr > 0 then mr else 0 end)::bigint / nullif(-sum(case when mr < 0 then mr else 0 end)::bigint, 0)::double * 10000) / 10000 profit_factor from (select m.*, coalesce((select arg_max(healthy, hg.exit_date) from hg where hg.exit_date < m.entry_date), true) gate_open, coalesce(b.close > b.e200, true) and b.d is not null regime from m left join brec b on b.d = m.entry_date) group by 1, 2", BENCH, BREC, *TRADES, GATE))
+def gate_effect_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades by both gates: the health of the strategy, and the benchmark above its ema200 on the entry date."""
+    trades = _trades(spark, sf_dir)
+    regime = _bench_ind(spark, sf_dir).select("d", F.coalesce(F.col("close") > F.col("ema200"), F.lit(True)).alias("regime_open"))
+    return T.gate_stats(T.in_regime(T.gated(trades, T.health(trades)), regime), "gate_open", "regime_open")
+
+
 CURVE = """cv as (select exit_date d, round(floor(10000 / entry) * (exit_price - entry) * 100)::bigint realised, 0::bigint marked, 1 exits, 0 held from trades
   union all select c.d, 0, round(floor(10000 / t.entry) * (c.close - t.entry) * 100)::bigint, 0, 1 from trades t join candles c on c.symbol_id = t.symbol_id and c.bar between t.entry_bar and t.exit_bar - 1),
 eq as (select d, sum(held)::bigint open, sum(exits)::bigint exits, 1e6::double + ((sum(sum(realised)) over (order by d))::bigint + sum(marked)::bigint) / 100::double equity from cv group by 1),
@@ -426,13 +434,15 @@ def eval_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_held(spark, sf_dir).select("symbol_id", "signal_bar", "status", "hold_days", "net_pct"), "net_pct")
 
 
-@query(sql("""select count(*)::bigint trades, count_if(mn > 0)::bigint wins, count_if(status = 'stop')::bigint stopped, count_if(status = 'recross')::bigint recross, count_if(status = 'open')::bigint still_open,
+@query(sql("""select count(*)::bigint trades, count_if(mn > 0)::bigint wins, count_if(status = 'stop')::bigint stopped, count_if(status = 'recross')::bigint recross, count_if(status = 'timeout')::bigint timeouts, count_if(status = 'open')::bigint still_open,
+  count_if(status <> 'open')::bigint closed, round(sum(case when status <> 'open' then mn end)::bigint / 1e6 / count_if(status <> 'open') * 10000) / 10000 closed_avg_net,
   round(sum(mn)::bigint / 1e6 / count(*) * 10000) / 10000 avg_net, max(mn) / 1e6 best, min(mn) / 1e6 worst, list_sort(list(mn))[count(*)::int // 2 + 1] / 1e6 median_net from (select *, round(net_pct * 1000000)::bigint mn from em)""", *CROSS_SIGNALS, EMAEXIT))
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _held(spark, sf_dir).select("status", L.micro("net_pct").alias("n"))
     of = lambda s: F.count_if(F.col("status") == s)
     return rows.agg(
-        F.count("*").alias("trades"), F.count_if(F.col("n") > 0).alias("wins"), of("stop").alias("stopped"), of("recross").alias("recross"), of("open").alias("still_open"),
+        F.count("*").alias("trades"), F.count_if(F.col("n") > 0).alias("wins"), of("stop").alias("stopped"), of("recross").alias("recross"), of("timeout").alias("timeouts"), of("open").alias("still_open"),
+        (F.count("*") - of("open")).alias("closed"), round4(F.sum(F.when(F.col("status") != "open", F.col("n"))) / F.lit(1e6) / F.nullif(F.count("*") - of("open"), F.lit(0))).alias("closed_avg_net"),
         round4(F.sum("n") / F.lit(1e6) / F.count("*")).alias("avg_net"), (F.max("n") / F.lit(1e6)).alias("best"), (F.min("n") / F.lit(1e6)).alias("worst"),
         (F.expr("percentile_disc(0.5) within group (order by n desc)") / F.lit(1e6)).alias("median_net"),
     )
@@ -453,9 +463,15 @@ def first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.first_appearance(fx.scan_log(spark, sf_dir)).withColumn("scanned_at", F.col("scanned_at").cast("timestamp_ntz"))
 
 
-@query("with " + LOG.format("hour") + " select symbol, score from slog where scanned_at = (select max(scanned_at) from slog)")
+#: slog with each symbol's runs in a row.
+STREAKS = "ru as (select scanned_at, row_number() over (order by scanned_at) run from (select distinct scanned_at from slog)), isl as (select *, run - row_number() over (partition by symbol order by run) island from slog join ru using (scanned_at)), stk as (select *, row_number() over (partition by symbol, island order by run)::bigint streak from isl)"
+DAY = "2024-01-20"
+
+
+@query("with " + LOG.format("hour") + f", {STREAKS} select symbol, score, streak from stk where scanned_at = (select max(scanned_at) from slog where (scanned_at + interval 330 minute)::date = date '{DAY}')")
 def latest_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.latest_run(fx.scan_log(spark, sf_dir)).select("symbol", "score")
+    """The symbols of a day's last run, with the runs in a row that have them: what a restarted scan goes on from."""
+    return logs.latest_run(logs.streaks(fx.scan_log(spark, sf_dir)), DAY).select("symbol", "score", "streak")
 
 
 @query("with " + LOG.format("hour") + " select count_if(scanned_at >= l)::bigint kept, count_if(scanned_at < l)::bigint purged from slog, (select max(scanned_at) - interval 10 day l from slog)")
