@@ -264,7 +264,7 @@ live as materialized (select symbol_id, x.t::date d, b + (x.t::date > last_d)::i
 candles as materialized (select * from hist h where not exists (select 1 from live where live.symbol_id = h.symbol_id and live.d = h.d) union all select * exclude (opened) from live),
 day_index as (select (sum(round(close * 100)::bigint)::bigint - sum(round(open * 100)::bigint)::bigint) / sum(round(open * 100)::bigint)::bigint::double * 100 p from live where opened)"""
 LIVE_ROWS = " union all ".join(
-    f"select '{mode}' as mode, x.symbol_id, x.d, x.close, x.volume, reason, {distance} distance_pct, case when reason is null then {R4.format(score)} end score, case when opened then {R4.format('((x.close - x.open) / x.open * 100 - p)')} end rs, case when reason is null then 1::bigint end streak, case when reason is null then false end is_new from {table} x join live using (symbol_id, d), day_index"
+    f"select '{mode}' as mode, x.symbol_id, x.d, x.close, x.volume, reason, {distance} distance_pct, case when reason is null then {R4.format(score)} end score, case when opened then {R4.format('((x.close - x.open) / x.open * 100 - p)')} end rs, case when reason is null then 1::bigint end streak, false is_new from {table} x join live using (symbol_id, d), day_index"
     for mode, table, distance, score in (("breakout", "bo", f"case when sup is not null then {R4.format('distance_pct')} end", "sc"), ("swing", "sw", "null::double", "x.score"))
 )
 #: swing_sql names its tables as BREAKOUT does.

@@ -146,7 +146,7 @@ class LiveScan:
         found = scan_live(features, self.modes, self.swing).join(previous.select("mode", "symbol_id", F.col("streak").alias("_streak")), ["mode", "symbol_id"], "left")
         first = previous.filter("symbol_id is null").agg(F.max("streak").alias("_runs"))  # a row of no symbol counts the runs
         signal = F.col("reason").isNull()
-        rows = found.join(F.broadcast(first)).withColumn("streak", F.when(signal, F.coalesce("_streak", F.lit(0)) + 1)).withColumn("is_new", F.when(signal, F.col("_streak").isNull() & F.col("_runs").isNotNull())).drop("_streak", "_runs")
+        rows = found.join(F.broadcast(first)).withColumn("streak", F.when(signal, F.coalesce("_streak", F.lit(0)) + 1)).withColumn("is_new", signal & F.col("_streak").isNull() & F.col("_runs").isNotNull()).drop("_streak", "_runs")
         rows = written(rows, "live-found")
         runs = rows.filter("streak is not null").select("mode", "symbol_id", "streak")
         count = previous.filter("symbol_id is null").agg((F.coalesce(F.max("streak"), F.lit(0)) + 1).alias("streak")).select(F.lit("").alias("mode"), F.lit(None).cast("long").alias("symbol_id"), "streak")
