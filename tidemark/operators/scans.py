@@ -288,8 +288,17 @@ def meanrev(rows: DataFrame, o: MeanRevOptions = MeanRevOptions()) -> DataFrame:
 STRATEGIES = {"swing": swing, "crossover": crossover, "meanrev": lambda rows, extremes: meanrev(rows)}
 
 
-def backscan(judged: DataFrame) -> DataFrame:
-    """Signals of judged rows that can be entered at the next bar's open (its close, if there is none)."""
+def within(rows: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Rows of features from since to until, both within: for a strategy, so that others get no zones; what each knows of its past stays."""
+    for day, later in ((since, True), (until, False)):
+        if day is not None:
+            rows = rows.filter(F.col("d") >= F.lit(day).cast("date") if later else F.col("d") <= F.lit(day).cast("date"))
+    return rows
+
+
+def backscan(judged: DataFrame, min_score: float | None = None) -> DataFrame:
+    """Signals of judged rows, of min_score at least, that can be entered at the next bar's open (its close, if there is none)."""
+    judged = judged if min_score is None else judged.filter(F.col("score") >= min_score)
     entry = F.when(F.col("next_open") > 0, F.col("next_open")).otherwise(F.col("next_close"))
     signals = judged.filter("reason is null and next_open is not null").select(
         "symbol_id", F.col("bar").alias("signal_bar"), F.col("d").alias("signal_date"), (F.col("bar") + 1).alias("entry_bar"), F.col("next_d").alias("entry_date"),

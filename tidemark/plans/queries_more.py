@@ -210,6 +210,13 @@ def backscan_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _show(scans.backscan(scans.swing(*_feat(spark, sf_dir, strategy="swing"), scans.LENIENT)))
 
 
+@query(sql(SHOWN + " where signal_date between date '1995-06-01' and date '1997-03-31' and score >= 70", *CROSS_SIGNALS))
+def backscan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossover signals of some dates, of a score of 70 or more."""
+    rows, extremes = _feat(spark, sf_dir)
+    return _show(scans.backscan(scans.crossover(scans.within(rows, "1995-06-01", "1997-03-31"), extremes), 70.0))
+
+
 BARRIER = """held as (select s.*, c.bar, c.d bar_date, c.low bar_low, c.high bar_high, c.close bar_close from sig s join candles c on c.symbol_id = s.symbol_id and c.bar between s.entry_bar and s.entry_bar + 19),
 hit as (select symbol_id, signal_bar, min(case when bar_low <= sl then bar end) sb, min(case when bar_high >= target then bar end) tb, max(bar) lb, arg_max(bar_close, bar) lc from held group by 1, 2),
 tr0 as (select s.*, case when sb is not null and (tb is null or sb <= tb) then 'loss' when tb is not null then 'win' else 'timeout' end outcome,
