@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..functions.scalars import round4
 from ..operators import labels as L
 from ..operators import positions as P
-from ..operators import scans
+from ..operators import reasons, scans
 from ..operators.logs import upsert
 from ..sources import fixtures as fx
 from ..sources import readers as R
@@ -19,9 +19,9 @@ from ..sources.shared import shared_path
 from ..sources.snapshots import AlreadyProcessed, write_snapshot
 from ..sources.ticks import decode_frames, price_frames
 from ..streaming import jobs as J
-from .oracles import R4, r4, sql
-from .queries import BENCH, _feat, query, rounded
-from .queries_more import BASE, BREAKOUT, CROSS_SIGNALS, EMAEXIT, LAST, LOG, REV_SIGNALS, TRADES, _held, _signals, _trades, swing_sql
+from .oracles import FEAT, IND, R4, r4, sql
+from .queries import BENCH, RET, SECTOR, _bars, _feat, query, rounded
+from .queries_more import BASE, BREAKOUT, CROSS_SIGNALS, EMAEXIT, LAST, LOG, MEANREV, REV_SIGNALS, STRENGTH, TRADES, _held, _signals, _strong, _trades, cross_sql, swing_sql
 
 
 #: Orders of columns that candle files come in.
@@ -113,13 +113,75 @@ def sink_trades_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).csv(path, inferSchema=False)
 
 
-@query(sql("""select symbol_id, bar, '[' || concat_ws(', ', printf('Trend %s', trend), printf('R/R %.2f', rr), case when sup.touches = 1 then 'Support touched 1 time' else printf('Support touched %d times', sup.touches) end,
-  case when volume_ratio >= 1.5 then printf('Volume %.2fx rolling average', volume_ratio) end) || ']' reasons from sw where reason is null""", *BASE, swing_sql(False)))
+def shown_sql(value: str, places: int = 2) -> str:
+    """A number as reasons.shown writes it."""
+    return f"printf('%.{places}f', case when round(({value}) * {10**places}) = 0 then 0::double else round(({value}) * {10**places}) / {10**places} end)"
+
+
+def listed_sql(*sentences: str) -> str:
+    return f"concat_ws(' | ', {', '.join(sentences)}) reasons"
+
+
+def _told(rows: DataFrame, reasons: Column) -> DataFrame:
+    return rows.filter("reason is null").select("symbol_id", "bar", F.array_join(reasons, " | ").alias("reasons"))
+
+
+SWING_TOLD = listed_sql(
+    f"'Price above EMA50 (' || {shown_sql('ema50')} || ') and EMA200 (' || {shown_sql('ema200')} || ')'",
+    f"'Risk/Reward ' || {shown_sql('rr')} || ' exceeds minimum 1.00'",
+    "'Support zone touched ' || sup.touches || case when sup.touches = 1 then ' time' else ' times' end",
+    "'Trade quality: ' || case when rr >= 3 then 'excellent' when rr >= 2 then 'good' when rr >= 1.5 then 'fair' else 'poor' end",
+    f"'Relative strength ' || {shown_sql('gained')} || '% vs MARKET over 20 candles'",
+    f"'Sector strength ' || {shown_sql('sector_gained')} || '%: ' || sector || ' vs MARKET over 20 candles'",
+    f"case when avg_volume > 0 and volume > avg_volume then 'Volume ' || {shown_sql('volume_ratio', 1)} || 'x above rolling average' end",
+)
+
+
+@query(sql(f"select symbol_id, bar, {SWING_TOLD} from sw where reason is null", BENCH, RET, SECTOR, *BASE, STRENGTH, swing_sql(False, source="featx")))
 def reasons_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.swing(*_feat(spark, sf_dir), scans.LENIENT).filter("reason is null")
-    n = F.col("support.touches")
-    lines = F.array(F.format_string("Trend %s", "trend"), F.format_string("R/R %.2f", "rr"), F.when(n == 1, "Support touched 1 time").otherwise(F.format_string("Support touched %d times", n)), F.when(F.col("volume_ratio") >= 1.5, F.format_string("Volume %.2fx rolling average", "volume_ratio")))
-    return rows.select("symbol_id", "bar", F.concat(F.lit("["), F.array_join(F.filter(lines, lambda x: x.isNotNull()), ", "), F.lit("]")).alias("reasons"))
+    """Why the swing scan chose a bar: trend, risk and reward, touches, quality, strength against the market and the sector's, volume."""
+    rows, extremes = _strong(spark, sf_dir)
+    return _told(scans.swing(rows, extremes, scans.LENIENT), reasons.swing_reasons(scans.LENIENT, "MARKET"))
+
+
+BREAKOUT_TOLD = listed_sql(
+    f"'Price is ' || {shown_sql('distance_pct')} || '% below resistance zone ' || {shown_sql('res.low')} || '–' || {shown_sql('res.high')}",
+    "'Resistance zone touched ' || res.touches || ' times'",
+    f"'Breakout confirmation above ' || {shown_sql('res.high')}",
+    f"'Extension: EMA10 ' || {shown_sql('(close - ema10) / ema10 * 100', 1)} || '%, EMA50 ' || {shown_sql('coalesce((close - ema50) / ema50 * 100, 0)', 1)} || '%, 10D ' || {shown_sql('coalesce((close - close10) / close10 * 100, 0)', 1)} || '%'",
+    f"case when avg_volume > 0 then 'Volume ' || {shown_sql('volume_ratio')} || 'x rolling average' end",
+)
+
+
+@query(sql(f"select symbol_id, bar, {BREAKOUT_TOLD} from bo where reason is null", *BASE, BREAKOUT))
+def reasons_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(scans.breakout(*_feat(spark, sf_dir, True, "breakout")), reasons.breakout_reasons())
+
+
+CROSS_TOLD = listed_sql(
+    f"'EMA7 (' || {shown_sql('ema7')} || ') crossed above EMA21 (' || {shown_sql('ema21')} || ') ' || case cross_age when 0 then 'today' when 1 then '1 candle ago' else cross_age || ' candles ago' end",
+    f"'SL at previous candle low: ' || {shown_sql('sl')} || ' (risk ' || {shown_sql('close - sl')} || ')'",
+    f"'Nearest resistance target ' || {shown_sql('target')} || ' — R/R ' || {shown_sql('rr')}",
+    f"case when cross_avg > 0 then 'Crossover candle volume ' || {shown_sql('cross_vol / cross_avg')} || 'x rolling average' end",
+)
+
+
+@query(sql(f"select symbol_id, bar, {CROSS_TOLD} from cr where reason is null", *BASE, cross_sql()))
+def reasons_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(scans.crossover(*_feat(spark, sf_dir, strategy="crossover")), reasons.crossover_reasons())
+
+
+REV_TOLD = listed_sql(
+    f"'RSI2 oversold at ' || {shown_sql('rsi2', 1)} || ' (< 10) within EMA200 up-trend'",
+    f"'Reversion target EMA10 ' || {shown_sql('ema10')} || ' (' || {shown_sql('(ema10 - close) / close * 100', 1)} || '% above entry)'",
+    f"'Stop ' || {shown_sql('sl')} || ' = entry − 2.5×ATR(' || {shown_sql('atr14')} || '), ' || {shown_sql('(close - sl) / close * 100', 1)} || '% risk'",
+)
+
+
+@query(sql(f"select symbol_id, bar, {REV_TOLD} from mr where reason is null", IND, FEAT, MEANREV))
+def reasons_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why mean reversion chose a bar: how far it is washed out, the target and the stop."""
+    return _told(scans.meanrev(_bars(spark, sf_dir, "meanrev")), reasons.meanrev_reasons())
 
 
 # Live data

@@ -71,14 +71,19 @@ featx as materialized (select f.*, gained, sector, sector_gained from feat f joi
 STRENGTH_CHECKS = " when gained is null then 'strength_missing' when gained < 0 then 'strength_low' when sector is not null and sector_gained is null then 'sector_missing' when sector_gained < 0.5 then 'sector_low'"
 
 
-@query(sql("select reason, count(*)::bigint n from sw group by 1", BENCH, RET, SECTOR, *BASE, STRENGTH, swing_sql(True, source="featx", checks=STRENGTH_CHECKS)))
-def swing_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """swing_filters with the strength against the benchmark and the sector's, missing data of a mapped sector rejected."""
+def _strong(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Features of the swing scan with what STRENGTH tells of each bar, and extremes."""
     candles = fx.candles(spark, sf_dir)
     sectors = fx.sector_map(spark, sf_dir)
     index = asof.with_return(fx.sector_index(candles, sectors), 20, "sector", name="sector_ret").filter("sector <> 1 or d >= date'1997-06-01'")
     rows, extremes = scans.features(candles, strategy="swing")
-    rows = scans.with_strength(rows, fx.bench_index(candles), sectors.filter("sector <> 3"), index)
+    return scans.with_strength(rows, fx.bench_index(candles), sectors.filter("sector <> 3"), index), extremes
+
+
+@query(sql("select reason, count(*)::bigint n from sw group by 1", BENCH, RET, SECTOR, *BASE, STRENGTH, swing_sql(True, source="featx", checks=STRENGTH_CHECKS)))
+def swing_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """swing_filters with the strength against the benchmark and the sector's, missing data of a mapped sector rejected."""
+    rows, extremes = _strong(spark, sf_dir)
     options = scans.SwingOptions(min_strength=0.0, min_sector_strength=0.5, sector_strict=True)
     return scans.swing(rows, extremes, options).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -165,13 +170,6 @@ def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol_id", "bar", round4(F.col("score")).alias("score"), (F.col("score") >= 85).alias("alert"))
 
 
-@query(sql("select symbol_id, bar, '[' || concat_ws(', ', printf('RSI2 oversold at %.1f within EMA200 up-trend', rsi2), printf('Reversion target EMA10 %.2f', ema10), case when volume_ratio > 1 then printf('Volume %.2fx rolling average', volume_ratio) end) || ']' reasons from mr where reason is null", IND, FEAT, MEANREV))
-def reasons_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scans.meanrev(_bars(spark, sf_dir, "meanrev", ("volume_ratio",))).filter("reason is null")
-    lines = F.array(F.format_string("RSI2 oversold at %.1f within EMA200 up-trend", "rsi2"), F.format_string("Reversion target EMA10 %.2f", "ema10"), F.when(F.col("volume_ratio") > 1, F.format_string("Volume %.2fx rolling average", "volume_ratio")))
-    return rows.select("symbol_id", "bar", F.concat(F.lit("["), F.array_join(F.filter(lines, lambda x: x.isNotNull()), ", "), F.lit("]")).alias("reasons"))
-
-
 # Signals on every bar, and their outcomes
 
 ENTER = "select symbol_id, bar signal_bar, d signal_date, bar + 1 entry_bar, next_d entry_date, case when next_open > 0 then next_open else next_close end entry, sl, {target} target, atr14 atr, {score} score from {rows} where reason is null and next_open is not null"
