@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pct_from, round2
+from ..functions.scalars import buy_fill, let, pct_from, position_notional, round2, sell_fill
 
 STAKE = 10_000.0
 
@@ -41,16 +43,53 @@ def queue(candidates: DataFrame, held: DataFrame, slots: int, gate_open: bool =
     return ranked.withColumn("rank", rank).withColumn("shadow", F.lit(not gate_open))
 
 
-def fill(pending: DataFrame, cash: float, stake: float = STAKE) -> DataFrame:
-    """pending with shares and stopped: filled at the open of their date, in symbol order, while the date's cash lasts.
+@dataclass(frozen=True)
+class FillOptions:
+    slots: int = 5
+    risk_pct: float = 1.0
+    max_weight_pct: float = 40.0
+    slip: float = 0.002
+    #: Cost of a leg: a share of what is bought or sold.
+    leg_cost: float = 0.00125
+
+
+def fill(pending: DataFrame, purse: DataFrame, o: FillOptions = FillOptions()) -> DataFrame:
+    """(entry_date, symbol_id, entry, shares, cost, stopped, exit, pnl, r, cash): what a date's queue buys at its open, with what was left.
 
-    pending has entry_date, symbol_id, sl and the open and low of the date.  What is asked for adds
-    up, by a running sum within each date; a symbol that gets no share is dropped.
+    pending has entry_date, symbol_id, score, sl and the open and low of the date (a symbol without a
+    bar that day isn't in it); purse has entry_date, cash and equity, a row a date.  Each date is on
+    its own: the slots best by score, then symbol, are what its queue holds; in symbol order each
+    gets the whole shares that its risk, its weight and the cash left allow, costs included, so that
+    a dear one leaves the rest to the next.  One without a share is dropped.  A low at the stop or
+    below sells at once, and the proceeds go back to the cash.  Dates without a purse buy nothing.
     """
-    shares = F.floor(F.lit(stake) / F.col("open"))
-    rows = pending.withColumn("shares", shares).filter("shares > 0").withColumn("cents", F.round(F.col("shares") * F.col("open") * 100).cast("long"))
-    spent = F.sum("cents").over(W.partitionBy("entry_date").orderBy("symbol_id", "signal_bar").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("spent", spent).filter(F.col("spent") <= F.lit(cash) * 100).withColumn("stopped", F.col("low") <= F.col("sl")).drop("cents", "spent")
+    rank = F.row_number().over(W.partitionBy("entry_date").orderBy(F.desc("score"), "symbol_id"))
+    queued = pending.withColumn("_rank", rank).filter(F.col("_rank") <= o.slots)
+    orders = F.array_sort(F.collect_list(F.struct("symbol_id", "open", "low", "sl")))  # slots of them at most
+    dates = queued.groupBy("entry_date").agg(orders.alias("orders")).join(purse.select("entry_date", "cash", "equity"), "entry_date")
+    fills = "array<struct<symbol_id:bigint,entry:double,shares:bigint,cost:double,stopped:boolean,exit:double,pnl:double,r:double,cash:double>>"
+
+    def step(a: Column, p: Column) -> Column:
+        def bought(entry: Column) -> Column:
+            each = entry * F.lit(1 + o.leg_cost)
+            notional = position_notional(F.col("equity"), a["cash"], entry, p["sl"], o.risk_pct, o.max_weight_pct, o.slots)
+            return let(F.floor(notional / each), lambda shares: let(shares * each, lambda cost: after(entry, shares, cost)))
+
+        def after(entry: Column, shares: Column, cost: Column) -> Column:
+            stopped = p["low"] <= p["sl"]
+            sold = F.when(stopped, sell_fill(p["sl"], o.slip))
+            proceeds = shares * sold * F.lit(1 - o.leg_cost)
+            left = a["cash"] - cost + F.coalesce(proceeds, F.lit(0.0))
+            one = F.struct(
+                p["symbol_id"].cast("long").alias("symbol_id"), entry.alias("entry"), shares.alias("shares"), cost.alias("cost"), stopped.alias("stopped"), sold.alias("exit"),
+                (proceeds - cost).alias("pnl"), ((sold - entry) / (entry - p["sl"])).alias("r"), left.alias("cash"),
+            )
+            return F.when(shares > 0, F.struct(left.alias("cash"), F.concat(a["fills"], F.array(one)).alias("fills"))).otherwise(a)
+
+        return let(buy_fill(p["open"], o.slip), bought)
+
+    start = F.struct(F.col("cash").cast("double").alias("cash"), F.array().cast(fills).alias("fills"))
+    return dates.select("entry_date", F.explode(F.aggregate("orders", start, step)["fills"]).alias("f")).select("entry_date", "f.*")
 
 
 def capital_journey(trades: DataFrame, start: float = 100_000.0) -> DataFrame:

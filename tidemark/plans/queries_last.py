@@ -277,11 +277,23 @@ def trade_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("trades"), F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") < 0).alias("losses"), (F.sum(F.round(F.col("pnl") * 100).cast("long")) / 100).alias("pnl"))
 
 
-@query(sql("select symbol_id, signal_bar, entry_date, shares, entry, stopped from (select *, sum(round(shares * entry * 100)::bigint) over (partition by entry_date order by symbol_id, signal_bar) spent from (select s.symbol_id, s.signal_bar, s.entry_date, floor(10000 / c.open)::bigint shares, c.open entry, c.low <= s.sl stopped from sig s join candles c on c.symbol_id = s.symbol_id and c.bar = s.entry_bar) where shares > 0) where spent <= 50000 * 100", *REV_SIGNALS))
+FILLS = """pend as materialized (select *, row_number() over (partition by entry_date order by symbol_id) k from (select s.symbol_id, s.entry_date, c.open * '1.002'::double entry, c.low, s.sl,
+    row_number() over (partition by s.entry_date order by s.score desc, s.symbol_id) rank from sig s join candles c on c.symbol_id = s.symbol_id and c.bar = s.entry_bar) where rank <= 5),
+paid as (select null::bigint symbol_id, entry_date, 0::bigint k, null::double entry, null::bigint shares, null::double cost, null::boolean stopped, null::double exit, 50000::double cash from pend where k = 1
+  union all select symbol_id, entry_date, k, entry, shares, shares * each, low <= sl, case when low <= sl then sl * '0.998'::double end,
+      case when shares > 0 then cash - shares * each + case when low <= sl then shares * (sl * '0.998'::double) * '0.99875'::double else 0 end else cash end
+    from (select p.*, r.cash, p.entry * '1.00125'::double each,
+        case when p.entry > p.sl then floor(least(50000 * '0.01'::double / ((p.entry - p.sl) / p.entry), 50000 * '0.4'::double, r.cash) / (p.entry * '1.00125'::double))::bigint else 0 end shares
+      from paid r join pend p on p.entry_date = r.entry_date and p.k = r.k + 1))"""
+
+
+@query(sql(f"select symbol_id, entry_date, {r4('entry')}, shares, {r4('cost')}, stopped, {r4('exit')}, {r4('case when stopped then shares * exit * (0.99875)::double - cost end', 'pnl')}, {r4('cash')} from paid where shares > 0", *REV_SIGNALS, FILLS))
 def eod_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 50,000 buy each day of the day's mean-reversion queue."""
     signals, rows = _signals(spark, sf_dir, "meanrev")
-    pending = signals.select("symbol_id", "signal_bar", "entry_date", "sl", F.col("entry_bar").alias("bar")).join(rows.select("symbol_id", "bar", "open", "low"), ["symbol_id", "bar"])
-    return P.fill(pending, 50_000.0).select("symbol_id", "signal_bar", "entry_date", "shares", F.col("open").alias("entry"), "stopped")
+    pending = signals.select("symbol_id", "entry_date", "score", "sl", F.col("entry_bar").alias("bar")).join(rows.select("symbol_id", "bar", "open", "low"), ["symbol_id", "bar"])
+    purse = pending.select("entry_date", F.lit(50_000.0).alias("cash"), F.lit(50_000.0).alias("equity")).distinct()
+    return rounded(P.fill(pending, purse).select("symbol_id", "entry_date", "entry", "shares", "cost", "stopped", "exit", "pnl", "cash"), "entry", "cost", "exit", "pnl", "cash")
 
 
 JOURNEY = """o as (select symbol_id, row_number() over (partition by symbol_id order by entry_date, entry, exit_price) k, entry, exit_price from trades),
