@@ -219,6 +219,33 @@ def test_added_spans_equal_plain_counts(spark):
         assert [x for x in got[k].split(",") if x.startswith(("term", "broad"))] == want[text]
 
 
+def test_lists_of_many_values_and_terms_count_as_classes(spark, monkeypatch):
+    """Two near copies of a list of addresses and words: one pair of classes, not each with each; same spans as plain counts."""
+    random.seed(41)
+    filler = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(300)]
+    listed = [f"Name{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} q{k}@h{k}.example.org" for k in range(900)]
+    texts = [" ".join(listed), "Copy " + " ".join(listed)] + [" ".join(random.choices(filler, k=12)) for _ in range(40)]
+    texts += [texts[0]] * 30 + [" ".join(random.choices(filler, k=6)) + f" zz{k % 3}@k.example.org Signz" for k in range(6)]
+    names, kept = [], pii.written
+    monkeypatch.setattr(pii, "written", lambda df, name, *more: names.append((name, kept(df, name, *more))) or names[-1][1])
+    monkeypatch.setattr(pii, "MANY_COPIES", 4)  # the copies are dealt to eight tasks
+    got = {r["doc_id"]: r["spans"] for r in pii.private_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    pairs = [df for name, df in names if name == "private-pairs"][0].count()
+    assert 0 < pairs < 50
+    want = added_spans(texts)
+    assert sum(map(len, want.values())) > 1000
+    for k, text in enumerate(texts):
+        assert [x for x in got[k].split(",") if x.startswith(("term", "broad"))] == want[text]
+
+
+def test_groups_in_many_texts_are_judged_if_asked(spark):
+    texts = [f"person{chr(97 + k)} Zebra mail u{k}@one.example.org" if k < 3 else f"nothing here {chr(97 + k)}" for k in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = {r["doc_id"]: [s["value"] for s in r["added"]] for r in pii.find_private(docs).collect()}
+    all_groups = {r["doc_id"]: [s["value"] for s in r["added"]] for r in pii.find_private(docs, group_rarity=None).collect()}
+    assert "zebra" not in some[0] and "zebra" in all_groups[0]
+
+
 def test_mixtures_equal_plain_em():
     random.seed(32)
     rng = np.random.default_rng(32)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, hub_join, marked, written
+from .common import BROADCAST_ROWS, checked_broadcast, hub_join, marked, written
 from .quality import bind
 
 KINDS = ("email", "ip", "card", "phone", "term", "broad")
@@ -30,6 +30,8 @@ TERM = r"(?<![\p{L}\p{N}])(?=\p{N}*+\p{L})[\p{L}\p{N}]{3,}+"
 GROUP_RARITY = 8
 #: Spans that are gathered at a time.
 BLOCK = 256
+#: Copies of a text that one task joins with its spans.
+MANY_COPIES = 10_000
 #: Rows of numbers alone that are broadcast at most: about 32 bytes each.
 BROADCAST_NUMBERS = 500_000
 
@@ -129,62 +131,116 @@ def entities_of(spans: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, each)))
 
 
-def find_private(docs: DataFrame, min_support: int = 2, group_support: int = 3, broad_at: float = 0.7, remove_at: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def same_texts() -> Column:
+    """A hash, in an aggregate, of the set of texts that its rows are in, each once."""
+    return F.xxhash64(F.bit_xor(F.xxhash64("text_key")), F.bit_xor(F.xxhash64("text_key", F.lit(1))), F.count("*"))
+
+
+def spread_join(found: DataFrame, sizes: DataFrame, added: DataFrame) -> DataFrame:
+    """found left joined with added by text_key, whose copies, as sizes counts them, are dealt to several tasks where they are many."""
+    total = sizes.agg(F.coalesce(F.sum("copies"), F.lit(0))).collect()[0][0]
+    share = max(MANY_COPIES, total // BROADCAST_ROWS + 1)
+    many = sizes.filter(F.col("copies") > share).join(added.select("text_key"), "text_key", "left_semi")
+    many = F.broadcast(many.select("text_key", F.ceil(F.col("copies") / share).alias("parts")))  # BROADCAST_ROWS at most
+    dealt = found.join(many, "text_key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts"), F.lit(0)))
+    parts = added.join(many, "text_key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)))
+    return dealt.drop("parts").join(parts.drop("parts"), ["text_key", "part"], "left").drop("part")
+
+
+def find_private(
+    docs: DataFrame, min_support: int = 2, group_support: int = 3, broad_at: float = 0.7, remove_at: float = 0.9, group_rarity: float | None = GROUP_RARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, text_key, base, added): arrays of spans (start, kind, end, value) for each row of docs.
 
     A term discloses PMI(term; value) / IC(value) of a protected value, or of a group of values,
     from counts of distinct texts; from broad_at on it is to be generalised, from remove_at on
     removed, wherever it stands in the texts that hold the value or one of the group.  Both are in
     min_support distinct texts or more, group_support for a group; a word of an e-mail's owner needs
-    one only.  Groups in more than one of GROUP_RARITY texts tell of nobody.
+    one only.  Groups in more than one of group_rarity texts tell of nobody; None judges them all.
 
     Null and empty texts have no spans; copies of a text count once for the statistics and get the
     same spans; rows that repeat a doc_id keep their own spans; other columns are left out; an empty
-    table gives no rows.  Values, terms and texts are told apart by 64-bit hashes.  Pairs are those of
-    a text's values and terms, for values that can have enough support, and hot ones combine before
-    the shuffle.
+    table gives no rows.  Values, terms, texts and sets of texts are told apart by 64-bit hashes.
+
+    Values that are in the same texts are one class, and so are such terms: a pair of classes counts
+    once, so a list of many addresses and many words is one pair, not each with each.  Terms too
+    frequent to disclose enough of a class, even if they came with it always, aren't paired.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans(F.col("text")))
     held = F.when(F.size("base") > 0, masked(F.col("text"), F.col("base")))
     found = written(spans.select("doc_id", F.xxhash64("text").alias("text_key"), "base", held.alias("held")), "private")
-    n = found.select("text_key").distinct().count()
+    sizes = written(found.groupBy("text_key").agg(F.count("*").alias("copies")), "private-sizes")
+    n = sizes.count()
+    disclosed = lambda n_term: F.log2(F.col("n_both") * float(n) / (n_term * F.col("n_entity"))) / F.log2(float(n) / F.col("n_entity"))
 
     texts = found.filter("held is not null").dropDuplicates(["text_key"])
     texts = written(texts.select("text_key", "held", entities_of(F.col("base")).alias("entities"), terms_of(F.col("held")).alias("terms")), "private-texts")
-    of_texts = texts.select("text_key", F.explode("entities").alias("e")).select("text_key", "e.*")
-    counts = of_texts.groupBy("entity").agg(F.count("*").alias("n_entity"), F.first("grouped").alias("known_group"))
-    support = F.when(F.col("known_group"), group_support).otherwise(min_support)
-    rare = ~F.col("known_group") | (F.col("n_entity") * GROUP_RARITY <= n)
-    per_entity = written(counts.filter(rare & (F.col("n_entity") < n)).select("entity", "n_entity", (F.col("n_entity") >= support).alias("enough"), support.alias("support")), "private-entities")
-    judged = hub_join(of_texts, per_entity, "entity", "n_entity").filter(F.col("enough") | (F.size("names") > 0))
-    of_text = judged.groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_entity", "enough", "support", "names")).alias("judged"))
-    near = texts.join(of_text, "text_key").select("text_key", "terms", F.explode("judged").alias("e")).select("text_key", "terms", "e.*")
-    candidates = F.when(F.col("enough"), F.col("terms")).otherwise(F.array_intersect("names", "terms"))
-    near = near.select("text_key", "entity", "n_entity", "support", "names", F.explode(candidates).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("support").alias("support"), F.max(F.array_contains("names", F.col("term"))).alias("named"))
-    pairs = written(pairs.filter(F.col("named") | (F.col("n_both") >= F.col("support"))), "private-pairs")
-    disclosed = lambda n_term: F.log2(F.col("n_both") * float(n) / (n_term * F.col("n_entity"))) / F.log2(float(n) / F.col("n_entity"))
-    # a term is in as many texts, at least, as it is in texts with protected values: most terms tell too little even so
-    per_near = written(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near")), "private-near")
-    pairs = written(hub_join(pairs, per_near, "term", "n_near").filter(disclosed(F.col("n_near")) >= broad_at), "private-pairs")
+    of_texts = texts.select("text_key", "terms", F.explode("entities").alias("e")).select("text_key", "e.entity", "e.grouped", F.array_intersect("e.names", "terms").alias("own"))
+    counts = of_texts.groupBy("entity", "grouped").agg(F.count("*").alias("n_entity"), same_texts().alias("texts_of"))
+    support = F.when(F.col("grouped"), group_support).otherwise(min_support)
+    rare = F.lit(True) if group_rarity is None else ~F.col("grouped") | (F.col("n_entity") * group_rarity <= n)
+    per_entity = counts.filter(rare & (F.col("n_entity") < n)).select("entity", "n_entity", (F.col("n_entity") >= support).alias("enough"), support.alias("support"), F.xxhash64("texts_of", support).alias("e_class"))
+    per_entity = written(per_entity, "private-entities")
+    judged = hub_join(of_texts.select("text_key", "entity", "own"), per_entity, "entity", "n_entity").filter(F.col("enough") | (F.size("own") > 0))
+    judged = written(judged, "private-judged")
 
-    terms = written(pairs.select("term").distinct(), "private-terms")
+    # a term is in as many texts, at least, as it is in texts with protected values: most terms tell too little even so
+    per_near = texts.select("text_key", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"), same_texts().alias("t_class"))
+    per_near = written(per_near, "private-near")
+    most = lambda m: F.greatest(m.cast("double"), F.pow(m / float(n or 1), F.lit(broad_at)) * float(n) * (1 + 1e-6))
+    widest = per_entity.filter("enough").agg(F.max(most(F.col("n_entity")))).collect()[0][0]
+    useful = per_near.filter((F.col("n_near") >= min(min_support, group_support)) & (F.col("n_near") <= F.lit(widest or 0.0)))
+    in_near = hub_join(texts.select("text_key", F.explode("terms").alias("term")), useful, "term", "n_near")
+    their_terms = in_near.groupBy("text_key").agg(F.collect_set(F.struct("t_class", "n_near")).alias("ts"))
+    their_values = judged.filter("enough").groupBy("text_key").agg(F.collect_set(F.struct("e_class", "n_entity", "support")).alias("es"))
+    classes = written(their_values.join(their_terms, "text_key"), "private-classes")
+
+    def paired(only: DataFrame | None = None) -> DataFrame:
+        """(text_key, classes of a value and a term, their counts) of each text, of some classes of values only if so asked."""
+        values = classes.select("text_key", "ts", F.explode("es").alias("e")).select("text_key", "ts", "e.*")
+        values = values if only is None else values.join(checked_broadcast(only, BROADCAST_NUMBERS), "e_class", "left_semi")
+        near = values.withColumn("t", F.explode(F.filter("ts", lambda t: t["n_near"] <= most(F.col("n_entity")))))
+        return near.select("text_key", "e_class", "n_entity", "support", "t.*")
+
+    pairs = paired().groupBy("e_class", "t_class").agg(F.count("*").alias("n_both"), *[F.first(c).alias(c) for c in ("n_entity", "support", "n_near")])
+    pairs = written(pairs.filter((F.col("n_both") >= F.col("support")) & (disclosed(F.col("n_near")) >= broad_at)), "private-pairs")
+    # words of an owner, whatever their support: at most a value's own words each
+    owned = judged.select("text_key", "entity", "n_entity", F.explode("own").alias("term"))
+    own = owned.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
+    own = written(hub_join(own, per_near.select("term", "n_near"), "term", "n_near").filter(disclosed(F.col("n_near")) >= broad_at), "private-own")
+
+    chosen = written(pairs.select("t_class").distinct(), "private-chosen")
+    of_classes = written(per_near.join(checked_broadcast(chosen, BROADCAST_NUMBERS), "t_class", "left_semi"), "private-class-terms")
+    terms = written(of_classes.select("term").union(own.select("term")).distinct(), "private-terms")
     in_texts = rows.select(F.xxhash64("text").alias("text_key"), F.explode(terms_of(F.col("text"))).alias("term"))
     few = terms.limit(BROADCAST_NUMBERS + 1).count() <= BROADCAST_NUMBERS
     in_texts = in_texts.join(F.broadcast(terms), "term") if few else marked(in_texts, terms, "term")
-    per_term = in_texts.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n_term = F.greatest(F.coalesce("n_term", F.lit(0)), "n_near")
-    telling = pairs.join(per_term, "term", "left").withColumn("disclosed", disclosed(n_term)).filter(F.col("disclosed") >= broad_at)
-    telling = written(telling.select("entity", "term", F.when(F.col("disclosed") >= remove_at, 4).otherwise(5).alias("kind")), "private-telling")
-
-    told = near.select("text_key", "entity", "term").join(checked_broadcast(telling, BROADCAST_NUMBERS), ["entity", "term"]).groupBy("text_key", "term").agg(F.min("kind").alias("kind"))
+    per_term = written(in_texts.distinct().groupBy("term").agg(F.count("*").alias("n_term")), "private-counts")
+
+    def counted(of: DataFrame) -> DataFrame:
+        return of.join(checked_broadcast(per_term, BROADCAST_NUMBERS), "term", "left").withColumn("n_term", F.greatest(F.coalesce("n_term", F.lit(0)), "n_near"))
+
+    kind = F.when(F.col("share") >= remove_at, 4).otherwise(5).alias("kind")
+    of_classes = written(counted(of_classes).select("term", "t_class", "n_term"), "private-counted")
+    telling = pairs.join(of_classes.select("t_class", "n_term").distinct(), "t_class").withColumn("share", disclosed(F.col("n_term"))).filter(F.col("share") >= broad_at)
+    telling = written(telling.select("e_class", "t_class", "n_term", kind), "private-telling")
+    values = written(telling.select("e_class").distinct(), "private-telling-values")
+    told = paired(values).select("text_key", "e_class", "t_class").join(checked_broadcast(telling, BROADCAST_NUMBERS), ["e_class", "t_class"])
+    told = told.groupBy("text_key", "t_class", "n_term").agg(F.min("kind").alias("kind"))
+    told = told.join(checked_broadcast(of_classes, BROADCAST_NUMBERS), ["t_class", "n_term"]).select("text_key", "term", "kind")
+    own = written(counted(own).withColumn("share", disclosed(F.col("n_term"))).filter(F.col("share") >= broad_at).select("entity", "term", kind), "private-owned")
+    told_own = owned.select("text_key", "entity", "term").join(checked_broadcast(own, BROADCAST_NUMBERS), ["entity", "term"]).select("text_key", "term", "kind")
+
+    told = told.unionByName(told_own).groupBy("text_key", "term").agg(F.min("kind").alias("kind"))
     told = told.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told"))
     places = located(F.col("held"), TERM, 4, lambda v: F.map_contains_key("told", term_key(v)))
     added = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.try_element_at(F.col("told"), term_key(s["value"])).alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
     added = written(texts.select("text_key", "held").join(told, "text_key").select("text_key", added.alias("added")), "private-added")
-    joined = found.join(checked_broadcast(added, 5_000), "text_key", "left")
-    return joined.select("doc_id", "text_key", "base", F.coalesce("added", F.array().cast(added.schema["added"].dataType)).alias("added"))
+    none = F.array().cast(added.schema["added"].dataType)
+    joined = spread_join(found.filter(F.size("base") > 0).select("doc_id", "text_key", "base"), sizes, added)
+    bare = found.filter(F.size("base") == 0).select("doc_id", "text_key", "base", none.alias("added"))
+    return joined.select("doc_id", "text_key", "base", F.coalesce("added", none).alias("added")).unionByName(bare)
 
 
 def listed(spans: Column) -> Column:
