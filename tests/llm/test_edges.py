@@ -189,3 +189,32 @@ def test_near_duplicates_of_many_odd_rows(spark):
     want = plain_survivors(rows)
     assert len(got) == len(want) and sorted(repr(r["doc_id"]) for r in got) == sorted(repr(i) for i, _ in want)
     assert {(r["doc_id"], r["text"]) for r in got} <= set(rows)
+
+
+def test_slices_hold_so_many_bytes_and_rows():
+    import pyarrow as pa
+
+    from tidemark.llm.common import byte_slices
+
+    texts = ["a" * n for n in (3, 3, 90, 0, 5, 5)] + [None] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [p.column(0).to_pylist() for p in byte_slices([batch, batch.slice(0, 0)], "text", 10, 4)]
+    assert [x for p in parts for x in p] == texts
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(len(t or "") for t in p) <= 10) for p in parts)
+
+
+def test_scores_do_not_depend_on_slices(spark, monkeypatch):
+    """A very long text among short ones: same predictions and scores whether it shares a slice with others or not."""
+    from tidemark.llm import languages, toxicity
+
+    rows = [(k, ("le chat noir dort bien " if k % 2 else "the black cat sleeps well ") * (4000 if k == 7 else 3), "fr" if k % 2 else "en") for k in range(40)] + [(40, None, None), (41, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    machine = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
+    model = languages.train(docs)
+    both = []
+    for size in (1 << 22, 200):
+        monkeypatch.setattr(languages, "SLICE", size)
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        both.append((sorted(map(str, languages.identify(docs, model).collect())), sorted(map(str, toxicity.score(docs, machine).collect()))))
+    assert both[0] == both[1]
+    assert len(both[0][0]) == len(both[0][1]) == 42

@@ -103,13 +103,14 @@ def released(mapper: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
-def byte_slices(batches: Iterable[pa.RecordBatch], column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in slices whose column holds limit bytes at most, but for a longer value."""
+def byte_slices(batches: Iterable[pa.RecordBatch], column: int | str, limit: int, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose column holds limit bytes at most, but for a longer value, and of so many rows at most."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         first = 0
         while first < batch.num_rows:
             last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, "right")))
+            last = last if rows is None else min(last, first + rows)
             yield batch.slice(first, last - first)
             first = last
 

@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, hash_share, released
+from .common import byte_slices, fold, hash_share, released
 
 BUCKETS = 1 << 15
+#: Bytes of text whose trigrams a worker holds at a time, but for a longer text.
+SLICE = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: What identify adds.
@@ -68,13 +70,11 @@ def train(docs: DataFrame, per_language: int = 2000, id_col: str = "doc_id", tex
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                langs = np.array(part.column(1).to_pylist(), object)
-                of, buckets = trigrams([t or "" for t in part.column(0).to_pylist()])
-                for lang in set(langs):
-                    total[lang] = total.get(lang, 0) + np.bincount(buckets[(langs == lang)[of]], minlength=BUCKETS)
+        for part in byte_slices(batches, 0, SLICE, 200):
+            langs = np.array(part.column(1).to_pylist(), object)
+            of, buckets = trigrams([t or "" for t in part.column(0).to_pylist()])
+            for lang in set(langs):
+                total[lang] = total.get(lang, 0) + np.bincount(buckets[(langs == lang)[of]], minlength=BUCKETS)
         for lang, n in total.items():
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(n[used], pa.int64())], names=["lang", "bucket", "n"])
@@ -162,17 +162,15 @@ def identify(docs: DataFrame, model: Model, min_share: float = 0.0, text_col: st
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 250):
-                part = batch.slice(i, 250)
-                shares, gain = fitted([t or "" for t in part.column(text_col).to_pylist()], model)
-                top = shares.argmax(1) if model.languages else np.zeros(len(shares), int)
-                score = shares.max(1, initial=0.0).astype(np.float64)
-                named = (score > 0) & (score >= min_share)
-                langs = [model.languages[k] if ok else UNKNOWN for k, ok in zip(top, named)]
-                sets = [[model.languages[k] for k in np.flatnonzero(s > 0)] for s in shares]
-                columns = [*part.columns, pa.array(langs, pa.string()), pa.array(np.where(named, np.minimum(score, 1.0), 0.0)), pa.array(sets, pa.list_(pa.string())), pa.array(gain, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *RESULTS])
+        for part in byte_slices(batches, text_col, SLICE, 250):
+            shares, gain = fitted([t or "" for t in part.column(text_col).to_pylist()], model)
+            top = shares.argmax(1) if model.languages else np.zeros(len(shares), int)
+            score = shares.max(1, initial=0.0).astype(np.float64)
+            named = (score > 0) & (score >= min_share)
+            langs = [model.languages[k] if ok else UNKNOWN for k, ok in zip(top, named)]
+            sets = [[model.languages[k] for k in np.flatnonzero(s > 0)] for s in shares]
+            columns = [*part.columns, pa.array(langs, pa.string()), pa.array(np.where(named, np.minimum(score, 1.0), 0.0)), pa.array(sets, pa.list_(pa.string())), pa.array(gain, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *RESULTS])
 
     return kept.mapInArrow(released(predict), schema)
 

@@ -8,14 +8,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, hash_share
+from .common import byte_slices, fold, hash_share
 
 BITS = 20
+#: Bytes of text that a worker holds as terms at a time.
+SLICE = 4 << 20
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -95,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str
     joined = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 2, SLICE):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([buckets(t).astype("<i4").tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["id", "label", "terms"])
 
     table = joined.select("_id", "_label", "_text").mapInArrow(hashed, "id long, label int, terms binary").toArrow()
@@ -113,14 +115,14 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
     rows = docs.drop("score", "predicted")
     kept = [c for c in rows.columns if c != text_col]
 
-    def predict(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            logits = np.concatenate([shared.value.logits([buckets(t) for t in f[text_col].iloc[i : i + 500]]) for i in range(0, len(f), 500)]) if len(f) else np.zeros(0)
-            p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
-            yield f[kept].assign(score=p, predicted=(p >= 0.5).astype(np.int32))
+    def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, text_col, SLICE, 500):
+            p = 1 / (1 + np.exp(-np.clip(shared.value.logits([buckets(t) for t in part.column(text_col).to_pylist()]), -500, 500)))
+            columns = [*(part.column(c) for c in kept), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.select(*kept).dtypes) + ", score double, predicted int"
-    return rows.mapInPandas(predict, schema)
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return rows.mapInArrow(predict, T.StructType([*rows.select(*kept).schema.fields, *fields]))
 
 
 def held_out(id_col: str = "doc_id"):
