@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,28 +20,59 @@ COLUMNS = ("date", "open", "high", "low", "close", "volume")
 
 
 def parsed_time(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(layout)) for layout in DATE_LAYOUTS])
-
-
-#: Splits of files up to which what is known of each is broadcast to their lines.
+    """The time that a text gives by the first layout it fits; one whose marks it lacks isn't tried, as a failed try is dear."""
+    text = F.trim(text)
+    marked = lambda layout: [F.contains(text, F.lit(m)) for m in sorted(set(re.sub(r"[A-Za-su-z]|(?<!')T|'", "", layout)))]
+    tries = []
+    for layout in DATE_LAYOUTS:
+        fits = F.lit(True)
+        for mark in marked(layout):
+            fits &= mark
+        tries.append(F.when(fits, F.try_to_timestamp(text, F.lit(layout))))
+    return F.coalesce(*tries)
+
+
+#: Splits, of files that have several, up to which what is known of each is broadcast to their lines.
 BROADCAST_BLOCKS = 20_000
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, header, text) of the lines of text files, blank ones left out: line is the number in the file, from 1, and header its first line.
 
-    Files are split between tasks.  A line's number is its place in its split and the lines of the
-    file's splits before; the lines are written once, so that both counts see the same splits.
+    Files are split between tasks.  A line's number is its place in its split, which a task counts
+    as it reads, and the lines of the file's splits before.  Only the splits of files that have
+    several are joined to their lines, so any number of small files costs no join; the lines are
+    written once, so that both counts see the same splits.
     """
-    lines = spark.read.option("basePath", path).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").filter(F.trim("value") != "")
-    lines = written(lines.select(F.col("file_path").alias("file"), F.col("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text")), "lines")
-    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min_by("text", "at").alias("header"))
+    lines = spark.read.option("basePath", path).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text")).filter(F.trim("text") != "")
+    lines = written(lines.mapInArrow(_places, "file string, block long, place long, first string, text string"), "lines")
+    # a row a split, with the number of its last line
+    blocks = lines.groupBy("file", "block").agg(F.max("place").alias("n"), F.any_value("first").alias("header"))
     by_file = W.partitionBy("file").orderBy("block")
     before = F.coalesce(F.sum("n").over(by_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = written(blocks.select("file", "block", "first", before.alias("before"), F.first("header").over(by_file).alias("header")), "blocks")
-    few = blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
-    numbered = lines.join(F.broadcast(blocks) if few else blocks, ["file", "block"])
-    return numbered.select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "header", "text")
+    several = blocks.select("file", "block", before.alias("before"), F.first("header").over(by_file).alias("header"), F.count("*").over(W.partitionBy("file")).alias("splits")).filter("splits > 1").drop("splits")
+    several = written(several, "blocks")
+    few = several.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    numbered = lines.join(F.broadcast(several) if few else several, ["file", "block"], "left")
+    return numbered.select("file", (F.col("place") + F.coalesce("before", F.lit(0))).alias("line"), F.coalesce("header", "first").alias("header"), "text")
+
+
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, place, first, text): a line's place in its split, from 1, and the split's first line; a task's lines come split by split."""
+    last, count, first = None, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, block = batch.column("file").dictionary_encode(), batch.column("block").to_numpy()
+        code = file.indices.to_numpy()
+        begun = np.concatenate([[(file[0].as_py(), int(block[0])) != last], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
+        starts = np.flatnonzero(begun)
+        run = np.cumsum(begun)  # 0: the split that the batch before ended with
+        texts = batch.column("text")
+        heads = pa.concat_arrays([pa.array([first], pa.string()), texts.take(pa.array(starts))])
+        place = np.arange(1, batch.num_rows + 1) - np.concatenate([[-count], starts])[run]
+        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(place, pa.int64()), heads.take(pa.array(run)), texts], names=["file", "block", "place", "first", "text"])
+        last, count, first = (file[-1].as_py(), int(block[-1])), int(place[-1]), heads[int(run[-1])].as_py()
 
 
 def read_candles_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +84,7 @@ def read_candles_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     header lacks a column is one reject, its header.
     """
     lines = numbered_lines(spark, path)
-    width = lines.agg(F.coalesce(F.max(F.size(F.split("header", ","))), F.lit(1))).collect()[0][0]
+    width = lines.filter("line = 1").agg(F.coalesce(F.max(F.size(F.split("header", ","))), F.lit(1))).collect()[0][0]
     fields = [f"_c{k}" for k in range(width)]
     cells = lambda c: F.from_csv(c, ", ".join(f"{f} string" for f in fields), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     listed = lambda c: F.array(*[F.col(f"{c}.{f}") for f in fields])
@@ -63,7 +99,9 @@ def read_candles_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     missing = F.coalesce(*[F.when(F.coalesce(place[c], F.lit(0)) == 0, F.concat(F.lit("missing "), F.lit(c))) for c in COLUMNS])
     bad = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in values])
     judged = rows.select(symbol.alias("symbol"), file.alias("file"), "line", "text", missing.alias("missing"), *[v.alias(c) for c, v in values.items()]).filter("line = 1 and missing is not null or line > 1 and missing is null")
-    judged = judged.withColumn("reason", F.coalesce("missing", bad))
+    reason = F.coalesce("missing", bad)
+    # written, so that candles and rejects are read once; only rejects keep their text
+    judged = written(judged.withColumn("reason", reason).withColumns({"text": F.when(F.col("reason").isNotNull(), F.col("text")), "file": F.when(F.col("reason").isNotNull(), F.col("file"))}).drop("missing"), "judged")
     return judged.filter("reason is null").select("symbol", *values), judged.filter("reason is not null").select("symbol", "file", "line", "text", "reason")
 
 
