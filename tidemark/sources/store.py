@@ -12,6 +12,8 @@ from .shared import written
 SCHEMA = "symbol_id bigint, d date, bar int, open double, high double, low double, close double, volume bigint"
 KEY = ("symbol_id", "d")
 PARTS = "month int, bucket int"
+#: Rows that a task of a write is dealt, about.
+TASK_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ class CandleStore:
 
     def create(self, rows: DataFrame) -> None:
         """The store of rows, whose keys are unique, in place of what is there."""
-        self._write(rows.select(*self._columns(), *self._parts()), "static")
+        self._write(written(rows.select(*self._columns(), *self._parts()), "store-rows"), "static")
 
     def upsert(self, rows: DataFrame) -> None:
         """rows come in; where the store has their symbol and date they take that row's place."""
@@ -84,16 +86,25 @@ class CandleStore:
         spark = rows.sparkSession
         new = written(rows.select(*self._columns(), *self._parts()).dropDuplicates(list(KEY)), "store-new")
         touched = F.broadcast(new.select("month", "bucket").distinct())  # months times buckets at most
+        parts = _tasks(self.read(spark), new)
         old = self.read(spark).join(touched, ["month", "bucket"], "left_semi")
         first, second = (new, old) if new_wins else (old, new)
+        first, second = first.repartition(parts, *KEY), second.repartition(parts, *KEY)
         merged = first.unionByName(second.join(first.select(*KEY), list(KEY), "left_anti"))
         self._write(written(merged, "store-merged"), "dynamic")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
-        ordered = rows.repartition("month", "bucket").sortWithinPartitions("month", "bucket", *KEY)
+        """rows come from a table, so that they are cheap to count."""
+        ordered = rows.repartition(_tasks(rows), "month", "bucket").sortWithinPartitions("month", "bucket", *KEY)
         ordered.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("month", "bucket").parquet(self.path)
 
 
+def _tasks(*tables: DataFrame) -> int:
+    """Shuffle partitions for the rows of tables: as they grow, so do the partitions in number, not in size."""
+    rows = sum(t.count() for t in tables)
+    return max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS + 1)
+
+
 def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
