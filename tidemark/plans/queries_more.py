@@ -14,7 +14,7 @@ from ..operators import labels as L
 from ..operators import logs, scans
 from ..operators import statistics as T
 from ..sources import fixtures as fx
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from ..sources.snapshots import purge_log
 from .oracles import EXT, FEAT, IND, r4, sql, zones
 from .queries import BENCH, BREC, RET, SECTOR, _bars, _bench_ind, _feat, _ind, query, rounded
@@ -73,11 +73,12 @@ STRENGTH_CHECKS = " when gained is null then 'strength_missing' when gained < 0
 
 def _strong(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Features of the swing scan with what STRENGTH tells of each bar, and extremes."""
-    candles = fx.candles(spark, sf_dir)
     sectors = fx.sector_map(spark, sf_dir)
-    index = asof.with_return(fx.sector_index(candles, sectors), 20, "sector", name="sector_ret").filter("sector <> 1 or d >= date'1997-06-01'")
-    rows, extremes = scans.features(candles, strategy="swing")
-    return scans.with_strength(rows, fx.bench_index(candles), sectors.filter("sector <> 3"), index), extremes
+    rows, extremes = scans.features(fx.candles(spark, sf_dir), strategy="swing", more=("close20",))
+    closes = rows.select("symbol_id", "d", "close")  # from the table, so that candles are made once
+    bench = written(fx.bench_index(closes), "bench")
+    index = written(asof.with_return(fx.sector_index(closes, sectors), 20, "sector", name="sector_ret").filter("sector <> 1 or d >= date'1997-06-01'"), "sector-index")
+    return scans.with_strength(rows, bench, sectors.filter("sector <> 3"), index), extremes
 
 
 @query(sql("select reason, count(*)::bigint n from sw group by 1", BENCH, RET, SECTOR, *BASE, STRENGTH, swing_sql(True, source="featx", checks=STRENGTH_CHECKS)))
@@ -159,7 +160,7 @@ def scan_meanrev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("select 'meanrev' strategy, coalesce(reason, 'signal') reason, count(*)::bigint n from mr group by 2 union all select 'crossover', coalesce(reason, 'signal'), count(*)::bigint from cr group by 2", *BASE, MEANREV, cross_sql()))
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, extremes = _feat(spark, sf_dir)
+    rows, extremes = _feat(spark, sf_dir, strategy="crossover", more=tuple(c for c in scans.NEEDED["meanrev"] if c not in scans.NEEDED["crossover"]))
     parts = [scans.STRATEGIES[name](rows, extremes).select(F.lit(name).alias("strategy"), F.coalesce("reason", F.lit("signal")).alias("reason")) for name in ("meanrev", "crossover")]
     return parts[0].unionByName(parts[1]).groupBy("strategy", "reason").agg(F.count("*").alias("n"))
 
