@@ -101,3 +101,21 @@ def test_a_time_is_that_of_all_layouts_tried(spark, text):
     tried = F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(layout)) for layout in R.DATE_LAYOUTS])
     got, want = row.select(R.parsed_time(F.col("t")), tried).collect()[0]
     assert got == want
+
+
+def test_a_slice_of_texts_takes_little_memory_to_fit():
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from tidemark.llm import languages
+
+    rnd = random.Random(1)
+    text = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=2000))
+    model = languages.Model(tuple("abcde"), np.full((languages.BUCKETS, 5), 1 / languages.BUCKETS, np.float32))
+    tracemalloc.start()
+    languages.fitted([text] * (languages.SLICE // 2000), model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20

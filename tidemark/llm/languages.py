@@ -21,7 +21,7 @@ from .common import byte_slices, fold, hash_share, released
 
 BUCKETS = 1 << 15
 #: Bytes of text whose trigrams a worker holds at a time, but for a longer text.
-SLICE = 1 << 20
+SLICE = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: What identify adds.
@@ -79,7 +79,7 @@ def train(docs: DataFrame, per_language: int = 2000, id_col: str = "doc_id", tex
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(n[used], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.select("text", "lang").mapInArrow(released(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     place = {lang: k for k, lang in enumerate(languages)}
     n = np.zeros((BUCKETS, len(languages)))
     n[counts.column("bucket").to_numpy(), [place[x] for x in counts.column("lang").to_pylist()]] = counts.column("n").to_numpy()
