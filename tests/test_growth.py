@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.operators import indicators as I
 from tidemark.operators import scans
+from tidemark.operators import state as S
 from tidemark.operators import zones as Z
 from tidemark.sources import fixtures as fx
 from tidemark.sources import readers as R
@@ -119,3 +122,54 @@ def test_a_slice_of_texts_takes_little_memory_to_fit():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30 << 20
+
+
+def closed_values(bars):
+    """The state after some closed bars of one symbol, by loops."""
+    low, high, close = bars["low"], bars["high"], bars["close"]
+    changes = [b - a for a, b in pairwise(close)]
+    spans = [max(h - x, abs(h - c), abs(c - x)) for h, x, c in zip(high[1:], low[1:], close)]
+    steps = {"atr14": spans} | {f"{kind}{p}": [max(sign * c, 0.0) for c in changes] for p in I.RSIS for kind, sign in (("gain", 1), ("loss", -1))}
+    averages = {f"ema{p}": I.ema(close, p) for p in I.EMAS}
+    total = 0.0
+    for v in close:
+        total += v
+    state = {"bar": len(close), "close": close[-1] if close else None, "total": total} | {n: v[-1] if v else None for n, v in averages.items()}
+    for name, values in steps.items():
+        p, so_far = S._period(name), 0.0
+        for v in values[: p - 1]:
+            so_far += v
+        state[name] = I.wilder(values, p)[-1] if len(values) >= p else so_far
+    of = {"volumes": bars["volume"], "closes": close, "past_ema200": averages["ema200"], "last_lows": low, "last_highs": high}
+    state |= {name: of[name][-n:] for name, n in S.RECENT.items()}
+    for name, v in (("lows", low), ("highs", [-x for x in high])):
+        found = [i for i in range(2, len(v) - 2) if v[i] < min(v[i - 2 : i]) and v[i] < min(v[i + 1 : i + 3])]
+        state[name] = sorted(({"price": abs(v[i]), "confirm_bar": i + 3} for i in found), key=lambda x: (x["price"], x["confirm_bar"]))
+    return state
+
+
+def test_states_of_many_symbols_are_those_of_each(spark, monkeypatch):
+    """One step a bar for all symbols of a group: as many steps for 40 symbols as for the longest of them."""
+    import random
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = to_arrow_schema(_parse_datatype_string(S.SCHEMA))
+    rnd, rows, want = random.Random(5), [], {}
+    for symbol, size in enumerate([1, 2, 3, 5, 6, 14, 15, 16, 21, 200, 201, 202, 230, *range(7, 34)]):
+        price, bars = 100.0, []
+        for k in range(size):
+            price = round(price + rnd.choice([-1.0, -0.5, 0.0, 0.5, 1.0]), 2)
+            bars.append({"symbol_id": symbol, "d": dt.date(2024, 1, 1) + dt.timedelta(k), "bar": k + 1, "open": price, "high": price + rnd.choice([0.0, 0.5, 1.0]), "low": price - rnd.choice([0.0, 0.5]), "close": price, "volume": rnd.randrange(1000)})
+        rows += bars
+        want[symbol] = closed_values({c: [b[c] for b in bars[:-1]] for c in bars[0]}) | {"symbol_id": symbol, "live": {c: bars[-1][c] for c in S.BAR_FIELDS}}
+    rnd.shuffle(rows)
+    steps = []
+    final = I.Matrix.final
+    monkeypatch.setattr(I.Matrix, "final", lambda self, values, *more: steps.append(self.shape[0]) or final(self, values, *more))
+    got = S.states(pa.Table.from_pylist(rows), kinds).to_pylist()
+    assert {r["symbol_id"]: r for r in got} == want and len(got) == 40
+    assert steps == [229] * 12
+    only = S.states(pa.Table.from_pylist([r for r in rows if r["symbol_id"] == 0]), kinds).to_pylist()
+    assert only == [want[0]]
