@@ -173,3 +173,44 @@ def test_states_of_many_symbols_are_those_of_each(spark, monkeypatch):
     assert steps == [229] * 12
     only = S.states(pa.Table.from_pylist([r for r in rows if r["symbol_id"] == 0]), kinds).to_pylist()
     assert only == [want[0]]
+
+
+def test_extremes_known_before_the_first_bar_are_dealt_at_once(spark, monkeypatch):
+    prices = [10.0, 10.1, 12.0, 9.0, 12.1, 10.2, 15.0, 9.1, 9.1, 11.0, 11.3, 30.0]
+    added, dealt = Z.Levels(), Z.Levels()
+    for p in prices:
+        added.add(p)
+    monkeypatch.setattr(Z.Levels, "add", lambda self, price: pytest.fail("one by one"))
+    dealt.extend(prices)
+    assert (dealt.zones, dealt.lows, dealt.highs) == (added.zones, added.lows, added.highs)
+    dealt.extend(prices[:6])
+    monkeypatch.undo()
+    for p in prices[:6]:
+        added.add(p)
+    dealt.extend([9.9])
+    added.add(9.9)
+    assert (dealt.zones, dealt.lows, dealt.highs) == (added.zones, added.lows, added.highs)
+
+
+def test_nearest_zones_of_many_symbols_are_those_of_each_bar(spark):
+    import random
+
+    rnd, kind = random.Random(3), "array<struct<price:double,confirm_bar:int>>"
+    known = [(s, sorted((round(rnd.uniform(80, 120), 2), rnd.randrange(3, 60)) for _ in range(s * 3)), sorted((round(rnd.uniform(80, 120), 2), rnd.randrange(3, 60)) for _ in range(40 - s))) for s in range(8)]
+    extremes = spark.createDataFrame(known, f"symbol_id long, lows {kind}, highs {kind}")
+    rows = spark.createDataFrame([(s, b, round(rnd.uniform(85, 115), 2)) for s in range(10) for b in range(1, 64, 7)], "symbol_id long, bar int, close double")
+    got = Z.with_nearest(rows, extremes, F.col("bar") > 8, 2, 1.0).select("symbol_id", "bar", "support", "resistance")
+    by_bar = rows.join(extremes, "symbol_id", "left")
+    lows, highs = (F.coalesce(Z.zones_asof(c, F.col("bar")), F.array().cast(f"array<{Z.ZONE}>")) for c in ("lows", "highs"))
+    support, resistance = Z.nearest_below(lows, F.col("close")), Z.nearest_above(highs, F.col("close"), 2, F.col("close") * (1 + 1.0 / 100))
+    want = by_bar.select("symbol_id", "bar", F.when(F.col("bar") > 8, support).alias("support"), F.when(F.col("bar") > 8, resistance).alias("resistance"))
+    assert {r[:2]: r for r in got.collect()} == {r[:2]: r for r in want.collect()}
+
+
+@pytest.mark.parametrize("name", ["scan_swing", "scan_breakout", "scan_crossover"])
+def test_a_sorted_scan_finds_its_zones_once(spark, name):
+    assert "FlatMapCoGroups" not in plan_of(entry.queries()[name](spark, SF))
+
+
+def test_the_verdict_reads_the_items_once(spark):
+    assert "lineitem" not in plan_of(entry.queries()["excess_verdict"](spark, SF))

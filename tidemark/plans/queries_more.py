@@ -60,7 +60,7 @@ def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(f"select symbol_id, entry, sl, target, rr, reason, {r4('score')} from sw", *BASE, swing_sql(False, LAST)))
 def scan_swing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scans.swing(*_feat(spark, sf_dir, True, "swing"), scans.LENIENT).select("symbol_id", "entry", "sl", "target", "rr", "reason", "score")
-    return rounded(found, "score").orderBy(F.desc_nulls_last("score"), "symbol_id")
+    return written(rounded(found, "score"), "found").orderBy(F.desc_nulls_last("score"), "symbol_id")  # a sort reads its input twice
 
 
 #: Of each bar what it gained on the benchmark, and what its sector did; sector 3 is mapped to no index, and a third of the dates of sector 1 are missing.
@@ -126,7 +126,7 @@ bo as (select *, case when not good then 'not_constructive' when sup is null the
 @query(sql(f"select symbol_id, reason, case when sup is not null then round(distance_pct * 10000) / 10000 end distance_pct, case when reason is null then round(sc * 10000) / 10000 end score from bo", *BASE, BREAKOUT))
 def scan_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scans.breakout(*_feat(spark, sf_dir, True, "breakout")).select("symbol_id", "reason", "distance_pct", "score")
-    return rounded(found, "distance_pct", "score").orderBy(F.desc_nulls_last("score"), "distance_pct", "symbol_id")
+    return written(rounded(found, "distance_pct", "score"), "found").orderBy(F.desc_nulls_last("score"), "distance_pct", "symbol_id")  # a sort reads its input twice
 
 
 def cross_sql(only: str = "true") -> str:
@@ -145,7 +145,7 @@ cr as materialized (select *, case when bar < 50 then 'few_candles' when ema7 <=
 @query(sql(f"select symbol_id, reason, cross_age, {r4('case when cross_age is not null then sl end', 'sl')}, target, {r4('rr')}, case when reason is null then sc end score from cr", *BASE, cross_sql(LAST)))
 def scan_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scans.crossover(*_feat(spark, sf_dir, True, "crossover")).select("symbol_id", "reason", "cross_age", F.when(F.col("crossed").isNotNull() & F.col("cross_age").isNotNull(), F.col("sl")).alias("sl"), "target", "rr", "score")
-    return rounded(found, "sl", "rr").orderBy(F.desc_nulls_last("score"), "cross_age", "symbol_id")
+    return written(rounded(found, "sl", "rr"), "found").orderBy(F.desc_nulls_last("score"), "cross_age", "symbol_id")  # a sort reads its input twice
 
 
 MEANREV = """mr as materialized (select *, close - 2.5::double * atr14 sl, case when bar < 210 then 'few_candles' when close <= ema200 then 'no_trend' when rsi2 >= 10 then 'not_oversold' when ema10 <= close then 'target_below'
@@ -261,8 +261,13 @@ em as (select *, exit_bar - entry_bar hold_days, (exit_price * '0.998'::double *
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_of(spark, sf_dir)[0]
+
+
+def _held_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Trades, and the table of all bars that they are of."""
     signals, rows = _signals(spark, sf_dir)
-    return L.ema_exit(signals, rows)
+    return L.ema_exit(signals, rows), rows
 
 
 @query(sql(f"select symbol_id, signal_bar, status, exit_bar, {r4('exit_price')}, {r4('actual_rr')}, hold_days from em", *CROSS_SIGNALS, EMAEXIT))
