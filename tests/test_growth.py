@@ -207,6 +207,16 @@ def test_nearest_zones_of_many_symbols_are_those_of_each_bar(spark):
     assert {r[:2]: r for r in got.collect()} == {r[:2]: r for r in want.collect()}
 
 
+def test_levels_are_all_zones_of_the_last_bar(spark):
+    zones = sorted(tuple(r) for r in entry.queries()["zones_latest"](spark, SF).select("symbol_id", "low", "high", "mid", "touches").collect())
+    levels = entry.queries()["levels"](spark, SF).collect()
+    assert sorted((r["symbol_id"], r["low"], r["high"], r["mid"], r["touches"]) for r in levels) == zones
+    ranks = {}
+    for r in levels:
+        ranks.setdefault((r["symbol_id"], r["side"]), []).append(r["rank"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in ranks.values()) and max(map(len, ranks.values())) > 5
+
+
 @pytest.mark.parametrize("name", ["scan_swing", "scan_breakout", "scan_crossover"])
 def test_a_sorted_scan_finds_its_zones_once(spark, name):
     assert "FlatMapCoGroups" not in plan_of(entry.queries()[name](spark, SF))
