@@ -14,8 +14,10 @@ from tidemark.operators import indicators as I
 from tidemark.operators import scans
 from tidemark.operators import state as S
 from tidemark.operators import zones as Z
+from tidemark.plans import queries_last
 from tidemark.sources import fixtures as fx
 from tidemark.sources import readers as R
+from tidemark.sources import shared
 from tidemark.sources import store as store_module
 from tidemark.streaming import jobs as J
 
@@ -106,6 +108,64 @@ def test_a_time_is_that_of_all_layouts_tried(spark, text):
     assert got == want
 
 
+ODD_FILES = {
+    "a.csv": b"\xef\xbb\xbfDate,Open,High,Low,Close,Volume\r\n2024-01-02,1,2,0.5,1.5,10\r\n\r\n   \r\n1/3/2024, 1.25 ,+2,.5,1e1,\"1,300\"\r\n",
+    "b&b.ns.csv": b'volume , note,DATE,close,open,high,low\n"1,300" , "x, ""y""",2024-01-02T03:04:05+05:30,1.5,1,2,0.5,more\n"1"2,,2024-01-02,1.5,1,2,0.5\n7,"open,2024-01-02,1.5,1,2,0.5\n8,,1/2/2024 3:04:05,NaN,1,2,0.5\n9,"a\\"b, c",2024-01-02 03:04:05,1.5,1,2,0.5\n',
+    "c.csv": b"Date,Open,High,Low,Volume\n2024-01-02,1,2,0.5,10\n2024-01-02,1,2,0.5,10\n",
+    "d.csv": b"Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5\n2024-13-02,1,2,0.5,1.5,1\n2024-01-02,1,2,x,1.5,1\n2024-01-02,1,2,1,1.5,0x10\n2024-01-02,1,2,1,1.5,1.5\n2024-01-02,1,2,1,1.5,99999999999999999999\n2024-01-02,1,2,1,1.5,-7",
+    "e.csv": b"",
+    "f.csv": b"Date,Open,High,Low,Close,Volume\n",
+}
+
+
+@pytest.mark.parametrize("whole", [4 << 20, -1])
+def test_odd_candle_files_are_judged_alike_whole_and_by_line(spark, monkeypatch, tmp_path, whole):
+    import gzip
+
+    for name, content in ODD_FILES.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "g.csv.gz").write_bytes(gzip.compress(ODD_FILES["d.csv"].split(b"\n")[0] + b"\n2024-01-02,1,2,0.5,1.5,11\n"))
+    (tmp_path / "symbol=h").mkdir()
+    monkeypatch.setattr(R, "WHOLE_BYTES", whole)
+    rows = R.judged_candles_csv(spark, str(tmp_path)).collect()
+    good = sorted((r["symbol"], r["line"], str(r["ts"]), r["open"], r["high"], r["low"], str(r["close"]), r["volume"]) for r in rows if r["reason"] is None)
+    assert good == [
+        ("A", 2, "2024-01-02 00:00:00", 1.0, 2.0, 0.5, "1.5", 10), ("A", 3, "2024-01-03 00:00:00", 1.25, 2.0, 0.5, "10.0", 1300),
+        ("B&B.NS", 2, "2024-01-01 21:34:05", 1.0, 2.0, 0.5, "1.5", 1300), ("B&B.NS", 5, "2024-01-02 03:04:05", 1.0, 2.0, 0.5, "nan", 8), ("B&B.NS", 6, "2024-01-02 03:04:05", 1.0, 2.0, 0.5, "1.5", 9),
+        ("D", 8, "2024-01-02 00:00:00", 1.0, 2.0, 1.0, "1.5", -7), ("G", 2, "2024-01-02 00:00:00", 1.0, 2.0, 0.5, "1.5", 11),
+    ]
+    assert all((r["file"] is None) == (r["text"] is None) == (r["reason"] is None) for r in rows)
+    bad = sorted((r["symbol"], r["line"], r["reason"], r["file"].rsplit("/")[-1]) for r in rows if r["reason"])
+    assert bad == [("B&B.NS", 3, "volume", "b&b.ns.csv"), ("B&B.NS", 4, "ts", "b&b.ns.csv"), ("C", 1, "missing close", "c.csv"), ("D", 2, "volume", "d.csv"), ("D", 3, "ts", "d.csv"), ("D", 4, "low", "d.csv"), ("D", 5, "volume", "d.csv"), ("D", 6, "volume", "d.csv"), ("D", 7, "volume", "d.csv")]
+
+
+@pytest.mark.parametrize("text", ["2024-01-02", "2024-02-30", "2024-01-02 03:04:05", "2024-01-02 24:00:00", "1/2/2024 3:04:05", "01/02/2024 23:59:59", "1/2/2024", "12/31/2024", "13/1/2024", "2/29/2023", "1500-01-01", "2024-1-2", "n/a", ""])
+def test_a_plain_time_is_that_of_the_layouts(spark, text):
+    want = spark.createDataFrame([(text,)], "t string").select(R.parsed_time(F.col("t")).cast("timestamp_ntz")).collect()[0][0]
+    assert R._clock(text) == want
+
+
+def test_small_files_are_read_once_and_written_nowhere(spark, monkeypatch):
+    monkeypatch.setattr(R, "written", lambda df, name: pytest.fail(f"writes {name}"))
+    for name in ("src_candles_csv_dir",):
+        plan = plan_of(entry.queries()[name](spark, SF))
+        assert plan.count("FileScan") == 1 and "from_csv" not in plan
+
+
+def test_files_of_no_mounted_folder_are_written_by_spark(spark, monkeypatch):
+    found = [sorted(map(tuple, entry.queries()["src_candles_csv_dir"](spark, SF).collect()))]
+    monkeypatch.setattr(queries_last, "mounted", lambda spark, path: None)
+    found.append(sorted(map(tuple, entry.queries()["src_candles_csv_dir"](spark, SF).collect())))
+    assert found[0] == found[1] and len(found[0]) == 10
+
+
+def test_texts_of_a_symbol_are_one_file_over_batches(tmp_path):
+    batches = [pa.RecordBatch.from_pydict({"symbol": s, "text": t}, pa.schema([("symbol", pa.string()), ("text", pa.string())])) for s, t in ((["a", "a"], ["1\n", "2\n"]), ([], []), (["a", "b"], ["3\n", "é\n"]), (["c"], ["5\n"]))]
+    for _ in range(2):
+        assert [b.to_pydict() for b in shared.write_texts(str(tmp_path / "x"), ".csv", iter([batches[0], *batches[1:]]))] == [{"files": [3]}]
+        assert {f.name: f.read_text() for f in (tmp_path / "x").iterdir()} == {"a.csv": "1\n2\n3\n", "b.csv": "é\n", "c.csv": "5\n"}
+
+
 def test_a_slice_of_texts_takes_little_memory_to_fit():
     import random
     import tracemalloc
